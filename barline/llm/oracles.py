@@ -15,3 +15,34 @@ kept AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) g USING (r) LEFT JOIN kept USING (r)
 """
+
+OP1 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(n)),
+s AS (
+  SELECT *, 14 + length(role) + length(text)
+    + length(role) - length(replace(replace(role, '\', ''), ':', '')) + length(text) - length(replace(text, '\', ''))
+    + (length(role || chr(1) || text) - length(replace(role || chr(1) || text, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all(role || chr(1) || text, '#{3,}'), lambda x: length(x) - 2)), 0) AS chars
+  FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, false AS rewrites_history
+FROM s GROUP BY conv_id
+"""
+
+# base32 of a SHA-1: each five hexadecimal digits are four base32 digits
+OP3 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (k // 4)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS digest,
+    min(page_id) OVER (PARTITION BY hex) AS first_id
+  FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CASE WHEN page_id = first_id THEN true END AS digest_ok
+FROM d
+"""

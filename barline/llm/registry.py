@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .oracles import OP5
+from . import oracles
+from .chat_format import op1_chat_format
+from .quality_rules import op2_quality_rules
 from .substring_dedup import op5_substring_dedup
+from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op5_substring_dedup": op5_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": oracles.OP1,
+    "op3_warc": oracles.OP3,
+    "op5_substring_dedup": oracles.OP5,
+}
