@@ -73,6 +73,21 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range of data; the ranges are disjoint and in order."""
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT)))
+        low, high = int(starts[at]), int(ends[to - 1])
+        up, down = powers(BASE, high - low + 1)
+        total = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(_byte_values()[data[low:high]] * up[:-1], out=total[1:])
+        hashes[at:to] = (total[ends[at:to] - low] - total[starts[at:to] - low]) * down[starts[at:to] - low]
+        at = to
+    return mix(hashes)
+
+
 def hash_words(texts: list[bytes]) -> Words:
     """Split texts into words and hash them; null texts must come as b''."""
     buffer = b"\n".join(texts) + b"\n"
@@ -87,17 +102,7 @@ def hash_words(texts: list[bytes]) -> Words:
     if len(starts) > len(ends):
         ends = np.concatenate([ends, [len(data)]])
     offsets = np.searchsorted(starts, text_at)
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT)))
-        low, high = int(starts[at]), int(ends[to - 1])
-        up, down = powers(BASE, high - low + 1)
-        total = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(_byte_values()[data[low:high]] * up[:-1], out=total[1:])
-        hashes[at:to] = (total[ends[at:to] - low] - total[starts[at:to] - low]) * down[starts[at:to] - low]
-        at = to
-    return Words(buffer, mix(hashes), starts, ends, offsets, text_at[:-1])
+    return Words(buffer, hash_ranges(data, starts, ends), starts, ends, offsets, text_at[:-1])
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

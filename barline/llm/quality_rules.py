@@ -24,7 +24,7 @@ LEVEL = 3
 CHUNK_BYTES = 4096
 MIN_CHUNK_BYTES = 1024  # a shorter last chunk is judged only as part of the document
 # Longest length in bytes, least and greatest ratio of a document of at most that length.
-DOCUMENT_BANDS = [(512, 0.8, 3.2), (1024, 1.0, 3.4), (4096, 1.1, 3.8), (32768, 1.2, 4.4), (None, 1.25, 5.0)]
+DOCUMENT_BANDS = [(512, 0.8, 3.2), (1024, 1.1, 3.4), (4096, 1.35, 3.6), (32768, 1.45, 4.0), (None, 1.5, 4.5)]
 CHUNK_BAND = (1.05, 8.0)
 MAX_BAD_CHUNKS = 0.25  # share of chunks outside CHUNK_BAND
 

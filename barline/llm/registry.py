@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .bpe import op4_bpe
 from .chat_format import op1_chat_format
 from .quality_rules import op2_quality_rules
 from .substring_dedup import op5_substring_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
+    "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
 }
 
