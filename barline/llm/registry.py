@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .bpe import op4_bpe
 from .chat_format import op1_chat_format
+from .decontaminate import op7_decontaminate
+from .near_dedup import op8_near_dedup
 from .quality_rules import op2_quality_rules
 from .substring_dedup import op5_substring_dedup
+from .token_scan import op9_token_scan
 from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_token_scan": op9_token_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
