@@ -10,10 +10,12 @@ from . import oracles
 from .bpe import op4_bpe
 from .chat_format import op1_chat_format
 from .decontaminate import op7_decontaminate
+from .language_id import op10_language_id
 from .near_dedup import op8_near_dedup
 from .quality_rules import op2_quality_rules
 from .substring_dedup import op5_substring_dedup
 from .token_scan import op9_token_scan
+from .toxicity import op6_toxicity
 from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,9 +24,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_near_dedup": op8_near_dedup,
     "op9_token_scan": op9_token_scan,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
