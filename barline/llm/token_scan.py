@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .store import materialize, shared_dir
 
 BLOCK_TOKENS = 2 << 20
+MAX_TASKS = 1 << 15
 END_OF_DOCUMENT = 50256  # free in the rank files
 
 
@@ -92,7 +93,9 @@ def scan_token_files(files: DataFrame, end_id: int = END_OF_DOCUMENT, block_toke
                     [pa.array([path]), pa.array([begin], pa.int64()), pa.array([end], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["path", "begin", "end", "ends"]
                 )
 
-    found = ranges.repartition("path", "begin").select("base", "path", "begin", "end").mapInArrow(scan, "path string, begin long, end long, ends array<long>")
+    total = files.agg(F.sum(F.ceil(F.col("size") / (2 * block_tokens)))).first()[0] or 0
+    tasks = max(1, min(MAX_TASKS, int(total)))  # stated, as the few bytes of a block's row say nothing of the work behind it
+    found = ranges.repartition(tasks, "path", "begin").select("base", "path", "begin", "end").mapInArrow(scan, "path string, begin long, end long, ends array<long>")
     earlier = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("path")
     stitched = found.select(

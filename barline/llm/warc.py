@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .store import materialize, shared_dir
 
 RANGE_BYTES = 8 << 20
+MAX_TASKS = 1 << 15
 HEADER_BYTES = 64 << 10  # read beyond a range for a header that begins in it; longer headers are read on demand
 DATE = "1970-01-01T00:00:00Z"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -175,13 +176,14 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
                 out = exits(offsets, successors, end)
                 yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "begin": [begin] * len(out), "offset": offsets, "exit": out})
 
-    found = materialize(ranges.repartition("path", "begin").select("path", "size", "begin", "end").mapInArrow(find, "path string, begin long, offset long, exit long"), "candidates")
+    longest, total = manifest.agg(F.max(F.ceil(F.col("size") / range_bytes)), F.sum(F.ceil(F.col("size") / range_bytes))).first()
+    tasks = min(MAX_TASKS, int(total))  # stated, as the few bytes of a range's row say nothing of the work behind it
+    found = materialize(ranges.repartition(tasks, "path", "begin").select("path", "size", "begin", "end").mapInArrow(find, "path string, begin long, offset long, exit long"), "candidates")
     # only a file's start or another range's exit can be an entry; every entry jumps to a later range
     targets = found.where("exit > 0").select("path", F.col("exit").alias("offset")).distinct()
     entries = found.join(targets.unionByName(manifest.select("path", F.lit(0).cast("long").alias("offset"))).distinct(), ["path", "offset"], "left_semi")
     jumps = materialize(entries.select("path", "offset", "exit"), "jumps")
     reached = manifest.select("path", F.lit(0).cast("long").alias("offset"))
-    longest = manifest.agg(F.max(F.ceil(F.col("size") / range_bytes))).first()[0]
     for _ in range(int(longest).bit_length()):
         step = reached.join(jumps, ["path", "offset"]).where("exit > 0").select("path", F.col("exit").alias("offset"))
         reached = materialize(reached.unionByName(step).distinct(), "reached")
@@ -213,7 +215,7 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 10, kinds, strict=True)], names=names)
 
     at = reached.withColumn("begin", F.col("offset") - F.pmod("offset", F.lit(range_bytes).cast("long"))).withColumnRenamed("offset", "entry")
-    return ranges.join(at, ["path", "begin"]).repartition("path", "begin").select("path", "size", "begin", "end", "entry").mapInArrow(read, schema)
+    return ranges.join(at, ["path", "begin"]).repartition(tasks, "path", "begin").select("path", "size", "begin", "end", "entry").mapInArrow(read, schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
