@@ -122,16 +122,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows of docs come back repeated; a repeated item row counts once more. Items beyond one broadcast's bound are taken in further
     blocks, each against all documents.
     """
-    spark = docs.sparkSession
-    items = items.select("item_id", "text").where(F.col("text").isNotNull())
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(chars / 2 * len(MASKS) / ITEM_BLOCK_HASHES))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_kind}, n_matched long, score long, item_words long, start long, end long"
     rows, out = docs.select(F.col(id_col), F.col(text_col)), None
-    for b in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(Seeds([r[0] for r in part], [r[1] for r in part]))
+    for shared in item_blocks(items):
 
         def scan(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seeds = shared.value
@@ -150,6 +144,29 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
+def item_blocks(items: DataFrame) -> list:
+    """Broadcasts of all items' seeds, each of about ITEM_BLOCK_HASHES hashes at most."""
+    items = items.select("item_id", "text").where(F.col("text").isNotNull())
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, math.ceil(chars / 2 * len(MASKS) / ITEM_BLOCK_HASHES))
+    numbered = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    parts = (items.where(numbered == b).collect() for b in range(n))
+    return [items.sparkSession.sparkContext.broadcast(Seeds([r[0] for r in part], [r[1] for r in part])) for part in parts]
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that overlap no item, with all their columns, in one pass for each block of items."""
+    for shared in item_blocks(items):
+
+        def scan(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches, text_col):
+                hit = {d for d, *_ in overlaps(block.column(block.schema.get_field_index(text_col)).to_pylist(), shared.value)}
+                yield block.filter(pa.array([d not in hit for d in range(block.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs
+
+
 def brute_force(text: str | None, item: str | None) -> int:
     """Greatest stretch score over all diagonals that hold a seed under some mask; 0 if none."""
     mine, theirs = normal(text).split(), normal(item).split()

@@ -127,18 +127,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys([id_col, *keep]))
+    others = [c for c in columns if c != text_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, text_col):
             for at in range(0, block.num_rows, BATCH):
                 part = block.slice(at, BATCH)
-                names, scores = shared.value.score(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"]
-                )
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(F.col(text_col).alias("_text"), *columns).mapInArrow(run, f"{schema}, lang_pred string, score double")
+                names, scores = shared.value.score(part.column(len(others)).to_pylist())
+                kept = part.columns[: len(others) + (text_col in columns)]
+                names_out = [*others, *([text_col] if text_col in columns else []), "lang_pred", "score"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=names_out)
+
+    order = [*others, *([text_col] if text_col in columns else [])]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in order)
+    return docs.select(*others, text_col).mapInArrow(run, f"{schema}, lang_pred string, score double").select(*columns, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

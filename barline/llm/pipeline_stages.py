@@ -27,16 +27,18 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: repeated windows leave the texts; texts without any stay as they are."""
-    cut = substring_dedup.remove_repeats(docs.select(F.struct(*(F.col(c) for c in COLUMNS)).alias("row"), "text"), id_col="row")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
-    return cut.select("row.doc_id", text.alias("text"), "row.lang", "row.source", F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
+    cut = substring_dedup.remove_repeats(docs, keep=("text", "lang", "source", "n_chars"))
+    changed = F.col("n_removed") > 0
+    return cut.select(
+        "doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")).alias("text"), "row.lang", "row.source",
+        F.when(changed, F.char_length("kept_text")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars"),
+    )
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that overlap a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminated(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.clean(docs.select(*COLUMNS), items)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,16 +55,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     return corpus_counts(rows, ["id", "text_hash"], elements, emit, f"id {kind}, text_hash long, starts array<int>, ends array<int>", HASH_BYTES)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of docs with the words of its repeated windows removed.
 
-    Returns id_col, n_words, n_removed, starts, ends, kept_text: the kept words joined by one space. A null or
-    empty text has no words and an empty kept_text. Other columns of docs are not read, so their names cannot clash.
+    Returns id_col, n_words, n_removed, starts, ends, kept_text: the kept words joined by one space, and row, a struct of the
+    columns named by keep. A null or empty text has no words and an empty kept_text. Other columns of docs are not
+    read, so their names cannot clash.
     """
     spans = materialize(repeated_spans(docs, window, id_col, text_col), "repeats").dropDuplicates(["id", "text_hash"])
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).alias("d")
+    row = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), row.alias("row")).alias("d")
+    row_type = rows.schema["row"].dataType.simpleString()
     joined = rows.join(spans.alias("s"), F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.text_hash") == F.col("s.text_hash")), "left")
-    joined = joined.select("d.id", "d.text", "starts", "ends")
+    joined = joined.select("d.id", "d.text", "starts", "ends", "d.row")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +84,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), batch.column(2), batch.column(3), pa.array(kept, pa.string())],
-                names=[id_col, "n_words", "n_removed", "starts", "ends", "kept_text"],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), batch.column(2), batch.column(3), pa.array(kept, pa.string()), batch.column(4)],
+                names=[id_col, "n_words", "n_removed", "starts", "ends", "kept_text", "row"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, starts array<int>, ends array<int>, kept_text string")
+    return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, starts array<int>, ends array<int>, kept_text string, row {row_type}")
 
 
 def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
