@@ -11,10 +11,10 @@ def col(c: Column | str) -> Column:
 
 
 def rnd(c: Column | str, digits: int) -> Column:
-    """Round; null for NaN and infinities."""
+    """Round the scaled binary value half away from zero; null for NaN and infinities."""
     x = col(c).cast("double")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return F.when(finite, F.round(x, digits))
+    return F.when(finite, F.round(x * 10.0**digits) / 10.0**digits)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

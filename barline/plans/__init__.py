@@ -1,8 +1,8 @@
 """Registered queries over the stored tables, each with its DuckDB equivalent where SQL can state it."""
 
-from . import metrics
+from . import metrics, ranking, studies
 
-MODULES = [metrics]
+MODULES = [metrics, ranking, studies]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
