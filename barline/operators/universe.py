@@ -95,3 +95,83 @@ def members(spec: dict, securities: DataFrame, groups: DataFrame, include_inacti
         "ticker", "name", "region", "exchange", "quote_type", sector_normalise("sector", legacy).alias("sector"), F.coalesce("industry", F.lit("")).alias("industry"), "market_cap", "commodity", "type",
         cap_band("market_cap", spec.get("cap_scheme", "US")).alias("cap_band"), benchmark_map("commodity", spec.get("benchmark")).alias("benchmark"),
     )
+
+
+def odd_line(ticker: Column | str) -> Column:
+    """Preferreds, warrants, units and rights; .AX codes of more than four characters."""
+    t = F.upper(col(ticker))
+    return F.when(t.endswith(".AX"), F.length(t) - 3 > 4).otherwise(t.rlike(r"-(P[A-Z]?|W[ST]?|UN?|RT?)$"))
+
+
+def theme_members(groups: DataFrame, securities: DataFrame, theme: str) -> DataFrame:
+    """Tickers of a theme with the flag's attribute, else the security's name, as display name."""
+    g = groups.where((F.col("group_type") == "theme") & (F.col("group_key") == theme)).select("ticker", "attr")
+    return g.join(securities.select("ticker", "name"), "ticker", "left").select("ticker", F.coalesce("attr", "name").alias("name"))
+
+
+def fetch_ticker_set(universes: DataFrame, groups: DataFrame, extra: DataFrame) -> DataFrame:
+    """Every ticker to keep current: members, benchmarks, roles and themes, and extra."""
+    roles = groups.where(F.col("group_type").isin("role", "theme")).select("ticker")
+    return universes.select("ticker").union(universes.select("benchmark")).union(roles).union(extra.select("ticker")).where("ticker <> ''").distinct()
+
+
+def universe_summary(universes: DataFrame) -> DataFrame:
+    return universes.groupBy("universe").agg(F.count("*").alias("members"), *(F.count_if(F.col("cap_band") == c).alias(c) for c in ("large", "mid", "small")))
+
+
+def security_search(securities: DataFrame, text: str, limit: int = 25) -> DataFrame:
+    """Equities whose ticker or name contains the text; active ones and large caps first."""
+    needle = F.lit(text.lower())
+    hit = F.lower("ticker").contains(needle) | F.lower("name").contains(needle)
+    return securities.where(hit & (F.col("quote_type") == "EQUITY")).orderBy(F.desc("active"), F.desc_nulls_last("market_cap"), "ticker").limit(limit)
+
+
+def listing_clean(listings: DataFrame, region: str, require_usd: bool = False) -> DataFrame:
+    """Screener rows worth keeping, the first for each ticker. listings has ticker, name, quote_type, currency, place."""
+    t = F.upper(F.trim("ticker"))
+    rows = listings.where(F.col("ticker").isNotNull() & (F.coalesce("quote_type", F.lit("EQUITY")) == "EQUITY")).withColumn("ticker", t)
+    rows = rows.where((region_of("ticker") == region) & ~odd_line("ticker"))
+    if require_usd:
+        rows = rows.where(F.coalesce("currency", F.lit("USD")) == "USD")
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("ticker").orderBy("place"))).where("_k = 1").drop("_k")
+
+
+def universe_refresh_diff(found: DataFrame, stored: DataFrame, log: DataFrame, run_date: str, keep_days: int = 30) -> DataFrame:
+    """Action for each ticker found or stored: new, updated, kept (missing but traded lately) or deactivate."""
+    f = found.select("ticker", F.lit(1).alias("found")).distinct()
+    s = stored.where((F.col("active") == 1) & (F.col("quote_type") == "EQUITY")).select("ticker", F.lit(1).alias("stored"))
+    fresh = log.where((F.col("failures") == 0) & (F.col("last_date") >= F.date_sub(F.to_date(F.lit(run_date)), keep_days))).select("ticker", F.lit(1).alias("fresh"))
+    both = f.join(s, "ticker", "full").join(fresh, "ticker", "left")
+    action = F.when(F.col("stored").isNull(), "new").when(F.col("found").isNotNull(), "updated").when(F.col("fresh").isNotNull(), "kept").otherwise("deactivate")
+    return both.select("ticker", action.alias("action"))
+
+
+def universe_refresh_apply(stored: DataFrame, found: DataFrame, diff: DataFrame, run_date: str) -> DataFrame:
+    """stored after the diff: found rows fill name, exchange and cap, replace sector and industry; deactivated rows get a date."""
+    f = found.select("ticker", *(F.col(c).alias(f"f_{c}") for c in ("name", "exchange", "market_cap", "sector", "industry")))
+    rows = stored.join(f, "ticker", "full").join(diff, "ticker", "left")
+    hit = F.col("action").isin("new", "updated")
+    pick = lambda c: F.when(hit, F.coalesce(f"f_{c}", c)).otherwise(F.col(c)).alias(c)
+    replace = lambda c: F.when(hit, F.col(f"f_{c}")).otherwise(F.col(c)).alias(c)
+    gone = F.col("action") == "deactivate"
+    return rows.select(
+        "ticker", pick("name"), pick("exchange"), pick("market_cap"), replace("sector"), replace("industry"),
+        F.when(gone, 0).when(hit, 1).otherwise(F.col("active")).alias("active"), F.when(gone, F.to_date(F.lit(run_date))).alias("delisted_on"),
+    )
+
+
+def apply_overrides(groups: DataFrame, remove: DataFrame, add: DataFrame) -> DataFrame:
+    """Flags without the removed ones, added ones replacing those of the same ticker, type and key."""
+    keys = ["ticker", "group_type", "group_key"]
+    rest = groups.join(remove.select(*keys), keys, "left_anti").join(add.select(*keys), keys, "left_anti")
+    return rest.unionByName(add)
+
+
+def index_membership(groups: DataFrame, provider: DataFrame, securities: DataFrame, index: str) -> DataFrame:
+    """Flags with the index's members replaced by the provider's known tickers; an empty provider keeps the old ones."""
+    known = provider.select("ticker").intersect(securities.select("ticker"))
+    new = known.select("ticker", F.lit("index").alias("group_type"), F.lit(index).alias("group_key"), F.lit(None).cast("string").alias("attr"), F.lit(9).alias("priority"))
+    any_new = new.select(F.lit(1).alias("one")).limit(1)
+    mine = (F.col("group_type") == "index") & (F.col("group_key") == index)
+    old = groups.where(mine).join(any_new, F.lit(True), "left_anti")
+    return groups.where(~mine).unionByName(old).unionByName(new)

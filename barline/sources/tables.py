@@ -92,7 +92,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored span of each instrument's bars, with consecutive failures."""
     b = bars(spark, sf_dir, references=False)
     return b.groupBy("ticker").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_rows")).withColumn(
-        "failures", F.substring("ticker", 2, 20).cast("long") % 12
+        "failures", F.substring("ticker", 2, 20).try_cast("long") % 12
     )
 
 
@@ -100,5 +100,5 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last ten dates' bars pulled again, with drifted prices for every seventh instrument."""
     b = bars(spark, sf_dir, references=False)
     last = b.select("date").distinct().orderBy(F.desc("date")).limit(10)
-    drift = F.when(F.substring("ticker", 2, 20).cast("long") % 7 == 0, F.col("adj_close") * 1.002).otherwise(F.col("adj_close"))
+    drift = F.when(F.substring("ticker", 2, 20).try_cast("long") % 7 == 0, F.col("adj_close") * 1.002).otherwise(F.col("adj_close"))
     return b.join(F.broadcast(last), "date", "left_semi").withColumn("adj_close", drift).select(*BAR_COLUMNS)
