@@ -1,8 +1,8 @@
 """Registered queries over the stored tables, each with its DuckDB equivalent where SQL can state it."""
 
-from . import income, metrics, ranking, store, studies
+from . import income, macro, metrics, ranking, store, studies
 
-MODULES = [metrics, ranking, studies, store, income]
+MODULES = [metrics, ranking, studies, store, income, macro]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
