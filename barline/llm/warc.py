@@ -174,7 +174,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
             for path, size, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 offsets, successors, _ = candidates(_open(base, files, path), begin, end, size)
                 out = exits(offsets, successors, end)
-                yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "begin": [begin] * len(out), "offset": offsets, "exit": out})
+                columns = [pa.array([path] * len(out), pa.string()), *(pa.array(x, pa.int64()) for x in ([begin] * len(out), offsets, out))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "begin", "offset", "exit"])
 
     longest, total = manifest.agg(F.max(F.ceil(F.col("size") / range_bytes)), F.sum(F.ceil(F.col("size") / range_bytes))).first()
     tasks = min(MAX_TASKS, int(total))  # stated, as the few bytes of a range's row say nothing of the work behind it
