@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chain, rnd
@@ -94,3 +94,24 @@ def top_bottom(study: DataFrame, best: int = 20, worst: int = 10) -> DataFrame:
     """Best and worst rows of every period."""
     down = Window.partitionBy("period_label").orderBy(F.desc("rank"))
     return study.withColumn("from_end", F.row_number().over(down)).where((F.col("rank") <= best) | (F.col("from_end") <= worst)).drop("from_end")
+
+
+# Benchmark of a sector by region.
+AU_SECTOR_BENCHMARK = {
+    "Energy minerals": "^AXEJ", "Energy": "^AXEJ", "Finance": "^AXFJ", "Financial Services": "^AXFJ", "Financials": "^AXFJ", "Technology services": "^AXIJ", "Electronic technology": "^AXIJ", "Technology": "^AXIJ",
+    "Communications": "^AXTJ", "Communication Services": "^AXTJ", "Utilities": "^AXUJ", "Non-energy minerals": "^AXMJ", "Process industries": "^AXMJ", "Basic Materials": "^AXMJ", "Consumer services": "^AXDJ",
+    "Consumer non-durables": "^AXDJ", "Consumer durables": "^AXDJ", "Retail trade": "^AXDJ", "Consumer Cyclical": "^AXDJ", "Consumer Defensive": "^AXSJ", "Health technology": "^AXHJ", "Health services": "^AXHJ",
+    "Healthcare": "^AXHJ", "Industrial services": "^AXNJ", "Producer manufacturing": "^AXNJ", "Commercial services": "^AXNJ", "Distribution services": "^AXNJ", "Transportation": "^AXNJ", "Industrials": "^AXNJ",
+    "Real Estate": "^AXPJ", "Miscellaneous": "^AXJO",
+}
+US_SECTOR_BENCHMARK = {
+    "Energy": "XLE", "Information Technology": "XLK", "Technology": "XLK", "Consumer Discretionary": "XLY", "Consumer Cyclical": "XLY", "Financials": "XLF", "Financial Services": "XLF", "Industrials": "XLI",
+    "Materials": "XLB", "Basic Materials": "XLB", "Utilities": "XLU", "Consumer Staples": "XLP", "Consumer Defensive": "XLP", "Health Care": "XLV", "Healthcare": "XLV", "Communication Services": "XLC",
+    "Communication": "XLC", "Real Estate": "XLRE",
+}
+
+
+def sector_benchmark(sector: Column, region: Column) -> Column:
+    """Benchmark of a sector in its region; without a region the first map that has it."""
+    au, us = (chain([(sector == k, v) for k, v in table.items()], F.lit(None).cast("string")) for table in (AU_SECTOR_BENCHMARK, US_SECTOR_BENCHMARK))
+    return F.when(region == "AU", au).when(region == "US", us).otherwise(F.coalesce(au, us))

@@ -235,3 +235,62 @@ def breadth_ad_line(counts: DataFrame, index: DataFrame, rows: int = 63, back: i
     up, p_up = F.col("ad") > F.col("before"), F.col("p") > F.col("p_before")
     label = chain([(up & ~p_up, "BULLISH — breadth improving while price falls"), (~up & p_up, "BEARISH — breadth deteriorating while price rises"), (p_up, "CONFIRMING — breadth and price both RISING")], "CONFIRMING — breadth and price both FALLING")
     return both.select("date", "ad", F.when(up, "RISING").otherwise("FALLING").alias("ad_trend"), label.alias("ad_divergence"))
+
+
+# Phases of long cycles as [start, end) years since their turn, and the phase outside.
+CYCLES = {
+    "land_cycle": (2006.5, [(0, 5, "RECOVERY"), (5, 10, "EXPANSION"), (10, 15, "MID CYCLE"), (15, 18, "WINNERS CURSE"), (18, 21, "DOWNTURN")], "DOWNTURN"),
+    "rate_cycle": (2020.5, [(0, 10, "EARLY UP"), (10, 20, "MID UP"), (20, 30, "LATE UP"), (30, 40, "PEAK/TURN")], "EARLY UP"),
+}
+# Status of a reading by ordered lower or upper thresholds.
+BANDS = {
+    "unemployment": ("above", [(5.0, "ELEVATED"), (4.5, "RISING"), (4.0, "TICKING UP")], "LOW"),
+    "pmi": ("below", [(45.0, "CONTRACTION"), (50.0, "SLOWING"), (55.0, "EXPANSION")], "STRONG EXPANSION"),
+    "consumer_sentiment": ("below", [(60.0, "VERY LOW"), (75.0, "WEAK"), (90.0, "MODERATE")], "STRONG"),
+}
+
+
+def cycle_phase(dates: DataFrame) -> DataFrame:
+    """Phase of every cycle at each date, by its decimal year; a range join with the short table of phases."""
+    spark = dates.sparkSession
+    table = spark.createDataFrame([(k, float(turn), float(a), float(b), p) for k, (turn, phases, _) in CYCLES.items() for a, b, p in phases], "cycle string, turn double, a double, b double, phase string")
+    other = spark.createDataFrame([(k, float(turn), p) for k, (turn, _, p) in CYCLES.items()], "cycle string, turn double, fallback string")
+    year = F.year("date") + (F.month("date") - 1) / 12
+    rows = dates.select("date").distinct().crossJoin(F.broadcast(other)).withColumn("years", year - F.col("turn"))
+    hit = rows.join(F.broadcast(table.drop("turn")), (rows["cycle"] == table["cycle"]) & (F.col("years") >= F.col("a")) & (F.col("years") < F.col("b")), "left").drop(table["cycle"])
+    return hit.select("date", "cycle", rnd("years", 4).alias("years"), F.coalesce("phase", "fallback").alias("phase"))
+
+
+def status_bands(readings: DataFrame) -> DataFrame:
+    """Status of readings(date, key, value) by the key's ordered thresholds; null values and unknown keys have none."""
+    rules = []
+    for key, (side, bands, last) in BANDS.items():
+        mine = (F.col("key") == key) & F.col("value").isNotNull()
+        rules += [(mine & ((F.col("value") > x) if side == "above" else (F.col("value") < x)), name) for x, name in bands] + [(mine, last)]
+    return readings.select("date", "key", "value", chain(rules, F.lit(None).cast("string")).alias("status"))
+
+
+REPORT_LABELS = {"vix": "VIX", "vvix": "VVIX", "vix_vvix": "VIX/VVIX", "hy_spread": "HY Spread"}
+REPORT_RATIOS = {"xly_xlp": ("XLY/XLP ratio", (5, 63)), "rspd_rsps": ("RSPD/RSPS ratio", (5, 63)), "risk_ratio": ("Sector Groups Risk On/Off ratio", (5, 10))}
+
+
+def report_parse(reports: DataFrame) -> DataFrame:
+    """Readings from report texts; arrows and minus signs give the sign of changes.
+
+    reports has date, text and snapshot (a map of readings as strings, or null): a key of the snapshot overrides the text, an explicit
+    null there clears it.
+    """
+    number = lambda x: F.when(x != "", x.try_cast("double"))
+    found = {k: number(F.regexp_extract("text", rf"(?<![\w/]){label}:\s*([\d.]+)", 1)) for k, label in REPORT_LABELS.items()}
+    for key, (label, windows) in REPORT_RATIOS.items():
+        line = rf"{label}:\s*([\d.]+)([^\n]*)"
+        found[key] = number(F.regexp_extract("text", line, 1))
+        rest = F.regexp_extract("text", line, 2)
+        for w in windows:
+            change = rf"([▲▼+\-]?)\s*(\d+(?:\.\d+)?)%\s*{w}d\b"
+            found[f"{key}_chg_{w}d"] = number(F.regexp_extract(rest, change, 2)) * F.when(F.regexp_extract(rest, change, 1).isin("▼", "-"), -1).otherwise(1)
+    known = lambda k: F.coalesce(F.map_contains_key("snapshot", k), F.lit(False))
+    out = [F.when(known(k), F.try_element_at("snapshot", F.lit(k)).try_cast("double")).otherwise(v).alias(k) for k, v in found.items()]
+    divergence = F.trim(F.regexp_extract("text", r"A/D Line:\s*(?:⚠|✓|→)\s*([^\n]+)", 1))
+    out.append(F.when(known("ad_divergence"), F.try_element_at("snapshot", F.lit("ad_divergence"))).otherwise(F.when(divergence != "", divergence)).alias("ad_divergence"))
+    return reports.select("date", *out)

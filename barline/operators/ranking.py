@@ -203,3 +203,22 @@ def read_ranked(results: DataFrame, study: str, universe: str, filters: dict, ru
     for k, v in filters.items():
         rows = rows.where(F.col(k) == v)
     return rows.orderBy("rank", "ticker").offset(offset).limit(limit)
+
+
+def catalog(results: DataFrame, documents: DataFrame, bars: DataFrame) -> DataFrame:
+    """What is stored: newest date of every study and universe, versions of every document kind, and the newest bar."""
+    studies = results.groupBy("study", "universe").agg(F.max("run_date").alias("date")).select(F.lit("study").alias("what"), F.concat_ws("/", "study", "universe").alias("name"), "date", F.lit(None).cast("long").alias("n"))
+    kinds = documents.groupBy("kind").agg(F.max("date").alias("date"), F.count("*").alias("n")).select(F.lit("document").alias("what"), F.col("kind").alias("name"), "date", "n")
+    newest = bars.agg(F.max("date").alias("date")).select(F.lit("bars").alias("what"), F.lit("").alias("name"), "date", F.lit(None).cast("long").alias("n"))
+    return studies.unionByName(kinds).unionByName(newest)
+
+
+def store_period_rows(study: DataFrame) -> DataFrame:
+    """Rows of a period study as stored: keys, and the other columns as a JSON payload."""
+    keys = ["period_label", "period_start", "ticker", "rank"]
+    return study.select(*keys, F.to_json(F.struct(*(c for c in study.columns if c not in keys))).alias("payload"))
+
+
+def read_period_rows(stored: DataFrame, schema: str) -> DataFrame:
+    """Stored period rows with the payload's fields of schema as columns."""
+    return stored.withColumn("p", F.from_json("payload", schema)).select("period_label", "period_start", "ticker", "rank", "p.*")

@@ -175,3 +175,32 @@ def index_membership(groups: DataFrame, provider: DataFrame, securities: DataFra
     mine = (F.col("group_type") == "index") & (F.col("group_key") == index)
     old = groups.where(mine).join(any_new, F.lit(True), "left_anti")
     return groups.where(~mine).unionByName(old).unionByName(new)
+
+
+# Commodity and type of an industry, commodity of a keyword in a name.
+INDUSTRY_COMMODITY = {
+    "Gold": ("gold", "producer"), "Silver": ("silver", "producer"), "Copper": ("copper", "producer"), "Uranium": ("uranium", "producer"), "Oil & Gas E&P": ("oil_gas", "producer"),
+    "Oil & Gas Integrated": ("oil_gas", "producer"), "Oil & Gas Drilling": ("oil_gas", "services"), "Oil & Gas Equipment & Services": ("oil_gas", "services"), "Oil & Gas Midstream": ("oil_gas", "midstream"),
+    "Oil & Gas Refining & Marketing": ("oil_gas", "refining"),
+}
+NAME_COMMODITY = {
+    "lithium": "lithium", "platinum": "platinum", "palladium": "palladium", "uranium": "uranium", "copper": "copper", "silver": "silver", "gold": "gold", "iron ore": "iron_ore", "nickel": "nickel",
+}
+
+
+def commodity_flags(securities: DataFrame, groups: DataFrame) -> DataFrame:
+    """New commodity flags from industries, and from name keywords in mining-type industries; stored ones are left alone."""
+    sec = securities.where("active = 1 and quote_type = 'EQUITY' and region in ('AU', 'US')").select("ticker", F.lower(F.coalesce("name", F.lit(""))).alias("low"), F.coalesce("industry", F.lit("")).alias("industry"))
+    mining = F.col("industry").contains("Mining") | F.col("industry").contains("Metals") | F.col("industry").isin("Gold", "Silver", "Copper", "Uranium")
+    kind = "array<struct<group_key:string,attr:string,src:int>>"
+    pair = lambda k, t, src: F.struct(F.lit(k).alias("group_key"), F.lit(t).alias("attr"), F.lit(src).alias("src"))
+    by_industry = [F.when(F.col("industry") == i, pair(k, t, 0)) for i, (k, t) in INDUSTRY_COMMODITY.items()]
+    by_name = [F.when(mining & F.col("low").contains(w), pair(k, "producer", 1)) for w, k in NAME_COMMODITY.items()]
+    rows = sec.select("ticker", F.inline(F.array_compact(F.array(*by_industry, *by_name)).cast(kind)))
+    rows = rows.groupBy("ticker", "group_key").agg(F.min_by("attr", "src").alias("attr")).withColumn("group_type", F.lit("commodity"))
+    return rows.join(groups.select("ticker", "group_type", "group_key"), ["ticker", "group_type", "group_key"], "left_anti").select("ticker", "group_type", "group_key", "attr")
+
+
+def universe_snapshot(universes: DataFrame, run_date: str) -> DataFrame:
+    """Members of every universe as of a refresh date, to be written as that date's partition."""
+    return universes.select(F.to_date(F.lit(run_date)).alias("snapshot_date"), "universe", "ticker").distinct()

@@ -74,11 +74,13 @@ def positions(spark, d):
     return li.select(F.to_date("l_shipdate").alias("date"), (F.col("l_quantity") * 3).alias("asset_long"), F.col("l_quantity").alias("asset_short"), F.col("l_linenumber").cast("double").alias("lev_long"), (F.col("l_quantity") / 2).alias("lev_short"), (F.col("l_quantity") * 10).alias("open_interest"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("place"))
 
 
-KEYED = F.element_at(F.array(*map(F.lit, ["cc_delinquency", "hy_spread", "debt_gdp", "flow90_auto"])), (F.substring("key", 1, 1).cast("int") % 4 + 1).cast("int"))
+def keyed():
+    """A threshold key for each indicator."""
+    return F.element_at(F.array(*map(F.lit, ["cc_delinquency", "hy_spread", "debt_gdp", "flow90_auto"])), (F.substring("key", 1, 1).cast("int") % 4 + 1).cast("int"))
 
 QUERIES = {
     "indicator_changes": lambda s, d: macro.indicator_changes(indicators(s, d)),
-    "alert_level": lambda s, d: macro.indicator_changes(indicators(s, d)).select("key", "period", macro.alert_level(KEYED, F.col("value") / 10, F.col("change_1") / 10).alias("level")),
+    "alert_level": lambda s, d: macro.indicator_changes(indicators(s, d)).select("key", "period", macro.alert_level(keyed(), F.col("value") / 10, F.col("change_1") / 10).alias("level")),
     "return_windows": lambda s, d: macro.return_windows(bars(s, d), RUN_DATE),
     "ratio_trend": lambda s, d: macro.ratio_trend(pair(s, d)),
     "ratio_roc": lambda s, d: macro.ratio_roc(pair(s, d)),

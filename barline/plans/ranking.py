@@ -139,7 +139,7 @@ SQL = {
     "peer_rs_median": f"WITH {_PEERS} SELECT ticker, {', '.join(_median(c, 'u') + f' AS rs_{c}' for c in ('5', '21', '63'))} FROM u a",
     "benchmark_rs": f"WITH {METRICS}, {SECURITIES}, {_benchmark_rs('')} SELECT * FROM br",
     "rs_trend": f"WITH {METRICS}, {SECURITIES}, {_benchmark_rs('')} SELECT ticker, rs_trend FROM {_trend('br')}",
-    "divergence_bonus": f"WITH {METRICS} SELECT ticker, {_BONUS} AS bonus FROM m",
+    "divergence_bonus": f"WITH {METRICS} SELECT ticker, CAST({_BONUS} AS DOUBLE) AS bonus FROM m",
     "screener": f"WITH {ONE} SELECT {_OUT} FROM scr",
     "benchmark": f"WITH {ONE} SELECT {_OUT} FROM ben",
     "score_screener": f"WITH {ONE} SELECT universe, ticker, score_final FROM scr",

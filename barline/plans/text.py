@@ -88,11 +88,11 @@ _MERGED = """n0 AS (SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS ann_id, CAST(o_
 mg AS (SELECT ann_id, date, ticker, action, holder FROM n0 WHERE k = 1)"""
 
 SQL = {
-    "price_islands": f"WITH {BARS}, {_FIRST} SELECT ticker, a AS start, y AS \"end\", k AS n, 0.5 AS mult FROM nt WHERE k > 0 AND z IS NOT NULL",
+    "price_islands": f"WITH {BARS}, {_FIRST} SELECT ticker, a AS start, y AS \"end\", k AS n, CAST(0.5 AS DOUBLE) AS mult FROM nt WHERE k > 0 AND z IS NOT NULL",
     "repair_islands": f"""WITH {BARS}, g AS (SELECT ticker, date, {_N} AS n, {_CALM} * l AS close, volume / l AS volume FROM (SELECT *, CASE WHEN {_N} BETWEEN 800 AND 803 THEN 2.0 ELSE 1.0 END AS l FROM bars)),
 m AS (SELECT ticker, arg_max(close, date) FILTER (n < 800) / arg_min(close, date) FILTER (n BETWEEN 800 AND 803) AS mult FROM g GROUP BY ticker),
 r AS (SELECT g.*, CASE WHEN n BETWEEN 800 AND 803 THEN mult ELSE 1.0 END AS f FROM g JOIN m USING (ticker)) SELECT ticker, date, round(close * f, 4) AS close, round(volume / f, 4) AS volume FROM r""",
-    "unadjusted_splits": f"WITH {BARS} SELECT ticker, date AS split_date, 0.5 AS factor, date AS jump_date FROM bars WHERE {_N} = 1000",
+    "unadjusted_splits": f"WITH {BARS} SELECT ticker, date AS split_date, CAST(0.5 AS DOUBLE) AS factor, date AS jump_date FROM bars WHERE {_N} = 1000",
     "dedupe_splits": f"WITH {BARS} SELECT ticker, date AS split_date, date AS jump_date FROM bars WHERE {_N} = 1000",
     "repair_splits": f"""WITH {BARS}, s AS (SELECT ticker FROM bars WHERE {_N} = 1000) SELECT ticker, date, round({_CALM} * CASE WHEN {_N} < 1000 AND ticker NOT IN (SELECT ticker FROM s) THEN 2.0 ELSE 1.0 END, 4) AS close,
   round(volume * CASE WHEN {_N} < 1000 AND ticker IN (SELECT ticker FROM s) THEN 2.0 ELSE 1.0 END, 4) AS volume FROM bars""",
