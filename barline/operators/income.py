@@ -111,8 +111,8 @@ def holding_return(holdings: DataFrame, bars: DataFrame, end: str) -> DataFrame:
     order = Window.partitionBy("ticker").orderBy("date", F.col("h").isNotNull())
     rows = both.withColumn("before", F.coalesce(F.last("paid", ignorenulls=True).over(order), F.lit(0).cast("decimal(28,4)"))).where("h is not null")
     rows = rows.join(total, "ticker", "left").where(F.col("h.entry_price") > 0)
-    value = rnd((F.col("close") + (F.col("all_paid") - F.col("before")).cast("double")) / F.col("h.entry_price") - 1, 6)
-    return rows.select(F.col("h.holding_id").alias("holding_id"), "ticker", value.alias("total_return"), stop_status(value).alias("status"))
+    value = (F.col("close") + (F.col("all_paid") - F.col("before")).cast("double")) / F.col("h.entry_price") - 1
+    return rows.select(F.col("h.holding_id").alias("holding_id"), "ticker", rnd(value, 6).alias("total_return"), stop_status(value).alias("status"))
 
 
 def payout_schedule(bars: DataFrame, today: str) -> DataFrame:

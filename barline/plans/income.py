@@ -83,8 +83,8 @@ _F = f"{ALL_BARS}, {_YEAR}, {_metrics('fm', 'yr', 'ticker')}"
 _SC = f"{_F}, {_STRENGTH}, fx AS (SELECT fm.*, coalesce(underlying_rs, 0.0) AS underlying_rs FROM fm LEFT JOIN und USING (ticker)), {_score('sc', 'fx', '')}"
 _Q = "qr AS (SELECT ticker, row_number() OVER (ORDER BY rank) AS qualified_rank FROM sc WHERE qualified = 1)"
 _HOLD = f"""{ALL_BARS}, {HOLDINGS}, lp AS (SELECT ticker, arg_max(close, date) AS close FROM bars WHERE date <= {RUN} GROUP BY ticker),
-hr AS (SELECT holding_id, h.ticker, round((lp.close + coalesce((SELECT CAST(sum(CAST(dividend AS DECIMAL(18,4))) AS DOUBLE) FROM bars b WHERE b.ticker = h.ticker AND b.date > h.entry_date AND b.date <= {RUN}), 0)) / entry_price - 1, 6) AS total_return
-  FROM holdings h LEFT JOIN lp USING (ticker) WHERE entry_price > 0)"""
+hr AS (SELECT *, round(raw, 6) AS total_return FROM (SELECT holding_id, h.ticker, (lp.close + coalesce((SELECT CAST(sum(CAST(dividend AS DECIMAL(18,4))) AS DOUBLE) FROM bars b WHERE b.ticker = h.ticker AND b.date > h.entry_date AND b.date <= {RUN}), 0)) / entry_price - 1 AS raw
+  FROM holdings h LEFT JOIN lp USING (ticker) WHERE entry_price > 0))"""
 _DATES = f"rd AS (SELECT CAST(p AS DATE) AS period_start, (SELECT min(date) FROM bars WHERE ticker = 'MKT' AND date >= p) AS date FROM generate_series(DATE '2000-01-01', DATE '2001-06-30', INTERVAL 3 MONTH) x(p))"
 
 SQL = {
@@ -95,8 +95,8 @@ SQL = {
     "qualified_ranks": f"WITH {_SC}, {_Q} SELECT * FROM qr",
     "ranking_decision": f"""WITH {_SC}, {_Q}, {HOLDINGS}, t AS (SELECT DISTINCT ticker FROM holdings UNION SELECT 'ZZ') SELECT ticker, CASE WHEN score IS NULL THEN 'NOT IN UNIVERSE' WHEN qualified = 0 THEN 'SELL' WHEN qualified_rank <= 5 THEN 'HOLD' ELSE 'REVIEW' END AS signal,
   qualified_rank FROM t LEFT JOIN sc USING (ticker) LEFT JOIN qr USING (ticker)""",
-    "holding_return": f"WITH {_HOLD} SELECT * FROM hr",
-    "stop_status": f"WITH {_HOLD} SELECT CASE WHEN total_return IS NULL THEN 'not_assessed' WHEN total_return <= -0.2 THEN 'HIT' WHEN total_return <= -0.2 * 0.75 THEN 'NEAR' ELSE 'OK' END AS status, count(*) AS n FROM hr GROUP BY 1",
+    "holding_return": f"WITH {_HOLD} SELECT holding_id, ticker, total_return FROM hr",
+    "stop_status": f"WITH {_HOLD} SELECT CASE WHEN raw IS NULL THEN 'not_assessed' WHEN raw <= -2e-1 THEN 'HIT' WHEN raw <= -2e-1 * 75e-2 THEN 'NEAR' ELSE 'OK' END AS status, count(*) AS n FROM hr GROUP BY 1",
     "payout_schedule": f"""WITH {ALL_BARS}, p AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars WHERE ticker LIKE 'I%' AND dividend > 0 AND date BETWEEN {RUN} - INTERVAL 6 MONTH AND {RUN}),
 g AS (SELECT ticker, date, datediff('day', lag(date) OVER (PARTITION BY ticker ORDER BY date), date) AS gap FROM p WHERE k <= 8), m AS (SELECT ticker, max(date) AS last, CAST(floor(median(gap)) AS INTEGER) AS gap FROM g GROUP BY ticker HAVING count(*) >= 2)
 SELECT ticker, CAST(last + gap * greatest(1, CAST(ceil(datediff('day', last, {RUN}) / gap) AS INTEGER)) AS DATE) AS estimated_ex_date, CASE WHEN gap <= 10 THEN 'weekly' WHEN gap <= 45 THEN 'monthly' ELSE 'quarterly' END AS frequency, gap AS median_gap_days FROM m WHERE gap > 0""",

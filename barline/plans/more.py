@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import rnd
 from ..operators import drawdown, macro, ranking, universe
 from ..sources.tables import bars, groups, securities, table
 from . import macro as macro_plans
@@ -37,7 +38,7 @@ def readings(spark, d):
 
 
 def reports(spark, d):
-    p = macro_plans.pair(spark, d).select("date", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), F.dayofyear("date").alias("n"))
+    p = macro_plans.pair(spark, d).select("date", rnd("a", 2).alias("a"), rnd("b", 2).alias("b"), F.dayofyear("date").alias("n"))
     text = F.concat(F.lit("VIX: "), "a", F.lit("\nVIX/VVIX: 0.2\nXLY/XLP ratio: "), "b", F.lit(" | "), F.when(F.col("n") % 2 == 0, "▼").otherwise("▲"), F.lit(" 1.5% 5d, -2.25% 63d\nA/D Line: → CONFIRMING x \n"))
     snapshot = F.when(F.col("n") % 3 == 0, F.create_map(F.lit("vix"), F.lit("7.5"), F.lit("xly_xlp"), F.lit(None).cast("string")))
     return p.select("date", text.alias("text"), snapshot.alias("snapshot"))
