@@ -294,3 +294,19 @@ def report_parse(reports: DataFrame) -> DataFrame:
     divergence = F.trim(F.regexp_extract("text", r"A/D Line:\s*(?:⚠|✓|→)\s*([^\n]+)", 1))
     out.append(F.when(known("ad_divergence"), F.try_element_at("snapshot", F.lit("ad_divergence"))).otherwise(F.when(divergence != "", divergence)).alias("ad_divergence"))
     return reports.select("date", *out)
+
+
+def table_csv_series(lines: DataFrame, title: str, last: int = 20) -> DataFrame:
+    """Last values of the first column whose title contains a text, from lines(n, line) of a table with rows of metadata.
+
+    The row that begins with Title names the columns, the data follow the one that begins with Series ID. Dates are day first;
+    cells that are no numbers drop.
+    """
+    cells = lines.select("n", F.split("line", ",").alias("c")).withColumn("head", F.lower(F.trim(F.col("c")[0])))
+    titles = cells.where("head = 'title'").orderBy("n").limit(1).select(F.posexplode("c").alias("i", "t")).where((F.col("i") > 0) & F.lower("t").contains(title.lower()))
+    place = titles.agg(F.min("i").alias("i"))
+    begin = cells.where("head = 'series id'").agg(F.min("n").alias("begin"))
+    rows = cells.crossJoin(F.broadcast(place)).crossJoin(F.broadcast(begin)).where((F.col("n") > F.col("begin")) & F.col("i").isNotNull())
+    day = F.coalesce(F.try_to_date(F.trim(F.col("c")[0]), "d/M/yyyy"), F.try_to_date(F.trim(F.col("c")[0]), "d-MMM-yyyy"), F.try_to_date(F.trim(F.col("c")[0]), "yyyy-MM-dd"))
+    value = F.trim(F.try_element_at("c", (F.col("i") + 1).cast("int"))).try_cast("double")
+    return rows.select(day.alias("date"), value.alias("value")).where("date is not null and value is not null").orderBy(F.desc("date")).limit(last)

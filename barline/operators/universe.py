@@ -204,3 +204,46 @@ def commodity_flags(securities: DataFrame, groups: DataFrame) -> DataFrame:
 def universe_snapshot(universes: DataFrame, run_date: str) -> DataFrame:
     """Members of every universe as of a refresh date, to be written as that date's partition."""
     return universes.select(F.to_date(F.lit(run_date)).alias("snapshot_date"), "universe", "ticker").distinct()
+
+
+def summary_apply(groups: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Flags after a scan's candidates(ticker, commodity, primary_type): each such ticker's present primary is pinned at priority 0, then
+    candidates that it lacks are added at 9."""
+    mine = groups.join(candidates.select("ticker").distinct(), "ticker", "left_semi")
+    pinned = primary_exposure(mine).select("ticker", F.col("commodity").alias("group_key"), F.lit("commodity").alias("group_type"), F.lit(1).alias("pin"))
+    kept = groups.join(pinned, ["ticker", "group_type", "group_key"], "left").withColumn("priority", F.when(F.col("pin") == 1, 0).otherwise(F.col("priority"))).select(*groups.columns)
+    new = candidates.select("ticker", F.lit("commodity").alias("group_type"), F.col("commodity").alias("group_key"), F.coalesce("primary_type", F.lit("producer")).alias("attr"), F.lit(9).alias("priority"))
+    new = new.dropDuplicates(["ticker", "group_key"]).join(groups.select("ticker", "group_type", "group_key"), ["ticker", "group_type", "group_key"], "left_anti")
+    return kept.unionByName(new.select(*groups.columns))
+
+
+# Type vocabulary of watchlists.
+WATCHLIST_TYPES = {
+    "producer": "producer", "explorer": "explorer", "royalties_financial_services": "royalty", "ETF": "ETF", "Miners & Producers": "producer", "etf": "ETF", "futures": "futures", "index": "index",
+}
+FIRST_WINS = ("name", "benchmark", "legacy_sector", "legacy_industry")
+
+
+def import_watchlists(lists: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Securities and flags from watchlists in their order, read with headers as strings.
+
+    Headers and tickers are trimmed, blank tickers and foreign listings drop. A later list's non-empty value replaces an earlier
+    one, but for the columns FIRST_WINS. A list with a commodity column gives commodity flags with mapped types.
+    """
+    every, flags = None, None
+    for i, rows in enumerate(lists):
+        rows = rows.toDF(*(c.strip() for c in rows.columns))
+        rows = rows.select(*(F.when(F.trim(c) != "", F.trim(c)).alias(c) for c in rows.columns)).where("ticker is not null").withColumn("_list", F.lit(i))
+        every = rows if every is None else every.unionByName(rows, allowMissingColumns=True)
+        if "commodity" in rows.columns:
+            kind = lookup(WATCHLIST_TYPES, "type", F.lit(None).cast("string")) if "type" in rows.columns else F.lit(None).cast("string")
+            part = rows.select("ticker", F.lit("commodity").alias("group_type"), F.lower("commodity").alias("group_key"), kind.alias("attr"), "_list").where("group_key is not null")
+            flags = part if flags is None else flags.unionByName(part)
+    every = every.withColumn("region", region_of("ticker")).where("region is not null")
+    columns = [c for c in every.columns if c not in ("ticker", "region", "_list", "commodity", "type")]
+    pick = lambda c: (F.min_by if c in FIRST_WINS else F.max_by)(c, F.when(F.col(c).isNotNull(), F.col("_list"))).alias(c)
+    securities = every.groupBy("ticker", "region").agg(*(pick(c) for c in columns)).withColumn("active", F.lit(1))
+    if flags is None:
+        flags = securities.select("ticker", F.lit("").alias("group_type"), F.lit("").alias("group_key"), F.lit("").alias("attr"), F.lit(0).alias("_list")).limit(0)
+    known = flags.join(securities.select("ticker"), "ticker", "left_semi")
+    return securities, known.groupBy("ticker", "group_type", "group_key").agg(F.max_by("attr", "_list").alias("attr"))

@@ -44,7 +44,31 @@ def reports(spark, d):
     return p.select("date", text.alias("text"), snapshot.alias("snapshot"))
 
 
+def candidates(spark, d):
+    g = groups(spark, d).select("ticker").distinct().where("ticker like 'I%'")
+    return g.select("ticker", F.lit("copper").alias("commodity"), F.lit(None).cast("string").alias("primary_type")).unionByName(g.select("ticker", F.lit("gold").alias("commodity"), F.lit("royalty").alias("primary_type")))
+
+
+def watchlists(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    ticker = F.concat(F.lit(" T"), k % 50, F.when(k % 7 == 0, ".L").when(k % 3 == 0, ".AX ").otherwise(""))
+    first = p.where(k % 2 == 0).groupBy(ticker.alias("ticker ")).agg(F.min("p_name").alias("name"), F.lit("Gold").alias("commodity"), F.lit("Miners & Producers").alias("type"), F.lit("10").alias("market_cap"))
+    later = p.where(k % 5 != 0).groupBy(ticker.alias("ticker")).agg(F.max("p_brand").alias("name"), F.lit("").alias("market_cap"), F.max("p_type").alias("industry"))
+    return universe.import_watchlists([first, later])[0]
+
+
+def csv_lines(spark, d):
+    o = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("c"))
+    rows = o.select((F.datediff("date", F.lit("1990-01-01").cast("date")) + 10).alias("n"), F.concat_ws(",", F.date_format("date", "d/M/yyyy"), F.col("c").cast("string"), F.when(F.col("n") % 4 == 0, "").otherwise(F.col("n").cast("string"))).alias("line"))
+    head = spark.createDataFrame([(1, "F1 Table"), (2, "Title,Customers,Orders of the day,Orders again"), (3, "Units,a,b,c"), (4, "Series ID,X,Y,Z")], "n int, line string")
+    return head.unionByName(rows)
+
+
 QUERIES = {
+    "summary_apply": lambda s, d: universe.summary_apply(groups(s, d), candidates(s, d)),
+    "import_watchlists": watchlists,
+    "table_csv_series": lambda s, d: macro.table_csv_series(csv_lines(s, d), "orders of"),
     "commodity_flags": lambda s, d: universe.commodity_flags(named(s, d), groups(s, d)),
     "universe_snapshot": lambda s, d: universe.universe_snapshot(universes(s, d), "2001-06-30"),
     "sector_benchmark": lambda s, d: sectors(s, d).select("c_custkey", drawdown.sector_benchmark(F.col("sector"), F.col("region")).alias("benchmark")),
@@ -70,6 +94,15 @@ _PHASES = " UNION ALL ".join(
 _PAIR = macro_plans._P
 
 SQL = {
+    "summary_apply": f"""WITH {GROUPS}, tk AS (SELECT DISTINCT ticker FROM groups WHERE ticker LIKE 'I%'), pr AS (SELECT ticker, first(group_key ORDER BY priority, CASE group_key WHEN 'gold' THEN 0 ELSE 1 END) AS k FROM groups WHERE group_type = 'commodity' GROUP BY ticker)
+SELECT g.ticker, group_type, group_key, attr, CASE WHEN group_type = 'commodity' AND group_key = pr.k THEN 0 ELSE priority END AS priority FROM groups g LEFT JOIN pr ON pr.ticker = g.ticker
+UNION ALL SELECT ticker, 'commodity', 'copper', 'producer', 9 FROM tk
+UNION ALL SELECT ticker, 'commodity', 'gold', 'royalty', 9 FROM tk WHERE ticker NOT IN (SELECT ticker FROM groups WHERE group_type = 'commodity' AND group_key = 'gold')""",
+    "import_watchlists": """WITH p AS (SELECT *, p_partkey AS k, 'T' || (p_partkey % 50) || CASE WHEN p_partkey % 7 = 0 THEN '.L' WHEN p_partkey % 3 = 0 THEN '.AX' ELSE '' END AS ticker FROM part),
+a AS (SELECT ticker, min(p_name) AS name FROM p WHERE k % 2 = 0 GROUP BY ticker), b AS (SELECT ticker, max(p_brand) AS name, max(p_type) AS industry FROM p WHERE k % 5 <> 0 GROUP BY ticker)
+SELECT coalesce(a.ticker, b.ticker) AS ticker, CASE WHEN coalesce(a.ticker, b.ticker) LIKE '%.AX' THEN 'AU' ELSE 'US' END AS region, coalesce(a.name, b.name) AS name, CASE WHEN a.ticker IS NOT NULL THEN '10' END AS market_cap, industry, 1 AS active
+FROM a FULL JOIN b ON a.ticker = b.ticker WHERE coalesce(a.ticker, b.ticker) NOT LIKE '%.L'""",
+    "table_csv_series": "SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 HAVING count(*) % 4 <> 0 ORDER BY 1 DESC LIMIT 20",
     "commodity_flags": f"""WITH {SECURITIES}, {GROUPS}, nm AS (SELECT ticker, {_PICK(_NAMES, "CAST(substr(ticker, 2) AS BIGINT)")} AS name, {_PICK(_INDUSTRIES, "(CAST(substr(ticker, 2) AS BIGINT) // 2)")} AS industry FROM securities
   WHERE quote_type = 'EQUITY' AND active = 1), fl AS ({_FLAGS}) SELECT ticker, 'commodity' AS group_type, group_key, arg_min(attr, src) AS attr FROM fl
 WHERE NOT EXISTS (SELECT 1 FROM groups g WHERE g.ticker = fl.ticker AND g.group_type = 'commodity' AND g.group_key = fl.group_key) GROUP BY ticker, group_key""",
