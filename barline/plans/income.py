@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import income
+from ..operators import backtest, income
 from ..sources.tables import RUN_DATE, bars, holdings
 from .sql import ALL_BARS, HOLDINGS, RUN
 
@@ -35,7 +35,34 @@ def dates(spark, d):
     return income.rebalance_dates(calendar(spark, d), "2000-01-01", "2001-06-30", 3)
 
 
+def configs(spark, d):
+    """A grid of six configurations."""
+    grid = [(f"top{n}-{k}", n, 100000.0, hedge, draw, stop) for n in (1, 3, 5) for k, (hedge, draw, stop) in {"plain": (0.0, 0.0, 0.0), "all": (0.1, 110000.0, 0.2)}.items()]
+    return spark.createDataFrame(grid, backtest.CONFIG)
+
+
+def days(spark, d):
+    marks = dates(spark, d).select("date", F.lit(True).alias("rebalance"))
+    rate = QUERIES["cash_rate"](spark, d)
+    rows = rate.where(F.col("date") >= F.lit("2000-01-01")).join(QUERIES["hedge_signal"](spark, d), "date", "left").join(F.broadcast(marks), "date", "left")
+    return rows.select("date", "rate", F.coalesce(F.col("hedged") == 1, F.lit(False)).alias("signal"), F.coalesce("rebalance", F.lit(False)).alias("rebalance"))
+
+
+def ledger(spark, d):
+    c = configs(spark, d)
+    picks = backtest.top_picks(income.point_in_time_scores(funds(spark, d), dates(spark, d)), c)
+    return backtest.backtest(c, picks, bars(spark, d), days(spark, d), "R0")
+
+
+def passive(spark, d):
+    c = configs(spark, d).where("config_id = 'top1-plain'")
+    return backtest.backtest(c, backtest.fixed_picks(dates(spark, d), c, "I0"), bars(spark, d), days(spark, d), "R0")
+
+
 QUERIES = {
+    "backtest": ledger,
+    "passive_ledger": passive,
+    "backtest_summary": lambda s, d: backtest.backtest_summary(ledger(s, d), configs(s, d), _series(s, d, "MKT")),
     "fund_metrics": lambda s, d: income.fund_metrics(funds(s, d), RUN_DATE),
     "underlying_rs": strength,
     "fund_score": lambda s, d: scored(s, d).select("ticker", "score", "qualified", "rank"),

@@ -116,3 +116,18 @@ def test_wide_and_long_breadth_round_trip(spark):
     names = [r[0] for r in long.select(breadth.wide_name()).collect()]
     back = breadth.breadth_long(breadth.breadth_wide(long, names)).select(*long.columns)
     assert sorted(one(back)) == sorted(one(long))
+
+
+def test_ledger_by_hand():
+    from barline.operators import backtest
+
+    days = pd.date_range("2020-01-01", periods=5)
+    close, pay = [10.0, 11.0, 8.0, 7.0, 7.0], [0.0, 1.0, 0.0, 0.0, 0.0]
+    base = {"config_id": "c", "top_n": 1, "capital": 100.0, "hedge_pct": 0.0, "draw_level": 0.0, "stop_loss": 0.15, "place": None, "rate": None, "signal": None, "rebalance": None, "close": None, "dividend": None}
+    rows = [base | {"kind": "bar", "date": d, "ticker": "A", "close": c, "dividend": p} for d, c, p in zip(days, close, pay, strict=True)]
+    rows += [base | {"kind": "pick", "date": days[0], "ticker": "A", "place": 1}]
+    rows += [base | {"kind": "day", "date": d, "ticker": "H", "rate": 0.01, "signal": False, "rebalance": i == 0} for i, d in enumerate(days)]
+    got = backtest.ledger_kernel(pd.DataFrame(rows))
+    # interest, all in at 10; a payout of 10.1; 8 + 1 is 10 % down, 7 + 1 is 20 % down: stopped, then cash earns interest
+    assert got["value"].tolist() == [101.0, 121.2, 91.0, 81.0, 81.81]
+    assert got["n_held"].tolist() == [1, 1, 1, 0, 0] and got["stops"].tolist()[-1] == 1 and got["income_cum"].tolist()[-1] == 10.1
