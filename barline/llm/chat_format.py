@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -38,9 +39,15 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+@lru_cache(maxsize=1 << 12)
+def _written(role: str, text: str) -> str:
+    """One whole turn; kept, as every later prefix of the conversation holds it again."""
+    return f"{TURN}{escape_role(role)}: {escape(text)}{END}\n"
+
+
 def turn_template(turns: list[Turn], open_role: bool = False) -> str:
     """Marked turns with escaped texts. open_role: leave the last turn open after its header, its text unused."""
-    done = "".join(f"{TURN}{escape_role(r)}: {escape(t)}{END}\n" for r, t in (turns[:-1] if open_role else turns))
+    done = "".join([_written(r, t) for r, t in (turns[:-1] if open_role else turns)])
     return done + (f"{TURN}{escape_role(turns[-1][0])}: " if open_role else "")
 
 
@@ -56,11 +63,12 @@ def parse(formatted: str) -> list[Turn]:
     return turns
 
 
-def render_spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
+def render_spans(turns: list[Turn], template: Template, roles: tuple[str, ...] | None = None) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
     """Output, span of each turn, span of each turn's text, and whether the template rewrote history.
 
     Each prefix is rendered once whole, once open after the last header, and once with an empty last text; the
-    first gives the span, the others where the text lies in it. After a rewrite spans begin where the outputs part.
+    first gives the span, the others where the text lies in it. After a rewrite spans begin where the outputs part. With roles
+    only turns of these get their text's span, the others their whole one.
     """
     output, spans, texts, rewritten = "", [], [], False
     for i in range(len(turns)):
@@ -71,6 +79,11 @@ def render_spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple
         else:
             rewritten = True
             begin = len(commonprefix([output, new]))
+        if roles is not None and turns[i][0] not in roles:
+            spans.append((begin, len(new)))
+            texts.append(spans[-1])
+            output = new
+            continue
         opened, empty = template(prefix, True), template([*prefix[:-1], (prefix[-1][0], "")], False)
         head = len(opened) if new.startswith(opened) else begin
         tail = max(0, len(empty) - len(opened)) if empty.startswith(opened) else 0
@@ -97,7 +110,7 @@ def format_chats(turns: DataFrame, template: Template = turn_template, loss_role
                 rows = []
                 for chat in part.column(1).to_pylist():
                     said = [(x["role"], x["text"]) for x in chat]
-                    output, spans, texts, rewritten = render_spans(said, template)
+                    output, spans, texts, rewritten = render_spans(said, template, loss_roles)
                     loss = [s for s, (role, _) in zip(texts, said, strict=True) if role in loss_roles]
                     rows.append((len(said), output, [list(s) for s in spans], [list(s) for s in loss], rewritten))
                 n, formatted, spans, loss, rewritten = zip(*rows, strict=True)
