@@ -8,19 +8,20 @@ are merged exactly, by the ranks of the tokenizer file.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks, hash_ranges, ragged
 from .pretokens import Ranks, load_ranks, merge, split
+from .store import materialize, shared_dir
 
 LEXICON_WORDS = 1 << 16
 PARTIAL_WORDS = 1 << 19  # distinct words that a task counts before it passes them on
@@ -94,8 +95,8 @@ class Lexicon:
         flat, counts = merge_words(words, ranks)
         return cls(table[:, 0], table[:, 1], table[:, 2], ends, np.concatenate([[0], np.cumsum(counts)]), flat)
 
-    def save(self, path: str) -> None:
-        np.save(path, np.concatenate([np.array([len(p) for p in self.parts]), *self.parts]).astype(np.int64))
+    def save(self, file) -> None:
+        np.save(file, np.concatenate([np.array([len(p) for p in self.parts]), *self.parts]).astype(np.int64))
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
@@ -214,14 +215,31 @@ def count_words(docs: DataFrame, text_col: str, tokenizer: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, words: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words of all texts (at most words, ties by the word) and hand the file to all tasks; returns its name."""
+    """Compile the most frequent words of all texts and hand the file to all tasks; returns its name.
+
+    Counts fall into steps of a sixteenth in their binary logarithm; the words of the highest steps that hold at most words of
+    them together are taken, so the driver receives no more. A word seen once is never taken.
+    """
     tokenizer = tokenizer or default_tokenizer()
-    frequent = count_words(docs, text_col, tokenizer).where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(words)
-    lexicon = Lexicon.build([bytes(r[0]) for r in frequent.select("word").collect()], load_ranks(tokenizer))
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.npy")
-    lexicon.save(path)
-    docs.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
+    counted = count_words(docs, text_col, tokenizer).where((F.col("n") >= 2) & (F.octet_length("word") <= 64))
+    counted = materialize(counted.select("word", F.floor(F.log2("n") * 16).alias("step")), "words")
+    steps = sorted(counted.groupBy("step").count().collect(), reverse=True)
+    room, least = words, None
+    for step, n in steps:
+        room -= n
+        if room < 0:
+            break
+        least = step
+    chosen = [] if least is None else counted.where(F.col("step") >= least).select("word").collect()
+    lexicon = Lexicon.build([bytes(r[0]) for r in chosen], load_ranks(tokenizer))
+    spark, name = docs.sparkSession, f"lexicon-{uuid.uuid4().hex}.npy"
+    base = shared_dir(spark, "lexicon")
+    store, folder = pafs.FileSystem.from_uri(base)
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(f"{folder}/{name}") as out:
+        lexicon.save(out)
+    spark.sparkContext.addFile(f"{base}/{name}")
+    return name
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, lexicon: str | None = None) -> DataFrame:
