@@ -7,7 +7,9 @@
    with a probability that is their weighted Jaccard similarity. Bands of ROWS draws are hashed.
 4. Equal texts become one node. In each bucket of equal bands every node is paired with a few leaders, the least node of each
    of LEADERS hash classes, so pairs grow with nodes, not with squares of groups. Buckets that still hold several
-   classes after each node's most frequent leader is verified get new leaders, SEEDS times in all.
+   classes after each node's most frequent leader is verified get new leaders, SEEDS times in all. Leaders only join large
+   groups cheaply: in buckets that are mixed even then, all pairs of different classes are compared (Cross), in units of
+   about UNIT x UNIT nodes, each pair in the first band that it shares.
 5. Pairs whose draws agree too seldom are left out (five standard deviations below the threshold); the others are
    verified by their weighted Jaccard similarity. Links join into classes by alternating star contractions.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BASE, Words, blocks, hash_words, mix, text_bytes, window_hashes
+from .blocks import BASE, Words, blocks, hash_words, mix, ragged, text_bytes, window_hashes
 from .exchange import _planes, _unplanes, corpus_counts
 from .store import materialize
 
@@ -32,6 +34,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLES, ROWS = 64, 4
 LEADERS, SEEDS = 4, 2
+UNIT = 512  # nodes on each side of a unit of pairs, about
+FEW_PAIRS = 2000  # more pairs of a unit are verified by matrix products
 IDF_STRENGTH = 0.25
 GRID = 64  # weights are exp(level / GRID)
 POOL_BITS = 16
@@ -141,6 +145,110 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<u4", n), np.exp(np.frombuffer(data, "<i2", n, 4 * n) / GRID)
 
 
+def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """weighted_jaccard of each packed vector of left with each of right, by products of matrices over their common shingles.
+
+    The weights that a shingle has are steps: a text has those up to its own weight, so common steps add up to the least.
+    """
+    size = np.array([len(x) // 6 for x in (*left, *right)])
+    text, n = np.repeat(np.arange(len(size)), size), len(left)
+    value = np.concatenate([np.frombuffer(x, "<u4", len(x) // 6) for x in (*left, *right)]).astype(np.int64)
+    level = np.concatenate([np.frombuffer(x, "<i2", len(x) // 6, len(x) // 6 * 4) for x in (*left, *right)]).astype(np.int64)
+    total = np.bincount(text, np.exp(level / GRID), len(size))
+    both = np.isin(value, np.intersect1d(value[text < n], value[text >= n]))
+    text, value, level = text[both], value[both], level[both]
+    steps, at = np.unique((value << 16) | (level + (1 << 15)), return_inverse=True)
+    weight = np.exp(((steps & 0xFFFF) - (1 << 15)) / GRID)
+    first = np.searchsorted(steps, steps >> 16 << 16)  # the least step of the same shingle
+    gain = weight - np.where(first < np.arange(len(steps)), np.roll(weight, 1), 0.0)
+    count = at - first[at] + 1
+    row, column = np.repeat(text, count), ragged(first[at], count)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    least = np.zeros((n, len(right)))
+    for begin in range(0, len(steps), 2048):
+        a, b = np.searchsorted(column, [begin, begin + 2048])
+        has = np.zeros((len(size), min(2048, len(steps) - begin)))
+        has[row[a:b], column[a:b] - begin] = 1.0
+        least += (has[:n] * gain[begin : begin + 2048]) @ has[n:].T
+    return least / (total[:n, None] + total[None, n:] - least)
+
+
+class Cross:
+    """The pairs of one unit: rows of side 0 with rows of side 1 that are in other classes, share this bucket first and agree.
+
+    Side 0 has the nodes outside the bucket's main class, side 1 all; a pair of two nodes outside counts once.
+    """
+
+    def __init__(self, unit: pa.RecordBatch):
+        self.unit = unit
+        key, side, main, node, class_id = (unit.column(unit.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "side", "main", "node", "class_id"))
+        self.left, self.right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        self.class_id = class_id
+        x, y = self.left, self.right
+        pairs = (class_id[x][:, None] != class_id[y]) & (main[y] | (node[x][:, None] < node[y]))
+        if pairs.any():
+            drawn = np.frombuffer(b"".join(unit.column(unit.schema.get_field_index("drawn")).to_pylist()), np.uint32).reshape(-1, SAMPLES)
+            keys = bands(drawn)
+            for band in range(int(np.flatnonzero((keys == key[0]).all(axis=0))[0])):
+                pairs &= keys[x, band][:, None] != keys[y, band]
+            same = np.zeros(pairs.shape, np.uint8)
+            for k in range(SAMPLES):
+                same += drawn[x, k][:, None] == drawn[y, k]
+            pairs &= same >= AGREE * SAMPLES
+        self.pairs = pairs
+
+    def rows(self) -> np.ndarray:
+        """Rows that are in a pair."""
+        return np.concatenate([self.left[self.pairs.any(axis=1)], self.right[self.pairs.any(axis=0)]])
+
+    def links(self) -> set[tuple[int, int]]:
+        """Pairs of classes that join the classes of all similar pairs."""
+        vector = self.unit.column(self.unit.schema.get_field_index("vector")).to_pylist()
+        a, b = np.nonzero(self.pairs)
+        if len(a) > FEW_PAIRS:
+            near = similarities([vector[i] for i in self.left], [vector[i] for i in self.right])[a, b]
+            kept = near >= THRESHOLD - 1e-6  # those near the threshold are verified like any other pair
+            a, b, sure = a[kept], b[kept], near[kept] > THRESHOLD + 1e-6
+        else:
+            sure = np.zeros(len(a), dtype=bool)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        out = set()
+        for i, j, known in zip(self.left[a].tolist(), self.right[b].tolist(), sure.tolist(), strict=True):
+            x, y = find(int(self.class_id[i])), find(int(self.class_id[j]))
+            if x != y and (known or weighted_jaccard(vector[i], vector[j]) >= THRESHOLD):
+                root[max(x, y)] = min(x, y)
+                out.add((max(x, y), min(x, y)))
+        return out
+
+
+def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal (key, i, j), the first three columns, of a sorted stream; a run may span batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest and any(rest[-1].column(c)[rest[-1].num_rows - 1] != batch.column(c)[0] for c in range(3)):
+            yield pa.concat_batches(rest)
+            rest = []
+        names = [batch.column(c).to_numpy() for c in range(3)]
+        ends = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in names])) + 1
+        at = 0
+        for to in ends.tolist():
+            yield pa.concat_batches([*rest, batch.slice(at, to - at)])
+            rest, at = [], to
+        rest.append(batch.slice(at))
+    if rest:
+        yield pa.concat_batches(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and least node of its class for all nodes of links(a, b), by large-star and small-star steps.
 
@@ -250,6 +358,45 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             pairs = both.mapInArrow(check, "a long, b long")
         return pairs
 
+    def suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            kept = Cross(unit).rows()
+            if len(kept):
+                yield unit.take(pa.array(kept))
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            if found := Cross(unit).links():
+                a, b = zip(*sorted(found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def all_links(classes: DataFrame) -> DataFrame:
+        """Links (a, b) of classes for all pairs of nodes that share a bucket, are in different classes and reach the threshold.
+
+        A bucket's nodes outside its largest class meet all its nodes, so rows grow with the bucket's nodes times the
+        blocks of UNIT nodes outside that class; the pairs are never rows.
+        """
+        named = materialize(buckets.join(classes, "node"), "named")
+        count = named.groupBy("key", "class_id").agg(F.count("*").alias("n"))
+        mixed = count.groupBy("key").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main_id"), F.max("n").alias("top"), F.sum("n").alias("n")).where("top < n")
+        mixed = mixed.select("key", "main_id", F.ceil((F.col("n") - F.col("top")) / UNIT).cast("int").alias("p"), F.ceil(F.col("n") / UNIT).cast("int").alias("q"))
+        rows = named.join(mixed, "key").withColumn("main", F.col("class_id") == F.col("main_id"))
+        block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.where("not main").select("key", block("p", 1).alias("i"), every("q").alias("j"), F.lit(0).alias("side"), "main", "node", "class_id")
+        right = rows.select("key", every("p").alias("i"), block("q", 2).alias("j"), F.lit(1).alias("side"), "main", "node", "class_id")
+        dealt = lambda frame: frame.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        order = ["key", "i", "j", "side", "main", "node", "class_id"]
+        told = dealt(left.unionByName(right).join(nodes.select("node", "drawn"), "node").select(*order, "drawn"))
+        schema = "key long, i int, j int, side int, main boolean, node long, class_id long, drawn binary"
+        told = materialize(told.mapInArrow(suspects, schema), "suspects")
+        return dealt(told.join(vector, "node").select(*order, "drawn", "vector")).mapInArrow(link, "a long, b long").distinct()
+
+    def joined_by(classes: DataFrame, found: DataFrame) -> DataFrame:
+        merged = components(found).select(F.col("node").alias("class_id"), F.col("class_id").alias("last_id"))
+        classes = classes.join(merged, "class_id", "left").select("node", F.coalesce("last_id", "class_id").alias("class_id"))
+        return materialize(classes, "classes")
+
     def pair(buckets: DataFrame, seed: int) -> DataFrame:
         """Each row of buckets(key, node, class_id) with the bucket's leaders of other classes: a, b, class_a, class_b.
 
@@ -278,9 +425,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         found = materialize(found, "links")
         if found.isEmpty():
             continue
-        merged = components(found).select(F.col("node").alias("class_id"), F.col("class_id").alias("last_id"))
-        classes = classes.join(merged, "class_id", "left").select("node", F.coalesce("last_id", "class_id").alias("class_id"))
-        classes = materialize(classes, "classes")
+        classes = joined_by(classes, found)
+    # leaders may miss a pair: compare all that are still apart
+    found = materialize(all_links(classes), "links")
+    if not found.isEmpty():
+        classes = joined_by(classes, found)
     named = drawn.select("id", "text_key").distinct().join(nodes.select("text_key", "node"), "text_key").join(classes, "node", "left")
     named = named.groupBy("id").agg(F.min(F.coalesce("class_id", "node")).alias("class_id"))
     every = docs.select(F.col(id_col).cast("long").alias(id_col))

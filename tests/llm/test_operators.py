@@ -188,6 +188,27 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_among_many_texts_over_one_template(spark):
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(262)]
+    texts = []
+    for _ in range(300):  # pairs at 0.81, all other texts at 0.74
+        own = [[f"u{rng.randrange(10**9)}" for _ in range(n)] for n in (12, 26, 26)]
+        texts += [" ".join([*template, *own[0], *own[i]]) for i in (1, 2)]
+    got = dict(near_dedup.near_duplicate_classes(frame(spark, texts)).collect())
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
+def test_similarities_by_matrices_equal_those_by_pairs():
+    rng = random.Random(13)
+    packed = []
+    for _ in range(30):
+        values = np.sort(np.array(rng.sample(range(60), rng.randrange(1, 50)), dtype=np.uint64)) << np.uint64(32)
+        packed.append(near_dedup.pack(values, np.array([rng.choice([0, 5, 40, 90]) for _ in values])))
+    want = [[near_dedup.weighted_jaccard(x, y) for y in packed[20:]] for x in packed[:20]]
+    assert np.allclose(near_dedup.similarities(packed[:20], packed[20:]), want, atol=1e-12)
+
+
 def test_language_id_learns_and_rejects(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = registry.QUERIES["op10_language_id"](spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
