@@ -22,11 +22,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 LEVEL = 3
 CHUNK_BYTES = 4096
-MIN_CHUNK_BYTES = 1024  # a shorter last chunk is judged only as part of the document
-# Longest length in bytes, least and greatest ratio of a document of at most that length.
-DOCUMENT_BANDS = [(512, 0.8, 3.2), (1024, 1.1, 3.4), (4096, 1.35, 3.6), (32768, 1.45, 4.0), (None, 1.5, 4.5)]
-CHUNK_BAND = (1.05, 8.0)
-MAX_BAD_CHUNKS = 0.25  # share of chunks outside CHUNK_BAND
+MIN_CHUNK_BYTES = 256  # a shorter last chunk is judged only as part of the document
+# Longest length in bytes, least and greatest ratio of a text of at most that length. The least ones lie between random base64 words
+# (1.09 or less at 256 bytes, 1.22 at 512, 1.29 at 1024, 1.35 at 4096) and real prose (licences, manuals: 1.17, 1.28, 1.48, 1.80 or more).
+DOCUMENT_BANDS = [(256, 1.1, 3.2), (384, 1.17, 3.2), (512, 1.22, 3.2), (1024, 1.3, 3.4), (2048, 1.45, 3.6), (4096, 1.5, 3.6), (32768, 1.5, 4.0), (None, 1.5, 4.5)]
+MAX_CHUNK_RATIO = 4.0  # a chunk's least ratio is that of a document of its length
+MAX_BAD_CHUNKS = 0.25  # share of chunks outside their band
 
 _FIELDS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
@@ -53,10 +54,11 @@ def repeat_words(hashes: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def in_band(size: int, ratio: float) -> bool:
+def in_band(size: int, ratio: float, most: float | None = None) -> bool:
+    """Whether a ratio is in the band of its text's length; most takes the place of that band's upper limit."""
     for longest, low, high in DOCUMENT_BANDS:
         if longest is None or size <= longest:
-            return low <= ratio <= high
+            return low <= ratio <= (most or high)
     return True
 
 
@@ -69,8 +71,7 @@ def compression(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[floa
         return ratio, 0, 0
     chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
     chunks = [c for c in chunks if len(c) >= MIN_CHUNK_BYTES]
-    low, high = CHUNK_BAND
-    bad = sum(not low <= len(c) / len(compressor.compress(c)) <= high for c in chunks)
+    bad = sum(not in_band(len(c), len(c) / len(compressor.compress(c)), MAX_CHUNK_RATIO) for c in chunks)
     return ratio, len(chunks), bad
 
 

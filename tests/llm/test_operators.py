@@ -106,6 +106,22 @@ def test_quality_counts(spark, odd_texts):
     assert [r["kept"] for r in quality_rules.quality_rules(frame(spark, [noise])).collect()] == [False]
 
 
+def test_quality_rejects_incompressible_and_repeated_parts(spark):
+    rng = random.Random(5)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "i", "or", "u")]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))[:n]
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(n))[:n]
+    passage = lambda n: (prose(250) + " ") * (n // 250)
+    good = [prose(n) for n in (400, 700, 1000, 3000, 20000, 60000)]
+    bad = [prose(n - n * k // 100) + " " + part(n * k // 100) for n in (20000, 60000) for k, part in ((40, noise), (50, noise), (60, noise), (40, passage))]
+    bad += [noise(n) for n in (450, 512, 700, 1000, 4000)]
+    texts = good + bad
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, texts)).collect()}
+    assert not any(rows[i]["base_failed"] for i in range(len(good) + 8))
+    assert [rows[i]["kept"] for i in range(len(texts))] == [True] * len(good) + [False] * len(bad)
+
+
 def test_warc_rejects_magic_in_payloads(spark):
     trap = warc.record(99, "http://x", b"inner", None).decode()
     pages = [(1, "http://a", trap), (2, None, None), (3, "http://b/\r\nWARC/1.1", "é" * 5000 + trap), (4, "u", trap), (5, "u", None), (2, "u", None), (None, "u", "n")]
