@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks
+from .near_dedup import near_duplicate_classes
 from .store import materialize
 
 SAMPLE = 6000  # labelled texts of each class that the fit uses, by the order of their ids' hashes
@@ -120,23 +121,28 @@ def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Folded words of sample(toxic, text) that mark toxic texts, with their log odds.
 
-    Texts that begin alike count once, so a group of copies doesn't put its own words into the lexicon.
+    A word's support is counted over classes of near-duplicates of the whole folded texts, so a group of copies doesn't put its
+    own words into the lexicon, and different texts that share an opening count each.
     """
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             rows = []
             for text in block.column(1).to_pylist():
-                found = _WORD.findall(text or "")
-                rows.append((" ".join(found[:12]), sorted({f for f in map(fold, set(found)) if 2 < len(f) <= 40})))
-            heads, sets = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(heads), pa.array(sets, pa.list_(pa.string()))], names=["toxic", "head", "words"])
-
-    texts = sample.select("toxic", "text").mapInArrow(words, "toxic int, head string, words array<string>").dropDuplicates(["head", "toxic"])
-    texts = materialize(texts, "lexicon-texts")
-    sums = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
+                found = [f for f in map(fold, _WORD.findall(text or "")) if f]
+                rows.append((" ".join(found), sorted({f for f in found if 2 < len(f) <= 40})))
+            folded, sets = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(folded), pa.array(sets, pa.list_(pa.string()))], names=["toxic", "folded", "words"])
+
+    texts = sample.select("toxic", "text").mapInArrow(words, "toxic int, folded string, words array<string>").withColumn("id", F.xxhash64("folded"))
+    texts = materialize(texts.dropDuplicates(["id", "toxic"]), "lexicon-texts")
+    if texts.where("toxic = 1").isEmpty():
+        return {}
+    classes = materialize(near_duplicate_classes(texts.select("id", "folded").dropDuplicates(["id"]), "id", "folded"), "lexicon-classes")
+    texts = texts.join(classes, "id").select("toxic", "class_id", "words")
+    sums = {r[0]: r[1] for r in texts.groupBy("toxic").agg(F.countDistinct("class_id")).collect()}
     bad, good = sums.get(1, 0), sums.get(0, 0)
-    by_word = texts.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    by_word = texts.select("toxic", "class_id", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     top = by_word.withColumn("odds", odds).where((F.col("bad") >= MIN_TEXTS) & (F.col("odds") >= MIN_LOG_ODDS))
     top = top.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(LEXICON).select("word", "odds")

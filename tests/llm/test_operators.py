@@ -255,6 +255,19 @@ def test_toxicity_separates_planted_texts(spark):
     assert {r["score"] for r in none} == {0.0}
 
 
+def test_lexicon_counts_texts_with_a_shared_opening(spark):
+    rng = random.Random(15)
+    header = " ".join(f"header{c}" for c in "abcdefghijkl")
+    copy = words(rng, 80, 3000)
+    texts = [(1, f"{header} {words(rng, 40, 3000)} scumbag {words(rng, 10, 3000)}") for _ in range(40)]
+    texts += [(1, f"{copy} copyword {copy} x{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}") for i in range(40)]
+    texts += [(0, words(rng, 60, 3000)) for _ in range(200)] + [(0, f"{header} {words(rng, 40, 3000)}") for _ in range(40)]
+    rows = spark.createDataFrame(texts, "toxic int, text string")
+    got = toxicity.learn_lexicon(rows)
+    assert "scumbag" in got and "copyword" not in got
+    assert toxicity.learn_lexicon(rows.repartition(7).orderBy("text")) == got
+
+
 def test_folding_undoes_obfuscation():
     assert {toxicity.fold(w) for w in ("Scum", "s.c.u.m", "$cum!", "scuuuum", "SCÜM,")} == {"scum"}
 
