@@ -53,12 +53,14 @@ def corpus_counts(
     emit: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch],
     schema: str,
     hash_bytes: int,
+    weight: str | None = None,
 ) -> DataFrame:
     """For every element of every text, the number of its occurrences in all texts.
 
     df has the columns keys and text. elements(texts) returns all element hashes, text after text, and how many
     each text has. emit(keys of a block, those numbers, totals aligned with the elements) makes the result's rows.
-    A hash counts with its bucket's bits and hash_bytes more bytes.
+    A hash counts with its bucket's bits and hash_bytes more bytes. With weight, a column of df, only the occurrences in rows
+    where it holds are counted; all rows are answered.
     """
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(int(total))
@@ -76,6 +78,9 @@ def corpus_counts(
             by_place = np.argsort(first)
             rank = np.empty(len(first), dtype=np.int64)
             rank[by_place] = np.arange(len(first))
+            if weight:
+                own = np.array(block.column(block.schema.get_field_index(weight)).to_pylist(), dtype=np.float64)
+                counts = np.bincount(inverse, np.repeat(own, per), len(first)).astype(np.int64)
             distinct, counts = distinct[by_place], counts[by_place]
             is_first = np.zeros(len(values), dtype=bool)
             is_first[first] = True
@@ -154,6 +159,6 @@ def corpus_counts(
         return pa.Table.from_batches([rows])
 
     row = "bucket long, chunk long, state boolean, payload binary"
-    asked = df.select(*keys, "text").mapInArrow(ask, row)
+    asked = df.select(*keys, *([weight] if weight else []), "text").mapInArrow(ask, row)
     answered = asked.groupBy("bucket").applyInArrow(answer, row)
     return answered.groupBy("chunk").applyInArrow(resolve, schema)

@@ -1,17 +1,21 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
-1. Every text's distinct shingles are counted over the corpus (exchange.py), giving document frequencies.
-2. A shingle weighs tf * (1 + IDF_STRENGTH * ln((1 + N) / (1 + df)) / ln(1 + N)), rounded to a grid in the logarithm. The damping
-   keeps a text's common shingles, which are what near copies share, comparable with its rare ones.
+1. Equal texts become one node. A small sketch of every node (the least shingle hash of each of BINS ranges, in bands) tells
+   which nodes have an earlier near copy; only those that have none count for document frequencies, so a group of copies, exact
+   or near, counts as about one text and doesn't lower the weight of its own shingles.
+2. Every node's distinct shingles are counted over the corpus (exchange.py). A shingle weighs tf * (1 + ln((1 + N) / (1 + df))),
+   rounded to a grid in the logarithm; N is the number of nodes that count.
 3. Improved consistent weighted sampling draws SAMPLES (shingle, level) pairs a text; two texts agree in a draw
    with a probability that is their weighted Jaccard similarity. Bands of ROWS draws are hashed.
-4. Equal texts become one node. In each bucket of equal bands every node is paired with a few leaders, the least node of each
-   of LEADERS hash classes, so pairs grow with nodes, not with squares of groups. Buckets that still hold several
-   classes after each node's most frequent leader is verified get new leaders, SEEDS times in all. Leaders only join large
-   groups cheaply: in buckets that are mixed even then, all pairs of different classes are compared (Cross), in units of
-   about UNIT x UNIT nodes, each pair in the first band that it shares.
+4. In each bucket of equal bands every node is paired with a few leaders, the least node of each of LEADERS hash classes, so
+   pairs grow with nodes, not with squares of groups. Buckets that still hold several classes after each node's most
+   frequent leader is verified get new leaders, SEEDS times in all. Leaders only join large groups cheaply: in buckets that are
+   mixed even then, all pairs of different classes are compared (Cross), in units of about UNIT x UNIT nodes, each pair in
+   the first band that it shares.
 5. Pairs whose draws agree too seldom are left out (five standard deviations below the threshold); the others are
    verified by their weighted Jaccard similarity. Links join into classes by alternating star contractions.
+
+Rows of a frequent bucket, sketch or hub are dealt over several tasks by a salt in every join.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BASE, Words, blocks, hash_words, mix, ragged, text_bytes, window_hashes
 from .exchange import _planes, _unplanes, corpus_counts
-from .store import materialize
+from .store import materialize, remove
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -36,10 +40,12 @@ SAMPLES, ROWS = 64, 4
 LEADERS, SEEDS = 4, 2
 UNIT = 512  # nodes on each side of a unit of pairs, about
 FEW_PAIRS = 2000  # more pairs of a unit are verified by matrix products
-IDF_STRENGTH = 0.25
-GRID = 64  # weights are exp(level / GRID)
+BINS, SKETCH_ROWS = 16, 4  # sketch that tells which texts have an earlier near copy
+GRID = 16  # weights are exp(level / GRID)
 POOL_BITS = 16
-TABLES = 16  # weights whose draws are tabled, half a MB each
+TABLES = 24  # weights whose draws are tabled, half a MB each
+SALTS = 16  # tasks that the rows of one frequent key are dealt over
+HOT = 1024  # rows of a bucket for each task that it is dealt over
 AGREE = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SAMPLES)
 
 
@@ -60,9 +66,26 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(values), np.concatenate(counts), per
 
 
+def sketch_keys(values: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Band keys of every text that has shingles: texts of unweighted similarity J share a key with probability 1 - (1 - J**SKETCH_ROWS)**bands.
+
+    The least hash of each of BINS ranges is the first one at or after the range's begin; an empty range takes the next one.
+    """
+    bounds = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - (BINS - 1).bit_length())
+    begin = (np.cumsum(per) - per)[per > 0]
+    least = np.empty((len(begin), BINS), dtype=np.uint64)
+    for d, (a, n) in enumerate(zip(begin.tolist(), per[per > 0].tolist(), strict=True)):
+        least[d] = values[a + np.searchsorted(values[a : a + n], bounds) % n]
+    rows = least.reshape(len(begin), BINS // SKETCH_ROWS, SKETCH_ROWS)
+    key = np.repeat(np.arange(BINS // SKETCH_ROWS, dtype=np.uint64)[None, :], len(begin), axis=0)
+    for i in range(SKETCH_ROWS):
+        key = mix(key * np.uint64(BASE) + rows[:, :, i])
+    return key.view(np.int64)
+
+
 def levels(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
     """Rounded logarithms of the TF-IDF weights."""
-    idf = 1 + IDF_STRENGTH * np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) / math.log(1 + max(1, n_docs))
+    idf = 1 + np.log((1 + n_docs) / (1 + np.clip(df, 1, max(1, n_docs))))
     return np.rint(GRID * np.log(tf * idf)).astype(np.int64)
 
 
@@ -249,29 +272,61 @@ def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(rest)
 
 
+def spread_join(many: DataFrame, one: DataFrame, on: str, by: str) -> DataFrame:
+    """many joined with one, which has a row a value of on. The rows of a frequent value are dealt over SALTS tasks by the column by."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    every = F.explode(F.array(*map(F.lit, range(SALTS))))
+    return many.withColumn("salt", salt).join(one.withColumn("salt", every), [on, "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and least node of its class for all nodes of links(a, b), by large-star and small-star steps.
 
-    Minima are pre-aggregated and joined back, so a node with very many links is a skewed join and not one task's group. The
+    Minima are pre-aggregated and joined back by salted keys, so a node with very many links is no single task's. The
     loop ends when every node but the least of its class has that one as its only neighbour.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "edges")
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
         heads = edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x"))
-        inner = heads.join(heads.select(F.col("m").alias("a")), "a", "left_semi")
+        inner = heads.join(heads.select(F.col("m").alias("a")).distinct(), "a", "left_semi")
         if inner.unionByName(heads.where("m <> x")).isEmpty():
             return heads.select(F.col("a").alias("node"), F.col("m").alias("class_id"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = spread_join(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))), "edges")
+        small = spread_join(large, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        remove(edges)
+        edges = after
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text")).where("id is not null")
+
+
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches):
+        values, _, per = shingles(hash_words(text_bytes(block.column(2))))
+        kept = block.take(pa.array(np.flatnonzero(per > 0)))
+        keys = pa.array(list(sketch_keys(values, per)), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), keys], names=["id", "text_key", "keys"])
+
+
+def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From rows(id, text_key, text): the id and key of every row with words; each key with its node, the least id, and whether
+    the node counts for document frequencies; and one row (id, text_key, counts, text) for each node."""
+    sketched = materialize(rows.mapInArrow(_sketch, "id long, text_key string, keys array<long>"), "sketches")
+    texts = materialize(sketched.groupBy("text_key").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "texts")
+    keys = texts.select("node", F.explode("keys").alias("key"))
+    first = keys.groupBy("key").agg(F.min("node").alias("first"))
+    late = spread_join(keys, first, "key", "node").where("node > first").select("node").distinct().withColumn("late", F.lit(True))
+    nodes = materialize(texts.join(late, "node", "left").select("text_key", "node", F.col("late").isNull().alias("counts")), "nodes")
+    own = rows.join(nodes.select(F.col("node").alias("id"), "text_key", "counts"), ["id", "text_key"]).select("id", "text_key", "counts", "text")
+    if not sketched.groupBy("id", "text_key").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["id", "text_key"])
+    return sketched.select("id", "text_key"), nodes, own
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS) -> DataFrame:
@@ -279,10 +334,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Two texts are linked if their weighted Jaccard similarity is THRESHOLD or more; classes are what links connect.
     Equal texts share a class. A text without words (null, empty, white space) is in a class of its own. Rows with equal ids
-    count as one document, and a row without id has no class. Only id_col and text_col are read.
+    count as one document that has all their texts, and a row without id has no class. An empty table gives no rows. Only id_col
+    and text_col are read, so no other column can clash. Very long texts are taken whole, as blocks of their own.
     """
-    rows = _documents(docs, id_col, text_col)
-    n_docs = docs.count()
+    ids, texts, own = distinct_texts(_documents(docs, id_col, text_col))
+    n_docs = texts.where("counts").count()
 
     def elements(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         values, _, per = shingles(hash_words(texts))
@@ -293,10 +349,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         some = [d for d in range(len(per)) if (totals[begin[d] : begin[d + 1]] > 1).any()]
         packed = [zlib.compress(_planes(totals[begin[d] : begin[d + 1]], 4), 1) for d in some]
         kept = keys.take(pa.array(some, pa.int64()))
-        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(packed, pa.binary())], names=["id", "text_hash", "df"])
+        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(packed, pa.binary())], names=["id", "text_key", "df"])
 
-    known = rows.select("id", "text_hash", "text").where("id is not null")
-    df = materialize(corpus_counts(known, ["id", "text_hash"], elements, emit, "id long, text_hash long, df binary", 4), "frequencies").dropDuplicates(["id", "text_hash"])
+    counted = corpus_counts(own, ["id", "text_key"], elements, emit, "id long, text_key string, df binary", 4, weight="counts")
+    df = materialize(counted, "frequencies")
 
     def vectors(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shingles, levels and shingles of each text; the columns text and df are the last two."""
@@ -312,19 +368,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         for block in blocks(batches):
             values, level, per = vectors(block)
             drawn = signatures(values, level, per)
-            kept = block.take(pa.array(np.flatnonzero(per > 0)))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(1), pa.array([x.tobytes() for x in drawn], pa.binary()), pa.array(list(bands(drawn)), pa.list_(pa.int64()))],
-                names=["id", "text_key", "drawn", "bands"],
+                [block.column(0), block.column(1), pa.array([x.tobytes() for x in drawn], pa.binary()), pa.array(list(bands(drawn)), pa.list_(pa.int64()))],
+                names=["node", "text_key", "drawn", "bands"],
             )
 
-    joined = rows.where("id is not null").join(df, ["id", "text_hash"], "left")
-    drawn = materialize(joined.select("id", "text_key", "text", "df").mapInArrow(draw, "id long, text_key string, drawn binary, bands array<long>"), "draws")
-    # equal texts are one node, named by their least id
-    nodes = materialize(drawn.groupBy("text_key").agg(F.min("id").alias("node"), F.first("drawn").alias("drawn"), F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialize(buckets.join(shared, "key"), "buckets")
+    joined = own.join(df, ["id", "text_key"], "left")
+    nodes = materialize(joined.select("id", "text_key", "text", "df").mapInArrow(draw, "node long, text_key string, drawn binary, bands array<long>"), "draws")
+    # rows of each bucket that several nodes share, with their number; counted by salted keys, as a bucket may hold a third of all
+    salted = nodes.select("node", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("key", "salt").agg(F.count("*").alias("n"))
+    shared = part.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    buckets = materialize(salted.join(part.drop("n").join(shared, "key"), ["key", "salt"]).drop("salt"), "buckets")
+
+    def on_key(rows: DataFrame, one: DataFrame) -> DataFrame:
+        """rows(key, node, n, ...) joined with one(key, n, ...), the rows of a bucket dealt over a task for each HOT of them."""
+        tasks = F.ceil(F.col("n") / HOT).cast("int")
+        left = rows.withColumn("salt", F.pmod(F.xxhash64("node"), tasks))
+        right = one.withColumn("salt", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("n")
+        return left.join(right, ["key", "salt"]).drop("salt")
 
     def wrap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -334,7 +396,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(packed, pa.binary())], names=["node", "vector"])
 
     wanted = buckets.select(F.col("node").alias("id")).distinct().join(nodes.select(F.col("node").alias("id"), "text_key"), "id")
-    candidates = joined.join(wanted, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"])
+    candidates = joined.join(wanted, ["id", "text_key"], "left_semi")
     vector = materialize(candidates.select(F.col("id").alias("node"), "text", "df").mapInArrow(wrap, "node long, vector binary"), "vectors")
 
     def agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,8 +441,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         named = materialize(buckets.join(classes, "node"), "named")
         count = named.groupBy("key", "class_id").agg(F.count("*").alias("n"))
         mixed = count.groupBy("key").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main_id"), F.max("n").alias("top"), F.sum("n").alias("n")).where("top < n")
-        mixed = mixed.select("key", "main_id", F.ceil((F.col("n") - F.col("top")) / UNIT).cast("int").alias("p"), F.ceil(F.col("n") / UNIT).cast("int").alias("q"))
-        rows = named.join(mixed, "key").withColumn("main", F.col("class_id") == F.col("main_id"))
+        mixed = mixed.select("key", "main_id", "n", F.ceil((F.col("n") - F.col("top")) / UNIT).cast("int").alias("p"), F.ceil(F.col("n") / UNIT).cast("int").alias("q"))
+        rows = on_key(named, mixed).withColumn("main", F.col("class_id") == F.col("main_id"))
         block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.where("not main").select("key", block("p", 1).alias("i"), every("q").alias("j"), F.lit(0).alias("side"), "main", "node", "class_id")
@@ -402,13 +464,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
         Rows whose node and leader are in one class already are never made.
         """
-        salted = buckets.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(LEADERS)))
+        dealt = buckets.withColumn("leader", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(LEADERS)))
         order = F.col("node") if seed == 0 else F.xxhash64("node", F.lit(-seed))
-        leaders = salted.groupBy("key", "salt").agg(F.min_by(F.struct("node", "class_id"), order).alias("x"))
-        leaders = leaders.select("key", F.col("x.node").alias("b"), F.col("x.class_id").alias("class_b")).alias("l")
-        mine = buckets.select("key", F.col("node").alias("a"), F.col("class_id").alias("class_a")).alias("m")
-        apart = (F.col("m.key") == F.col("l.key")) & (F.col("m.class_a") != F.col("l.class_b"))
-        return mine.join(leaders, apart).select("a", "b", "class_a", "class_b")
+        leaders = dealt.groupBy("key", "leader").agg(F.min_by(F.struct("node", "class_id"), order).alias("x"), F.first("n").alias("n"))
+        leaders = leaders.select("key", "n", F.col("x.node").alias("b"), F.col("x.class_id").alias("class_b"))
+        mine = buckets.select("key", "n", "node", F.col("node").alias("a"), F.col("class_id").alias("class_a"))
+        return on_key(mine, leaders).where("class_a <> class_b").select("a", "b", "class_a", "class_b")
 
     # a node's most frequent leader first: what that joins needs no other pair
     single = buckets.withColumn("class_id", F.col("node"))
@@ -419,8 +480,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # then all other pairs of a node and a leader that are still apart, in the buckets that hold several classes
     for seed in range(seeds):
         named = materialize(buckets.join(classes, "node"), "named")
-        mixed = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("key")
-        apart = materialize(pair(named.join(mixed, "key", "left_semi"), seed).distinct(), "apart")
+        mixed = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.first("n").alias("n")).where("x <> y").select("key", "n")
+        apart = materialize(pair(on_key(named, mixed), seed).distinct(), "apart")
         found = linked(apart.select("a", "b")).join(apart, ["a", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
         found = materialize(found, "links")
         if found.isEmpty():
@@ -430,7 +491,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     found = materialize(all_links(classes), "links")
     if not found.isEmpty():
         classes = joined_by(classes, found)
-    named = drawn.select("id", "text_key").distinct().join(nodes.select("text_key", "node"), "text_key").join(classes, "node", "left")
+    named = ids.join(texts.select("text_key", "node"), "text_key").join(classes, "node", "left")
     named = named.groupBy("id").agg(F.min(F.coalesce("class_id", "node")).alias("class_id"))
     every = docs.select(F.col(id_col).cast("long").alias(id_col))
     return every.join(named.withColumnRenamed("id", id_col), id_col, "left").select(id_col, F.coalesce("class_id", id_col).alias("class_id"))

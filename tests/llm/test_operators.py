@@ -183,9 +183,22 @@ def test_near_duplicates_match_brute_force(spark):
             for j in rng.sample(range(len(own)), edits):
                 own[j] = f"e{rng.randrange(10**6)}"
             texts.append(" ".join(own))
-    sets = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in ((t or "").split() for t in texts)]
-    df = Counter(k for s in sets for k in s)
-    weights = [{k: float(np.exp(near_dedup.levels(np.array([c]), np.array([df[k]]), len(texts))[0] / near_dedup.GRID)) for k, c in s.items()} for s in sets]
+    got = dict(near_dedup.near_duplicate_classes(frame(spark, texts)).collect())
+    assert got == dict(enumerate(classes_of_all_pairs(texts)[0]))
+
+
+def classes_of_all_pairs(texts):
+    """Least index of each text's class, and the similarities of all pairs, by comparing every text with every other."""
+    first = {t: i for i, t in reversed(list(enumerate(texts))) if (t or "").split()}
+    nodes, seen, counted = sorted(first.values()), set(), []
+    hashed = [near_dedup.shingles(near_dedup.hash_words([texts[i].encode()])) for i in nodes]
+    for values, _, per in hashed:
+        keys = set(near_dedup.sketch_keys(values, per)[0].tolist())
+        counted.append(not keys & seen)
+        seen |= keys
+    df = Counter(v for (values, _, _), c in zip(hashed, counted, strict=True) if c for v in values.tolist())
+    packed = [near_dedup.pack(v, near_dedup.levels(tf, np.array([df[x] for x in v.tolist()]), sum(counted))) for v, tf, _ in hashed]
+    near = near_dedup.similarities(packed, packed)
     parent = list(range(len(texts)))
 
     def find(x):
@@ -193,26 +206,44 @@ def test_near_duplicates_match_brute_force(spark):
             x = parent[x]
         return x
 
-    for a in range(len(texts)):
-        for b in range(a):
-            if weights[a] and weights[b]:
-                least = sum(min(w, weights[b].get(k, 0)) for k, w in weights[a].items())
-                if least >= near_dedup.THRESHOLD * (sum(weights[a].values()) + sum(weights[b].values()) - least):
-                    x, y = find(a), find(b)
-                    parent[max(x, y)] = min(x, y)
-    got = dict(near_dedup.near_duplicate_classes(frame(spark, texts)).collect())
-    assert got == {i: find(i) for i in range(len(texts))}
+    for a, b in zip(*np.nonzero(near >= near_dedup.THRESHOLD), strict=True):
+        x, y = find(nodes[a]), find(nodes[b])
+        parent[max(x, y)] = min(x, y)
+    return [find(first.get(t, i)) for i, t in enumerate(texts)], near
 
 
 def test_near_duplicates_among_many_texts_over_one_template(spark):
+    """Recall of all similar pairs: pairs over a template that all share, and a large group of near copies with edits of their own."""
     rng = random.Random(12)
-    template = [f"t{i}" for i in range(262)]
+    template = [f"t{i}" for i in range(300)]
     texts = []
-    for _ in range(300):  # pairs at 0.81, all other texts at 0.74
-        own = [[f"u{rng.randrange(10**9)}" for _ in range(n)] for n in (12, 26, 26)]
+    for _ in range(200):
+        own = [[f"u{rng.randrange(10**9)}" for _ in range(n)] for n in (200, 28, 28)]
         texts += [" ".join([*template, *own[0], *own[i]]) for i in (1, 2)]
+    for _ in range(300):
+        copy = template + [f"c{i}" for i in range(100)]
+        for j in rng.sample(range(300, 400), 1):
+            copy[j] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    want, near = classes_of_all_pairs(texts)
+    assert 0.8 < near[0, 1] < 0.87 and len(set(want)) < 350
+    got = dict(near_dedup.near_duplicate_classes(frame(spark, texts)).collect())
+    found = [got[i] == got[want[i]] for i in range(len(texts)) if want[i] != i]
+    assert np.mean(found) >= 0.95 and all(want[i] == want[got[i]] for i in got)
+
+
+def test_copies_do_not_lower_the_weight_of_their_shingles(spark):
+    rng = random.Random(14)
+    base = words(rng, 200, 10**6).split()
+    texts = []
+    for _ in range(400):  # one group of near copies, each with two words of its own
+        own = base.copy()
+        for j in rng.sample(range(200), 2):
+            own[j] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    texts += [words(rng, 200, 10**6) for _ in range(400)]
     got = dict(near_dedup.near_duplicate_classes(frame(spark, texts)).collect())
-    assert got == {i: i - i % 2 for i in range(600)}
+    assert [got[i] for i in range(400)] == [0] * 400 and [got[i] for i in range(400, 800)] == list(range(400, 800))
 
 
 def test_similarities_by_matrices_equal_those_by_pairs():
