@@ -25,7 +25,7 @@ from .store import materialize, shared_dir
 
 RANGE_BYTES = 8 << 20
 MAX_TASKS = 1 << 15
-HEADER_BYTES = 64 << 10  # read beyond a range for a header that begins in it; longer headers are read on demand
+HEADER_BYTES = 64 << 10  # read beyond a range for a header that begins in it; longer headers are read on, step by step
 DATE = "1970-01-01T00:00:00Z"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,7 +57,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Of pages with equal payloads of at least min_bytes the one with the least page_id is the response, the others
     revisits of it. Rows that share that least page_id are all responses. A null page_id is always a response
     and never referred to; null html is an empty payload; a null url leaves the header out. The table of repeated
-    payloads holds ids and digests only and is broadcast only if Spark finds it below its threshold.
+    payloads holds ids and digests only and is broadcast only if Spark finds it below its threshold. Repeated rows are a
+    record each, an empty table gives no archive, and only the three named columns are read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
@@ -101,6 +102,18 @@ def _read(file, begin: int, end: int) -> bytes:
     return file.read(max(0, end - begin))
 
 
+def _long_head(file, begin: int, size: int) -> bytes:
+    """The bytes from begin to the blank line that ends a header, read in doubling steps; empty if the file has none."""
+    head, step = bytearray(), 2 * HEADER_BYTES
+    while begin + len(head) < size:
+        searched = max(0, len(head) - 3)
+        head += _read(file, begin + len(head), min(size, begin + len(head) + step))
+        if (stop := head.find(b"\r\n\r\n", searched)) >= 0:
+            return bytes(head[:stop])
+        step *= 2
+    return b""
+
+
 def candidates(file, begin: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Offsets in [begin, end) that look like records and end inside the file, their successors, and their headers."""
     data = _read(file, begin, min(size, end + HEADER_BYTES))
@@ -111,8 +124,7 @@ def candidates(file, begin: int, end: int, size: int) -> tuple[np.ndarray, np.nd
         stop = data.find(b"\r\n\r\n", m.start())
         head = data[m.start() : stop] if stop >= 0 else b""
         if stop < 0 and begin + len(data) < size:
-            more = _read(file, begin + m.start(), min(size, begin + m.start() + (16 << 20)))
-            head = more[: max(0, more.find(b"\r\n\r\n"))]
+            head = _long_head(file, begin + m.start(), size)
         length = re.search(rb"\r\nContent-Length: *(\d{1,18})\r?(?:\n|$)", head)
         if head and length:
             successor = begin + m.start() + len(head) + 4 + int(length[1]) + 4
@@ -155,9 +167,10 @@ def reachable(offsets: np.ndarray, successors: np.ndarray, entry: int) -> np.nda
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payload: bool = False) -> DataFrame:
     """Records of the manifest's archives: path, offset, page_id, record_type, refers_to, url, payload_bytes, payload_digest, digest_ok, payload.
 
-    Only candidates reachable from a file's start are records. payload_bytes and payload_digest are those of the full
+    Only candidates reachable from a file's start are records; their headers may be of any length. payload_bytes and payload_digest are those of the full
     payload, for revisits as their headers state them; digest_ok is null for these. payload is null unless asked for.
-    A file whose chain breaks gives the records before the break.
+    A file whose chain breaks gives the records before the break; an empty manifest gives none. A very long record is read by the
+    task of the range that it begins in. Each range that a chain enters is read twice, once to find and once to return records.
     """
     base = manifest.select("base").first()
     spark = manifest.sparkSession
@@ -184,9 +197,10 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
     targets = found.where("exit > 0").select("path", F.col("exit").alias("offset")).distinct()
     entries = found.join(targets.unionByName(manifest.select("path", F.lit(0).cast("long").alias("offset"))).distinct(), ["path", "offset"], "left_semi")
     jumps = materialize(entries.select("path", "offset", "exit"), "jumps")
-    reached = manifest.select("path", F.lit(0).cast("long").alias("offset"))
+    reached = manifest.select("path", F.lit(0).cast("long").alias("offset"))  # a chain's end, the file's size, is no entry
     for _ in range(int(longest).bit_length()):
-        step = reached.join(jumps, ["path", "offset"]).where("exit > 0").select("path", F.col("exit").alias("offset"))
+        inside = jumps.join(manifest.select("path", "size"), "path").where("exit > 0 and exit < size")
+        step = reached.join(inside, ["path", "offset"]).select("path", F.col("exit").alias("offset"))
         reached = materialize(reached.unionByName(step).distinct(), "reached")
         far = jumps.select("path", F.col("offset").alias("exit"), F.col("exit").alias("far"))
         jumps = materialize(jumps.join(far, ["path", "exit"]).select("path", "offset", F.col("far").alias("exit")), "jumps")
