@@ -1,6 +1,6 @@
 """Token counts of flat token files that have no index.
 
-A file is a run of little-endian 16-bit token ids; a separator id ends each document. Tasks scan fixed blocks for
+A file is a run of little-endian token ids of 16 bits, or of 32 where an id needs them; a separator id ends each document. Tasks scan fixed blocks for
 separators with array comparisons; a prefix scan over a file's blocks gives each block the number of documents
 ended before it and the place of the last separator, so a document that spans blocks is counted once and whole.
 """
@@ -22,7 +22,7 @@ from .store import materialize, shared_dir
 
 BLOCK_TOKENS = 2 << 20
 MAX_TASKS = 1 << 15
-END_OF_DOCUMENT = 50256  # free in the rank files
+END_OF_DOCUMENT = 50256  # must be free in the rank file; write_token_files checks that
 
 
 def default_ranks() -> str:
@@ -41,13 +41,25 @@ def encoding(path: str):
     return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_bytes(ranks: str, end_id: int) -> int:
+    """Bytes that each id of a file takes: 2, or 4 for ids beyond 16 bits. The separator must be no token of the rank file."""
+    codec = encoding(ranks)
+    try:
+        codec.decode_single_token_bytes(end_id)
+    except KeyError:
+        return 2 if max(codec.max_token_value, end_id) < 1 << 16 else 4
+    raise ValueError(f"separator {end_id} is a token of {ranks}")
+
+
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, end_id: int = END_OF_DOCUMENT) -> DataFrame:
     """Encode docs into flat files in the shared folder, one a task, each document followed by end_id.
 
-    Returns base, path, at, ids, size: the ids of the documents in the order written, from number at of the file on, and the file's
-    bytes so far. It holds no offsets of documents. A null text is a document of no tokens.
+    Returns base, width, path, at, ids, size: bytes of a token, the ids of the documents in the order written, from number at of the
+    file on, and the file's bytes so far. It holds no offsets of documents. A null text is a document of no tokens. Only id_col
+    and text_col are read.
     """
     base, ranks = shared_dir(docs.sparkSession, "tokens"), ranks or default_ranks()
+    width = token_bytes(ranks, end_id)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, codec = TaskContext.get(), encoding(ranks)
@@ -59,7 +71,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         with store.open_output_stream(f"{folder}/{name}") as out:
             for batch in batches:
                 for text in batch.column(1).to_pylist():
-                    data = np.array([*codec.encode_ordinary(text or ""), end_id], dtype="<u2").tobytes()
+                    data = np.array([*codec.encode_ordinary(text or ""), end_id], dtype=f"<u{width}").tobytes()
                     out.write(data)
                     size += len(data)
                 if batch.num_rows:
@@ -69,57 +81,66 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     written = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(write, f"path string, at long, ids array<{kind}>, size long")
-    return materialize(written, "token-manifest").withColumn("base", F.lit(base))
+    return materialize(written, "token-manifest").withColumn("base", F.lit(base)).withColumn("width", F.lit(width))
 
 
 def scan_token_files(files: DataFrame, end_id: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Documents of files(base, path, size in bytes): path, ordinal in the file, n_tokens without the separator, ended.
+    """Documents of files(base, path, size in bytes, width of a token): path, ordinal in the file, n_tokens without the separator, ended.
 
-    Tokens after a file's last separator are one more document, not ended. Two separators in a row hold an empty document.
+    Tokens after a file's last separator are one more document, not ended. Two separators in a row hold an empty document. The
+    prefix scan over a file's blocks takes three numbers a block; the separators' places stay with their blocks.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block_tokens).cast("long"))
-    ranges = files.withColumn("tokens", F.floor(F.col("size") / 2)).where("tokens > 0")
-    ranges = ranges.select("base", "path", F.explode(starts).alias("begin"), "tokens").withColumn("end", F.least("tokens", F.col("begin") + block_tokens))
+    ranges = files.withColumn("tokens", F.floor(F.col("size") / F.col("width"))).where("tokens > 0")
+    ranges = ranges.select("base", "path", "width", F.explode(starts).alias("begin"), "tokens").withColumn("end", F.least("tokens", F.col("begin") + block_tokens))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, path, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for base, path, width, begin, end in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 store, folder = pafs.FileSystem.from_uri(base)
                 with store.open_input_file(f"{folder}/{path}") as f:
-                    f.seek(2 * begin)
-                    tokens = np.frombuffer(f.read(2 * (end - begin)), dtype="<u2")
+                    f.seek(width * begin)
+                    tokens = np.frombuffer(f.read(width * (end - begin)), dtype=f"<u{width}")
                 ends = np.flatnonzero(tokens == end_id) + begin
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path]), pa.array([begin], pa.int64()), pa.array([end], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["path", "begin", "end", "ends"]
                 )
 
-    total = files.agg(F.sum(F.ceil(F.col("size") / (2 * block_tokens)))).first()[0] or 0
+    total = files.agg(F.sum(F.ceil(F.col("size") / F.col("width") / block_tokens))).first()[0] or 0
     tasks = max(1, min(MAX_TASKS, int(total)))  # stated, as the few bytes of a block's row say nothing of the work behind it
-    found = ranges.repartition(tasks, "path", "begin").select("base", "path", "begin", "end").mapInArrow(scan, "path string, begin long, end long, ends array<long>")
+    found = ranges.repartition(tasks, "path", "begin").select("base", "path", "width", "begin", "end").mapInArrow(scan, "path string, begin long, end long, ends array<long>")
+    found = materialize(found, "separators")
+    last_end = F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)
+    blocks = found.select("path", "begin", "end", F.size("ends").alias("n"), last_end.alias("last_end"))
     earlier = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy("path")
-    stitched = found.select(
-        "path", "ends",
-        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).cast("long").alias("before"),
-        F.coalesce(F.max(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)).over(earlier), F.lit(-1).cast("long")).alias("previous"),
-        (F.col("end") == F.max("end").over(last)).alias("is_last"), "end",
+    states = blocks.select(
+        "path", "begin", "end", "n", "last_end",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("before"),
+        F.coalesce(F.max("last_end").over(earlier), F.lit(-1).cast("long")).alias("previous"),
+        (F.col("end") == F.max("end").over(Window.partitionBy("path"))).alias("is_last"),
     )
     # a document's tokens lie between its separator and the one before, wherever that was
     closed = F.arrays_zip(F.col("ends").alias("stop"), F.concat(F.array("previous"), F.col("ends")).alias("start"))
+    stitched = found.select("path", "begin", "ends").join(states.select("path", "begin", "before", "previous"), ["path", "begin"])
     rows = stitched.select("path", "before", F.posexplode(closed).alias("i", "x")).where("x.stop is not null")
     done = rows.select("path", (F.col("before") + F.col("i")).alias("ordinal"), (F.col("x.stop") - F.col("x.start") - 1).alias("n_tokens"), F.lit(True).alias("ended"))
-    at = F.coalesce(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1), F.col("previous"))
-    tail = stitched.where("is_last").select("path", (F.col("before") + F.size("ends")).alias("ordinal"), (F.col("end") - at - 1).alias("n_tokens"), F.lit(False).alias("ended"))
+    tail = states.where("is_last").select(
+        "path", (F.col("before") + F.col("n")).alias("ordinal"), (F.col("end") - F.coalesce("last_end", "previous") - 1).alias("n_tokens"), F.lit(False).alias("ended")
+    )
     return done.unionByName(tail.where("n_tokens > 0"))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens of every row of docs, counted in the files: id_col, n_tokens. Repeated rows and null ids come back as they are."""
-    written = write_token_files(docs, id_col, text_col)
-    files = written.groupBy("base", "path").agg(F.max("size").alias("size"))
-    ids = written.select("path", "at", F.posexplode("ids").alias("i", id_col)).select("path", (F.col("at") + F.col("i")).alias("ordinal"), id_col)
+    """Tokens of every row of docs, counted in the files: id_col, n_tokens. Repeated rows and null ids come back as they are.
+
+    A null or empty text has no tokens, an empty table gives no rows, and a very long text is encoded whole by its row's task. Only
+    id_col and text_col are read; whatever id_col is called, no other column can clash.
+    """
+    written = write_token_files(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    files = written.groupBy("base", "path", "width").agg(F.max("size").alias("size"))
+    ids = written.select("path", "at", F.posexplode("ids").alias("i", "id")).select("path", (F.col("at") + F.col("i")).alias("ordinal"), "id")
     counted = materialize(scan_token_files(files).where("ended"), "token-counts")
-    return ids.join(counted, ["path", "ordinal"]).select(id_col, "n_tokens")
+    return ids.join(counted, ["path", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
 
 
 def op9_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
