@@ -139,8 +139,19 @@ def _mapped(path: str) -> Lexicon:
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of one occurrence of each distinct word, each word's distinct number, and counts."""
+    """Index of one occurrence of each distinct word, each word's distinct number, and counts.
+
+    Words of equal hashes are compared byte by byte; should two differ, the words themselves are the keys.
+    """
     _, first, inverse, counts = np.unique(hash_ranges(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    size, own = ends - starts, first[inverse]
+    again = np.flatnonzero(own != np.arange(len(starts)))
+    same = np.array_equal(size[again], size[own[again]])
+    if same and np.array_equal(data[ragged(starts[again], size[again])], data[ragged(starts[own[again]], size[again])]):
+        return first, inverse, counts
+    raw, place = data.tobytes(), {}
+    inverse = np.array([place.setdefault(raw[a:b], len(place)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+    _, first, counts = np.unique(inverse, return_index=True, return_counts=True)
     return first, inverse, counts
 
 
@@ -246,7 +257,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """Ids of every whole text, and the text decoded from them: id_col, ids (array<int>), decoded.
 
     A null text counts as empty: no ids, decoded ''. Special strings in a text become their ids, as the tokenizers library does
-    by default. Only id_col and text_col are read; repeated rows come back repeated.
+    by default. Only id_col and text_col are read; repeated rows and null ids come back as they are, and an empty table gives
+    no rows. A very long text is a block of its own and encoded whole.
     """
     tokenizer = tokenizer or default_tokenizer()
     lexicon = lexicon or build_lexicon(docs, text_col, tokenizer)
