@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -20,6 +19,7 @@ Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn], bool], str]
 
 TURN, END = "### ", "</turn>"
+KEPT_CHARS = 16 << 20  # of written turns that a worker keeps
 _ESCAPE = re.compile(r"\\|(?=###)|(?=</turn>)")
 _ROLE_ESCAPE = re.compile(r"\\|:|(?=###)|(?=</turn>)")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -39,15 +39,28 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-@lru_cache(maxsize=1 << 12)
-def _written(role: str, text: str) -> str:
-    """One whole turn; kept, as every later prefix of the conversation holds it again."""
-    return f"{TURN}{escape_role(role)}: {escape(text)}{END}\n"
+class _Written(dict):
+    """Whole turns as written, kept as every later prefix of the conversation holds them again; emptied beyond KEPT_CHARS."""
+
+    chars = 0
+
+    def __missing__(self, turn: Turn) -> str:
+        text = f"{TURN}{escape_role(turn[0])}: {escape(turn[1])}{END}\n"
+        if self.chars + 2 * len(text) > KEPT_CHARS:
+            self.clear()
+            self.chars = 0
+        if 2 * len(text) <= KEPT_CHARS:
+            self[turn] = text
+            self.chars += 2 * len(text)
+        return text
+
+
+_written = _Written()
 
 
 def turn_template(turns: list[Turn], open_role: bool = False) -> str:
     """Marked turns with escaped texts. open_role: leave the last turn open after its header, its text unused."""
-    done = "".join([_written(r, t) for r, t in (turns[:-1] if open_role else turns)])
+    done = "".join([_written[r, t] for r, t in (turns[:-1] if open_role else turns)])
     return done + (f"{TURN}{escape_role(turns[-1][0])}: " if open_role else "")
 
 
@@ -97,8 +110,9 @@ def format_chats(turns: DataFrame, template: Template = turn_template, loss_role
     """One row per conversation of turns(conv_id, turn, role, text): formatted, turn_spans, loss_spans, rewrites_history, n_turns.
 
     Turns go by turn; ties go by role, then text. Null roles and texts count as empty. A null conv_id is a conversation of its
-    own. Spans are code-point offsets. A conversation is one output string, so its turns meet in one task; its
-    size bounds that group.
+    own. Spans are code-point offsets. Repeated rows are turns of their own, an empty table gives no rows, and only the four named
+    columns are read. A conversation is one output string, so its turns meet in one task; its size bounds that group, and rendering
+    every prefix costs the square of its turns.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
