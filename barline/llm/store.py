@@ -12,9 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new path under the cluster's spark.checkpoint.dir. Only where that is unset (tests) one is made here."""
+    """A new path under the cluster's spark.checkpoint.dir. Where that is unset a local master (tests) gets one here; on a cluster
+    it is an error, as executors don't see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="barline-"))
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
