@@ -8,7 +8,6 @@ batch is scored by one matrix product: presence by (landmark n-grams times their
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,13 +23,15 @@ ORDERS = (1, 2, 3)
 SPACE_BITS = 18  # n-grams are hashed to this many bits
 SAMPLE = 300  # labelled texts of each language that the fit uses, by the order of their ids' hashes
 LANDMARKS = 64  # of these, landmarks of each language
-MAX_LANGUAGES = 256  # most frequent languages that are learned
+# Every language is learned. With many of them each gets fewer sampled texts and landmarks, one text at least, so that the driver holds at
+# most about 9600 n-gram sets and, at 2**18 n-grams, two float32 matrices of 1 GB; with 16 languages or fewer nothing changes.
+ALL_SAMPLES, ALL_LANDMARKS = 9600, 1024
 RIDGE = 1e-3
 BATCH = 128
 SEGMENT = 1 << 20
 UNKNOWN = "und"
-MIN_SCORE = 0.25  # the pipeline rejects texts whose best score is less
-_LETTER = re.compile(r"[^\W\d_]")
+MIN_SCORE = 0.25  # the pipeline rejects texts whose best score is less,
+SHORT_CHARS, MIN_MARGIN = 60, 0.02  # but short ones only if the second language comes this near
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -57,20 +58,23 @@ class Model:
     grams: np.ndarray  # hashed n-grams that some landmark has
     weights: np.ndarray  # grams x languages
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Best language and its score from 0 to 1; UNKNOWN and 0 for a text without letters."""
-        rows, sizes = np.zeros((len(texts), len(self.grams)), dtype=np.float32), np.ones(len(texts))
-        lettered = [bool(t and _LETTER.search(t)) and bool(self.languages) for t in texts]
-        for i, text in enumerate(texts):
-            if lettered[i]:
-                has = presence(text)
-                rows[i], sizes[i] = has[self.grams], max(1, np.count_nonzero(has))
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Best language, its score from 0 to 1 and its lead over the second; UNKNOWN, 0 and 0 for a text without letters."""
+        n = len(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * n, [0.0] * n, [0.0] * n
+        rows, sizes = np.zeros((n, len(self.grams)), dtype=np.float32), np.ones(n)
+        lettered = np.array([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
+        for i in np.flatnonzero(lettered):
+            has = presence(texts[i])
+            rows[i], sizes[i] = has[self.grams], max(1, np.count_nonzero(has))
         scores = (rows @ self.weights) / np.sqrt(sizes)[:, None]
         best = scores.argmax(axis=1)
-        value = np.clip(scores[np.arange(len(texts)), best], 0, 1)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], [float(v) if ok else 0.0 for v, ok in zip(value, lettered, strict=True)]
+        top = scores[np.arange(n), best]
+        scores[np.arange(n), best] = -np.inf
+        margin = np.where(lettered, np.clip(top - np.maximum(scores.max(axis=1), 0), 0, 1), 0.0)
+        names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
+        return names, np.where(lettered, np.clip(top, 0, 1), 0.0).tolist(), margin.tolist()
 
 
 def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS) -> Model:
@@ -104,26 +108,35 @@ def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most sample texts of each label of docs; what reaches the driver is their n-gram sets, a bounded sample."""
+    """Fit on at most sample texts of each label of docs; what reaches the driver is their n-gram sets, a bounded sample.
+
+    Rows without id, label or text are left out. Equal rows count once, rows with equal ids and different texts each. No rows give
+    a model that knows no language.
+    """
     known = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label is not null and id is not null and text is not null")
-    labels = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
-    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "label").where(F.col("label").isin(labels)).withColumn("place", order).where(F.col("place") <= sample)
+    known = known.withColumn("text_hash", F.xxhash64("text"))
+    n_labels = max(1, known.select("label").distinct().count())
+    sample, landmarks = max(1, min(sample, ALL_SAMPLES // n_labels)), max(1, min(LANDMARKS, ALL_LANDMARKS // n_labels))
+    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text_hash"))
+    chosen = known.select("id", "label", "text_hash").distinct().withColumn("place", order).where(F.col("place") <= sample)
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets = [np.flatnonzero(presence(t)).astype("<u4").tobytes() for t in block.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(sets, pa.binary())], names=["label", "place", "grams"])
 
-    rows = known.drop("label").join(F.broadcast(chosen), "id").select("label", "place", "text").mapInArrow(grams, "label string, place int, grams binary").collect()
-    rows.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return fit([np.frombuffer(bytes(r[2]), "<u4").astype(np.int64) for r in rows], [r[0] for r in rows])
+    one = known.join(F.broadcast(chosen), ["id", "label", "text_hash"]).groupBy("label", "place").agg(F.first("text").alias("text"))
+    rows = one.mapInArrow(grams, "label string, place int, grams binary").collect()
+    rows.sort(key=lambda r: (r[0], r[1]))
+    return fit([np.frombuffer(bytes(r[2]), "<u4").astype(np.int64) for r in rows], [r[0] for r in rows], landmarks)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs with lang_pred and score; keep names further columns to carry along.
+    """Every row of docs with lang_pred, score and margin, the lead over the second language; keep names further columns to carry along.
 
-    A text that is null or has no letter is UNKNOWN with score 0. Whole texts are read, in segments. Rows are judged alone.
+    A text that is null or has no letter is UNKNOWN with score 0. Whole texts are read, in segments, so very long ones take no
+    more memory. Rows are judged alone: repeated ones come back repeated, null ids as they are, an empty table gives no rows.
+    Columns of docs named lang_pred, score or margin must not be in keep.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys([id_col, *keep]))
@@ -133,14 +146,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for block in blocks(batches, text_col):
             for at in range(0, block.num_rows, BATCH):
                 part = block.slice(at, BATCH)
-                names, scores = shared.value.score(part.column(len(others)).to_pylist())
+                names, *numbers = shared.value.score(part.column(len(others)).to_pylist())
                 kept = part.columns[: len(others) + (text_col in columns)]
-                names_out = [*others, *([text_col] if text_col in columns else []), "lang_pred", "score"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=names_out)
+                names_out = [*others, *([text_col] if text_col in columns else []), "lang_pred", "score", "margin"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], names=names_out)
 
     order = [*others, *([text_col] if text_col in columns else [])]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in order)
-    return docs.select(*others, text_col).mapInArrow(run, f"{schema}, lang_pred string, score double").select(*columns, "lang_pred", "score")
+    return docs.select(*others, text_col).mapInArrow(run, f"{schema}, lang_pred string, score double, margin double").select(*columns, "lang_pred", "score", "margin")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language_id, near_dedup, substring_dedup
@@ -11,17 +11,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without letters, or whose best language scores under MIN_SCORE, go."""
+    """Language ID: documents without letters go, and those whose best language scores under MIN_SCORE. A short text has few n-grams
+    and a low score whatever its language, so it goes only if it also has no lead over the second language."""
     model = language_id.train(docs.where(~language_id.held_out()))
     named = language_id.predict(docs, model, keep=COLUMNS)
-    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE)).select(*COLUMNS)
+    short = (F.char_length("text") <= language_id.SHORT_CHARS) & (F.col("margin") >= language_id.MIN_MARGIN)
+    known = (F.col("score") >= language_id.MIN_SCORE) | short
+    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & known).select(*COLUMNS)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of each class the document with the least id stays; of rows with that id, one. Rows without an id stay."""
+    """Near-dedup: of each class the document with the least id stays; of rows with that id, that of the least text hash. Rows
+    without an id stay."""
     classes = near_dedup.near_duplicate_classes(docs.select("doc_id", "text"))
     first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary"))))
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("place", place).where("place = 1").drop("place")
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
 
 
