@@ -142,7 +142,7 @@ def test_token_files_are_counted_across_blocks(spark, odd_texts):
     want = {i: len(codec.encode_ordinary(t or "")) for i, t in enumerate(odd_texts)}
     assert dict(token_scan.token_counts(docs).collect()) == want
     written = token_scan.write_token_files(docs)
-    files = written.groupBy("base", "path").agg(F.max("size").alias("size"))
+    files = written.groupBy("base", "path", "width").agg(F.max("size").alias("size"))
     for size in (3, 64, 1 << 20):
         scanned = token_scan.scan_token_files(files, block_tokens=size)
         assert sorted(r["n_tokens"] for r in scanned.collect()) == sorted(want.values())
@@ -153,23 +153,43 @@ def test_token_files_are_counted_across_blocks(spark, odd_texts):
 
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(4)
-    items = [words(rng, n, 10**6) for n in (4, 6, 16, 40)]
-    plant = [i.split() for i in items]
-    texts, rows = [None, "", items[0]], {}
-    for k, item in enumerate(plant[1:], 1):
-        for swaps in (0, 2, len(item) // 2):
-            own = item.copy()
-            for j in rng.sample(range(len(own)), swaps):
+    items = [words(rng, n, 10**6) for n in (1, 4, 5, 7, 9, 10, 16, 40)]
+    texts, rows = [None, ""], {}
+    for k, item in enumerate(items):
+        for swaps in {0, 1, 2, len(item.split()) // 2}:
+            own = item.split()
+            for j in rng.sample(range(len(own)), min(swaps, len(own))):
                 own[j] = "zzz"
-            rows[len(texts)] = k
+            rows[len(texts)] = (k, swaps)
             texts.append(words(rng, 30, 10**6) + " " + " ".join(own).upper() + ", " + words(rng, 30, 10**6))
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate([*items, None, ""])], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
-    want = {(d, i): s for d, t in enumerate(texts) for i, item in enumerate(items) if (s := decontaminate.brute_force(t, item)) >= decontaminate.needed(len(item.split())) and s}
-    assert got == want
-    assert {(3, 1), (6, 2), (9, 3), (10, 3)} <= set(got) and not {d for d, _ in got} & {0, 1, 2, 5, 8, 11}
-    kept = decontaminate.clean(frame(spark, texts), bench).collect()
-    assert {r["doc_id"] for r in kept} == set(range(len(texts))) - {d for d, _ in got}
+    texts += [" ".join(items[3].split()[:6]), items[3] + " " + items[3]]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate([*items, None, ""])], "item_id int, text string")
+    found = decontaminate.contaminated(frame(spark, texts), bench)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()}
+    want = {(d, i): s for d, t in enumerate(texts) for i, item in enumerate(items) if (s := decontaminate.brute_force(t, item)) is not None and s >= decontaminate.needed(len(item.split()))}
+    assert got == want and found.schema["item_id"].dataType.simpleString() == "int"
+    for d, (k, swaps) in rows.items():  # whole items are found, with one word substituted from five words on
+        if swaps == 0 or swaps == 1 and k >= 2:
+            assert (d, k) in got
+        if swaps == 2 and k < 5 or swaps == 1 and k < 2:
+            assert (d, k) not in got
+    assert {d for d, _ in got} >= {len(texts) - 1} and len(texts) - 2 not in {d for d, _ in got}
+    clean = decontaminate.clean(frame(spark, texts), bench).collect()
+    assert {r["doc_id"] for r in clean} == set(range(len(texts))) - {d for d, _ in got}
+    least = decontaminate.contaminated(frame(spark, texts), bench, min_words=5).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in least} == {x for x in got if x[1] >= 2}
+
+
+def test_decontamination_in_several_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [words(rng, 20, 10**6) for _ in range(40)]
+    docs = frame(spark, [words(rng, 10, 10**6) + " " + items[i % 40] + " " + words(rng, 10, 10**6) for i in range(60)] + [words(rng, 40, 10**6)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK_HASHES", 300)
+    assert decontaminate.item_blocks(bench).more
+    assert sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect()) == whole and len(whole) == 60
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [60]
 
 
 def test_near_duplicates_match_brute_force(spark):
