@@ -15,6 +15,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
+CHECK_BASE = 0xA0761D6478BD642F  # of a second, independent window hash
 SEGMENT = 1 << 20  # bytes hashed at a time
 BLOCK_BYTES = 3 << 20  # text bytes of a block; one longer text is a block of its own
 
@@ -105,12 +106,12 @@ def hash_words(texts: list[bytes]) -> Words:
     return Words(buffer, hash_ranges(data, starts, ends), starts, ends, offsets, text_at[:-1])
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Rolling hash of every run of size word hashes, whatever text they are in."""
+def window_hashes(hashes: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarray:
+    """Rolling hash of every run of size word hashes, whatever text they are in; base is odd."""
     n = len(hashes)
     if n < size:
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(WORD_BASE, n + 1)
+    up, down = powers(base, n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * up[:n], out=total[1:])
     return mix((total[size:] - total[:-size]) * down[: n - size + 1])

@@ -9,7 +9,9 @@ Three Spark steps, all dealt by hash:
    occurs more than once.
 3. Each block's answers meet its own small table of documents and become rows.
 
-The number of buckets follows the bytes of all texts, so a bucket's share stays a few MB.
+The number of buckets follows the bytes of all texts, so a bucket's share stays a few MB. Blocks deal to at most 2**COARSE_BITS
+buckets, else their rows would hold an entry or two each. Beyond that (256 GB of text) a relay step gathers the entries of
+a coarse bucket from many blocks, some MB at a time, and deals them to its finer buckets; answers go back the same way.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 from .blocks import blocks, text_bytes
 
 BUCKET_BYTES = 4 << 20  # text bytes whose elements share a bucket
+COARSE_BITS = 16  # of the buckets that a block deals to
+RELAY_BYTES = 32 << 20  # entries that a relay gathers at a time
+_RELAY = 1 << 62  # marks a relay's number among those of blocks
 _ROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("state", pa.bool_()), ("payload", pa.binary())])
 
 
@@ -43,45 +48,96 @@ def _unplanes(data: bytes, width: int) -> np.ndarray:
 
 
 def bucket_bits(total_bytes: int) -> int:
-    return min(16, max(8, (max(1, total_bytes) // BUCKET_BYTES).bit_length()))
+    """Leading hash bits that name an element's bucket."""
+    return min(COARSE_BITS + 16, max(min(8, COARSE_BITS), (max(1, total_bytes) // BUCKET_BYTES).bit_length()))
+
+
+def _unique(values: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place of each distinct value, each value's number among them, and counts. Equal values whose checks differ are distinct."""
+    _, first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+    if check is not None and not np.array_equal(check[first][inverse], check):
+        pairs = np.stack([values, check.astype(np.uint64)], axis=1)
+        _, first, inverse, counts = np.unique(pairs, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, inverse.reshape(-1), counts
+
+
+def _pack(at: np.ndarray, low: np.ndarray, check: np.ndarray | None, counts: np.ndarray, keep: int) -> bytes:
+    """Entries of one bucket: ascending places, keep bytes of each hash, four of its check if there is one, counts."""
+    rest = zlib.compress(_planes(np.diff(at, prepend=0), 4) + _planes(counts, 4), 1)
+    return len(at).to_bytes(4, "little") + _planes(low, keep) + (b"" if check is None else _planes(check, 4)) + rest
+
+
+def _unpack(data: bytes, keep: int, checked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    a, b = 4 + n * keep, 4 + n * (keep + 4 * checked)
+    rest = zlib.decompress(data[b:])
+    places = np.cumsum(_unplanes(rest[: 4 * n], 4)).astype(np.int64)
+    return places, _unplanes(data[4:a], keep), _unplanes(data[a:b], 4) if checked else None, _unplanes(rest[4 * n :], 4)
+
+
+def _pack_reply(places: np.ndarray, totals: np.ndarray) -> bytes:
+    return zlib.compress(_planes(np.diff(places, prepend=0), 4) + _planes(np.minimum(totals, 2**32 - 1), 4), 1)
+
+
+def _unpack_reply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    reply = zlib.decompress(data)
+    half = len(reply) // 2
+    return np.cumsum(_unplanes(reply[:half], 4)).astype(np.int64), _unplanes(reply[half:], 4)
+
+
+def _deal(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places that are in it, ascending."""
+    order = np.argsort(buckets, kind="stable")
+    used, begin = np.unique(buckets[order], return_index=True)
+    for bucket, a, b in zip(used.tolist(), begin, [*begin[1:], len(order)], strict=True):
+        yield bucket, order[a:b]
+
+
+def _rows(bucket: list, chunk: list, state: list, payload: list) -> pa.Table:
+    return pa.table([pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), pa.array(state, pa.bool_()), pa.array(payload, pa.binary())], schema=_ROW)
 
 
 def corpus_counts(
     df: DataFrame,
     keys: list[str],
-    elements: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+    elements: Callable[[list[bytes]], tuple[np.ndarray, ...]],
     emit: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch],
     schema: str,
     hash_bytes: int,
     weight: str | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """For every element of every text, the number of its occurrences in all texts.
 
     df has the columns keys and text. elements(texts) returns all element hashes, text after text, and how many
-    each text has. emit(keys of a block, those numbers, totals aligned with the elements) makes the result's rows.
-    A hash counts with its bucket's bits and hash_bytes more bytes. With weight, a column of df, only the occurrences in rows
-    where it holds are counted; all rows are answered.
+    each text has; with checked also a 32-bit check of each, and elements are equal only if both are. emit(keys of a block, those
+    numbers, totals aligned with the elements) makes the result's rows. A hash counts with its bucket's bits and hash_bytes more
+    bytes. With weight, a column of df, only the occurrences in rows where it holds are counted; all rows are answered.
     """
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(int(total))
-    keep = min(hash_bytes, (64 - bits + 7) // 8)
+    coarse = min(bits, COARSE_BITS)
+    fine = bits - coarse
+    keep = min(hash_bytes + (fine + 7) // 8, (64 - coarse + 7) // 8)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for block in blocks(batches):
-            values, per = elements(text_bytes(block.column(block.schema.get_field_index("text"))))
+            values, per, *more = elements(text_bytes(block.column(block.schema.get_field_index("text"))))
             if not len(values):
                 continue
             chunk = (part << 32) | n
             n += 1
-            distinct, first, inverse, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+            first, inverse, counts = _unique(values, more[0] if checked else None)
             by_place = np.argsort(first)
             rank = np.empty(len(first), dtype=np.int64)
             rank[by_place] = np.arange(len(first))
             if weight:
                 own = np.array(block.column(block.schema.get_field_index(weight)).to_pylist(), dtype=np.float64)
                 counts = np.bincount(inverse, np.repeat(own, per), len(first)).astype(np.int64)
-            distinct, counts = distinct[by_place], counts[by_place]
+            counts, one = counts[by_place], first[by_place]
+            distinct = values[one]
+            check = more[0][one] if checked else None
             is_first = np.zeros(len(values), dtype=bool)
             is_first[first] = True
             state = {
@@ -92,36 +148,53 @@ def corpus_counts(
                 "n": len(values),
                 "later": rank[inverse[~is_first]].astype(np.uint32),
             }
-            buckets = (distinct >> np.uint64(64 - bits)).astype(np.uint16)
-            order = np.argsort(buckets, kind="stable")
-            used, begin = np.unique(buckets[order], return_index=True)
-            low = (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * keep if 8 * keep <= 64 - bits else bits)
-            payloads = []
-            for a, b in zip(begin, [*begin[1:], len(order)], strict=True):
-                at = order[a:b]
-                rest = zlib.compress(_planes(np.diff(at, prepend=0), 4) + _planes(counts[at], 4), 1)
-                payloads.append(len(at).to_bytes(4, "little") + _planes(low[at], keep) + rest)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([-1 - (part * 31 + n) % 65536, *used.astype(np.int64)], pa.int64()),
-                    pa.array([chunk] * (len(used) + 1), pa.int64()),
-                    pa.array([True] + [False] * len(used)),
-                    pa.array([zlib.compress(pickle.dumps(state), 1), *payloads], pa.binary()),
-                ],
-                schema=_ROW,
-            )
+            low = (distinct << np.uint64(coarse)) >> np.uint64(64 - 8 * keep if 8 * keep <= 64 - coarse else coarse)
+            dealt = [(k, _pack(at, low[at], None if check is None else check[at], counts[at], keep)) for k, at in _deal((distinct >> np.uint64(64 - coarse)).astype(np.uint32))]
+            used, payloads = zip(*dealt, strict=True)
+            states = zlib.compress(pickle.dumps(state), 1)
+            rows = _rows([-1 - (part * 31 + n) % 65536, *used], [chunk] * (len(used) + 1), [True] + [False] * len(used), [states, *payloads])
+            yield from rows.to_batches()
+
+    def relay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of a coarse bucket, from many blocks, to its finer buckets; rows come sorted by bucket."""
+        part, n, bucket, held, size = TaskContext.get().partitionId(), 0, None, [], 0
+
+        def pass_on() -> Iterator[pa.RecordBatch]:
+            nonlocal n, held, size
+            places, low, checks, counts = zip(*(_unpack(p, keep, checked) for _, p in held), strict=True)
+            number = _RELAY | (part << 32) | n
+            n += 1
+            state = {"chunks": [c for c, _ in held], "sizes": [len(x) for x in places], "places": [x.astype(np.uint32) for x in places]}
+            low, check, counts = np.concatenate(low), np.concatenate(checks) if checked else None, np.concatenate(counts)
+            width = min(8 * keep, 64 - coarse)  # bits that low has
+            used, payloads = zip(*((k, _pack(at, low[at], None if check is None else check[at], counts[at], keep)) for k, at in _deal(low >> np.uint64(width - fine))), strict=True)
+            rows = _rows(
+                [-1 - (part * 31 + n) % 65536, *((bucket << fine) | k for k in used)], [number] * (len(used) + 1), [True] + [False] * len(used),
+                [zlib.compress(pickle.dumps(state), 1), *payloads],
+            )
+            held, size = [], 0
+            yield from rows.to_batches()
+
+        for batch in batches:
+            for k, chunk, is_state, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if is_state:
+                    yield from _rows([k], [chunk], [True], [payload]).to_batches()
+                    continue
+                if held and (k != bucket or size > RELAY_BYTES):
+                    yield from pass_on()
+                bucket = k
+                held.append((chunk, payload))
+                size += len(payload)
+        if held:
+            yield from pass_on()
 
     def answer(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() < 0:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
             return table
-        chunks, hashes, places, counts = table.column("chunk").to_pylist(), [], [], []
-        for payload in table.column("payload").to_pylist():
-            n = int.from_bytes(payload[:4], "little")
-            hashes.append(_unplanes(payload[4 : 4 + n * keep], keep))
-            rest = zlib.decompress(payload[4 + n * keep :])
-            places.append(np.cumsum(_unplanes(rest[: 4 * n], 4)))
-            counts.append(_unplanes(rest[4 * n :], 4))
-        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        chunks = table.column("chunk").to_pylist()
+        places, hashes, checks, counts = zip(*(_unpack(p, keep, checked) for p in table.column("payload").to_pylist()), strict=True)
+        _, inverse, _ = _unique(np.concatenate(hashes), np.concatenate(checks) if checked else None)
         totals = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.uint64)[inverse]
         out, at = [], 0
         for chunk, place in zip(chunks, places, strict=True):
@@ -129,18 +202,28 @@ def corpus_counts(
             at += len(place)
             many = np.flatnonzero(mine > 1)
             if len(many):
-                reply = _planes(np.diff(place[many], prepend=np.uint64(0)), 4) + _planes(np.minimum(mine[many], 2**32 - 1), 4)
-                out.append((chunk, zlib.compress(reply, 1)))
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table(
-            [
-                pa.array([bucket] * len(out), pa.int64()),
-                pa.array([c for c, _ in out], pa.int64()),
-                pa.array([False] * len(out), pa.bool_()),
-                pa.array([p for _, p in out], pa.binary()),
-            ],
-            schema=_ROW,
-        )
+                out.append((chunk, _pack_reply(place[many], mine[many])))
+        return _rows([bucket] * len(out), [c for c, _ in out], [False] * len(out), [p for _, p in out])
+
+    def relay_back(table: pa.Table) -> pa.Table:
+        """A relay's answers to the blocks that asked; what is a block's own stays."""
+        if table.column("chunk")[0].as_py() < _RELAY:
+            return table
+        flags, payloads = table.column("state").to_pylist(), table.column("payload").to_pylist()
+        state = pickle.loads(zlib.decompress(payloads[flags.index(True)]))
+        totals = np.zeros(sum(state["sizes"]), dtype=np.uint64)
+        for flag, payload in zip(flags, payloads, strict=True):
+            if not flag:
+                at, mine = _unpack_reply(payload)
+                totals[at] = mine
+        out, at = [], 0
+        for chunk, place in zip(state["chunks"], state["places"], strict=True):
+            mine = totals[at : at + len(place)]
+            at += len(place)
+            many = np.flatnonzero(mine)
+            if len(many):
+                out.append((chunk, _pack_reply(place[many].astype(np.int64), mine[many])))
+        return _rows([0] * len(out), [c for c, _ in out], [False] * len(out), [p for _, p in out])
 
     def resolve(table: pa.Table) -> pa.Table:
         flags, payloads = table.column("state").to_pylist(), table.column("payload").to_pylist()
@@ -149,9 +232,8 @@ def corpus_counts(
         totals = np.ones(int(is_first.sum()), dtype=np.int64)
         for flag, payload in zip(flags, payloads, strict=True):
             if not flag:
-                reply = zlib.decompress(payload)
-                half = len(reply) // 2
-                totals[np.cumsum(_unplanes(reply[:half], 4)).astype(np.int64)] = _unplanes(reply[half:], 4)
+                at, mine = _unpack_reply(payload)
+                totals[at] = mine
         entry = np.empty(state["n"], dtype=np.int64)
         entry[is_first] = np.arange(len(totals))
         entry[~is_first] = state["later"]
@@ -160,5 +242,9 @@ def corpus_counts(
 
     row = "bucket long, chunk long, state boolean, payload binary"
     asked = df.select(*keys, *([weight] if weight else []), "text").mapInArrow(ask, row)
+    if fine:
+        asked = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(relay, row)
     answered = asked.groupBy("bucket").applyInArrow(answer, row)
+    if fine:
+        answered = answered.groupBy("chunk").applyInArrow(relay_back, row)
     return answered.groupBy("chunk").applyInArrow(resolve, schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barline.llm import bpe, chat_format, decontaminate, language_id, near_dedup, pretokens, quality_rules, registry, substring_dedup, token_scan, toxicity, warc
+from barline.llm import bpe, chat_format, decontaminate, exchange, language_id, near_dedup, pretokens, quality_rules, registry, substring_dedup, token_scan, toxicity, warc
 from compare import assert_same
 
 DOC = "doc_id long, text string, extra int, id int, bucket string"
@@ -46,6 +46,24 @@ def test_substring_dedup_matches_brute_force(spark, odd_texts):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_with_relays_and_colliding_hashes(spark, monkeypatch):
+    """Finer buckets through relays, as beyond 256 GB of text; and windows whose main hashes collide are told apart by their checks."""
+    rng = random.Random(8)
+    shared = [words(rng, 60) for _ in range(5)]
+    texts = [" ".join([words(rng, 80), rng.choice(shared), words(rng, 40)]) for _ in range(80)]
+    want = substring_dedup.brute_force(texts)
+    got = lambda: {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in substring_dedup.remove_repeats(frame(spark, texts).repartition(4)).collect()}
+    monkeypatch.setattr(exchange, "COARSE_BITS", 3)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 1 << 10)
+    monkeypatch.setattr(exchange, "RELAY_BYTES", 1 << 14)
+    assert exchange.bucket_bits(10**5) > 3
+    assert [got()[i] for i in range(80)] == want
+    monkeypatch.undo()
+    values, check = np.array([5, 7, 5, 5], np.uint64), np.array([1, 1, 2, 1], np.uint64)
+    first, inverse, counts = exchange._unique(values, check)
+    assert sorted(counts.tolist()) == [1, 1, 2] and inverse[0] == inverse[3] != inverse[2] and len(first) == 3
+
+
 def test_bpe_equals_the_library(spark, odd_texts):
     from tokenizers import Tokenizer
 
