@@ -7,10 +7,10 @@ meets its plain form. Trees and calibration are fitted by Spark on disjoint part
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import blocks, hash_words
+from .bpe import distinct
 from .near_dedup import near_duplicate_classes
+from .pretokens import LETTER, char_classes
 from .store import materialize
 
 SAMPLE = 6000  # labelled texts of each class that the fit uses, by the order of their ids' hashes
@@ -29,8 +31,8 @@ LEXICON = 300  # most words of the lexicon
 MIN_TEXTS, MIN_LOG_ODDS = 8, 2.5  # support and least log odds of a lexicon word
 REACH = 8  # words between a lexicon word and a second person
 TREES, DEPTH = 20, 3
-# Second-person words of the corpus languages, and signs that stand for letters.
-SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch sie tú ti usted ustedes vos".split())
+# Second-person words of the corpus languages that mean little else in the other ones, and signs that stand for letters.
+SECOND_PERSON = frozenset("you your yours yourself u ur tu toi vous votre vos dich dir dein deine euch tú usted ustedes".split())
 LOOK_ALIKES = str.maketrans("01345789@$!|+", "oieastbgasiit")
 FEATURES = (
     "hit_density", "hit_log", "hit_weight", "weight_density", "distinct_hits", "masked_hits", "second_person_near", "second_person_rate", "capitals",
@@ -53,66 +55,104 @@ def fold(word: str) -> str:
     return _RUN.sub(r"\1", core)
 
 
+def word_kind(word: str, lexicon: dict[str, tuple[float, int]]) -> tuple[float, ...]:
+    """Lexicon weight, whether it only matches folded, second person, capitals, mixed signs, a single letter, place in the lexicon or -1."""
+    inner = word.strip(_EDGE + "@$!|+*?.,")
+    plain, folded = inner.lower(), fold(word)
+    weight, place = lexicon.get(folded, (0.0, -1))
+    mixed = any(map(str.isalpha, inner)) and not inner.isalpha()
+    return weight, weight > 0 and plain != folded, plain in SECOND_PERSON, len(inner) > 1 and inner.isupper(), mixed, len(word) == 1 and word.isalpha(), place
+
+
 class WordKinds(dict):
-    """For each word met: lexicon weight, whether it only matches folded, second person, capitals, mixed signs."""
+    """word_kind of the words met, by their UTF-8 bytes."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, tuple[float, int]]):
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[float, bool, bool, bool, bool]:
-        plain, folded = word.strip(_EDGE + "@$!|+*?.,").lower(), fold(word)
-        weight = self.lexicon.get(folded, 0.0)
-        inner = word.strip(_EDGE + "@$!|+*?.,")
-        mixed = any(c.isalpha() for c in inner) and any(not c.isalpha() for c in inner)
-        kind = (weight, weight > 0 and plain != folded, plain in SECOND_PERSON, len(inner) > 1 and inner.isupper(), mixed)
+    def __missing__(self, word: bytes) -> tuple[float, ...]:
+        kind = word_kind(word.decode(), self.lexicon)
         if len(self) < 1 << 18:
             self[word] = kind
         return kind
 
 
-def features(text: str | None, kinds: WordKinds) -> list[float]:
-    """Dense features of one whole text; all zero for an empty one."""
-    words = _WORD.findall(text or "")
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
-    found = [kinds[w] for w in words]
-    hits = [(i, k) for i, k in enumerate(found) if k[0] > 0]
-    single, masked = [], sum(k[1] for _, k in hits)
-    for i, w in enumerate([*words, "  "]):  # letters set apart by spaces
-        if len(w) == 1 and w.isalpha():
-            single.append(w)
-        else:
-            if len(single) > 3 and (weight := kinds.lexicon.get(fold("".join(single)), 0.0)):
-                hits.append((i - 1, (weight, True, False, False, False)))
-                masked += 1
-            single = []
-    second = np.array([i for i, k in enumerate(found) if k[2]])
-    near = 0.0
-    for i, _ in hits:
-        if len(second):
-            at = np.searchsorted(second, i)
-            gap = min(abs(int(second[j]) - i) for j in (at - 1, at) if 0 <= j < len(second))
-            near = max(near, 1 / (1 + gap) if gap <= REACH else 0.0)
-    letters = sum(map(str.isalpha, text)) or 1
-    upper = sum(map(str.isupper, text))
-    weights = [k[0] for _, k in hits]
-    return [
-        len(hits) / n, math.log1p(len(hits)), max(weights, default=0.0), sum(weights) / n, float(len({fold(words[min(i, n - 1)]) for i, _ in hits})), float(masked), near, len(second) / n,
-        upper / letters, sum(k[3] for k in found) / n, text.count("!") / n, sum(map(text.count, ".,;:!?*#@$")) / n, sum(k[4] for k in found) / n, math.log1p(n),
+@lru_cache(maxsize=1)
+def _signs() -> np.ndarray:
+    """For each code point: bit 1 letter, 2 capital, 4 exclamation mark, 8 punctuation."""
+    out = (char_classes() == LETTER).astype(np.uint8)
+    out[[c for c in range(0x110000) if chr(c).isupper()]] |= 2
+    out[ord("!")] |= 4
+    out[[ord(c) for c in ".,;:!?*#@$"]] |= 8
+    return out
+
+
+def spaced_words(letter: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of more than three single letters in one text."""
+    edge = np.flatnonzero(np.concatenate([[True], (letter[1:] != letter[:-1]) | (text[1:] != text[:-1]), [True]]))
+    first, last = edge[:-1], edge[1:] - 1
+    runs = letter[first] & (last - first >= 3)
+    return first[runs], last[runs]
+
+
+def block_features(texts: list[str], kinds: WordKinds) -> np.ndarray:
+    """Dense features of whole texts, a row each; all zero for one without words. Distinct words are judged once, the rest are array sums."""
+    raw = [t.encode() for t in texts]
+    words, size = hash_words(raw), len(texts)
+    text, n = words.text_of(), words.counts
+    out = np.zeros((size, len(FEATURES)))
+    if not len(text):
+        return out
+    one, inverse, _ = distinct(np.frombuffer(words.buffer, dtype=np.uint8), words.starts, words.ends)
+    spans = zip(words.starts[one].tolist(), words.ends[one].tolist(), strict=True)
+    table = np.array([kinds[words.buffer[a:b]] for a, b in spans], dtype=np.float64).T[:, inverse]
+    weight, masked, second, capital, mixed, letter, place = table
+    hit = np.flatnonzero(weight > 0)
+    joined = []
+    for a, b in zip(*spaced_words(letter > 0, text), strict=True):
+        plain = b"".join(words.buffer[words.starts[i] : words.ends[i]] for i in range(a, b + 1)).decode()
+        if (found := kinds.lexicon.get(fold(plain))) is not None:
+            joined.append((b, *found))
+    at, more_weight, more_place = (np.array(x) for x in zip(*joined, strict=True)) if joined else (np.empty(0, np.int64),) * 3
+    where = np.concatenate([hit, at.astype(np.int64)])
+    of, gain = text[where], np.concatenate([weight[hit], more_weight])
+    hits = np.bincount(of, minlength=size)
+    most, near, kinds_hit = np.zeros(size), np.zeros(size), np.zeros(size)
+    np.maximum.at(most, of, gain)
+    pairs = np.unique(np.stack([of, np.concatenate([place[hit], more_place]).astype(np.int64)], axis=1), axis=0)
+    kinds_hit += np.bincount(pairs[:, 0], minlength=size)
+    them = np.flatnonzero(second > 0)
+    if len(them) and len(where):
+        right = np.searchsorted(them, where)
+        for side in (right - 1, right):
+            ok = (side >= 0) & (side < len(them))
+            other = them[np.clip(side, 0, len(them) - 1)]
+            gap = np.abs(other - where)
+            ok &= (text[other] == of) & (gap <= REACH)
+            np.maximum.at(near, of[ok], 1 / (1 + gap[ok]))
+    signs = _signs()[np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    count = lambda bit: np.diff(np.concatenate([[0], np.cumsum((signs & bit) > 0)])[ends])
+    sums = lambda values: np.bincount(text, values, size)
+    some = np.maximum(n, 1)
+    columns = [
+        hits / some, np.log1p(hits), most, np.bincount(of, gain, size) / some, kinds_hit, sums(masked) + np.bincount(text[at.astype(np.int64)], minlength=size), near, sums(second) / some,
+        count(2) / np.maximum(count(1), 1), sums(capital) / some, count(4) / some, count(8) / some, sums(mixed) / some, np.log1p(n),
     ]
+    return np.where((n > 0)[:, None], np.stack(columns, axis=1), 0.0)
 
 
 def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """All columns of rows but text, with the array column features of text."""
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+    shared = rows.sparkSession.sparkContext.broadcast({w: (x, i) for i, (w, x) in enumerate(sorted(lexicon.items()))})
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = WordKinds(shared.value)
         for block in blocks(batches):
-            values = [features(t, kinds) for t in block.column(len(others)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*block.columns[: len(others)], pa.array(values, pa.list_(pa.float64()))], names=[*others, "features"])
+            values = block_features([t or "" for t in block.column(len(others)).to_pylist()], kinds)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * len(FEATURES), pa.int32()), pa.array(values.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*block.columns[: len(others)], lists], names=[*others, "features"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
     return rows.select(*others, "text").mapInArrow(run, f"{schema}, features array<double>")
@@ -153,8 +193,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on, sample: int = SAMPLE,
     """Every row of docs with score and predicted, learned from labels(id_col, toxic) of the rows where the column train_on holds.
 
     Repeated labels of an id count as their greatest; null labels and ids are left out. At most sample texts of each class are
-    used. Without texts of both classes every score is the share of toxic labels. Null and empty texts have all
-    features 0 and are scored like any other.
+    used; of rows with equal ids all texts are. Without texts of both classes every score is the share of toxic labels. Null and
+    empty texts have all features 0 and are scored like any other; very long ones are read whole. Repeated rows come back repeated, an
+    empty table gives no rows, and only id_col, text_col and toxic are read, so no other column can clash.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col), F.col("toxic")).where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & train_on)

@@ -57,7 +57,7 @@ def test_substring_dedup_with_relays_and_colliding_hashes(spark, monkeypatch):
     monkeypatch.setattr(exchange, "BUCKET_BYTES", 1 << 10)
     monkeypatch.setattr(exchange, "RELAY_BYTES", 1 << 14)
     assert exchange.bucket_bits(10**5) > 3
-    assert [got()[i] for i in range(80)] == want
+    assert got() == dict(enumerate(want))
     monkeypatch.undo()
     values, check = np.array([5, 7, 5, 5], np.uint64), np.array([1, 1, 2, 1], np.uint64)
     first, inverse, counts = exchange._unique(values, check)
@@ -304,6 +304,43 @@ def test_language_id_learns_and_rejects(spark, sf):
     assert {r["lang_pred"] for r in language_id.predict(frame(spark, ["abc"]), language_id.train(docs.limit(0))).collect()} == {"und"}
 
 
+def plain_features(text, lexicon):
+    """The features of one text by a plain loop over its words."""
+    tokens = [w.decode() for w in (text or "").encode().split()]
+    found, n = [toxicity.word_kind(w, lexicon) for w in tokens], len(tokens)
+    if not n:
+        return [0.0] * len(toxicity.FEATURES)
+    hits = [(i, k[0], k[6]) for i, k in enumerate(found) if k[0] > 0]
+    masked, single = sum(k[1] for k in found), []
+    for i, w in enumerate([*tokens, "  "]):  # letters set apart by spaces
+        if len(w) == 1 and w.isalpha():
+            single.append(w)
+        else:
+            at = lexicon.get(toxicity.fold("".join(single)))
+            if len(single) > 3 and at:
+                hits.append((i - 1, at[0], at[1]))
+                masked += 1
+            single = []
+    second = [i for i, k in enumerate(found) if k[2]]
+    gaps = [abs(i - j) for i, _, _ in hits for j in second]
+    near = 1 / (1 + min(gaps)) if gaps and min(gaps) <= toxicity.REACH else 0.0
+    weights = [w for _, w, _ in hits]
+    return [
+        len(hits) / n, np.log1p(len(hits)), max(weights, default=0.0), sum(weights) / n, len({k for _, _, k in hits}), masked, near, len(second) / n, sum(map(str.isupper, text)) / (sum(map(str.isalpha, text)) or 1),
+        sum(k[3] for k in found) / n, text.count("!") / n, sum(map(text.count, ".,;:!?*#@$")) / n, sum(k[4] for k in found) / n, np.log1p(n),
+    ]
+
+
+def test_toxicity_features_match_a_plain_loop():
+    rng = random.Random(16)
+    lexicon = {w: (0.5 + i, i) for i, w in enumerate(["scum", "blockhead", "loser", "dolt"])}
+    bits = ["scum", "S.C.U.M", "bl0ckhead", "you", "Your", "s c u m", "d o l t", "l o s e r", "a b c d", "I", "x", "HELLO", "fine,", "w0rd", "!", "...", "é", "ÀÉ", "dolt!", "\n", "\t", "☃", "vous"]
+    texts = [None, "", " ", "s c u m", "you scum", *(" ".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(200)), "scum " * 3000]
+    kinds = toxicity.WordKinds(lexicon)
+    got = toxicity.block_features([t or "" for t in texts], kinds)
+    assert np.allclose(got, [plain_features(t, lexicon) for t in texts], atol=1e-12)
+
+
 def test_toxicity_separates_planted_texts(spark):
     rng = random.Random(11)
     texts, labels = [], []
