@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,22 +34,30 @@ def explorer_profile(sector: Column, industry: Column, market_cap: Column, ticke
     return chain([(small & F.lower(ticker).endswith(".ax"), "aus_small_cap_explorers"), (small, "small_cap_explorers")], "generic")
 
 
+def carried_from(end: int, lengths: np.ndarray, overlap: int) -> int:
+    """First of the words before end that a next chunk repeats: as many whole last words as fit, each with one space."""
+    back = np.cumsum(lengths[:end][::-1] + 1)
+    return end - int(np.searchsorted(back, overlap, side="right"))
+
+
 def pack_paragraphs(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
-    """Paragraphs packed up to size characters; a new chunk begins with the last words of the one before, overlap characters at most."""
-    chunks, current = [], ""
-    for part in filter(None, (p.strip() for p in text.split("\n\n"))):
-        if current and len(current) + len(part) + 2 > size:
-            chunks.append(current.strip())
-            carried, room = [], overlap
-            for word in reversed(current.split()):
-                room -= len(word) + 1
-                if room < 0:
-                    break
-                carried.append(word)
-            current = " ".join(reversed(carried)) + "\n\n" + part
-        else:
-            current = f"{current}\n\n{part}" if current else part
-    return chunks + ([current.strip()] if current.strip() else [])
+    """Paragraphs packed up to size characters; a new chunk begins with the last words of the one before, overlap characters at most.
+
+    Running sums of the paragraphs' lengths give each cut by a search; a paragraph longer than size is a chunk's only one.
+    """
+    parts = [p for p in map(str.strip, text.split("\n\n")) if p]
+    total = np.concatenate([[0], np.cumsum([len(p) + 2 for p in parts])])
+    chunks, at, lead = [], 0, ""
+    while at < len(parts):
+        begin = len(lead) + 2 if chunks else 0  # the carried words and their gap, even if there are none
+        # the next paragraph comes in while all of them, with gaps, stay within size; the first one always does
+        end = max(at + 1, int(np.searchsorted(total, total[at] + size + 2 - begin, side="right")) - 1)
+        chunk = "\n\n".join([lead, *parts[at:end]] if chunks else parts[at:end])
+        chunks.append(chunk.strip())
+        words = chunk.split()
+        lead = " ".join(words[carried_from(len(words), np.array([len(w) for w in words]), overlap) :])
+        at = end
+    return chunks
 
 
 def chunk_text(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:

@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import chain
 from ..operators import repair, text
 from ..sources.tables import bars, securities, table
 from .sql import BARS, SECURITIES
 
 
-def glitched(spark, d):
-    """Each ticker's bars on a calm price path, with a doubled block of four bars."""
+BLOCKS = [2.0, 3.0, 4.0, 5.0, 8.0, 10.0, 2.5, 1.7]  # the last two are no island: not a clean ratio, too small a jump
+SPLITS = [2.0, 0.5, 3.0, 1.2, 10.0, 0.1]  # 1.2 is too small to be looked for
+
+
+def _calm(spark, d):
+    """Stored bars on a calm scale around 50, with each ticker's number t and its bars' ordinals i."""
     b = bars(spark, d, references=False)
-    n = F.datediff("date", F.lit("1995-01-01").cast("date"))
-    calm = 50 + 5 * F.sin(n / 50)
-    lift = F.when(n.between(800, 803), 2.0).otherwise(1.0)
-    price = calm * lift
-    return b.select("ticker", "date", *(price.alias(c) for c in repair.SCALED), (F.col("volume") / lift).alias("volume"), F.lit(0.0).alias("dividend"), F.lit(0.0).alias("split"))
+    i = F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1
+    return b.select("ticker", "date", (50 + (F.col("close") - 1500) / 49999).alias("price"), "volume", F.substring("ticker", 2, 20).cast("int").alias("t"), i.alias("i"))
+
+
+def _pick(values, k):
+    return F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+
+
+def glitched(spark, d):
+    """Two blocks a ticker at another scale: their place, length (1 to 12 bars), ratio and direction vary by ticker."""
+    t, i = F.col("t"), F.col("i")
+    first = 100 + (t * 37) % 300
+    one, two = i.between(first, first + t % 12), i.between(first + 400, first + 400 + (t * 5) % 10)
+    lift = F.when(one, _pick(BLOCKS, t % 8)).when(two, _pick(BLOCKS, (t + 3) % 8)).otherwise(1.0)
+    b = _calm(spark, d).withColumn("lift", F.when(t % 3 == 0, 1 / lift).otherwise(lift))
+    price = F.col("price") * F.col("lift")
+    return b.select("ticker", "date", *(price.alias(c) for c in repair.SCALED), (F.col("volume") / F.col("lift")).alias("volume"), F.lit(0.0).alias("dividend"), F.lit(0.0).alias("split"))
 
 
 def split_bars(spark, d):
-    """The calm path with a two-for-one split filed on a day and never applied to earlier bars."""
-    b = bars(spark, d, references=False)
-    n = F.datediff("date", F.lit("1995-01-01").cast("date"))
-    price = (50 + 5 * F.sin(n / 50)) * F.when(n < 1000, 2.0).otherwise(1.0)
-    return b.select("ticker", "date", *(price.alias(c) for c in repair.SCALED), "volume", F.lit(0.0).alias("dividend"), F.when(n == 1000, 2.0).otherwise(0.0).alias("split"))
+    """A split filed for every ticker, some bars away from its day and for some twice: never applied, applied, applied but for one
+    bar, or never applied and with bars of both scales around it."""
+    t, i = F.col("t"), F.col("i")
+    day, ratio, state = 200 + (t * 53) % 600, _pick(SPLITS, t % 6), t % 4
+    old = chain([(state == 0, i < day), (state == 1, F.lit(False)), (state == 2, i == day + 3)], ((i < day) & (i != day - 3)) | (i == day + 2) | (i == day + 4))
+    filed = (i == day + t % 5 - 2) | ((t % 7 == 3) & (i == day + t % 5 + 1))
+    b = _calm(spark, d).select("ticker", "date", (F.col("price") * F.when(old, ratio).otherwise(1.0)).alias("price"), "volume", F.when(filed, ratio).otherwise(0.0).alias("split"))
+    return b.select("ticker", "date", *(F.col("price").alias(c) for c in repair.SCALED), "volume", F.lit(0.0).alias("dividend"), "split")
 
 
 def islands_summary(spark, d):
@@ -64,10 +85,10 @@ def caps(spark, d):
 
 QUERIES = {
     "price_islands": islands_summary,
-    "repair_islands": lambda s, d: repair.repair_islands(glitched(s, d), repair.price_islands(glitched(s, d))).select("ticker", "date", F.round("close", 4).alias("close"), F.round("volume", 4).alias("volume")),
+    "repair_islands": lambda s, d: repair.repair_islands(glitched(s, d), repair.price_islands(glitched(s, d))).select("ticker", "date", F.round("close", 8).alias("close"), F.round("volume", 4).alias("volume")),
     "unadjusted_splits": lambda s, d: repair.unadjusted_splits(split_bars(s, d)).select("ticker", "split_date", "factor", "jump_date"),
-    "dedupe_splits": lambda s, d: repair.dedupe_splits(repair.unadjusted_splits(split_bars(s, d)).unionByName(repair.unadjusted_splits(split_bars(s, d)))).select("ticker", "split_date", "jump_date"),
-    "repair_splits": lambda s, d: repair.repair_splits(split_bars(s, d), repair.dedupe_splits(repair.unadjusted_splits(split_bars(s, d)))).select("ticker", "date", F.round("close", 4).alias("close"), F.round("volume", 4).alias("volume")),
+    "dedupe_splits": lambda s, d: repair.dedupe_splits(repair.unadjusted_splits(split_bars(s, d))).select("ticker", "split_date", "jump_date"),
+    "repair_splits": lambda s, d: repair.repair_splits(split_bars(s, d), repair.dedupe_splits(repair.unadjusted_splits(split_bars(s, d)))).select("ticker", "date", F.round("close", 8).alias("close"), F.round("volume", 4).alias("volume")),
     "metric_parse": lambda s, d: caps(s, d).select("c_custkey", text.metric_parse(F.col("text")).alias("value"), text.cap_parse(F.col("text")).alias("cap")),
     "explorer_profile": lambda s, d: securities(s, d).where("quote_type = 'EQUITY'").select(
         "ticker", text.explorer_profile(F.when(F.col("sector") == "S1", "Basic Materials").otherwise(F.col("sector")), F.when(F.col("industry") == "N2", "Gold Explorers").otherwise(F.col("industry")), F.col("market_cap"), F.concat("ticker", F.when(F.col("region") == "AU", ".AX").otherwise(""))).alias("profile")
@@ -81,21 +102,51 @@ QUERIES = {
     "notice_parse": lambda s, d: text.notice_parse(table(s, d, "pages")),
 }
 
-_CALM = "(50 + 5 * sin(datediff('day', DATE '1995-01-01', date) / 50))"
-_N = "datediff('day', DATE '1995-01-01', date)"
-_FIRST = "nt AS (SELECT ticker, min(date) FILTER (n >= 800) AS a, min(date) FILTER (n >= 804) AS z, max(date) FILTER (n <= 803) AS y, count(*) FILTER (n BETWEEN 800 AND 803) AS k FROM (SELECT *, " + _N + " AS n FROM bars) GROUP BY ticker)"
+_L8, _L6 = (str(list(x)) for x in (BLOCKS, SPLITS))
+_CALM = "cb AS (SELECT ticker, date, 50 + (close - 1500) / 49999 AS price, volume, CAST(substr(ticker, 2) AS INTEGER) AS t, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM bars)"
+_MOVES = "mv AS MATERIALIZED (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY i) AS mv, count(*) OVER (PARTITION BY ticker) AS n FROM {})"
+# islands: the opening jump at bar s, the closing one at e; one that begins inside an earlier island is none
+_ISLANDS = f"""{BARS}, {_CALM},
+gb AS MATERIALIZED (SELECT ticker, date, i, price * l AS close, volume / l AS volume FROM (SELECT *, CASE WHEN t % 3 = 0 THEN 1 / f ELSE f END AS l FROM (
+  SELECT *, CASE WHEN i BETWEEN 100 + t * 37 % 300 AND 100 + t * 37 % 300 + t % 12 THEN {_L8}[t % 8 + 1] WHEN i BETWEEN 500 + t * 37 % 300 AND 500 + t * 37 % 300 + t * 5 % 10 THEN {_L8}[(t + 3) % 8 + 1] ELSE 1.0 END AS f FROM cb))),
+{_MOVES.format("gb")},
+big AS (SELECT * FROM mv WHERE abs(mv) >= ln(1.8)),
+cand AS (SELECT a.ticker, a.i AS s, a.mv AS m, min(b.i) AS e FROM big a JOIN mv b ON b.ticker = a.ticker AND b.i > a.i AND b.i <= a.i + 10 AND abs(b.mv + a.mv) < ln(1.05) GROUP BY ALL),
+quiet AS (SELECT c.*, median(abs(x.mv)) AS md, count(*) AS k FROM cand c JOIN mv x ON x.ticker = c.ticker AND (x.i BETWEEN s - 30 AND s - 1 OR x.i BETWEEN e + 1 AND e + 30) WHERE abs(x.mv) > 0 GROUP BY ALL),
+okay AS (SELECT * FROM quiet q WHERE k >= 5 AND abs(m) >= 8 * md AND EXISTS (SELECT 1 FROM (VALUES (2), (3), (4), (5), (8), (10), (20), (25), (40), (50), (100)) r(x) WHERE abs(abs(m) - ln(x)) < ln(1.05))
+  AND NOT EXISTS (SELECT 1 FROM big z WHERE z.ticker = q.ticker AND z.i > s AND z.i < e) AND (SELECT min(close) FROM mv z WHERE z.ticker = q.ticker AND z.i BETWEEN s - 2 AND e) >= 0.1),
+isl AS MATERIALIZED (SELECT * FROM okay a WHERE NOT EXISTS (SELECT 1 FROM okay b WHERE b.ticker = a.ticker AND b.s < a.s AND a.s <= b.e))"""
+_SPLITS = f"""{BARS}, {_CALM},
+sb AS MATERIALIZED (SELECT ticker, date, i, volume, price * CASE WHEN CASE t % 4 WHEN 0 THEN i < d WHEN 1 THEN false WHEN 2 THEN i = d + 3 ELSE (i < d AND i <> d - 3) OR i = d + 2 OR i = d + 4 END THEN r ELSE 1.0 END AS close,
+  CASE WHEN i = d + t % 5 - 2 OR (t % 7 = 3 AND i = d + t % 5 + 1) THEN r ELSE 0.0 END AS split FROM (SELECT *, 200 + t * 53 % 600 AS d, {_L6}[t % 6 + 1] AS r FROM cb)),
+{_MOVES.format("sb")}, mq AS (SELECT ticker, i, date, close, mv, n FROM mv),
+fs AS (SELECT ticker, date AS split_date, split, ln(1 / split) AS sz, i AS pl FROM sb WHERE split NOT IN (0, 1) AND abs(ln(1 / split)) >= ln(1.5)),
+ky AS (SELECT fs.*, first(i ORDER BY abs(mv - sz), i) AS k, min(abs(mv - sz)) AS miss, median(close) AS level FROM fs JOIN mq USING (ticker) WHERE i BETWEEN greatest(1, pl - 7) AND pl + 7 AND n >= 6 GROUP BY ALL HAVING count(*) >= 2),
+lv AS (SELECT ky.*, median(close) FILTER (i BETWEEN k - 10 AND k - 1) AS o, median(close) FILTER (i BETWEEN k AND k + 9) AS w FROM ky JOIN mq USING (ticker) GROUP BY ALL),
+raw AS (SELECT *, miss <= ln(1.1) AND abs(ln(w / o) - sz) <= ln(1.5) AS raw FROM lv),
+cls AS (SELECT ticker, split_date, split, k, date, i, abs(ln(close / o)) < abs(ln(close / w)) AS old FROM raw JOIN mq USING (ticker) WHERE raw AND i BETWEEN k - 7 AND k + 7),
+jd AS (SELECT ticker, split_date, split, min(date) AS cut, coalesce(max(i) FILTER (old) + 1, min(i)) AS j, max(i) AS z FROM cls GROUP BY ALL),
+st AS (SELECT ticker, split_date, r.split, mq.date, CASE WHEN abs(ln(close / level) + sz) < ln(1.1) THEN 1 / r.split ELSE r.split END AS mult, count(*) OVER (PARTITION BY ticker, split_date) AS k
+  FROM raw r JOIN mq USING (ticker) WHERE NOT raw AND i BETWEEN greatest(1, pl - 7) AND pl + 7 AND least(abs(ln(close / level) + sz), abs(ln(close / level) - sz)) < ln(1.1)),
+us AS MATERIALIZED (SELECT jd.ticker, split_date, split, cut, mv.date AS jump_date FROM jd JOIN (SELECT ticker, i, date FROM mv) mv ON mv.ticker = jd.ticker AND mv.i = least(j, z)
+  UNION ALL SELECT ticker, split_date, split, NULL, min(date) FROM st WHERE k <= 2 GROUP BY ticker, split_date, split)"""
+_ONCE = "du AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, jump_date ORDER BY split_date) AS r FROM us) WHERE r = 1)"
 _MERGED = """n0 AS (SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS ann_id, CAST(o_orderdate AS DATE) AS date, 'I' || (o_custkey % 40) AS ticker, ['initial', 'change', 'cease'][o_custkey % 3 + 1] AS action, o_orderpriority AS holder, row_number() OVER (PARTITION BY o_orderkey % 5000 ORDER BY o_orderkey) AS k FROM orders),
 mg AS (SELECT ann_id, date, ticker, action, holder FROM n0 WHERE k = 1)"""
 
 SQL = {
-    "price_islands": f"WITH {BARS}, {_FIRST} SELECT ticker, a AS start, y AS \"end\", k AS n, CAST(0.5 AS DOUBLE) AS mult FROM nt WHERE k > 0 AND z IS NOT NULL",
-    "repair_islands": f"""WITH {BARS}, g AS (SELECT ticker, date, {_N} AS n, {_CALM} * l AS close, volume / l AS volume FROM (SELECT *, CASE WHEN {_N} BETWEEN 800 AND 803 THEN 2.0 ELSE 1.0 END AS l FROM bars)),
-m AS (SELECT ticker, arg_max(close, date) FILTER (n < 800) / arg_min(close, date) FILTER (n BETWEEN 800 AND 803) AS mult FROM g GROUP BY ticker),
-r AS (SELECT g.*, CASE WHEN n BETWEEN 800 AND 803 THEN mult ELSE 1.0 END AS f FROM g JOIN m USING (ticker)) SELECT ticker, date, round(close * f, 4) AS close, round(volume / f, 4) AS volume FROM r""",
-    "unadjusted_splits": f"WITH {BARS} SELECT ticker, date AS split_date, CAST(0.5 AS DOUBLE) AS factor, date AS jump_date FROM bars WHERE {_N} = 1000",
-    "dedupe_splits": f"WITH {BARS} SELECT ticker, date AS split_date, date AS jump_date FROM bars WHERE {_N} = 1000",
-    "repair_splits": f"""WITH {BARS}, s AS (SELECT ticker FROM bars WHERE {_N} = 1000) SELECT ticker, date, round({_CALM} * CASE WHEN {_N} < 1000 AND ticker NOT IN (SELECT ticker FROM s) THEN 2.0 ELSE 1.0 END, 4) AS close,
-  round(volume * CASE WHEN {_N} < 1000 AND ticker IN (SELECT ticker FROM s) THEN 2.0 ELSE 1.0 END, 4) AS volume FROM bars""",
+    "price_islands": f"""WITH {_ISLANDS} SELECT isl.ticker, a.date AS start, z.date AS "end", CAST(e - s AS BIGINT) AS n, round(exp(-m), 2) AS mult
+FROM isl JOIN gb a ON a.ticker = isl.ticker AND a.i = s JOIN gb z ON z.ticker = isl.ticker AND z.i = e - 1""",
+    "repair_islands": f"""WITH {_ISLANDS} SELECT gb.ticker, gb.date, round(gb.close * coalesce(exp(-m), 1.0), 8) AS close, round(gb.volume / coalesce(exp(-m), 1.0), 4) AS volume
+FROM gb LEFT JOIN isl ON isl.ticker = gb.ticker AND gb.i >= s AND gb.i < e""",
+    "unadjusted_splits": f"WITH {_SPLITS} SELECT ticker, split_date, 1 / split AS factor, jump_date FROM us",
+    "dedupe_splits": f"WITH {_SPLITS}, {_ONCE} SELECT ticker, split_date, jump_date FROM du",
+    "repair_splits": f"""WITH {_SPLITS}, {_ONCE},
+fx AS (SELECT du.ticker, sb.date, 1 / du.split AS f FROM du JOIN sb ON sb.ticker = du.ticker AND sb.date < cut
+  UNION ALL SELECT du.ticker, cls.date, 1 / du.split FROM du JOIN cls ON cls.ticker = du.ticker AND cls.split_date = du.split_date WHERE old
+  UNION ALL SELECT du.ticker, st.date, mult FROM du JOIN st ON st.ticker = du.ticker AND st.split_date = du.split_date WHERE du.cut IS NULL),
+pf AS (SELECT ticker, date, product(f) AS f FROM fx GROUP BY ALL)
+SELECT ticker, date, round(close * coalesce(f, 1.0), 8) AS close, round(volume / coalesce(f, 1.0), 4) AS volume FROM sb LEFT JOIN pf USING (ticker, date)""",
     "chunk_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) AS d
   FROM embeddings e, embeddings q WHERE q.vec_id < 10 AND e.vec_id >= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS place FROM p) SELECT query_id, vec_id, place FROM r WHERE place <= 5""",
     "metric_parse": """WITH t AS (SELECT c_custkey, (c_custkey % 900) || '.5' AS x, c_custkey % 5 AS s, c_custkey % 11 = 0 AS na FROM customer) SELECT c_custkey, CASE WHEN NOT na AND s IN (0, 4) THEN CAST(x AS DOUBLE) END AS value,
