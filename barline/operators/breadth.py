@@ -20,8 +20,9 @@ def slug(c: Column | str) -> Column:
     return F.replace(x, F.lit("&"), F.lit("and"))
 
 
-def breadth_panel(bars: DataFrame, info: DataFrame, peer_key: str = "sector") -> DataFrame:
-    """One row per date and live ticker. The calendar is every date on which a member has a bar.
+def breadth_panel(bars: DataFrame, info: DataFrame, peer_key: str = "sector", only: DataFrame | None = None) -> DataFrame:
+    """One row per date and live ticker. The calendar is every date on which a member has a bar; with only(date) just these
+    dates are ranked and returned, after the rolling features.
 
     A ticker is spread only from its first bar to LIVE_ROWS calendar rows after its last, never over the whole calendar. One
     shuffle by ticker serves the rolling features, one by (date, group) the peer rank.
@@ -35,11 +36,17 @@ def breadth_panel(bars: DataFrame, info: DataFrame, peer_key: str = "sector") ->
     dense = dense.join(b.drop("date"), ["ticker", "pos"], "left").join(F.broadcast(days), "pos")
     w = Window.partitionBy("ticker").orderBy("pos")
     dense = dense.withColumn("close", F.last("p", ignorenulls=True).over(w)).withColumn("real", F.last(F.when(F.col("p").isNotNull(), F.col("pos")), ignorenulls=True).over(w))
-    for k in (20, 50, 200):
-        span = w.rowsBetween(1 - k, 0)
-        dense = dense.withColumn(f"sma{k}", F.when(F.count("close").over(span) >= k, F.avg("close").over(span)))
-    dense = dense.withColumn("ret_12m", F.col("close") / F.coalesce(F.lag("close", 252).over(w), F.first("close").over(w)) - 1)
-    dense = dense.withColumn("rel_vol", F.col("volume") / F.avg("volume").over(w.rowsBetween(-62, 0)))
+    # averages of k rows from running sums, which cost the same for any k
+    dense = dense.withColumn("n", F.row_number().over(w)).withColumn("s", F.sum("close").over(w)).withColumn("vs", F.coalesce(F.sum("volume").over(w), F.lit(0.0))).withColumn("vn", F.count("volume").over(w))
+    before = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(0.0))
+    volumes = F.col("vn") - before("vn", 63)
+    dense = dense.select(
+        "*", *(F.when(F.col("n") >= k, (F.col("s") - before("s", k)) / k).alias(f"sma{k}") for k in (20, 50, 200)),
+        (F.col("close") / F.coalesce(F.lag("close", 252).over(w), F.first("close").over(w)) - 1).alias("ret_12m"),
+        F.when(volumes > 0, F.col("volume") / ((F.col("vs") - before("vs", 63)) / volumes)).alias("rel_vol"),
+    )
+    if only is not None:
+        dense = dense.join(F.broadcast(only.select("date").distinct()), "date", "left_semi")  # dates of one calendar
     rows = dense.where(F.col("pos") - F.col("real") <= LIVE_ROWS).join(info.select("ticker", "sector", "industry", "cap_band", "commodity", "type"), "ticker")
     c, a, m, z = F.col("close"), F.col("sma20"), F.col("sma50"), F.col("sma200")
     have = a.isNotNull() & m.isNotNull() & z.isNotNull() & F.col("cap_band").isin("large", "mid")
@@ -130,11 +137,26 @@ def breadth_guard(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(bad, ["universe", "date"], "left_anti")
 
 
-def breadth_incremental(rows: DataFrame, stored_days: DataFrame, end: str, backfill_days: int = 400, redo: int = 2) -> DataFrame:
-    """Rows of the days to write: those in the backfill span that are not stored, and always the last stored ones again."""
-    newest = stored_days.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date"))))
+def breadth_missing_days(calendar: DataFrame, stored_days: DataFrame, end: str, backfill_days: int = 400, redo: int = 2) -> DataFrame:
+    """Days to write: those of calendar(date) in the backfill span that are not stored, and always the last stored ones again."""
+    newest = stored_days.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date"))))  # one row a day
     done = newest.where(F.col("k") > redo).select("date")
-    return rows.where(F.col("date") >= F.date_sub(F.to_date(F.lit(end)), backfill_days)).join(F.broadcast(done), "date", "left_anti")
+    span = calendar.select("date").distinct().where(F.col("date") >= F.date_sub(F.to_date(F.lit(end)), backfill_days))
+    return span.join(F.broadcast(done), "date", "left_anti")
+
+
+def breadth_incremental(bars: DataFrame, info: DataFrame, universe: str, stored_days: DataFrame, end: str, backfill_days: int = 400, warmup_days: int = 400) -> DataFrame:
+    """Counts of the days to write. Only the backfill span and warmup_days before it are read, enough for the longest look-back."""
+    recent = bars.where(F.col("date") >= F.date_sub(F.to_date(F.lit(end)), backfill_days + warmup_days))
+    members = recent.where(F.col("adj_close").isNotNull()).join(info.select("ticker"), "ticker", "left_semi")
+    return breadth_counts(breadth_panel(recent, info, only=breadth_missing_days(members, stored_days, end, backfill_days)), universe)
+
+
+def breadth_rebuild(bars: DataFrame, info: DataFrame, universe: str, skip_rows: int = 200) -> DataFrame:
+    """Counts of all days but the calendar's first skip_rows, which have no full look-back."""
+    days = bars.where(F.col("adj_close").isNotNull()).join(info.select("ticker"), "ticker", "left_semi").select("date").distinct()
+    kept = days.withColumn("k", F.row_number().over(Window.orderBy("date"))).where(F.col("k") > skip_rows)  # one row a day
+    return breadth_counts(breadth_panel(bars, info, only=kept), universe)
 
 
 PREFIX = {"all": "", "cap": "", "sector": "sec_", "industry": "ind_", "commodity": "comm_", "type": "type_"}
@@ -165,14 +187,42 @@ def lookup_prefix(prefix: Column, cap: Column) -> Column:
     return chain([(prefix == "sec", "sector"), (prefix == "ind", "industry"), (prefix == "comm", "commodity"), (prefix == "type", "type"), (cap != "", "cap")], "all")
 
 
-def breadth_summary(long: DataFrame, spans: tuple[int, ...] = (7, 28, 91)) -> DataFrame:
-    """Newest value of each cell, and its change since the newest day at or before each span of calendar days ago."""
+SPANS = (7, 28, 91)
+
+
+def summary_days(days: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
+    """Of days(date): the newest, and the newest at or before each span of calendar days ago, as one row today, d<span>."""
+    today = days.agg(F.max("date").alias("today"))
+    return days.crossJoin(F.broadcast(today)).groupBy("today").agg(*(F.max(F.when(F.col("date") <= F.date_sub("today", k), F.col("date"))).alias(f"d{k}") for k in spans))  # one row of today
+
+
+def breadth_summary(long: DataFrame, days: DataFrame | None = None, spans: tuple[int, ...] = SPANS) -> DataFrame:
+    """Newest value of each cell of stored counts, and its change since the newest day at or before each span of calendar days ago.
+
+    days(date) is the calendar of the counts; without it the stored days are looked up first. Only four days' cells are read.
+    """
     keys = ["universe", "layer", "group_type", "group_key", "metric"]
-    days = long.select("universe", "date").distinct()
-    today = days.groupBy("universe").agg(F.max("date").alias("today"))
-    dated = days.join(today, "universe")
-    cut = dated.groupBy("universe", "today").agg(*(F.max(F.when(F.col("date") <= F.date_sub("today", k), F.col("date"))).alias(f"d{k}") for k in spans))
-    rows = long.join(F.broadcast(cut), "universe")
-    at = lambda d: F.max(F.when(F.col("date") == F.col(d), F.col("value")))
-    out = rows.groupBy(*keys).agg(at("today").alias("value"), *(at(f"d{k}").alias(f"v{k}") for k in spans)).where("value is not null")
+    cut = summary_days(days.select("date").distinct() if days is not None else long.select("date").distinct(), spans)
+    marks = cut.select(F.explode(F.array(F.struct(F.lit(0).alias("back"), F.col("today").alias("date")), *(F.struct(F.lit(k).alias("back"), F.col(f"d{k}").alias("date")) for k in spans))).alias("x")).select("x.*")
+    rows = long.join(F.broadcast(marks), "date")  # a row a span
+    at = lambda k: F.max(F.when(F.col("back") == k, F.col("value")))
+    out = rows.groupBy(*keys).agg(at(0).alias("value"), *(at(k).alias(f"v{k}") for k in spans)).where("value is not null")
     return out.select(*keys, "value", *((F.col("value") - F.col(f"v{k}")).alias(f"change_{k}") for k in spans))
+
+
+def breadth_today(bars: DataFrame, info: DataFrame, universe: str) -> DataFrame:
+    """The summary straight from bars: its four days are chosen from the calendar first, and only they are ranked and counted."""
+    days = bars.where(F.col("adj_close").isNotNull()).join(info.select("ticker"), "ticker", "left_semi").select("date").distinct()
+    cut = summary_days(days)
+    only = cut.select(F.explode(F.array(*cut.columns)).alias("date"))
+    return breadth_summary(breadth_counts(breadth_panel(bars, info, only=only), universe), days)
+
+
+def read_breadth(
+    long: DataFrame, universe: str, layer: str = "all", group_type: str = "all", group_key: str = "", metric: str | None = None, start: str | None = None, end: str | None = None, offset: int = 0, limit: int = 100
+) -> DataFrame:
+    """A page of one group's stored cells, newest first, then by metric."""
+    rows = long.where((F.col("universe") == universe) & (F.col("layer") == layer) & (F.col("group_type") == group_type) & (F.col("group_key") == group_key))
+    for c, wanted, keep in (("metric", metric, F.col("metric") == F.lit(metric)), ("date", start, F.col("date") >= F.lit(start)), ("date", end, F.col("date") <= F.lit(end))):
+        rows = rows.where(keep) if wanted else rows
+    return rows.orderBy(F.desc("date"), "metric").offset(offset).limit(limit)

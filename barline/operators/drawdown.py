@@ -26,20 +26,22 @@ def _period_stats(rows: DataFrame) -> DataFrame:
 def multi_period_study(bars: DataFrame, members: DataFrame, periods: DataFrame, benchmark: str, weights: dict | None = None) -> DataFrame:
     """Ranked rows of every period of periods(period_label, period_start date); members as in a universe.
 
-    Every bar joins the periods that it lies in (a broadcast of one to three rows); all else is windows by period and ticker.
+    Peers share a commodity if any member has one, else a sector. Bars of others leave first; every bar joins the periods that it
+    lies in (a broadcast of one to three rows); all else is windows by period and ticker.
     """
     k = WEIGHTS | (weights or {})
-    p = bars.where(F.col("adj_close").isNotNull()).select("ticker", "date", F.col("adj_close").alias("p"), "volume")
-    in_period = p.join(F.broadcast(periods), F.col("date") >= F.col("period_start")).join(
-        F.broadcast(members.select("ticker").unionByName(members.sparkSession.createDataFrame([(benchmark,)], "ticker string")).distinct()), "ticker", "left_semi"
-    )
+    wanted = members.select("ticker").unionByName(members.sparkSession.createDataFrame([(benchmark,)], "ticker string")).distinct()
+    p = bars.where(F.col("adj_close").isNotNull()).select("ticker", "date", F.col("adj_close").alias("p"), "volume").join(wanted, "ticker", "left_semi")
+    in_period = p.join(F.broadcast(periods), F.col("date") >= F.col("period_start"))
     days = in_period.groupBy("period_label").agg(F.countDistinct("date").alias("trading_days"))
     stats = _period_stats(in_period).where("n >= 2")
     bench = stats.where(F.col("ticker") == benchmark).select(
         "period_label", rnd((F.col("last") / F.col("first") - 1) * 100, 2).alias("bench_ret"), F.col("dd").alias("bench_dd"),
         F.coalesce((F.col("last") / F.col("b5") - 1) * 100, F.lit(0.0)).alias("m5"), F.coalesce((F.col("last") / F.col("b21") - 1) * 100, F.lit(0.0)).alias("m21"),
     )
-    info = members.select("ticker", "name", F.coalesce("sector", F.lit("Unknown")).alias("peer"), "cap_band")
+    kind = members.agg(F.coalesce(F.max(F.col("commodity").isNotNull()), F.lit(False)).alias("by_commodity"))
+    peer = F.coalesce(F.when(F.col("by_commodity"), F.col("commodity")).otherwise(F.col("sector")), F.lit("Unknown"))
+    info = members.crossJoin(F.broadcast(kind)).select("ticker", "name", F.coalesce("sector", F.lit("Unknown")).alias("sector"), peer.alias("peer"), "cap_band")  # one row of kind
     rows = stats.where((F.col("ticker") != benchmark) & (F.col("first") != 0)).join(info, "ticker").join(F.broadcast(bench), "period_label")
     rows = rows.join(F.broadcast(days), "period_label").where("trading_days >= 5")
     rows = rows.withColumn("raw", (F.col("last") / F.col("first") - 1) * 100).withColumn("ret_period", rnd("raw", 2))
@@ -62,7 +64,7 @@ def multi_period_study(bars: DataFrame, members: DataFrame, periods: DataFrame,
     score = rnd(F.col("rs_vs_bench") * k["rs_vs_bench"] + F.col("peer_rs_score") * k["peer_rs_score"] + F.col("dd_vs_bench") * -k["dd_vs_bench"], 4)
     rows = rows.withColumn("score", score)
     return rows.select(
-        "period_label", "period_start", F.row_number().over(Window.partitionBy("period_label").orderBy(F.desc_nulls_last("score"), "ticker")).alias("rank"), "ticker", "name", F.col("peer").alias("sector"), "cap_band",
+        "period_label", "period_start", F.row_number().over(Window.partitionBy("period_label").orderBy(F.desc_nulls_last("score"), "ticker")).alias("rank"), "ticker", "name", "sector", "cap_band",
         rnd("last", 4).alias("close"), "ret_period", "bench_ret", "rs_vs_bench", "rs_5d", "rs_21d", rs_trend(F.array("rs_vs_bench", "rs_21d", "rs_5d")).alias("rs_trend"), F.col("dd").alias("max_dd_period"),
         "bench_dd", "dd_vs_bench", rnd((F.col("last") / F.col("most") - 1) * 100, 2).alias("current_dd"), "peer_rs_score", vol_label().alias("vol_label"), "rel_vol", acc_watch_of("last").alias("acc_watch"),
         F.when(F.col("last") > F.col("sma200"), 1).otherwise(0).alias("pass_trend"), "score", "trading_days",
@@ -111,6 +113,15 @@ US_SECTOR_BENCHMARK = {
 }
 
 
+# Benchmark of a commodity.
+COMMODITY_BENCHMARK = {"gold": "GDX", "silver": "SIL", "copper": "COPX", "uranium": "URA", "lithium": "LIT", "platinum": "ETPMPT.AX", "palladium": "ETPMPD.AX", "oil_gas": "XLE"}
+
+
+def commodity_benchmark(commodity: Column) -> Column:
+    """Benchmark of a commodity in any case."""
+    return chain([(F.lower(commodity) == k, v) for k, v in COMMODITY_BENCHMARK.items()], F.lit(None).cast("string"))
+
+
 def sector_benchmark(sector: Column, region: Column) -> Column:
     """Benchmark of a sector in its region; without a region the first map that has it."""
     au, us = (chain([(sector == k, v) for k, v in table.items()], F.lit(None).cast("string")) for table in (AU_SECTOR_BENCHMARK, US_SECTOR_BENCHMARK))

@@ -40,15 +40,32 @@ def _fund_metrics(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+# Series that stand for an underlying's label; a null one has no series.
+UNDERLYING_PROXY = {"SPX": "^GSPC", "NDX": "^NDX", "RUT": "^RUT", "mag7": "QQQ", "diversified": None, "VIX-short": None}
+
+
+def proxy_of(label: Column) -> Column:
+    """Ticker of an underlying's label: its proxy, or the label itself; null for a theme."""
+    return chain([(label == k, F.lit(v).cast("string")) for k, v in UNDERLYING_PROXY.items()], label)
+
+
 def underlying_rs(bars: DataFrame, market: str, end: str) -> DataFrame:
-    """Half the 3-month and half the 12-month return above the market's, in points."""
+    """Half the 3-month and half the 12-month return above the market's, in points.
+
+    The look-backs are the 63rd and 252nd last bar of the trailing year, or the first of a shorter series; the market is looked
+    back the same number of its own bars.
+    """
     rows = bars.where((F.col("date") > F.date_sub(F.to_date(F.lit(end)), 365)) & (F.col("date") <= F.lit(end)) & F.col("close").isNotNull())
     w, whole = Window.partitionBy("ticker").orderBy("date"), Window.partitionBy("ticker")
-    rows = rows.withColumn("n", F.count("*").over(whole)).where("n >= 63").withColumn("back", F.col("n") - F.row_number().over(w) + 1)
-    r = rows.groupBy("ticker").agg(F.max_by("close", "date").alias("z"), F.min_by("close", "date").alias("a"), F.max(F.when(F.col("back") == 63, F.col("close"))).alias("b"))
-    r = r.select("ticker", ((F.col("z") / F.col("b") - 1) * 100).alias("r3"), ((F.col("z") / F.col("a") - 1) * 100).alias("r12"))
-    m = r.where(F.col("ticker") == market).select(F.col("r3").alias("m3"), F.col("r12").alias("m12"))
-    return r.where(F.col("ticker") != market).crossJoin(F.broadcast(m)).select("ticker", rnd(0.5 * (F.col("r3") - F.col("m3")) + 0.5 * (F.col("r12") - F.col("m12")), 2).alias("underlying_rs"))
+    rows = rows.withColumn("n", F.count("*").over(whole)).where("n >= 63").withColumn("back", F.col("n") - F.row_number().over(w) + 1).withColumn("far", F.least(F.lit(252), "n"))
+    at = lambda k: F.max(F.when(F.col("back") == k, F.col("close")))
+    r = rows.groupBy("ticker", "far").agg(at(1).alias("z"), at(63).alias("b"), at(F.col("far")).alias("a"))
+    own = rows.where(F.col("ticker") == market)
+    last = own.agg(at(1).alias("mz"), at(63).alias("mb"), F.max("n").alias("mn"))
+    far = own.where("back <= 252").select(F.col("back").alias("k"), F.col("close").alias("ma"))  # 252 rows at most
+    both = r.where(F.col("ticker") != market).crossJoin(F.broadcast(last)).withColumn("k", F.least("far", "mn")).join(F.broadcast(far), "k")  # one row of last
+    rise = lambda x, y: (F.col(x) / F.col(y) - 1) * 100
+    return both.select("ticker", rnd(0.5 * (rise("z", "b") - rise("mz", "mb")) + 0.5 * (rise("z", "a") - rise("mz", "ma")), 2).alias("underlying_rs"))
 
 
 def average_rank_pct(c: str, *keys: str) -> Column:
@@ -115,6 +132,57 @@ def holding_return(holdings: DataFrame, bars: DataFrame, end: str) -> DataFrame:
     return rows.select(F.col("h.holding_id").alias("holding_id"), "ticker", rnd(value, 6).alias("total_return"), stop_status(value).alias("status"))
 
 
+REVIEW_AGE = 5  # days after which stored prices are stale
+
+
+def holding_review(holdings: DataFrame, scored: DataFrame, bars: DataFrame, securities: DataFrame, today: str, buy_zone: int, stop: float = STOP) -> DataFrame:
+    """Evidence for each of holdings(holding_id, ticker, shares, entry_price, entry_date, quote_currency): ranking signal, return and
+    stop status, prices' span, payouts since entry, and what keeps the stop from being assessed.
+
+    Payouts are running totals by ticker, so no holding meets every bar; a split after entry shows in the last split's date. scored
+    has ticker, qualified and rank, securities ticker and currency. A holding with any warning has the stop status not_assessed.
+    """
+    day = F.to_date(F.lit(today))
+    b = bars.where(F.col("date") <= day).join(holdings.select("ticker").distinct(), "ticker", "left_semi")
+    closed, divided = F.col("close").isNotNull(), ~F.col("split").isin(0, 1)
+    spans = b.groupBy("ticker").agg(
+        F.min(F.when(closed, F.col("date"))).alias("first_price_date"), F.max(F.when(closed, F.col("date"))).alias("last_price_date"), F.max_by("close", F.when(closed, F.col("date"))).alias("last_close"),
+        F.max(F.when(divided, F.col("date"))).alias("last_split_date"),
+    )
+    cents = F.coalesce("dividend", F.lit(0.0)).cast("decimal(18,4)")
+    none = F.lit(None).cast("decimal(18,4)")
+    marks = holdings.select("ticker", F.col("entry_date").alias("date"), none.alias("pay"), F.struct(*holdings.columns).alias("h"))
+    both = b.select("ticker", "date", cents.alias("pay"), F.lit(None).cast(marks.schema["h"].dataType).alias("h")).unionByName(marks)
+    order = Window.partitionBy("ticker").orderBy("date", F.col("h").isNotNull())
+    before, total = F.sum("pay").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("pay").over(Window.partitionBy("ticker"))
+    zero = F.lit(0).cast("decimal(28,4)")
+    after = F.when(F.col("date").isNotNull(), F.coalesce(total, zero) - F.coalesce(before, zero))
+    rows = both.withColumn("paid", after.cast("double")).where("h is not null").select("h.*", "paid")
+    rows = rows.join(spans, "ticker", "left").join(securities.select("ticker", "currency"), "ticker", "left")
+    value = (F.col("last_close") + F.coalesce("paid", F.lit(0.0))) / F.when(F.col("entry_price") > 0, F.col("entry_price")) - 1
+    entry, first, last = F.col("entry_date"), F.col("first_price_date"), F.col("last_price_date")
+    warnings = F.array_compact(F.array(
+        F.when(entry.isNull(), "entry date missing").when(entry > day, "entry after review").when(entry < first, "prices begin after entry"),
+        F.when(~F.coalesce(F.col("entry_price") > 0, F.lit(False)), "entry price missing"),
+        F.when(last.isNull(), "no prices").when(F.datediff(day, last) > REVIEW_AGE, "prices stale"),
+        F.when(F.col("last_split_date") > entry, "split after entry"),
+        F.when(~F.coalesce(F.col("currency") == F.col("quote_currency"), F.lit(False)), "currency mismatch"),
+        F.when(value.isNull(), "no return"),
+    ))
+    signals = ranking_decision(holdings, scored, buy_zone)
+    rows = rows.withColumn("value", value).withColumn("warnings", warnings).join(signals, "ticker", "left")
+    status = F.when(F.size("warnings") == 0, stop_status(F.col("value"), stop)).otherwise("not_assessed")
+    return rows.select(
+        "holding_id", "ticker", "signal", "qualified_rank", rnd("value", 6).alias("total_return"), status.alias("stop_status"), "first_price_date", "last_price_date", F.col("paid").alias("payouts_after_entry"),
+        F.when(F.col("shares") > 0, "provided").otherwise("missing").alias("quantity_status"), F.array_join("warnings", "; ").alias("warnings"),
+    )
+
+
+def buy_candidates(holdings: DataFrame, scored: DataFrame, buy_zone: int) -> DataFrame:
+    """Funds of the buy zone that are not held, by qualified rank."""
+    return qualified_ranks(scored).where(F.col("qualified_rank") <= buy_zone).join(holdings.select("ticker").distinct(), "ticker", "left_anti")
+
+
 def payout_schedule(bars: DataFrame, today: str) -> DataFrame:
     """Next estimated payout from the median gap of the last eight dates of six months."""
     day = F.to_date(F.lit(today))
@@ -155,7 +223,9 @@ def rebalance_dates(calendar: DataFrame, start: str, end: str, months: int) -> D
 def point_in_time_scores(bars: DataFrame, dates: DataFrame) -> DataFrame:
     """Scores at every rebalance date from the year before it only. Each bar is spread to the dates whose year holds it."""
     r = dates.select(F.col("date").alias("rebalance"))
-    rows = bars.where("close is not null").join(F.broadcast(r), (F.col("date") > F.date_sub("rebalance", 365)) & (F.col("date") <= F.col("rebalance")))
+    every = r.agg(F.array_sort(F.collect_set("rebalance")).alias("every"))  # one row; a date a rebalance
+    serves = F.filter("every", lambda x: (x >= F.col("date")) & (F.date_sub(x, 365) < F.col("date")))
+    rows = bars.where("close is not null").crossJoin(F.broadcast(every)).withColumn("rebalance", F.explode(serves))
     metrics = _fund_metrics(rows.select("rebalance", "ticker", "date", "close", "dividend"), ("rebalance", "ticker"))
     return fund_score(metrics, None, ("rebalance",)).select("rebalance", "ticker", "price", "chg_3m", "score", "qualified", "rank")
 

@@ -91,6 +91,14 @@ def leverage_stats(series: DataFrame) -> DataFrame:
     return rows.select("date", "v", F.col("m1").alias("chg_1m"), F.col("m3").alias("chg_3m"), rnd((F.col("v") / F.max("v").over(w) - 1) * 100, 2).alias("from_peak"), rnd(F.col("m1") - F.col("m3") / 3, 4).alias("acceleration"))
 
 
+def leverage_ratios(margin: DataFrame, money: DataFrame, market_value: DataFrame, output: DataFrame) -> DataFrame:
+    """Monthly series(date, v) set against others on shared dates: margin debt over money supply, market value (in thousandths) over output in percent."""
+    named = lambda s, name: s.where("v is not null").select("date", F.col("v").alias(name))
+    debt = named(margin, "margin").join(named(money, "money"), "date").select("date", rnd("margin", 0).alias("margin_debt"), rnd(F.col("margin") / F.when(F.col("money") != 0, F.col("money")), 4).alias("margin_to_money"))
+    worth = named(market_value, "worth").join(named(output, "output"), "date").select("date", rnd(F.col("worth") / 1000 / F.when(F.col("output") != 0, F.col("output")) * 100, 2).alias("worth_to_output"))
+    return debt.join(worth, "date", "full")
+
+
 def cycle_to_date(series: DataFrame, start: str) -> DataFrame:
     """At every date from start on: return, worst drawdown, high, drawdown now, days and year of the cycle."""
     w = _one()
@@ -113,9 +121,12 @@ def change_alerts(snapshots: DataFrame) -> DataFrame:
     return rows.select("date", "key", rnd(change, 2).alias("change"), level.alias("level")).where("level is not null")
 
 
-def volatility_snapshot(first: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
-    """Three series(date, v) on the first one's sessions only: vix, vvix, vix3m and their ratios; nothing is filled."""
-    clean = lambda s, name: s.where((F.col("v") > 0) & ~F.isnan("v") & (F.col("v") != float("inf"))).groupBy("date").agg(F.max("v").alias(name))
+def volatility_snapshot(first: DataFrame, second: DataFrame, third: DataFrame, order: str = "date") -> DataFrame:
+    """Three series(date, v, order) on the first one's sessions only: vix, vvix, vix3m and their ratios; nothing is filled.
+
+    Of a day's positive finite readings the last one by the column order counts.
+    """
+    clean = lambda s, name: s.where((F.col("v") > 0) & ~F.isnan("v") & (F.col("v") != float("inf"))).groupBy("date").agg(F.max_by("v", order).alias(name))
     rows = clean(first, "vix").join(clean(second, "vvix"), "date", "left").join(clean(third, "vix3m"), "date", "left")
     rows = rows.select("date", *(rnd(c, 4).alias(c) for c in ("vix", "vvix", "vix3m")))
     return rows.withColumn("vix_vvix", rnd(F.col("vix") / F.col("vvix"), 4)).withColumn("vix_vix3m", rnd(F.col("vix") / F.col("vix3m"), 4))

@@ -146,25 +146,31 @@ def rsi_wilder(bars: DataFrame, end: str, period: int = 14) -> DataFrame:
     return h.groupBy("ticker").agg(rnd(F.max_by("rsi", "i"), 2).alias("rsi_14"))
 
 
-def rsi_divergence(bars: DataFrame, end: str, settings: dict | None = None) -> DataFrame:
-    """Newest divergence label between price and the RSI's last two pivots of each kind, '-' if none."""
-    s = DIVERGENCE | (settings or {})
-    left, right = s["pivot_left"], s["pivot_right"]
+def with_pivots(h: DataFrame, settings: dict) -> DataFrame:
+    """Add to rows with rsi, per kind of pivot: whether the bar is one, the pivot before it, and the furthest later price."""
+    left, right = settings["pivot_left"], settings["pivot_right"]
     w = Window.partitionBy("ticker").orderBy("date")
     before, after, both = w.rowsBetween(-left, -1), w.rowsBetween(1, right), w.rowsBetween(-left, right)
-    h = with_rsi(history(bars, end, 365), s["rsi_period"]).withColumn("whole", F.count("rsi").over(both) == left + right + 1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    point = F.struct("i", "p", "rsi")
-    labels = []
-    for kind, best, beyond in (("high", F.max, lambda a, b: a > b), ("low", F.min, lambda a, b: a < b)):
+    later = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)  # a running extreme from the end
+    h = h.withColumn("whole", F.count("rsi").over(both) == left + right + 1)
+    for kind, best in (("high", F.max), ("low", F.min)):
         outer, inner = best("rsi").over(before), best("rsi").over(after)
-        not_beaten = F.col("rsi") >= inner if kind == "high" else F.col("rsi") <= inner
-        h = h.withColumn(kind, F.col("whole") & beyond(F.col("rsi"), outer) & not_beaten)
-        h = h.withColumn(f"{kind}_1", F.last(F.when(F.col(kind), point), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        beyond, not_beaten = (F.col("rsi") > outer, F.col("rsi") >= inner) if kind == "high" else (F.col("rsi") < outer, F.col("rsi") <= inner)
+        h = h.withColumn(kind, F.col("whole") & beyond & not_beaten)
+        h = h.withColumn(f"{kind}_1", F.last(F.when(F.col(kind), F.struct("i", "p", "rsi")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
         h = h.withColumn(f"{kind}_far", best("p").over(later))
-        labels.append(F.max_by(F.struct("i", "p", "rsi", F.col(f"{kind}_1").alias("old"), F.col(f"{kind}_far").alias("far")), F.when(F.col(kind), F.col("i"))).alias(kind))
-    out = h.groupBy("ticker").agg(F.max("n").alias("n"), *labels)
-    found = []
+    return h
+
+
+def _newest_pivots() -> list[Column]:
+    """In an aggregation: the newest pivot of each kind with the one before and the furthest later price."""
+    point = lambda kind: F.struct("i", "p", "rsi", F.col(f"{kind}_1").alias("old"), F.col(f"{kind}_far").alias("far"))
+    return [F.max_by(point(kind), F.when(F.col(kind), F.col("i"))).alias(kind) for kind in ("high", "low")]
+
+
+def _rsi_label(s: dict) -> Column:
+    """Label of a ticker's row with n, high and low."""
+    left, right, found = s["pivot_left"], s["pivot_right"], []
     for kind, names in (("high", ("BEAR", "HID_BEAR")), ("low", ("BULL", "HID_BULL"))):
         new, old = F.col(kind), F.col(f"{kind}.old")
         gap = new["i"] - old["i"]
@@ -177,53 +183,74 @@ def rsi_divergence(bars: DataFrame, end: str, settings: dict | None = None) -> D
         found.append(F.when(label.isNotNull(), F.struct(new["i"].alias("i"), label.alias("label"))))
     high, low = found
     newest = F.when(high.isNotNull() & (low.isNull() | (high["i"] >= low["i"])), high["label"]).otherwise(low["label"])
-    return out.select("ticker", F.coalesce(newest, F.lit("-")).alias("rsi_div"))
+    return F.coalesce(newest, F.lit("-"))
+
+
+def rsi_divergence(bars: DataFrame, end: str, settings: dict | None = None) -> DataFrame:
+    """Newest divergence label between price and the RSI's last two pivots of each kind, '-' if none."""
+    s = DIVERGENCE | (settings or {})
+    h = with_pivots(with_rsi(history(bars, end, 365), s["rsi_period"]), s)
+    return h.groupBy("ticker").agg(F.max("n").alias("n"), *_newest_pivots()).select("ticker", _rsi_label(s).alias("rsi_div"))
 
 
 def with_obv(h: DataFrame) -> DataFrame:
-    """On-balance volume over the rows that have both price and volume, with their own index j and count m."""
+    """Add on-balance volume over the rows that have a volume (null on the others), their own index j and count m."""
     w, whole = Window.partitionBy("ticker").orderBy("date"), Window.partitionBy("ticker")
-    rows = h.where(F.col("volume").isNotNull()).withColumn("s", F.coalesce(F.signum(F.col("p") - F.lag("p").over(w)), F.lit(0.0)))
-    return rows.withColumn("obv", F.sum(F.col("s") * F.col("volume")).over(w)).withColumn("j", F.row_number().over(w)).withColumn("m", F.count("*").over(whole))
+    has = F.col("volume").isNotNull()
+    before = F.last(F.when(has, F.col("p")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    h = h.withColumn("s", F.when(has, F.coalesce(F.signum(F.col("p") - before), F.lit(0.0)))).withColumn("j", F.count("volume").over(w)).withColumn("m", F.count("volume").over(whole))
+    return h.withColumn("obv", F.when(has, F.sum(F.col("s") * F.col("volume")).over(w)))
 
 
 def obv(bars: DataFrame, end: str) -> DataFrame:
-    return with_obv(history(bars, end, 365)).select("ticker", "date", "obv")
+    return with_obv(history(bars, end, 365)).where("volume is not null").select("ticker", "date", "obv")
 
 
-def obv_divergence(bars: DataFrame, end: str, settings: dict | None = None) -> DataFrame:
-    """Fitted direction of price against that of OBV over the last obv_window bars."""
-    s = DIVERGENCE | (settings or {})
-    k = s["obv_window"]
-    rows = with_obv(history(bars, end, 365))
-    last = rows.where(F.col("j") > F.col("m") - k)
-    out = last.groupBy("ticker").agg(
-        F.max("m").alias("m"), F.avg("p").alias("mean"), F.avg("volume").alias("v"), (F.regr_slope("p", "j") * (k - 1)).alias("pm"), (F.regr_slope("obv", "j") * (k - 1)).alias("om")
-    )
-    price, flow = F.col("pm") / F.col("mean") * 100, F.when(F.col("v") > 0, F.col("om") / F.col("v")).otherwise(0.0)
+def _obv_fit(k: int) -> list[Column]:
+    """In an aggregation: count, mean price and volume, and fitted moves over the last k rows with a volume."""
+    last = lambda c: F.when(F.col("volume").isNotNull() & (F.col("j") > F.col("m") - k), F.col(c))
+    return [
+        F.max("m").alias("m"), F.avg(last("p")).alias("mean"), F.avg(last("volume")).alias("v"), (F.regr_slope(last("p"), last("j")) * (k - 1)).alias("pm"),
+        (F.regr_slope(last("obv"), last("j")) * (k - 1)).alias("om"),
+    ]
+
+
+def _obv_label(s: dict) -> Column:
+    price, flow = F.col("pm") / F.when(F.col("mean") != 0, F.col("mean")) * 100, F.when(F.col("v") > 0, F.col("om") / F.when(F.col("v") != 0, F.col("v"))).otherwise(0.0)
     direction = lambda x, flat: chain([(F.abs(x) < flat, 0), (x > 0, 1)], -1)
     p, o = direction(price, s["obv_price_flat_pct"]), direction(flow, s["obv_flat_avg_days"])
     table = {(1, 1): "CONV_UP", (-1, -1): "CONV_DOWN", (1, -1): "BEAR_DIV", (-1, 1): "BULL_DIV", (0, 1): "ACCUM", (0, -1): "DISTRIB"}
     label = chain([((p == a) & (o == b), name) for (a, b), name in table.items()], "-")
-    return out.select("ticker", F.when((F.col("m") >= k + 1) & (F.col("mean") > 0), label).otherwise("-").alias("obv_div"))
+    return F.when((F.col("m") >= s["obv_window"] + 1) & (F.col("mean") > 0), label).otherwise("-")
+
+
+def obv_divergence(bars: DataFrame, end: str, settings: dict | None = None) -> DataFrame:
+    """Fitted direction of price against that of OBV over the last obv_window bars."""
+    s = DIVERGENCE | (settings or {})
+    rows = with_obv(history(bars, end, 365)).where("volume is not null")
+    return rows.groupBy("ticker").agg(*_obv_fit(s["obv_window"])).select("ticker", _obv_label(s).alias("obv_div"))
 
 
 def metric_block(bars: DataFrame, end: str, settings: dict | None = None) -> DataFrame:
-    """All metrics of every ticker in one row, from one scan of 24 months of bars."""
+    """All metrics of every ticker in one row, from one scan of 24 months of bars.
+
+    One shuffle by ticker; all windows are columns of one history, and one aggregation by ticker takes them together.
+    """
+    s = DIVERGENCE | (settings or {})
     rows = bars.where((F.col("date") >= F.date_sub(F.to_date(F.lit(end)), 730)) & (F.col("date") <= F.lit(end))).select("ticker", "date", "adj_close", "volume")
     rows = rows.repartition("ticker")  # every step below keeps this partitioning
-    h = with_steps(history(rows, end, 365))
-    main = h.groupBy("ticker").agg(
-        F.max("n").alias("n_bars"), rnd(_at(1), 4).alias("close"), _at(1).alias("last"), F.min_by("p", "i").alias("first"), *(_at(k).alias(c) for c, k in LOOKBACKS.items()),
+    h = with_obv(with_pivots(with_rsi(with_steps(history(rows, end, 365)), s["rsi_period"]), s))
+    h = h.withColumn("vb", F.when(F.col("volume").isNotNull(), F.col("m") - F.col("j") + 1))
+    out = h.groupBy("ticker").agg(
+        F.max("n").alias("n"), rnd(_at(1), 4).alias("close"), _at(1).alias("last"), F.min_by("p", "i").alias("first"), *(_at(k).alias(c) for c, k in LOOKBACKS.items()),
         rnd(F.min((F.col("p") - F.col("top")) / F.col("top")) * 100, 2).alias("max_dd"), _persistence().alias("persist_frac"), _volatility().alias("vol_63"),
-        *(_sma(k).alias(f"sma{k}") for k in (20, 50, 200)),
+        *(_sma(k).alias(f"sma{k}") for k in (20, 50, 200)), rnd(F.max_by("rsi", "i"), 2).alias("rsi_14"), *_newest_pivots(), *_obv_fit(s["obv_window"]),
+        F.max(F.when(F.col("vb") == 1, F.col("volume"))).alias("v_last"), F.avg(F.when(F.col("vb") <= 63, F.col("volume"))).alias("v_mean"),
     )
-    main = main.select(
-        "ticker", "n_bars", "close", change("last", "first").alias("ret_12m"), *(change("last", c).alias(c) for c in LOOKBACKS), "max_dd", "persist_frac", "vol_63", "sma20", "sma50", "sma200",
-        F.when(F.col("last") > F.col("sma200"), 1).otherwise(0).alias("pass_trend"),
-    ).withColumn("mqs", mqs_of())
-    for part in (ret_24m(rows, end), relative_volume(rows, end), rsi_wilder(rows, end), rsi_divergence(rows, end, settings), obv_divergence(rows, end, settings)):
-        main = main.join(part, "ticker", "left")
-    return main.withColumn("obv_div", F.coalesce("obv_div", F.lit("-"))).withColumn("vol_label", F.coalesce("vol_label", F.lit("LOW")))
-
-
+    out = out.select(
+        "ticker", F.col("n").alias("n_bars"), "close", change("last", "first").alias("ret_12m"), *(change("last", c).alias(c) for c in LOOKBACKS), "max_dd", "persist_frac", "vol_63", "sma20", "sma50", "sma200",
+        F.when(F.col("last") > F.col("sma200"), 1).otherwise(0).alias("pass_trend"), "rsi_14", _rsi_label(s).alias("rsi_div"), _obv_label(s).alias("obv_div"),
+        F.when(F.col("v_mean") > 0, rnd(F.col("v_last") / F.when(F.col("v_mean") != 0, F.col("v_mean")), 4)).alias("rel_vol"),
+    ).withColumn("mqs", mqs_of()).withColumn("vol_label", vol_label())
+    longer = rows.where("adj_close is not null").groupBy("ticker").agg(F.count("*").alias("k"), F.min_by("adj_close", "date").alias("a"), F.max_by("adj_close", "date").alias("z"))
+    return out.join(longer.where("k >= 2").select("ticker", change("z", "a").alias("ret_24m")), "ticker", "left")

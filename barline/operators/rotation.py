@@ -93,10 +93,21 @@ def demark_report_lists(scan: DataFrame) -> DataFrame:
     return cells.groupBy("signal").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("on") == 1, F.col("ticker")))), ",").alias("tickers"))
 
 
-def read_signals(scan: DataFrame, completed: bool = True) -> DataFrame:
-    """Rows with a completed signal, or all."""
-    any_on = None
-    for p in "dw":
-        for s in SIGNALS:
-            any_on = (F.col(f"{p}_{s}") == 1) if any_on is None else any_on | (F.col(f"{p}_{s}") == 1)
-    return scan.where(any_on) if completed else scan
+def read_signals(scans: DataFrame, run_date: str | None = None, ticker: str | None = None, completed: bool = True) -> DataFrame:
+    """Rows of one run of scans(run_date, ticker, signals), the newest unless named, with a completed signal or all, by ticker."""
+    if run_date is None:
+        newest = scans.agg(F.max("run_date").alias("run_date"))
+        rows = scans.join(F.broadcast(newest), "run_date", "left_semi")  # one row
+    else:
+        rows = scans.where(F.col("run_date") == F.lit(run_date))
+    if ticker is not None:
+        rows = rows.where(F.col("ticker") == ticker.upper())
+    any_on = F.greatest(*(F.col(f"{p}_{s}") for p in "dw" for s in SIGNALS)) == 1
+    return (rows.where(any_on) if completed else rows).orderBy("ticker")
+
+
+def read_rrg(points: DataFrame, ticker: str | None = None, start: str | None = None, end: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of stored rotation points, newest first, then by ticker."""
+    for wanted, keep in ((ticker, F.col("ticker") == F.lit(ticker and ticker.upper())), (start, F.col("date") >= F.lit(start)), (end, F.col("date") <= F.lit(end))):
+        points = points.where(keep) if wanted else points
+    return points.orderBy(F.desc("date"), "ticker").offset(offset).limit(limit)

@@ -46,11 +46,14 @@ def coverage(bars: DataFrame, tickers: DataFrame, start: str, end: str, least: f
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """stored with incoming's rows replacing those of equal keys; only stored's columns, NaN as null."""
-    clean = incoming.select(*(F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in stored.dtypes if c in incoming.columns))
-    both = stored.withColumn("_new", F.lit(0)).unionByName(clean.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new")))
-    return both.withColumn("_k", newest).where("_k = 1").drop("_new", "_k")
+    """stored with incoming's rows replacing those of equal keys; only stored's columns, NaN as null.
+
+    Stored rows are only checked against the incoming keys, so nothing stored is sorted or ranked. Of incoming rows with equal keys one stays.
+    """
+    clean = incoming.select(*(F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in stored.dtypes if c in incoming.columns)).dropDuplicates(keys)
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    kept = stored.alias("s").join(clean.select(*keys).alias("n"), same, "left_anti")
+    return kept.unionByName(clean, allowMissingColumns=True)
 
 
 def upsert_bars(stored: DataFrame, incoming: DataFrame) -> DataFrame:

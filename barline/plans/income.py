@@ -104,8 +104,9 @@ def _score(name: str, source: str, part: str) -> str:
 _YEAR = f"yr AS (SELECT ticker, date, close, dividend FROM bars WHERE ticker LIKE 'I%' AND date > {RUN} - INTERVAL 365 DAY AND date <= {RUN})"
 _STRENGTH = f"""yx AS (SELECT ticker, date, close, count(*) OVER (PARTITION BY ticker) - row_number() OVER (PARTITION BY ticker ORDER BY date) + 1 AS back, count(*) OVER (PARTITION BY ticker) AS n FROM bars
   WHERE (ticker LIKE 'I%' OR ticker = 'MKT') AND date > {RUN} - INTERVAL 365 DAY AND date <= {RUN}),
-rr AS (SELECT ticker, (arg_max(close, date) / max(close) FILTER (back = 63) - 1) * 100 AS r3, (arg_max(close, date) / arg_min(close, date) - 1) * 100 AS r12 FROM yx WHERE n >= 63 GROUP BY ticker),
-und AS (SELECT a.ticker, round(0.5 * (a.r3 - b.r3) + 0.5 * (a.r12 - b.r12), 2) AS underlying_rs FROM rr a, rr b WHERE b.ticker = 'MKT' AND a.ticker <> 'MKT')"""
+r0 AS (SELECT ticker, least(252, max(n)) AS far, max(n) AS n, max(close) FILTER (back = 1) AS z, max(close) FILTER (back = 63) AS b FROM yx WHERE n >= 63 GROUP BY ticker),
+und AS (SELECT a.ticker, round(0.5 * ((a.z / a.b - 1) * 100 - (m.z / m.b - 1) * 100) + 0.5 * ((a.z / x.close - 1) * 100 - (m.z / y.close - 1) * 100), 2) AS underlying_rs
+  FROM r0 a JOIN r0 m ON m.ticker = 'MKT' AND a.ticker <> 'MKT' JOIN yx x ON x.ticker = a.ticker AND x.back = a.far JOIN yx y ON y.ticker = 'MKT' AND y.back = least(a.far, m.n))"""
 _F = f"{ALL_BARS}, {_YEAR}, {_metrics('fm', 'yr', 'ticker')}"
 _SC = f"{_F}, {_STRENGTH}, fx AS (SELECT fm.*, coalesce(underlying_rs, 0.0) AS underlying_rs FROM fm LEFT JOIN und USING (ticker)), {_score('sc', 'fx', '')}"
 _Q = "qr AS (SELECT ticker, row_number() OVER (ORDER BY rank) AS qualified_rank FROM sc WHERE qualified = 1)"

@@ -78,6 +78,13 @@ def keyed():
     """A threshold key for each indicator."""
     return F.element_at(F.array(*map(F.lit, ["cc_delinquency", "hy_spread", "debt_gdp", "flow90_auto"])), (F.substring("key", 1, 1).cast("int") % 4 + 1).cast("int"))
 
+
+def readings(spark, d, kind):
+    """Several readings a day of one kind of event, at their times."""
+    e = table(spark, d, "events").where((F.col("event_type") == kind) & (F.col("event_id") % 4 != 0))
+    return e.select(F.to_date("ts").alias("date"), F.col("value").alias("v"), F.struct("ts", "event_id").alias("at"))
+
+
 QUERIES = {
     "indicator_changes": lambda s, d: macro.indicator_changes(indicators(s, d)),
     "alert_level": lambda s, d: macro.indicator_changes(indicators(s, d)).select("key", "period", macro.alert_level(keyed(), F.col("value") / 10, F.col("change_1") / 10).alias("level")),
@@ -88,7 +95,8 @@ QUERIES = {
     "leverage_stats": lambda s, d: macro.leverage_stats(one(s, d, "MKT").where("dayofmonth(date) = 1")),
     "cycle_to_date": lambda s, d: macro.cycle_to_date(one(s, d, "MKT"), "1998-11-01"),
     "change_alerts": lambda s, d: macro.change_alerts(snapshots(s, d)),
-    "volatility_snapshot": lambda s, d: macro.volatility_snapshot(one(s, d, "MKT"), one(s, d, "R0").where("dayofyear(date) % 7 <> 0"), one(s, d, "R1")),
+    "volatility_snapshot": lambda s, d: macro.volatility_snapshot(*(readings(s, d, kind) for kind in ("click", "error", "purchase")), "at"),
+    "leverage_ratios": lambda s, d: macro.leverage_ratios(one(s, d, "MKT").where("dayofmonth(date) = 1"), one(s, d, "R0").where("dayofmonth(date) = 1 and month(date) % 5 <> 0"), one(s, d, "R1"), one(s, d, "R2").where("dayofmonth(date) = 1 and month(date) % 3 = 0")),
     "vix_regime": lambda s, d: snapshots(s, d).select("date", macro.vix_regime().alias("regime")),
     "risk_monitor": lambda s, d: macro.risk_monitor(snapshots(s, d)),
     "business_cycle": lambda s, d: macro.business_cycle(cycle_rows(s, d)),
@@ -173,8 +181,13 @@ SELECT date, round((v / f - 1) * 100, 2) AS ret, round(min((v - top) / top) OVER
     "change_alerts": f"{_SNAP}, c AS ("
     + " UNION ALL ".join(f"SELECT date, '{k}' AS key, {k} AS v, lag({k}) OVER (ORDER BY date) AS p, {a} AS a, {b} AS b, '{u}' AS u FROM sn" for k, (a, b, u) in _MOVES.items())
     + "), x AS (SELECT *, CASE u WHEN '%' THEN (v - p) / p * 100 ELSE v - p END AS ch FROM c WHERE v IS NOT NULL AND p IS NOT NULL) SELECT date, key, round(ch, 2) AS change, CASE WHEN abs(ch) >= b THEN 'ALERT' ELSE 'WATCH' END AS level FROM x WHERE abs(ch) >= a",
-    "volatility_snapshot": f"""{_V}, x AS (SELECT a.date, round(a.adj_close, 4) AS vix, round(b.adj_close, 4) AS vvix, round(c.adj_close, 4) AS vix3m FROM bars a LEFT JOIN bars b ON b.date = a.date AND b.ticker = 'R0' AND dayofyear(b.date) % 7 <> 0
-  LEFT JOIN bars c ON c.date = a.date AND c.ticker = 'R1' WHERE a.ticker = 'MKT') SELECT *, round(vix / vvix, 4) AS vix_vvix, round(vix / vix3m, 4) AS vix_vix3m FROM x""",
+    "volatility_snapshot": """WITH l AS (SELECT event_type AS k, CAST(ts AS DATE) AS date, round(arg_max(value, (ts, event_id)), 4) AS v FROM events WHERE value > 0 AND event_id % 4 <> 0 GROUP BY ALL),
+x AS (SELECT a.date, a.v AS vix, b.v AS vvix, c.v AS vix3m FROM l a LEFT JOIN l b ON b.date = a.date AND b.k = 'error' LEFT JOIN l c ON c.date = a.date AND c.k = 'purchase' WHERE a.k = 'click')
+SELECT *, round(vix / vvix, 4) AS vix_vvix, round(vix / vix3m, 4) AS vix_vix3m FROM x""",
+    "leverage_ratios": f"""{_V}, s AS (SELECT date, ticker, adj_close AS v FROM bars WHERE dayofmonth(date) = 1),
+p AS (SELECT a.date, round(a.v, 0) AS margin_debt, round(a.v / b.v, 4) AS margin_to_money FROM s a JOIN s b ON b.date = a.date AND a.ticker = 'MKT' AND b.ticker = 'R0' WHERE month(b.date) % 5 <> 0),
+q AS (SELECT a.date, round(a.v / 1000 / b.v * 100, 2) AS worth_to_output FROM bars0 a JOIN s b ON b.date = a.date AND b.ticker = 'R2' WHERE month(b.date) % 3 = 0)
+SELECT coalesce(p.date, q.date) AS date, margin_debt, margin_to_money, worth_to_output FROM p FULL JOIN q ON p.date = q.date""".replace("bars0 a", "(SELECT date, adj_close AS v FROM bars WHERE ticker = 'R1') a"),
     "vix_regime": f"""{_SNAP} SELECT date, CASE WHEN vix IS NULL OR vix <= 0 THEN 'UNKNOWN' WHEN vix > 25 THEN 'VOLATILITY STRESS' WHEN vix >= 20 THEN 'ELEVATED VOLATILITY' WHEN vix / vvix < 0.17 THEN 'COMPLACENCY WARNING' WHEN vix / vvix < 0.18 THEN 'VOLATILITY — MONITOR'
   WHEN vix < 15 THEN 'LOW VOLATILITY' ELSE 'NORMAL VOLATILITY' END AS regime FROM sn""",
     "risk_monitor": f"""{_SNAP}, g AS (SELECT date, vix, hy_spread, {', '.join(f'{v} AS {k}' for k, v in _GROUPS.items())} FROM sn), c AS (SELECT *, {_count('RISK OFF')} AS risk_off, {_count('CAUTION')} AS caution, {_count('SUPPORTIVE')} AS supportive, 5 - ({_count('UNAVAILABLE')}) AS available FROM g)

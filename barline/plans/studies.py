@@ -42,9 +42,19 @@ def themes(spark, d):
     return names.select("ticker", F.coalesce("attr", "name").alias("name"), F.lit("").alias("grp"))
 
 
-def scan(spark, d):
+def scan(spark, d, end=RUN_DATE):
     members = universe.members({"filter": {"quote_type": "EQUITY"}, "benchmark": "MKT"}, securities(spark, d), groups(spark, d))
-    return rotation.demark_scan(bars(spark, d, references=False), members, RUN_DATE)
+    return rotation.demark_scan(bars(spark, d, references=False), members, end)
+
+
+def stored_days(spark, d):
+    """Days of the members' bars up to twenty days before the run."""
+    return bars(spark, d, references=False).where(F.col("date") <= F.date_sub(F.to_date(F.lit(RUN_DATE)), 20)).select("date")
+
+
+def dated_scans(spark, d):
+    """Scans of two run dates, as they would be stored."""
+    return scan(spark, d).withColumn("run_date", F.to_date(F.lit(RUN_DATE))).unionByName(scan(spark, d, "2001-05-31").withColumn("run_date", F.to_date(F.lit("2001-05-31"))))
 
 
 def study(spark, d):
@@ -65,22 +75,24 @@ QUERIES = {
     "breadth_layer_sets": layer_sets,
     "breadth_layers": lambda spark, d: breadth.breadth_layers(panel(spark, d), NAME, layer_sets(spark, d)),
     "breadth_guard": lambda spark, d: breadth.breadth_guard(thinned(counts(spark, d)), counts(spark, d)).where("group_type = 'all'"),
-    "breadth_incremental": lambda spark, d: breadth.breadth_incremental(
-        counts(spark, d), counts(spark, d).where(F.col("date") <= F.date_sub(F.to_date(F.lit(RUN_DATE)), 20)).select("date"), RUN_DATE
-    ).where("group_type = 'all'"),
+    "breadth_incremental": lambda spark, d: breadth.breadth_incremental(bars(spark, d, references=False), all_members(spark, d), NAME, stored_days(spark, d), RUN_DATE).where("group_type = 'all'"),
+    "breadth_rebuild": lambda spark, d: breadth.breadth_rebuild(bars(spark, d, references=False), all_members(spark, d), NAME).where("group_type = 'sector'"),
+    "read_breadth": lambda spark, d: breadth.read_breadth(counts(spark, d), NAME, group_type="sector", group_key="s0", start="2001-01-01", end=RUN_DATE, offset=7, limit=60),
+    "read_rrg": lambda spark, d: rotation.read_rrg(rotation.rrg(bars(spark, d), themes(spark, d), "MKT", RUN_DATE), start="2001-05-01", offset=3, limit=40),
+    "read_signals_all": lambda spark, d: rotation.read_signals(dated_scans(spark, d), run_date=None, completed=False),
     "breadth_wide": lambda spark, d: breadth.breadth_wide(counts(spark, d), WIDE),
     "breadth_long": lambda spark, d: breadth.breadth_long(breadth.breadth_wide(counts(spark, d), WIDE)),
-    "breadth_summary": lambda spark, d: breadth.breadth_summary(counts(spark, d)),
+    "breadth_summary": lambda spark, d: breadth.breadth_today(bars(spark, d, references=False), all_members(spark, d), NAME),
     "rrg": lambda spark, d: rotation.rrg(bars(spark, d), themes(spark, d), "MKT", RUN_DATE),
     "td_setup": lambda spark, d: rotation.td_setup(series(spark, d)),
     "td_countdown": lambda spark, d: rotation.td_countdown(series(spark, d)),
     "weekly_close": lambda spark, d: rotation.weekly_close(series(spark, d)),
     "demark_scan": scan,
     "demark_report_lists": lambda spark, d: rotation.demark_report_lists(scan(spark, d)),
-    "read_signals": lambda spark, d: rotation.read_signals(scan(spark, d)),
+    "read_signals": lambda spark, d: rotation.read_signals(dated_scans(spark, d)).drop("run_date"),
     "multi_period_study": study,
     "period_performance": lambda spark, d: drawdown.period_performance(
-        bars(spark, d), universe.members({"filter": {"quote_type": "EQUITY"}, "benchmark": "MKT"}, securities(spark, d), groups(spark, d)), "2000-01-01", "p2000", "MKT"
+        bars(spark, d), universe.members({"filter": {"quote_type": "EQUITY"}, "benchmark": "MKT"}, securities(spark, d), groups(spark, d)).withColumn("commodity", F.lit(None).cast("string")), "2000-01-01", "p2000", "MKT"
     ),
     "cross_period_ranks": lambda spark, d: drawdown.cross_period_ranks(study(spark, d), [p for p, _ in PERIODS]),
     "top_bottom": lambda spark, d: drawdown.top_bottom(study(spark, d), 5, 3).select("period_label", "rank", "ticker", "score"),
@@ -175,15 +187,17 @@ scan AS MATERIALIZED (SELECT big.ticker, name, sector, cap_band, market_cap, rou
   FROM big LEFT JOIN d USING (ticker) LEFT JOIN w USING (ticker) LEFT JOIN (SELECT ticker, arg_max(c, date) AS c FROM sd GROUP BY ticker) cl USING (ticker) WHERE d.ticker IS NOT NULL OR w.ticker IS NOT NULL)"""
 _SIG = [f"{p}_{s}" for p in "dw" for s in rotation.SIGNALS]
 
-_STUDY = f"""{ALL_BARS}, {_MEM}, per AS (SELECT * FROM (VALUES {', '.join(f"('{a}', DATE '{b}')" for a, b in PERIODS)}) x(period_label, period_start)), act AS (SELECT * FROM mem WHERE active = 1),
+def _study(peer: str) -> str:
+    """The study with peer as the peer group of a member."""
+    return f"""{ALL_BARS}, {_MEM}, per AS (SELECT * FROM (VALUES {', '.join(f"('{a}', DATE '{b}')" for a, b in PERIODS)}) x(period_label, period_start)), act AS (SELECT * FROM mem WHERE active = 1),
 pp AS MATERIALIZED (SELECT period_label, period_start, ticker, date, adj_close AS p, volume, row_number() OVER (PARTITION BY period_label, ticker ORDER BY date DESC) AS back, max(adj_close) OVER (PARTITION BY period_label, ticker ORDER BY date) AS top
   FROM bars JOIN per ON date >= period_start WHERE ticker = 'MKT' OR ticker IN (SELECT ticker FROM act)),
 ps AS MATERIALIZED (SELECT period_label, period_start, ticker, count(*) AS n, arg_min(p, date) AS first, max(p) FILTER (back = 1) AS last, max(p) FILTER (back = 5) AS b5, max(p) FILTER (back = 21) AS b21, max(p) AS most,
   round(min((p - top) / top) * 100, 2) AS dd, round(max(volume) FILTER (back = 1) / avg(volume) FILTER (back <= 63), 4) AS rel_vol FROM pp GROUP BY ALL HAVING count(*) >= 2),
 td AS (SELECT period_label, count(DISTINCT date) AS trading_days FROM pp GROUP BY 1),
 bn AS (SELECT period_label, round((last / first - 1) * 100, 2) AS bench_ret, dd AS bench_dd, (last / b5 - 1) * 100 AS m5, (last / b21 - 1) * 100 AS m21 FROM ps WHERE ticker = 'MKT'),
-r1 AS MATERIALIZED (SELECT ps.*, bn.* EXCLUDE (period_label), (last / first - 1) * 100 AS raw, round((last / first - 1) * 100, 2) AS ret_period, name, coalesce(sector, 'Unknown') AS sector, cap_band FROM ps JOIN bn USING (period_label) JOIN act USING (ticker)),
-r2 AS (SELECT *, coalesce((SELECT round(count(*) FILTER (b.raw < a.ret_period) / nullif(count(*), 0) * 100, 2) FROM r1 b WHERE b.period_label = a.period_label AND b.sector = a.sector AND b.ticker <> a.ticker), 50.0) AS peer_rs_score,
+r1 AS MATERIALIZED (SELECT ps.*, bn.* EXCLUDE (period_label), (last / first - 1) * 100 AS raw, round((last / first - 1) * 100, 2) AS ret_period, name, coalesce(sector, 'Unknown') AS sector, coalesce({peer}, 'Unknown') AS peer, cap_band FROM ps JOIN bn USING (period_label) JOIN act USING (ticker)),
+r2 AS (SELECT *, coalesce((SELECT round(count(*) FILTER (b.raw < a.ret_period) / nullif(count(*), 0) * 100, 2) FROM r1 b WHERE b.period_label = a.period_label AND b.peer = a.peer AND b.ticker <> a.ticker), 50.0) AS peer_rs_score,
   round(ret_period - bench_ret, 2) AS rs_vs_bench, round(dd - bench_dd, 2) AS dd_vs_bench, round((last / b5 - 1) * 100 - m5, 2) AS rs_5d, round((last / b21 - 1) * 100 - m21, 2) AS rs_21d FROM r1 a),
 sm AS (SELECT ticker, CASE WHEN count(*) >= 20 THEN round(avg(p) FILTER (k <= 20), 4) END AS sma20, CASE WHEN count(*) >= 50 THEN round(avg(p) FILTER (k <= 50), 4) END AS sma50, CASE WHEN count(*) >= 200 THEN round(avg(p) FILTER (k <= 200), 4) END AS sma200
   FROM (SELECT ticker, adj_close AS p, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars) GROUP BY ticker),
@@ -195,6 +209,15 @@ study AS MATERIALIZED (SELECT period_label, period_start, row_number() OVER (PAR
   CASE WHEN cap_band = 'small' OR sma20 IS NULL OR sma50 IS NULL OR sma200 IS NULL THEN '-' WHEN last < sma20 AND last < sma50 AND last < sma200 THEN 'EARLY' WHEN last < sma50 AND last < sma200 AND last >= sma20 THEN 'PROGRESS'
     WHEN last < sma200 AND last >= sma50 AND last >= sma20 THEN 'SHIFT' ELSE '-' END AS acc_watch, CASE WHEN last > sma200 THEN 1 ELSE 0 END AS pass_trend, score, trading_days FROM r4)"""
 
+
+_STUDY, _BY_SECTOR = _study("commodity"), _study("sector")  # the members have commodities
+
+_RRG = f"""WITH {ALL_BARS}, w AS (SELECT * FROM bars WHERE date BETWEEN {RUN} - INTERVAL 500 DAY AND {RUN}),
+j AS (SELECT a.ticker, a.date, a.adj_close AS p, b.adj_close AS b FROM w a JOIN w b ON b.date = a.date AND b.ticker = 'MKT' WHERE a.ticker LIKE 'R%'),
+r AS (SELECT *, (p / lag(p, 62) OVER x) / (b / lag(b, 62) OVER x) * 100 AS ratio FROM j WINDOW x AS (PARTITION BY ticker ORDER BY date)),
+m AS (SELECT *, ratio / lag(ratio, 21) OVER (PARTITION BY ticker ORDER BY date) * 100 AS mom FROM r)
+SELECT date, ticker, ticker AS name, '' AS grp, round(ratio, 4) AS rs_ratio, round(mom, 4) AS rs_momentum, round(p, 4) AS close FROM m WHERE mom IS NOT NULL"""
+
 SQL = {
     "breadth_panel": f"WITH {_PANEL} SELECT date, ticker, close, ret_12m, sector, industry, cap_band, commodity, type, above_20, above_50, pass_trend, vol_label, acc_watch, peer_rs_score, regime_label FROM panel",
     "breadth_counts": f"WITH {_LONG} SELECT {_C} FROM lo",
@@ -205,16 +228,16 @@ inc AS (SELECT date, universe, layer, group_type, group_key, metric, CASE WHEN d
 SELECT {_C} FROM inc WHERE date NOT IN (SELECT date FROM inc, base WHERE metric = 'total' AND b > 0 AND value < b * 0.9)""",
     "breadth_incremental": f"""WITH {_LONG}, st AS (SELECT DISTINCT date FROM lo WHERE date <= {RUN} - INTERVAL 20 DAY), done AS (SELECT date FROM st ORDER BY date DESC OFFSET 2)
 SELECT {_C} FROM lo WHERE group_type = 'all' AND date >= {RUN} - INTERVAL 400 DAY AND date NOT IN (SELECT date FROM done)""",
+    "breadth_rebuild": f"WITH {_LONG}, sk AS (SELECT date FROM cal WHERE pos > 200) SELECT {_C} FROM lo WHERE group_type = 'sector' AND date IN (SELECT date FROM sk)",
+    "read_breadth": f"WITH {_LONG} SELECT {_C} FROM lo WHERE group_type = 'sector' AND group_key = 's0' AND date BETWEEN DATE '2001-01-01' AND {RUN} ORDER BY date DESC, metric LIMIT 60 OFFSET 7",
+    "read_signals_all": f"WITH RECURSIVE {_SCAN} SELECT *, {RUN} AS run_date FROM scan",
     "breadth_wide": f"WITH {_LONG}, nm AS (SELECT universe, date, {_NAME} AS name, value FROM lo) SELECT universe, date, " + ", ".join(f"first(value) FILTER (name = '{w}') AS {w}" for w in WIDE) + " FROM nm GROUP BY ALL",
     "breadth_long": f"WITH {_LONG} SELECT {_C} FROM lo WHERE {_NAME} IN ({_IN})",
     "breadth_summary": f"""WITH {_LONG}, mx AS (SELECT max(date) AS t FROM lo), dd AS (SELECT k, max(date) AS d FROM lo, mx, (VALUES (7), (28), (91)) x(k) WHERE date <= t - CAST(k AS INTEGER) GROUP BY k),
 nw AS (SELECT * FROM lo, mx WHERE date = t), ol AS (SELECT k, lo.* FROM lo JOIN dd ON date = d)
 SELECT universe, layer, group_type, group_key, metric, nw.value, {', '.join(f"nw.value - (SELECT value FROM ol WHERE k = {k} AND ol.layer = nw.layer AND ol.group_type = nw.group_type AND ol.group_key = nw.group_key AND ol.metric = nw.metric) AS change_{k}" for k in (7, 28, 91))} FROM nw""",
-    "rrg": f"""WITH {ALL_BARS}, w AS (SELECT * FROM bars WHERE date BETWEEN {RUN} - INTERVAL 500 DAY AND {RUN}),
-j AS (SELECT a.ticker, a.date, a.adj_close AS p, b.adj_close AS b FROM w a JOIN w b ON b.date = a.date AND b.ticker = 'MKT' WHERE a.ticker LIKE 'R%'),
-r AS (SELECT *, (p / lag(p, 62) OVER x) / (b / lag(b, 62) OVER x) * 100 AS ratio FROM j WINDOW x AS (PARTITION BY ticker ORDER BY date)),
-m AS (SELECT *, ratio / lag(ratio, 21) OVER (PARTITION BY ticker ORDER BY date) * 100 AS mom FROM r)
-SELECT date, ticker, ticker AS name, '' AS grp, round(ratio, 4) AS rs_ratio, round(mom, 4) AS rs_momentum, round(p, 4) AS close FROM m WHERE mom IS NOT NULL""",
+    "rrg": _RRG,
+    "read_rrg": "SELECT * FROM (" + _RRG + ") WHERE date >= DATE '2001-05-01' ORDER BY date DESC, ticker LIMIT 40 OFFSET 3",
     "td_setup": f"WITH {_SERIES}, {_td('t', 'se').split(', t_r AS')[0].split(',' + chr(10) + 't_r AS')[0]} SELECT ticker, date, c, setup FROM t_s",
     "td_countdown": f"WITH RECURSIVE {_SERIES}, {_td('t', 'se')} SELECT ticker, date, c, setup, cd AS countdown FROM t_r",
     "weekly_close": f"WITH {_SERIES} SELECT ticker, {_WEEK} AS date, arg_max(c, date) AS c FROM se GROUP BY ticker, {_WEEK}",
@@ -222,7 +245,7 @@ SELECT date, ticker, ticker AS name, '' AS grp, round(ratio, 4) AS rs_ratio, rou
     "demark_report_lists": f"WITH RECURSIVE {_SCAN} " + " UNION ALL ".join(f"SELECT '{s}' AS signal, coalesce(string_agg(ticker, ',' ORDER BY ticker) FILTER ({s} = 1), '') AS tickers FROM scan" for s in _SIG),
     "read_signals": f"WITH RECURSIVE {_SCAN} SELECT * FROM scan WHERE {' OR '.join(f'{s} = 1' for s in _SIG)}",
     "multi_period_study": f"WITH {_STUDY} SELECT * FROM study",
-    "period_performance": f"WITH {_STUDY} SELECT * FROM study WHERE period_label = 'p2000'",
+    "period_performance": f"WITH {_BY_SECTOR} SELECT * FROM study WHERE period_label = 'p2000'",
     "cross_period_ranks": f"""WITH {_STUDY}, x AS (SELECT ticker, {', '.join(f"max(rank) FILTER (period_label = '{p}') AS rank_{p}" for p, _ in PERIODS)} FROM study GROUP BY ticker)
 SELECT *, CASE WHEN rank_p1998 > rank_p2000 AND rank_p2000 > rank_p2001 THEN 'IMPROVING' WHEN rank_p1998 < rank_p2000 AND rank_p2000 < rank_p2001 THEN 'DECLINING' ELSE 'MIXED' END AS rank_trend FROM x""",
     "top_bottom": f"WITH {_STUDY} SELECT period_label, rank, ticker, score FROM (SELECT *, max(rank) OVER (PARTITION BY period_label) AS mx FROM study) WHERE rank <= 5 OR rank > mx - 3",
