@@ -103,11 +103,11 @@ def backtest(configs: DataFrame, picks: DataFrame, bars: DataFrame, days: DataFr
     """
     held = picks.select("config_id", "ticker").distinct().unionByName(configs.select("config_id", F.lit(hedger).alias("ticker"))).distinct()
     blank = lambda t: F.lit(None).cast(t)
-    bar = bars.where("close is not null").select("ticker", "date", "close", F.coalesce("dividend", F.lit(0.0)).alias("dividend")).join(F.broadcast(held), "ticker")
+    bar = bars.where("close is not null").select("ticker", "date", "close", F.coalesce("dividend", F.lit(0.0)).alias("dividend")).join(held, "ticker")
     bar = bar.select("config_id", F.lit("bar").alias("kind"), "date", "ticker", "close", "dividend", blank("int").alias("place"), blank("double").alias("rate"), blank("boolean").alias("signal"), blank("boolean").alias("rebalance"))
     pick = picks.select("config_id", F.lit("pick").alias("kind"), "date", "ticker", blank("double").alias("close"), blank("double").alias("dividend"), F.col("place").cast("int").alias("place"), blank("double").alias("rate"), blank("boolean").alias("signal"), blank("boolean").alias("rebalance"))
-    day = days.crossJoin(F.broadcast(configs.select("config_id"))).select("config_id", F.lit("day").alias("kind"), "date", F.lit(hedger).alias("ticker"), blank("double").alias("close"), blank("double").alias("dividend"), blank("int").alias("place"), "rate", "signal", "rebalance")
-    rows = bar.unionByName(pick).unionByName(day).join(F.broadcast(configs), "config_id")
+    day = days.crossJoin(configs.select("config_id")).select("config_id", F.lit("day").alias("kind"), "date", F.lit(hedger).alias("ticker"), blank("double").alias("close"), blank("double").alias("dividend"), blank("int").alias("place"), "rate", "signal", "rebalance")
+    rows = bar.unionByName(pick).unionByName(day).join(configs, "config_id")
     return rows.groupBy("config_id").applyInPandas(ledger_kernel, LEDGER)
 
 
@@ -118,9 +118,9 @@ def top_picks(scores: DataFrame, configs: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(configs.select("config_id", "top_n")), F.col("place") <= F.col("top_n")).select("config_id", F.col("rebalance").alias("date"), "ticker", "place")
 
 
-def fixed_picks(rebalances: DataFrame, configs: DataFrame, fund: str) -> DataFrame:
-    """One fund at every rebalance date: the passive ledger under the same cash rules."""
-    return rebalances.select("date").crossJoin(F.broadcast(configs.select("config_id"))).select("config_id", "date", F.lit(fund).alias("ticker"), F.lit(1).alias("place"))
+def fixed_picks(rebalances: DataFrame, configs: DataFrame) -> DataFrame:
+    """The one ticker of each of configs(config_id, ticker) at every rebalance date: the passive ledger under the same cash rules."""
+    return rebalances.select("date").crossJoin(configs.select("config_id", "ticker")).select("config_id", "date", "ticker", F.lit(1).alias("place"))
 
 
 def backtest_summary(ledger: DataFrame, configs: DataFrame, market: DataFrame) -> DataFrame:

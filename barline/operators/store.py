@@ -65,6 +65,22 @@ def latest_document(documents: DataFrame) -> DataFrame:
     return documents.groupBy("kind").agg(F.max("date").alias("date"), F.max_by("text", "date").alias("text"), F.count("*").alias("versions"))
 
 
+def save_documents(stored: DataFrame, incoming: DataFrame, created: str) -> DataFrame:
+    """stored(kind, date, text, payload, created) with incoming documents, stamped as created, replacing those of the same kind and date."""
+    return upsert(stored, incoming.withColumn("created", F.to_timestamp(F.lit(created))), ["kind", "date"])
+
+
+def load_document(documents: DataFrame, kind: str, date: str | None = None) -> DataFrame:
+    """The document of a kind and date, or the kind's newest one."""
+    rows = documents.where(F.col("kind") == kind)
+    return rows.where(F.col("date") == F.lit(date)) if date else rows.orderBy(F.desc("date")).limit(1)
+
+
+def document_dates(documents: DataFrame, kind: str) -> DataFrame:
+    """Dates of a kind's documents with when each was written, newest first."""
+    return documents.where(F.col("kind") == kind).select("date", "created").orderBy(F.desc("date"))
+
+
 def immutable_runs(runs: DataFrame, known: DataFrame) -> DataFrame:
     """Runs whose fingerprint (SHA-256 of the row's JSON with sorted names) isn't known yet, once each."""
     names = sorted(runs.columns)
@@ -72,6 +88,25 @@ def immutable_runs(runs: DataFrame, known: DataFrame) -> DataFrame:
     return marked.dropDuplicates(["run_id"]).join(known.select("run_id"), "run_id", "left_anti")
 
 
+def run_record(frames: dict[str, DataFrame], configuration: DataFrame, kind: str, run_id: str, created: str) -> DataFrame:
+    """One append-only record of a run: run_id, kind, created, configuration (JSON of its one row with sorted names), its fingerprint, and the
+    frames' row counts as JSON. The counts are taken by Spark; no frame reaches the driver."""
+    counts = None
+    for label in sorted(frames):
+        n = frames[label].agg(F.count("*").alias(label))
+        counts = n if counts is None else counts.crossJoin(n)  # rows of one count
+    settings = F.to_json(F.struct(*sorted(configuration.columns)))
+    return counts.select(F.to_json(F.struct(*sorted(frames))).alias("row_counts")).crossJoin(configuration.select(settings.alias("configuration"))).select(
+        F.lit(run_id).alias("run_id"), F.lit(kind).alias("kind"), F.to_timestamp(F.lit(created)).alias("created"), "configuration", F.sha2("configuration", 256).alias("configuration_version"), "row_counts"
+    )
+
+
+def save_reviews(stored: DataFrame, reviews: DataFrame, created: str) -> DataFrame:
+    """stored(review_id, content, created) with each new content of reviews(content) once; the id is its SHA-256, and what is stored never changes."""
+    new = reviews.where("content is not null").select(F.sha2("content", 256).alias("review_id"), "content").dropDuplicates(["review_id"])
+    return stored.unionByName(new.join(stored.select("review_id"), "review_id", "left_anti").withColumn("created", F.to_timestamp(F.lit(created))))
+
+
 def adjustment_drift(stored: DataFrame, incoming: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Tickers whose adjusted close moved on a date that both have."""
     old = stored.select("ticker", "date", F.col("adj_close").alias("old"))

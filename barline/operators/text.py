@@ -72,24 +72,112 @@ def chunk_text(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_idx long, chunk string")
 
 
+QUERY_BYTES = 32 << 20  # query vectors that are compared at a time
+
+
 def chunk_topk(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The n nearest corpus vectors of each query by squared distance, ties by id. queries is a stated small set of rows."""
-    square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = corpus.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", square.alias("distance"))
-    near = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return pairs.withColumn("place", near).where(F.col("place") <= n)
-
-
-def keyword_scan(texts: DataFrame, keywords: dict[str, list[str]], around: int = 70) -> DataFrame:
-    """Whole-word hits of each topic's keywords in texts(id, text): id, topic, hits, snippet around the first."""
-    parts = None
-    for topic, words in keywords.items():
-        pattern = r"(?i)\b(?:" + "|".join(words) + r")\b"
-        at = F.regexp_instr("text", F.lit(pattern))
-        begin = F.greatest(at - around, F.lit(1))
-        one = texts.select("id", F.lit(topic).alias("topic"), F.regexp_count("text", F.lit(pattern)).cast("long").alias("hits"), F.substring("text", begin, F.lit(2 * around)).alias("snippet"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.where("hits > 0")
+    """The n nearest of corpus(vec_id, v) to each of queries(query_id, q) by squared distance, ties by id; a row is not its own neighbour.
+
+    Queries are taken in blocks of QUERY_BYTES, broadcast one after another, each against all of the corpus. A task keeps the n best
+    of its rows for every query of the block, so at most n rows a query and task are shuffled. Rows without a vector are left out.
+    """
+    spark, queries = corpus.sparkSession, queries.where("q is not null")
+    size, count = queries.agg(F.sum(F.size("q") * 8), F.count("*")).first()
+    n_blocks = max(1, -(-int(size or 0) // QUERY_BYTES))
+    part, out = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)), None
+    for block in range(n_blocks):
+        rows = queries.where(part == block).collect() if count else []
+        own = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64)))
+
+        def nearest(batches: Iterable[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
+            ids, q = own.value
+            best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                vec, v = batch["vec_id"].to_numpy(), np.stack(batch["v"].to_list()).astype(np.float64)
+                for k, (key, one) in enumerate(zip(ids, q, strict=True)):
+                    d = np.square(v - one).cumsum(axis=1)[:, -1]  # summed in order, as the rows of two engines must agree
+                    near, far = np.concatenate([best[k][0], vec[vec != key]]), np.concatenate([best[k][1], d[vec != key]])
+                    kept = np.lexsort((near, far))[:n]
+                    best[k] = near[kept], far[kept]
+            rows = [(key, int(i), float(x)) for key, (near, far) in zip(ids, best, strict=True) for i, x in zip(near, far, strict=True)]
+            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "distance"])
+
+        one = corpus.where("v is not null").select("vec_id", "v").mapInPandas(nearest, "query_id long, vec_id long, distance double")
+        out = one if out is None else out.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return out.withColumn("place", place).where(F.col("place") <= n)
+
+
+# Company-form words that a name's stem leaves out.
+NAME_FORMS = r"(?i)\b(?:limited|ltd\.?|corporation|corp\.?|incorporated|inc\.?|plc|nl|group|holdings?|resources|mining|metals|minerals)\b"
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def strip_name(text: Column, name: Column) -> Column:
+    """A text without its company's name, in any case, and without the name's stem if that has four characters or more."""
+    name = F.coalesce(name, F.lit(""))
+    stem = F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, NAME_FORMS, " ")), r"\s+", " "))
+    out = F.when(name == "", text).otherwise(F.regexp_replace(text, F.concat(F.lit("(?i)"), _quoted(name)), F.lit(" ")))
+    return F.when(F.length(stem) < 4, out).otherwise(F.regexp_replace(out, F.concat(F.lit("(?i)"), _quoted(stem), F.lit("(?:'s)?")), F.lit(" ")))
+
+
+def summary_scan(texts: DataFrame, groups: DataFrame, rejected: DataFrame, keywords: dict[str, list[str]], around: int = 70) -> DataFrame:
+    """Commodities that a flagged ticker's description names beside those it has: ticker, commodity, hits, snippet, n_existing.
+
+    texts has ticker, name, text; groups the flags (group_type, group_key); rejected(ticker, group_key) are never proposed. The
+    company's own name is removed first. Hits are whole words in any case; the snippet surrounds the first hit of the first keyword that has one.
+    """
+    flags = groups.where("group_type = 'commodity'").select("ticker", F.col("group_key").alias("commodity")).distinct()
+    flagged = flags.groupBy("ticker").agg(F.count("*").alias("n_existing"))
+    rows = texts.where("text <> ''").join(flagged, "ticker").select("ticker", "n_existing", strip_name(F.col("text"), F.col("name")).alias("clean"))
+    found = []
+    for commodity, words in keywords.items():
+        patterns = [rf"(?i)(?<![A-Za-z])\Q{w}\E(?![A-Za-z])" for w in words]
+        counts = [F.regexp_count("clean", F.lit(p)).cast("long") for p in patterns]
+        shown = []
+        for w, p, k in zip(words, patterns, counts, strict=True):
+            at, long = F.regexp_instr("clean", F.lit(p)), F.char_length("clean")
+            a, b = F.greatest(F.lit(0), at - 1 - around), F.least(long, at - 1 + len(w) + around)
+            cut = F.replace(F.substring("clean", a + 1, b - a), F.lit("\n"), F.lit(" "))
+            shown.append(F.when(k > 0, F.concat(F.when(a > 0, "…").otherwise(""), cut, F.when(b < long, "…").otherwise(""))))
+        hits = counts[0]
+        for k in counts[1:]:
+            hits = hits + k
+        found.append(F.struct(F.lit(commodity).alias("commodity"), hits.alias("hits"), F.coalesce(*shown).alias("snippet")))
+    out = rows.select("ticker", "n_existing", F.inline(F.filter(F.array(*found), lambda x: x["hits"] > 0)))
+    known = flags.unionByName(rejected.select("ticker", F.col("group_key").alias("commodity"))).distinct()
+    return out.join(known, ["ticker", "commodity"], "left_anti")
+
+
+# Good and bad thresholds of a metric and which way is better; None: no verdict. Profiles override some.
+GUIDES = {
+    "pe_ratio": (18.0, 30.0, "low"), "forward_pe": (18.0, 30.0, "low"), "pb_ratio": (1.5, 4.0, "low"), "ps_ratio": (2.5, 6.0, "low"), "gross_margin": (40.0, 20.0, "high"),
+    "operating_margin": (12.0, 7.0, "high"), "profit_margin": (10.0, 4.0, "high"), "roe": (12.0, 8.0, "high"), "roa": (6.0, 2.0, "high"), "debt_to_equity": (1.0, 2.0, "low"),
+    "current_ratio": (1.3, 1.0, "high"), "revenue_growth": (7.0, 0.0, "high"), "dividend_yield": (None, None, None),
+}
+PROFILE_GUIDES = {
+    "small_cap_explorers": {"debt_to_equity": (2.5, 8.0, "low"), "current_ratio": (1.0, 0.75, "high"), "revenue_growth": (5.0, -10.0, "high"), "profit_margin": (0.0, -20.0, "high")},
+    "aus_small_cap_explorers": {"debt_to_equity": (2.8, 8.5, "low"), "current_ratio": (1.0, 0.75, "high"), "revenue_growth": (5.0, -10.0, "high"), "profit_margin": (0.0, -20.0, "high")},
+}
+
+
+def metric_verdict(cells: DataFrame) -> DataFrame:
+    """All columns of cells(metric, text, profile, ...) with value and verdict: good, neutral, bad; null for an unknown metric, one without
+    a direction, or text that is no number. Profiles without a threshold of their own take the generic one."""
+    rows = [(p, m, *PROFILE_GUIDES.get(p, {}).get(m, guide)) for p in ("generic", *PROFILE_GUIDES) for m, guide in GUIDES.items()]
+    guides = cells.sparkSession.createDataFrame(rows, "_p string, metric string, _good double, _bad double, _way string")
+    profile = F.when(F.col("profile").isin(*PROFILE_GUIDES), F.col("profile")).otherwise("generic")
+    v = F.col("value")
+    low = chain([(v <= F.col("_good"), "good"), (v >= F.col("_bad"), "bad")], "neutral")
+    high = chain([(v >= F.col("_good"), "good"), (v <= F.col("_bad"), "bad")], "neutral")
+    joined = cells.withColumn("_p", profile).join(F.broadcast(guides), ["_p", "metric"], "left").withColumn("value", metric_parse(F.col("text")))  # a fixed table
+    verdict = F.when(v.isNull(), None).when(F.col("_way") == "low", low).when(F.col("_way") == "high", high)
+    return joined.withColumn("verdict", verdict).drop("_p", "_good", "_bad", "_way")
 
 
 def notice_parse(pages: DataFrame) -> DataFrame:

@@ -126,6 +126,13 @@ def security_search(securities: DataFrame, text: str, limit: int = 25) -> DataFr
     return securities.where(hit & (F.col("quote_type") == "EQUITY")).orderBy(F.desc("active"), F.desc_nulls_last("market_cap"), "ticker").limit(limit)
 
 
+def security_page(securities: DataFrame, text: str = "", offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of the securities whose ticker or name contains the text as it stands, signs of patterns included, by ticker."""
+    needle = F.lit(text.lower())
+    hit = F.lower("ticker").contains(needle) | F.coalesce(F.lower("name").contains(needle), F.lit(False))
+    return securities.where(hit).orderBy("ticker").offset(offset).limit(limit)
+
+
 def listing_clean(listings: DataFrame, region: str, require_usd: bool = False) -> DataFrame:
     """Screener rows worth keeping, the first for each ticker. listings has ticker, name, quote_type, currency, place."""
     t = F.upper(F.trim("ticker"))
@@ -146,16 +153,26 @@ def universe_refresh_diff(found: DataFrame, stored: DataFrame, log: DataFrame, r
     return both.select("ticker", action.alias("action"))
 
 
-def universe_refresh_apply(stored: DataFrame, found: DataFrame, diff: DataFrame, run_date: str) -> DataFrame:
-    """stored after the diff: found rows fill name, exchange and cap, replace sector and industry; deactivated rows get a date."""
-    f = found.select("ticker", *(F.col(c).alias(f"f_{c}") for c in ("name", "exchange", "market_cap", "sector", "industry")))
-    rows = stored.join(f, "ticker", "full").join(diff, "ticker", "left")
-    hit = F.col("action").isin("new", "updated")
+# Benchmark of a region's new securities.
+REGION_BENCHMARK = {"AU": "^AXJO", "US": "SPY"}
+OUTAGE_ROWS = 200
+
+
+def universe_refresh_apply(stored: DataFrame, found: DataFrame, diff: DataFrame, run_date: str, outage_rows: int = OUTAGE_ROWS) -> DataFrame:
+    """stored after the diff: found rows fill name, exchange, cap, currency and a missing benchmark, replace sector, industry and cap
+    band; deactivated rows get a date. A region with fewer than outage_rows found rows is taken for an outage and left as it was."""
+    f = found.select("ticker", F.col("region").alias("f_region"), *(F.col(c).alias(f"f_{c}") for c in ("name", "exchange", "market_cap", "currency", "sector", "industry")))
+    sizes = found.groupBy("region").agg(F.count("*").alias("_n")).where(F.col("_n") >= outage_rows).select(F.col("region").alias("_r"))  # a row a region
+    rows = stored.join(f, "ticker", "full").join(diff, "ticker", "left").withColumn("_r", F.coalesce("region", "f_region")).join(F.broadcast(sizes.withColumn("_up", F.lit(True))), "_r", "left")
+    rows = rows.where(F.col("_up") | F.col("region").isNotNull())
+    up = F.coalesce("_up", F.lit(False))
+    hit, gone = F.coalesce(up & F.col("action").isin("new", "updated"), F.lit(False)), up & (F.col("action") == "deactivate")
     pick = lambda c: F.when(hit, F.coalesce(f"f_{c}", c)).otherwise(F.col(c)).alias(c)
     replace = lambda c: F.when(hit, F.col(f"f_{c}")).otherwise(F.col(c)).alias(c)
-    gone = F.col("action") == "deactivate"
+    band = cap_band("f_market_cap")
     return rows.select(
-        "ticker", pick("name"), pick("exchange"), pick("market_cap"), replace("sector"), replace("industry"),
+        "ticker", F.col("_r").alias("region"), pick("name"), pick("exchange"), pick("market_cap"), pick("currency"), replace("sector"), replace("industry"), F.when(hit, band).otherwise(F.col("cap_band")).alias("cap_band"),
+        F.when(hit, F.coalesce("benchmark", lookup(REGION_BENCHMARK, "_r"))).otherwise(F.col("benchmark")).alias("benchmark"),
         F.when(gone, 0).when(hit, 1).otherwise(F.col("active")).alias("active"), F.when(gone, F.to_date(F.lit(run_date))).alias("delisted_on"),
     )
 

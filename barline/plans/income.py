@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import backtest, income
-from ..sources.tables import RUN_DATE, bars, holdings
-from .sql import ALL_BARS, HOLDINGS, RUN
+from ..sources.tables import RUN_DATE, bars, holdings, securities
+from .sql import ALL_BARS, HOLDINGS, RUN, SECURITIES
 
 BUY = [f"I{i}" for i in range(5)]
 
@@ -55,11 +55,39 @@ def ledger(spark, d):
 
 
 def passive(spark, d):
-    c = configs(spark, d).where("config_id = 'top1-plain'")
-    return backtest.backtest(c, backtest.fixed_picks(dates(spark, d), c, "I0"), bars(spark, d), days(spark, d), "R0")
+    """Every fund, and the market as reference, held alone under the cash rules of two configurations."""
+    settings = configs(spark, d).where("config_id in ('top1-plain', 'top1-all')")
+    held = securities(spark, d).where("quote_type = 'EQUITY' or ticker = 'MKT'").select("ticker")
+    c = settings.crossJoin(held).withColumn("config_id", F.concat_ws("/", "config_id", "ticker"))  # two rows of settings
+    return backtest.backtest(c.drop("ticker"), backtest.fixed_picks(dates(spark, d), c), bars(spark, d), days(spark, d), "R0")
+
+
+TODAY = "2001-07-02"
+
+
+def positions(spark, d):
+    """Holdings with shares; some lack a price, a date, or a currency."""
+    k = F.col("holding_id")
+    h = holdings(spark, d).withColumn("shares", F.when(k % 13 != 0, (k % 40 + 1).cast("double")))
+    h = h.withColumn("entry_price", F.when(k % 17 != 0, F.col("entry_price"))).withColumn("entry_date", F.when(k % 19 != 0, F.col("entry_date")))
+    h = h.withColumn("quote_currency", F.when(k % 23 != 0, F.col("quote_currency")))
+    return h.select("holding_id", F.when(k % 29 == 0, "NONE").otherwise(F.col("ticker")).alias("ticker"), "shares", "entry_price", "entry_date", "quote_currency")
+
+
+def reviewed_bars(spark, d):
+    """The funds' bars, every fifth fund with a split on file, every eleventh without recent bars."""
+    i = F.substring("ticker", 2, 20).cast("int")
+    b = funds(spark, d).where((i % 11 != 7) | (F.col("date") < F.lit("2001-06-01")))
+    return b.withColumn("split", F.when((i % 5 == 0) & (F.month("date") == 3) & (F.year("date") == 1998), 2.0).otherwise(F.col("split")))
+
+
+def priced_in(spark, d):
+    return securities(spark, d).select("ticker", F.when(F.col("region") == "US", "USD").otherwise("AUD").alias("currency"))
 
 
 QUERIES = {
+    "holding_review": lambda s, d: income.holding_review(positions(s, d), scored(s, d), reviewed_bars(s, d), priced_in(s, d), TODAY, 5),
+    "buy_candidates": lambda s, d: income.buy_candidates(positions(s, d).where("holding_id % 7 = 1 and ticker like '%2'"), scored(s, d), 5),
     "backtest": ledger,
     "passive_ledger": passive,
     "backtest_summary": lambda s, d: backtest.backtest_summary(ledger(s, d), configs(s, d), _series(s, d, "MKT")),
@@ -115,7 +143,22 @@ hr AS (SELECT *, round(raw, 6) AS total_return FROM (SELECT holding_id, h.ticker
   FROM holdings h LEFT JOIN lp USING (ticker) WHERE entry_price > 0))"""
 _DATES = f"rd AS (SELECT CAST(p AS DATE) AS period_start, (SELECT min(date) FROM bars WHERE ticker = 'MKT' AND date >= p) AS date FROM generate_series(DATE '2000-01-01', DATE '2001-06-30', INTERVAL 3 MONTH) x(p))"
 
+_POS = f"""{HOLDINGS}, pos AS MATERIALIZED (SELECT holding_id, CASE WHEN holding_id % 29 = 0 THEN 'NONE' ELSE ticker END AS ticker, CASE WHEN holding_id % 13 <> 0 THEN holding_id % 40 + 1 END AS shares, CASE WHEN holding_id % 17 <> 0 THEN entry_price END AS entry_price,
+  CASE WHEN holding_id % 19 <> 0 THEN entry_date END AS entry_date, CASE WHEN holding_id % 23 <> 0 THEN quote_currency END AS quote_currency FROM holdings)"""
+_REVIEW = f"""{_SC}, {_Q}, {_POS}, {SECURITIES}, rb AS MATERIALIZED (SELECT ticker, date, close, dividend, CAST(substr(ticker, 2) AS INTEGER) % 5 = 0 AND month(date) = 3 AND year(date) = 1998 AS divided FROM bars
+  WHERE ticker LIKE 'I%' AND date <= DATE '2001-07-02' AND (CAST(substr(ticker, 2) AS INTEGER) % 11 <> 7 OR date < DATE '2001-06-01')),
+sp AS (SELECT ticker, min(date) AS a, max(date) AS z, arg_max(close, date) AS c, max(date) FILTER (divided) AS cut FROM rb GROUP BY ticker),
+h AS (SELECT pos.*, sp.*, CASE WHEN region = 'US' THEN 'USD' WHEN region = 'AU' THEN 'AUD' END AS currency, CASE WHEN entry_date IS NOT NULL THEN CAST(coalesce((SELECT sum(CAST(dividend AS DECIMAL(18,4))) FROM rb WHERE rb.ticker = pos.ticker AND rb.date > entry_date), 0) AS DOUBLE) END AS paid
+  FROM pos LEFT JOIN sp ON sp.ticker = pos.ticker LEFT JOIN (SELECT ticker AS t, region FROM securities) s ON s.t = pos.ticker),
+v AS (SELECT *, (c + coalesce(paid, 0.0)) / CASE WHEN entry_price > 0 THEN entry_price END - 1 AS value FROM h),
+w AS (SELECT *, concat_ws('; ', CASE WHEN entry_date IS NULL THEN 'entry date missing' WHEN entry_date > DATE '2001-07-02' THEN 'entry after review' WHEN entry_date < a THEN 'prices begin after entry' END, CASE WHEN entry_price > 0 THEN NULL ELSE 'entry price missing' END,
+  CASE WHEN z IS NULL THEN 'no prices' WHEN DATE '2001-07-02' - z > 5 THEN 'prices stale' END, CASE WHEN cut > entry_date THEN 'split after entry' END, CASE WHEN currency = quote_currency THEN NULL ELSE 'currency mismatch' END, CASE WHEN value IS NULL THEN 'no return' END) AS warnings FROM v)"""
+
 SQL = {
+    "holding_review": f"""WITH {_REVIEW} SELECT holding_id, w.ticker, CASE WHEN sc.score IS NULL THEN 'NOT IN UNIVERSE' WHEN qualified = 0 THEN 'SELL' WHEN qualified_rank <= 5 THEN 'HOLD' ELSE 'REVIEW' END AS signal, qualified_rank, round(value, 6) AS total_return,
+  CASE WHEN warnings <> '' THEN 'not_assessed' WHEN value <= -2e-1 THEN 'HIT' WHEN value <= -2e-1 * 75e-2 THEN 'NEAR' ELSE 'OK' END AS stop_status, a AS first_price_date, z AS last_price_date, paid AS payouts_after_entry, CASE WHEN shares > 0 THEN 'provided' ELSE 'missing' END AS quantity_status, warnings
+FROM w LEFT JOIN sc ON sc.ticker = w.ticker LEFT JOIN qr ON qr.ticker = w.ticker""",
+    "buy_candidates": f"WITH {_SC}, {_Q}, {_POS} SELECT * FROM qr WHERE qualified_rank <= 5 AND ticker NOT IN (SELECT ticker FROM pos WHERE holding_id % 7 = 1 AND ticker LIKE '%2')",
     "fund_metrics": f"WITH {_F} SELECT * FROM fm",
     "underlying_rs": f"WITH {ALL_BARS}, {_STRENGTH} SELECT * FROM und",
     "fund_score": f"WITH {_SC} SELECT ticker, score, qualified, rank FROM sc",

@@ -55,7 +55,7 @@ def watchlists(spark, d):
     ticker = F.concat(F.lit(" T"), k % 50, F.when(k % 7 == 0, ".L").when(k % 3 == 0, ".AX ").otherwise(""))
     first = p.where(k % 2 == 0).groupBy(ticker.alias("ticker ")).agg(F.min("p_name").alias("name"), F.lit("Gold").alias("commodity"), F.lit("Miners & Producers").alias("type"), F.lit("10").alias("market_cap"))
     later = p.where(k % 5 != 0).groupBy(ticker.alias("ticker")).agg(F.max("p_brand").alias("name"), F.lit("").alias("market_cap"), F.max("p_type").alias("industry"))
-    return universe.import_watchlists([first, later])[0]
+    return universe.import_watchlists([first, later])
 
 
 def csv_lines(spark, d):
@@ -67,7 +67,9 @@ def csv_lines(spark, d):
 
 QUERIES = {
     "summary_apply": lambda s, d: universe.summary_apply(groups(s, d), candidates(s, d)),
-    "import_watchlists": watchlists,
+    "import_watchlists": lambda s, d: watchlists(s, d)[0],
+    "import_watchlist_flags": lambda s, d: watchlists(s, d)[1],
+    "commodity_benchmark": lambda s, d: groups(s, d).where("group_type = 'commodity'").select("ticker", "group_key", drawdown.commodity_benchmark(F.initcap("group_key")).alias("benchmark")),
     "table_csv_series": lambda s, d: macro.table_csv_series(csv_lines(s, d), "orders of"),
     "commodity_flags": lambda s, d: universe.commodity_flags(named(s, d), groups(s, d)),
     "universe_snapshot": lambda s, d: universe.universe_snapshot(universes(s, d), "2001-06-30"),
@@ -102,6 +104,9 @@ UNION ALL SELECT ticker, 'commodity', 'gold', 'royalty', 9 FROM tk WHERE ticker
 a AS (SELECT ticker, min(p_name) AS name FROM p WHERE k % 2 = 0 GROUP BY ticker), b AS (SELECT ticker, max(p_brand) AS name, max(p_type) AS industry FROM p WHERE k % 5 <> 0 GROUP BY ticker)
 SELECT coalesce(a.ticker, b.ticker) AS ticker, CASE WHEN coalesce(a.ticker, b.ticker) LIKE '%.AX' THEN 'AU' ELSE 'US' END AS region, coalesce(a.name, b.name) AS name, CASE WHEN a.ticker IS NOT NULL THEN '10' END AS market_cap, industry, 1 AS active
 FROM a FULL JOIN b ON a.ticker = b.ticker WHERE coalesce(a.ticker, b.ticker) NOT LIKE '%.L'""",
+    "import_watchlist_flags": """SELECT DISTINCT ticker, 'commodity' AS group_type, 'gold' AS group_key, 'producer' AS attr FROM (
+  SELECT p_partkey AS k, 'T' || (p_partkey % 50) || CASE WHEN p_partkey % 7 = 0 THEN '.L' WHEN p_partkey % 3 = 0 THEN '.AX' ELSE '' END AS ticker FROM part) WHERE k % 2 = 0 AND ticker NOT LIKE '%.L'""",
+    "commodity_benchmark": f"WITH {GROUPS} SELECT ticker, group_key, CASE group_key WHEN 'gold' THEN 'GDX' ELSE 'SIL' END AS benchmark FROM groups WHERE group_type = 'commodity'",
     "table_csv_series": "SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 HAVING count(*) % 4 <> 0 ORDER BY 1 DESC LIMIT 20",
     "commodity_flags": f"""WITH {SECURITIES}, {GROUPS}, nm AS (SELECT ticker, {_PICK(_NAMES, "CAST(substr(ticker, 2) AS BIGINT)")} AS name, {_PICK(_INDUSTRIES, "(CAST(substr(ticker, 2) AS BIGINT) // 2)")} AS industry FROM securities
   WHERE quote_type = 'EQUITY' AND active = 1), fl AS ({_FLAGS}) SELECT ticker, 'commodity' AS group_type, group_key, arg_min(attr, src) AS attr FROM fl

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import bars, table
@@ -14,58 +14,77 @@ from .studies import SQL as STUDIES
 from .sql import ALL_BARS
 
 
+SLICES = 4  # batches that a source comes in
+
+
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barline-stream-")
+    """A new folder that all executors share, under spark.checkpoint.dir. Where that is unset a local master (tests) gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="barline-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-def _source(rows: DataFrame) -> DataFrame:
-    """A stream of the rows, from a landed table."""
+def _source(rows: DataFrame, time: str, key: str, arrival: Column | None = None) -> DataFrame:
+    """A stream of the rows in SLICES batches of equal time spans, landed one after another as two files each.
+
+    A key's rows of a slice are in one file. arrival, a slice's number, overrides the slice of the rows where it isn't null.
+    """
     spark, path = rows.sparkSession, _folder(rows.sparkSession)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    day = F.unix_date(F.to_date(time))
+    low, high = rows.agg(F.min(day), F.max(day)).first()
+    due = F.least(F.floor((day - low) * SLICES / (high - low + 1)), F.lit(SLICES - 1)).cast("int")
+    sliced = rows.withColumn("slice", F.coalesce(arrival, due) if arrival is not None else due)
+    for k in range(SLICES):
+        sliced.where(F.col("slice") == k).drop("slice").repartition(2, key).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream gives until its input ends, with the batch that gave it."""
+    """What the stream gives until its input ends, with the batch that gave it. A batch that is tried again replaces its own rows."""
     spark, path = stream.sparkSession, _folder(stream.sparkSession)
-    write = lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{path}/rows")
+    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={i}")
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/rows")
+    return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{path}/rows")
 
 
 def stream_bars(spark, d):
+    """Some events of the first days arrive with the last slice, behind the watermark, and some later ones late but within it."""
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("volume"))
-    out = drain(twins.stream_bars(_source(e)), "update")
+    day, k = F.dayofmonth("ts"), F.col("event_id") % 10
+    late = F.when(((k == 3) & (day <= 5)) | ((k == 4) & day.between(17, 21)), SLICES - 1)
+    out = drain(twins.stream_bars(_source(e, "ts", "key", late)), "update")
     newest = F.row_number().over(Window.partitionBy("ticker", "date").orderBy(F.desc("batch")))
     return out.withColumn("k", newest).where("k = 1").drop("k", "batch")
 
 
 def stream_countdown(spark, d):
     series = bars(spark, d).select("ticker", "date", F.col("adj_close").alias("c"))
-    return drain(twins.stream_countdown(_source(series)), "append").drop("batch")
+    return drain(twins.stream_countdown(_source(series, "date", "ticker")), "append").drop("batch")
 
 
 def stream_hedge(spark, d):
     b = bars(spark, d).where("ticker in ('MKT', 'R0')").groupBy("date").pivot("ticker", ["MKT", "R0"]).agg(F.first("close"))
     rows = b.where("MKT is not null and R0 is not null").select(F.lit("MKT/R0").alias("key"), "date", (F.col("MKT") / F.col("R0")).alias("ratio"))
-    return drain(twins.stream_hedge(_source(rows)), "append").drop("batch")
+    return drain(twins.stream_hedge(_source(rows, "date", "key")), "append").drop("batch")
 
 
 def stream_notices(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"), (F.col("o_orderkey") % 5000).cast("string").alias("ann_id"))
-    return drain(twins.stream_notices(_source(o)), "append").select("ann_id").distinct()
+    """Notices of a week and holder are one, whichever batches they come in; what the stream gives is not deduplicated again."""
+    o = table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat_ws("-", F.to_date(F.date_trunc("week", "o_orderdate")), F.col("o_custkey") % 40).alias("ann_id"))
+    return drain(twins.stream_notices(_source(o, "ts", "ann_id")), "append").select("ann_id")
 
 
 QUERIES = {"stream_bars": stream_bars, "stream_countdown": stream_countdown, "stream_hedge": stream_hedge, "stream_notices": stream_notices}
 
 SQL = {
     "stream_bars": """SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
-FROM events GROUP BY 1, 2""",
+FROM events WHERE NOT (event_id % 10 = 3 AND dayofmonth(ts) <= 5) GROUP BY 1, 2""",
     "stream_countdown": STUDIES["td_countdown"],
     "stream_hedge": f"""WITH {ALL_BARS}, r AS (SELECT a.date, a.close / b.close AS ratio FROM bars a JOIN bars b USING (date) WHERE a.ticker = 'MKT' AND b.ticker = 'R0')
 SELECT 'MKT/R0' AS key, date, coalesce(last_value(CASE WHEN ratio >= 1.0 THEN 1 WHEN ratio <= 0.95 THEN 0 END IGNORE NULLS) OVER (ORDER BY date), 0) AS hedged FROM r""",
-    "stream_notices": "SELECT DISTINCT CAST(o_orderkey % 5000 AS VARCHAR) AS ann_id FROM orders",
+    "stream_notices": "SELECT DISTINCT CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR) || '-' || (o_custkey % 40) AS ann_id FROM orders",
 }

@@ -83,6 +83,26 @@ def caps(spark, d):
     return c.select("c_custkey", F.when(F.col("c_custkey") % 11 == 0, "N/A").otherwise(F.concat(F.lit("$"), F.col("c_custkey") % 900, F.lit(".5"), tail)).alias("text"))
 
 
+TOPICS = {"the": ["the", "thea"], "licence": ["licensed", "license"], "data": ["data", "model"]}
+
+
+def descriptions(spark, d):
+    """Texts with a name that some hold, their flags, and rejected ones."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("ticker"), F.coalesce(F.regexp_extract("text", "([A-Za-z]{4,}) ", 1), F.lit("")).alias("name"), "text", "doc_id")
+    flags = t.where("doc_id % 3 <> 0").select("ticker", F.lit("commodity").alias("group_type"), F.when(F.col("doc_id") % 3 == 1, "the").otherwise("gold").alias("group_key"))
+    return t.drop("doc_id"), flags, t.where("doc_id % 5 = 0").select("ticker", F.lit("licence").alias("group_key"))
+
+
+def metric_cells(spark, d):
+    """A metric of each customer as text, in one of four profiles."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    whole = F.floor(F.col("c_acctbal") / 60).cast("long")
+    return c.select(
+        "c_custkey", _pick([*text.GUIDES, "beta"], k % (len(text.GUIDES) + 1)).alias("metric"), _pick(["generic", "small_cap_explorers", "aus_small_cap_explorers", "other"], k % 4).alias("profile"),
+        F.when(k % 11 == 0, "N/A").when(k % 3 == 0, F.concat(whole % 9, F.lit(".5%"))).otherwise(F.concat(F.lit("$"), whole - 30)).alias("text"),
+    )
+
+
 QUERIES = {
     "price_islands": islands_summary,
     "repair_islands": lambda s, d: repair.repair_islands(glitched(s, d), repair.price_islands(glitched(s, d))).select("ticker", "date", F.round("close", 8).alias("close"), F.round("volume", 4).alias("volume")),
@@ -94,8 +114,9 @@ QUERIES = {
         "ticker", text.explorer_profile(F.when(F.col("sector") == "S1", "Basic Materials").otherwise(F.col("sector")), F.when(F.col("industry") == "N2", "Gold Explorers").otherwise(F.col("industry")), F.col("market_cap"), F.concat("ticker", F.when(F.col("region") == "AU", ".AX").otherwise(""))).alias("profile")
     ),
     "chunk_text": lambda s, d: text.chunk_text(paragraphs(s, d)),
-    "chunk_topk": lambda s, d: text.chunk_topk(vectors(s, d).where("vec_id >= 10"), vectors(s, d).where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 5).select("query_id", "vec_id", "place"),
-    "summary_scan": lambda s, d: text.keyword_scan(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), {"the": ["the", "thea"], "licence": ["licensed under", "apache license"]}).select("id", "topic", "hits"),
+    "chunk_topk": lambda s, d: text.chunk_topk(vectors(s, d), vectors(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 5).select("query_id", "vec_id", "place"),
+    "summary_scan": lambda s, d: text.summary_scan(*descriptions(s, d), TOPICS),
+    "metric_verdict": lambda s, d: text.metric_verdict(metric_cells(s, d)),
     "notice_merge": merged,
     "notice_read": lambda s, d: text.notice_read(merged(s, d), ["holder"], "2000-06-30", 90),
     "notice_groups": lambda s, d: text.notice_groups(merged(s, d)),
@@ -131,6 +152,12 @@ st AS (SELECT ticker, split_date, r.split, mq.date, CASE WHEN abs(ln(close / lev
 us AS MATERIALIZED (SELECT jd.ticker, split_date, split, cut, mv.date AS jump_date FROM jd JOIN (SELECT ticker, i, date FROM mv) mv ON mv.ticker = jd.ticker AND mv.i = least(j, z)
   UNION ALL SELECT ticker, split_date, split, NULL, min(date) FROM st WHERE k <= 2 GROUP BY ticker, split_date, split)"""
 _ONCE = "du AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, jump_date ORDER BY split_date) AS r FROM us) WHERE r = 1)"
+_FORMS = text.NAME_FORMS.replace("(?i)", "")
+_WORDS = ", ".join(f"('{c}', {k}, '{w}')" for c, words in TOPICS.items() for k, w in enumerate(words))
+_GUIDES = ", ".join(
+    f"('{p}', '{m}', {'NULL' if g is None else g}, {'NULL' if b is None else b}, {'NULL' if w is None else chr(39) + w + chr(39)})"
+    for p in ("generic", *text.PROFILE_GUIDES) for m, guide in text.GUIDES.items() for g, b, w in [text.PROFILE_GUIDES.get(p, {}).get(m, guide)]
+)
 _MERGED = """n0 AS (SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS ann_id, CAST(o_orderdate AS DATE) AS date, 'I' || (o_custkey % 40) AS ticker, ['initial', 'change', 'cease'][o_custkey % 3 + 1] AS action, o_orderpriority AS holder, row_number() OVER (PARTITION BY o_orderkey % 5000 ORDER BY o_orderkey) AS k FROM orders),
 mg AS (SELECT ann_id, date, ticker, action, holder FROM n0 WHERE k = 1)"""
 
@@ -148,13 +175,28 @@ fx AS (SELECT du.ticker, sb.date, 1 / du.split AS f FROM du JOIN sb ON sb.ticker
 pf AS (SELECT ticker, date, product(f) AS f FROM fx GROUP BY ALL)
 SELECT ticker, date, round(close * coalesce(f, 1.0), 8) AS close, round(volume / coalesce(f, 1.0), 4) AS volume FROM sb LEFT JOIN pf USING (ticker, date)""",
     "chunk_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) AS d
-  FROM embeddings e, embeddings q WHERE q.vec_id < 10 AND e.vec_id >= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS place FROM p) SELECT query_id, vec_id, place FROM r WHERE place <= 5""",
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS place FROM p) SELECT query_id, vec_id, place FROM r WHERE place <= 5""",
+    "metric_verdict": f"""WITH g AS (SELECT * FROM (VALUES {_GUIDES}) x(p, metric, good, bad, way)),
+c AS (SELECT c_custkey, {[*text.GUIDES, 'beta']}[c_custkey % {len(text.GUIDES) + 1} + 1] AS metric, ['generic', 'small_cap_explorers', 'aus_small_cap_explorers', 'other'][c_custkey % 4 + 1] AS profile, CAST(floor(c_acctbal / 60) AS BIGINT) AS w FROM customer),
+v AS (SELECT *, CASE WHEN c_custkey % 11 = 0 THEN 'N/A' WHEN c_custkey % 3 = 0 THEN (w % 9) || '.5%' ELSE '$' || (w - 30) END AS text FROM c), n AS (SELECT *, TRY_CAST(replace(replace(text, '$', ''), '%', '') AS DOUBLE) AS value FROM v)
+SELECT n.c_custkey, n.metric, n.profile, n.text, n.value, CASE WHEN value IS NULL THEN NULL WHEN way = 'low' THEN CASE WHEN value <= good THEN 'good' WHEN value >= bad THEN 'bad' ELSE 'neutral' END
+  WHEN way = 'high' THEN CASE WHEN value >= good THEN 'good' WHEN value <= bad THEN 'bad' ELSE 'neutral' END END AS verdict
+FROM n LEFT JOIN g ON g.metric = n.metric AND g.p = CASE WHEN profile = 'other' THEN 'generic' ELSE profile END""",
     "metric_parse": """WITH t AS (SELECT c_custkey, (c_custkey % 900) || '.5' AS x, c_custkey % 5 AS s, c_custkey % 11 = 0 AS na FROM customer) SELECT c_custkey, CASE WHEN NOT na AND s IN (0, 4) THEN CAST(x AS DOUBLE) END AS value,
   CASE WHEN NOT na AND s <> 4 THEN CAST(x AS DOUBLE) * [1, 1e9, 1e6, 1e12][s + 1] END AS cap FROM t""",
     "explorer_profile": f"WITH {SECURITIES} SELECT ticker, CASE WHEN market_cap < 3e9 AND (sector = 'S1' OR industry = 'N2') THEN CASE region WHEN 'AU' THEN 'aus_small_cap_explorers' ELSE 'small_cap_explorers' END ELSE 'generic' END AS profile FROM securities WHERE quote_type = 'EQUITY'",
     "notice_merge": f"WITH {_MERGED} SELECT ann_id, date, ticker, action, '{{\"holder\":\"' || holder || '\"}}' AS payload FROM mg",
     "notice_read": f"WITH {_MERGED} SELECT * FROM mg WHERE date > DATE '2000-06-30' - 90 AND date <= DATE '2000-06-30'",
     "notice_groups": f"WITH {_MERGED} SELECT action, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS tickers FROM mg GROUP BY action",
-    "summary_scan": """WITH x AS (SELECT doc_id AS id, 'the' AS topic, len(regexp_extract_all(text, '(?i)\\b(?:the|thea)\\b')) AS hits FROM documents UNION ALL SELECT doc_id, 'licence', len(regexp_extract_all(text, '(?i)\\b(?:licensed under|apache license)\\b')) FROM documents)
-SELECT id, topic, hits FROM x WHERE hits > 0""",
+    "summary_scan": f"""WITH t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS ticker, text, coalesce(regexp_extract(text, '([A-Za-z]{{4,}}) ', 1), '') AS name FROM documents WHERE text <> '' AND doc_id % 3 <> 0),
+n AS (SELECT *, trim(regexp_replace(trim(regexp_replace(name, '{_FORMS}', ' ', 'gi')), '\\s+', ' ', 'g')) AS stem FROM t),
+c AS (SELECT doc_id, ticker, CASE WHEN name = '' THEN text ELSE regexp_replace(text, regexp_escape(name), ' ', 'gi') END AS x, stem FROM n),
+d AS MATERIALIZED (SELECT doc_id, ticker, CASE WHEN length(stem) < 4 THEN x ELSE regexp_replace(x, regexp_escape(stem) || '(?:''s)?', ' ', 'gi') END AS clean FROM c),
+w AS (SELECT * FROM (VALUES {_WORDS}) x(commodity, k, word)),
+h AS (SELECT ticker, doc_id, clean, commodity, k, word, len(list_filter(regexp_split_to_array(clean, '[^A-Za-z]+'), lambda y: lower(y) = word)) AS hits FROM d, w),
+s AS (SELECT *, length(regexp_extract(clean, '(?is)^(.*?(?:^|[^a-z]))' || word || '(?:[^a-z]|$)', 1)) AS a FROM h WHERE hits > 0),
+f AS (SELECT ticker, doc_id, commodity, sum(hits) AS hits, first(clean ORDER BY k) AS clean, first(a ORDER BY k) AS a, first(length(word) ORDER BY k) AS m FROM s GROUP BY ALL)
+SELECT ticker, commodity, CAST(hits AS BIGINT) AS hits, CAST(1 AS BIGINT) AS n_existing,
+  (CASE WHEN a > 70 THEN '…' ELSE '' END) || replace(substr(clean, greatest(0, a - 70) + 1, least(length(clean), a + m + 70) - greatest(0, a - 70)), chr(10), ' ') || (CASE WHEN a + m + 70 < length(clean) THEN '…' ELSE '' END) AS snippet
+FROM f WHERE NOT (commodity = 'the' AND doc_id % 3 = 1) AND NOT (commodity = 'licence' AND doc_id % 5 = 0)""",
 }
