@@ -55,7 +55,7 @@ def stream_bars(spark, d):
     """Some events of the first days arrive with the last slice, behind the watermark, and some later ones late but within it."""
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("volume"))
     day, k = F.dayofmonth("ts"), F.col("event_id") % 10
-    late = F.when(((k == 3) & (day <= 5)) | ((k == 4) & day.between(17, 21)), SLICES - 1)
+    late = F.when(((k == 3) & (day <= 3)) | ((k == 4) & day.between(17, 21)), SLICES - 1)
     out = drain(twins.stream_bars(_source(e, "ts", "key", late)), "update")
     newest = F.row_number().over(Window.partitionBy("ticker", "date").orderBy(F.desc("batch")))
     return out.withColumn("k", newest).where("k = 1").drop("k", "batch")
@@ -82,7 +82,7 @@ QUERIES = {"stream_bars": stream_bars, "stream_countdown": stream_countdown, "st
 
 SQL = {
     "stream_bars": """SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
-FROM events WHERE NOT (event_id % 10 = 3 AND dayofmonth(ts) <= 5) GROUP BY 1, 2""",
+FROM events WHERE NOT (event_id % 10 = 3 AND dayofmonth(ts) <= 3) GROUP BY 1, 2""",
     "stream_countdown": STUDIES["td_countdown"],
     "stream_hedge": f"""WITH {ALL_BARS}, r AS (SELECT a.date, a.close / b.close AS ratio FROM bars a JOIN bars b USING (date) WHERE a.ticker = 'MKT' AND b.ticker = 'R0')
 SELECT 'MKT/R0' AS key, date, coalesce(last_value(CASE WHEN ratio >= 1.0 THEN 1 WHEN ratio <= 0.95 THEN 0 END IGNORE NULLS) OVER (ORDER BY date), 0) AS hedged FROM r""",
