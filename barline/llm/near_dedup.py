@@ -303,7 +303,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text")).where("id is not null")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text")).where("id is not null")
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,11 +317,12 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From rows(id, text_key, text): the id and key of every row with words; each key with its node, the least id, and whether
     the node counts for document frequencies; and one row (id, text_key, counts, text) for each node."""
-    sketched = materialize(rows.mapInArrow(_sketch, "id long, text_key string, keys array<long>"), "sketches")
+    sketched = materialize(rows.mapInArrow(_sketch, "id long, text_key binary, keys array<long>"), "sketches")
     texts = materialize(sketched.groupBy("text_key").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "texts")
     keys = texts.select("node", F.explode("keys").alias("key"))
     first = keys.groupBy("key").agg(F.min("node").alias("first"))
     late = spread_join(keys, first, "key", "node").where("node > first").select("node").distinct().withColumn("late", F.lit(True))
+    # a small table: Spark broadcasts it below its threshold, else the texts are shuffled for it
     nodes = materialize(texts.join(late, "node", "left").select("text_key", "node", F.col("late").isNull().alias("counts")), "nodes")
     own = rows.join(nodes.select(F.col("node").alias("id"), "text_key", "counts"), ["id", "text_key"]).select("id", "text_key", "counts", "text")
     if not sketched.groupBy("id", "text_key").count().where("count > 1").isEmpty():
@@ -351,7 +352,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         kept = keys.take(pa.array(some, pa.int64()))
         return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(packed, pa.binary())], names=["id", "text_key", "df"])
 
-    counted = corpus_counts(own, ["id", "text_key"], elements, emit, "id long, text_key string, df binary", 4, weight="counts")
+    counted = corpus_counts(own, ["id", "text_key"], elements, emit, "id long, text_key binary, df binary", 4, weight="counts")
     df = materialize(counted, "frequencies")
 
     def vectors(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,7 +375,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             )
 
     joined = own.join(df, ["id", "text_key"], "left")
-    nodes = materialize(joined.select("id", "text_key", "text", "df").mapInArrow(draw, "node long, text_key string, drawn binary, bands array<long>"), "draws")
+    nodes = materialize(joined.select("id", "text_key", "text", "df").mapInArrow(draw, "node long, text_key binary, drawn binary, bands array<long>"), "draws")
     # rows of each bucket that several nodes share, with their number; counted by salted keys, as a bucket may hold a third of all
     salted = nodes.select("node", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     part = salted.groupBy("key", "salt").agg(F.count("*").alias("n"))
@@ -395,8 +396,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             packed = [pack(values[a : a + n], level[a : a + n]) for a, n in zip(begin, per, strict=True)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(packed, pa.binary())], names=["node", "vector"])
 
-    wanted = buckets.select(F.col("node").alias("id")).distinct().join(nodes.select(F.col("node").alias("id"), "text_key"), "id")
-    candidates = joined.join(wanted, ["id", "text_key"], "left_semi")
+    # first the few texts that share a bucket, then their frequencies, so that other texts aren't shuffled again
+    wanted = materialize(buckets.select("node").distinct().join(nodes.select("node", "text_key"), "node").select(F.col("node").alias("id"), "text_key"), "wanted")
+    candidates = own.join(wanted, ["id", "text_key"], "left_semi").join(df, ["id", "text_key"], "left")
     vector = materialize(candidates.select(F.col("id").alias("node"), "text", "df").mapInArrow(wrap, "node long, vector binary"), "vectors")
 
     def agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
