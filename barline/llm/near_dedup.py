@@ -338,7 +338,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     count as one document that has all their texts, and a row without id has no class. An empty table gives no rows. Only id_col
     and text_col are read, so no other column can clash. Very long texts are taken whole, as blocks of their own.
     """
-    ids, texts, own = distinct_texts(_documents(docs, id_col, text_col))
+    rows = _documents(docs, id_col, text_col)
+    ids, texts, own = distinct_texts(rows)
     n_docs = texts.where("counts").count()
 
     def elements(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -398,7 +399,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     # first the few texts that share a bucket, then their frequencies, so that other texts aren't shuffled again
     wanted = materialize(buckets.select("node").distinct().join(nodes.select("node", "text_key"), "node").select(F.col("node").alias("id"), "text_key"), "wanted")
-    candidates = own.join(wanted, ["id", "text_key"], "left_semi").join(df, ["id", "text_key"], "left")
+    candidates = rows.join(wanted, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).join(df, ["id", "text_key"], "left")
     vector = materialize(candidates.select(F.col("id").alias("node"), "text", "df").mapInArrow(wrap, "node long, vector binary"), "vectors")
 
     def agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
