@@ -27,6 +27,7 @@ LANDMARKS = 64  # of these, landmarks of each language
 # most about 9600 n-gram sets and, at 2**18 n-grams, two float32 matrices of 1 GB; with 16 languages or fewer nothing changes.
 ALL_SAMPLES, ALL_LANDMARKS = 9600, 1024
 RIDGE = 1e-3
+SALTS = 32  # parts of a label's rows
 BATCH = 128
 SEGMENT = 1 << 20
 UNKNOWN = "und"
@@ -117,8 +118,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     known = known.withColumn("text_hash", F.xxhash64("text"))
     n_labels = max(1, known.select("label").distinct().count())
     sample, landmarks = max(1, min(sample, ALL_SAMPLES // n_labels)), max(1, min(LANDMARKS, ALL_LANDMARKS // n_labels))
-    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text_hash"))
-    chosen = known.select("id", "label", "text_hash").distinct().withColumn("place", order).where(F.col("place") <= sample)
+    place = lambda *part: F.row_number().over(Window.partitionBy(*part).orderBy(F.xxhash64("id"), "id", "text_hash"))
+    # a frequent label's rows are first cut to sample in each of SALTS parts, so that none meets them all
+    ids = known.select("id", "label", "text_hash").distinct().withColumn("salt", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)))
+    first = ids.withColumn("place", place("label", "salt")).where(F.col("place") <= sample).drop("salt")
+    chosen = first.withColumn("place", place("label")).where(F.col("place") <= sample)
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
