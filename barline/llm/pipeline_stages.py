@@ -22,7 +22,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-dedup: of each class the document with the least id stays; of rows with that id, that of the least text hash. Rows
-    without an id stay."""
+    without an id stay. Other columns than those of documents are left out first, so none can clash."""
+    docs = docs.select(*COLUMNS)
     classes = near_dedup.near_duplicate_classes(docs.select("doc_id", "text"))
     first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary"))))
