@@ -46,3 +46,25 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CASE WHEN page_id = first_id THEN true END AS digest_ok
 FROM d
 """
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+u AS (
+  SELECT *, (len(parts) - (parts[len(parts)] = '')::INT)::BIGINT AS n,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 AS is_plain FROM u),
+p AS (
+  SELECT *, CASE WHEN a = n THEN text ELSE array_to_string(parts[1:a] || [''], chr(10)) END AS prefix,
+    CASE WHEN b = n THEN text ELSE array_to_string(parts[1:b] || [''], chr(10)) END AS head FROM c),
+o AS (
+  SELECT *, substr(head, length(prefix) + 1) AS middle, substr(text, length(head) + 1) AS suffix,
+    CASE WHEN is_plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM p)
+SELECT doc_id, n, form, CASE WHEN NOT is_plain THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN NOT is_plain THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM o
+"""

@@ -10,6 +10,7 @@ from . import oracles
 from .bpe import op4_bpe
 from .chat_format import op1_chat_format
 from .decontaminate import op7_decontaminate
+from .fill_middle import op13_fill_middle
 from .language_id import op10_language_id
 from .near_dedup import op8_near_dedup
 from .quality_rules import op2_quality_rules
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_scan": op9_token_scan,
     "op10_language_id": op10_language_id,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": oracles.OP1,
     "op3_warc": oracles.OP3,
     "op5_substring_dedup": oracles.OP5,
+    "op13_fill_middle": oracles.OP13,
 }
