@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .alignment import op12_alignment
 from .bpe import op4_bpe
 from .chat_format import op1_chat_format
 from .decontaminate import op7_decontaminate
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_scan": op9_token_scan,
     "op10_language_id": op10_language_id,
+    "op12_alignment": op12_alignment,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -37,5 +39,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": oracles.OP1,
     "op3_warc": oracles.OP3,
     "op5_substring_dedup": oracles.OP5,
+    "op12_alignment": op12_alignment,
     "op13_fill_middle": oracles.OP13,
 }
