@@ -15,6 +15,7 @@ from .fill_middle import op13_fill_middle
 from .language_id import op10_language_id
 from .near_dedup import op8_near_dedup
 from .quality_rules import op2_quality_rules
+from .secret_scan import op11_secrets
 from .substring_dedup import op5_substring_dedup
 from .token_scan import op9_token_scan
 from .toxicity import op6_toxicity
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_token_scan": op9_token_scan,
     "op10_language_id": op10_language_id,
+    "op11_secrets": op11_secrets,
     "op12_alignment": op12_alignment,
     "op13_fill_middle": op13_fill_middle,
 }
@@ -39,6 +41,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": oracles.OP1,
     "op3_warc": oracles.OP3,
     "op5_substring_dedup": oracles.OP5,
+    "op11_secrets": op11_secrets,
     "op12_alignment": op12_alignment,
     "op13_fill_middle": oracles.OP13,
 }

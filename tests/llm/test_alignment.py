@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -52,7 +53,7 @@ def stated(texts, libraries):
         groups = [([], []) for _ in cuts]
         for k, side in enumerate((left, right)):
             for (i, _), end in zip(side, ends[k], strict=True):
-                groups[int(np.searchsorted(cuts, end))][k].append(i)
+                groups[bisect_left(cuts, end)][k].append(i)
         links.append(Counter((x, y) for g in groups for x in g[0] for y in g[1]))
         rows.append([len(left), len(right), len(groups), sum(links[-1].values()), ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)])
     count = Counter(p for found in links for p in found)
