@@ -78,7 +78,9 @@ def average_rank_pct(c: str, *keys: str) -> Column:
 def fund_score(metrics: DataFrame, strength: DataFrame | None = None, keys: tuple[str, ...] = (), weights: dict | None = None) -> DataFrame:
     """Weighted percentile score of the funds in each group of keys, qualified if the 3-month change is positive, ranked."""
     weights = weights or WEIGHTS
-    rows = metrics.join(strength, "ticker", "left") if strength is not None else metrics.withColumn("underlying_rs", F.lit(0.0))
+    rows = metrics if strength is None else metrics.join(strength, "ticker", "left")
+    if "underlying_rs" not in rows.columns:
+        rows = rows.withColumn("underlying_rs", F.lit(0.0))
     rows = rows.withColumn("underlying_rs", F.coalesce("underlying_rs", F.lit(0.0)))
     score = None
     for c, weight in weights.items():
@@ -220,14 +222,53 @@ def rebalance_dates(calendar: DataFrame, start: str, end: str, months: int) -> D
     return days.groupBy("period_start").agg(F.min("date").alias("date"))
 
 
-def point_in_time_scores(bars: DataFrame, dates: DataFrame) -> DataFrame:
-    """Scores at every rebalance date from the year before it only. Each bar is spread to the dates whose year holds it."""
+def underlying_strength(bars: DataFrame, market: str, dates: DataFrame, labels: DataFrame, days: int = 365) -> DataFrame:
+    """underlying_rs of each of labels(underlying) at each rebalance date, seen from the year up to it: rebalance, underlying, underlying_rs.
+
+    A label's series is its proxy's, or the one of its own name; labels without a proxy, and series with fewer than 63 closes in
+    the year (or under a market with fewer), have no row. Closes are numbered by series. Two marks for each date and series (its own day and
+    the day before its year) take the number of the last close so far, and the look-backs are looked up by number, so no bar is
+    spread over dates.
+    """
+    series = labels.select("underlying", proxy_of(F.col("underlying")).alias("ticker")).where("ticker is not null").distinct()
+    wanted = series.select("ticker").unionByName(series.sparkSession.createDataFrame([(market,)], "ticker string")).distinct()
+    by_date = Window.partitionBy("ticker").orderBy("date")
+    prices = bars.where("close is not null").join(wanted, "ticker", "left_semi").select("ticker", "date", "close", F.row_number().over(by_date).alias("i"))
+    ends = F.array(F.struct(F.col("date").alias("rebalance"), "date", F.lit(True).alias("at_end")), F.struct(F.col("date").alias("rebalance"), F.date_sub("date", days).alias("date"), F.lit(False).alias("at_end")))
+    ends = dates.select("date").distinct().select(F.explode(ends).alias("m")).agg(F.collect_list("m").alias("every"))  # one row; two marks a rebalance
+    marks = wanted.crossJoin(F.broadcast(ends)).select("ticker", F.explode("every").alias("m"))
+    marks = marks.select("ticker", "m.date", F.lit(None).cast("int").alias("i"), F.struct("m.rebalance", "m.at_end").alias("m"))
+    both = prices.select("ticker", "date", "i", F.lit(None).cast(marks.schema["m"].dataType).alias("m")).unionByName(marks)
+    seen = Window.partitionBy("ticker").orderBy("date", F.col("m").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    spans = both.withColumn("last", F.coalesce(F.max("i").over(seen), F.lit(0))).where("m is not null").groupBy("ticker", F.col("m.rebalance").alias("rebalance"))
+    spans = spans.agg(F.max(F.when(F.col("m.at_end"), F.col("last"))).alias("z"), F.max(F.when(~F.col("m.at_end"), F.col("last"))).alias("before")).withColumn("n", F.col("z") - F.col("before")).where("n >= 63")
+    mine, theirs = spans.where(F.col("ticker") != market), spans.where(F.col("ticker") == market).select("rebalance", F.col("z").alias("mz"), F.col("n").alias("mn"))
+    pairs = mine.join(theirs, "rebalance").withColumn("far", F.least(F.lit(252), "n"))  # the market has a row a date
+    own, other = F.col("ticker"), F.lit(market)
+    places = {"z": (own, F.col("z")), "b": (own, F.col("z") - 62), "a": (own, F.col("z") - F.col("far") + 1), "mz": (other, F.col("mz")), "mb": (other, F.col("mz") - 62), "ma": (other, F.col("mz") - F.least("far", "mn") + 1)}
+    asked = pairs.select(own.alias("series"), "rebalance", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), t.alias("ticker"), i.alias("i")) for k, (t, i) in places.items()))).alias("x")).select("series", "rebalance", "x.*")
+    found = asked.join(prices.select("ticker", "i", "close"), ["ticker", "i"]).groupBy("series", "rebalance").agg(*(F.max(F.when(F.col("k") == k, F.col("close"))).alias(k) for k in places))
+    rise = lambda x, y: (F.col(x) / F.col(y) - 1) * 100
+    strength = rnd(0.5 * (rise("z", "b") - rise("mz", "mb")) + 0.5 * (rise("z", "a") - rise("mz", "ma")), 2)
+    same = found.select(F.col("series").alias("ticker"), "rebalance", strength.alias("underlying_rs"))
+    if_market = series.where(F.col("ticker") == market).join(theirs.select("rebalance", F.lit(market).alias("ticker")), "ticker").select("rebalance", "underlying", F.lit(0.0).alias("underlying_rs"))  # labels of the market itself
+    return series.join(same, "ticker").select("rebalance", "underlying", "underlying_rs").unionByName(if_market)
+
+
+def point_in_time_scores(bars: DataFrame, dates: DataFrame, funds: DataFrame, series: DataFrame, market: str, frequency: str = "all", weights: dict | None = None) -> DataFrame:
+    """Scores of funds(ticker, underlying, frequency) at every rebalance date from the year before it only, of one payout frequency or all.
+
+    Each of the funds' bars is spread to the dates whose year holds it; the underlyings' closes, in series, are looked up instead.
+    """
     r = dates.select(F.col("date").alias("rebalance"))
+    chosen = funds if frequency == "all" else funds.where(F.col("frequency") == frequency)
     every = r.agg(F.array_sort(F.collect_set("rebalance")).alias("every"))  # one row; a date a rebalance
     serves = F.filter("every", lambda x: (x >= F.col("date")) & (F.date_sub(x, 365) < F.col("date")))
-    rows = bars.where("close is not null").crossJoin(F.broadcast(every)).withColumn("rebalance", F.explode(serves))
-    metrics = _fund_metrics(rows.select("rebalance", "ticker", "date", "close", "dividend"), ("rebalance", "ticker"))
-    return fund_score(metrics, None, ("rebalance",)).select("rebalance", "ticker", "price", "chg_3m", "score", "qualified", "rank")
+    rows = bars.where("close is not null").join(chosen.select("ticker", "underlying"), "ticker").crossJoin(F.broadcast(every)).withColumn("rebalance", F.explode(serves))
+    metrics = _fund_metrics(rows.select("rebalance", "ticker", "underlying", "date", "close", "dividend"), ("rebalance", "ticker", "underlying"))
+    strength = underlying_strength(series, market, dates, chosen.select("underlying"))
+    scored = fund_score(metrics.join(strength, ["rebalance", "underlying"], "left"), None, ("rebalance",), weights)
+    return scored.select("rebalance", "ticker", "price", "chg_3m", "underlying_rs", "score", "qualified", "rank")
 
 
 def cash_rate(bills: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -35,6 +35,23 @@ def dates(spark, d):
     return income.rebalance_dates(calendar(spark, d), "2000-01-01", "2001-06-30", 3)
 
 
+def details(spark, d):
+    """Underlying label and payout frequency of each fund: two labels with a proxy, one that is a ticker itself, one without any."""
+    i = F.substring("ticker", 2, 20).cast("long")
+    label = F.element_at(F.array(*map(F.lit, ["SPX", "RUT", "diversified", "R4"])), (i % 4 + 1).cast("int"))
+    return securities(spark, d).where("quote_type = 'EQUITY'").select("ticker", label.alias("underlying"), F.when(i % 3 == 0, "weekly").otherwise("monthly").alias("frequency"))
+
+
+def underlyings(spark, d):
+    """Closes of the market and of the underlyings' series; R2 and R3 stand for the proxies of SPX and RUT."""
+    name = F.when(F.col("ticker") == "R2", "^GSPC").when(F.col("ticker") == "R3", "^RUT").otherwise(F.col("ticker"))
+    return bars(spark, d).where("ticker in ('MKT', 'R2', 'R3', 'R4')").select(name.alias("ticker"), "date", "close")
+
+
+def point_in_time(spark, d, frequency="all"):
+    return income.point_in_time_scores(funds(spark, d), dates(spark, d), details(spark, d), underlyings(spark, d), "MKT", frequency)
+
+
 def configs(spark, d):
     """A grid of six configurations."""
     grid = [(f"top{n}-{k}", n, 100000.0, hedge, draw, stop) for n in (1, 3, 5) for k, (hedge, draw, stop) in {"plain": (0.0, 0.0, 0.0), "all": (0.1, 110000.0, 0.2)}.items()]
@@ -50,7 +67,7 @@ def days(spark, d):
 
 def ledger(spark, d):
     c = configs(spark, d)
-    picks = backtest.top_picks(income.point_in_time_scores(funds(spark, d), dates(spark, d)), c)
+    picks = backtest.top_picks(point_in_time(spark, d), c)
     return backtest.backtest(c, picks, bars(spark, d), days(spark, d), "R0")
 
 
@@ -103,7 +120,8 @@ QUERIES = {
     "hedge_signal": lambda s, d: income.hedge_signal(_series(s, d, "MKT"), _series(s, d, "R0")),
     "allocation": lambda s, d: income.allocation(income.fund_metrics(funds(s, d), RUN_DATE), BUY, 100000.0, 0.65),
     "rebalance_dates": dates,
-    "point_in_time_scores": lambda s, d: income.point_in_time_scores(funds(s, d), dates(s, d)),
+    "point_in_time_scores": point_in_time,
+    "point_in_time_weekly": lambda s, d: point_in_time(s, d, "weekly"),
     "cash_rate": lambda s, d: income.cash_rate(_series(s, d, "R1").where(F.dayofmonth("date") == 15).select("date", (F.col("close") / 1000 - 1).alias("value")), calendar(s, d)),
 }
 
@@ -143,6 +161,16 @@ hr AS (SELECT *, round(raw, 6) AS total_return FROM (SELECT holding_id, h.ticker
   FROM holdings h LEFT JOIN lp USING (ticker) WHERE entry_price > 0))"""
 _DATES = f"rd AS (SELECT CAST(p AS DATE) AS period_start, (SELECT min(date) FROM bars WHERE ticker = 'MKT' AND date >= p) AS date FROM generate_series(DATE '2000-01-01', DATE '2001-06-30', INTERVAL 3 MONTH) x(p))"
 
+# Strength from lists: each series' closes of the year before a rebalance, in order, indexed from the end.
+_POINT_IN_TIME = f"""{ALL_BARS}, {_DATES}, fd AS (SELECT 'I' || i AS ticker, ['SPX', 'RUT', 'diversified', 'R4'][i % 4 + 1] AS underlying FROM (SELECT DISTINCT s_suppkey // 5 AS i FROM supplier) WHERE {{keep}}),
+px0 AS (SELECT u.underlying, rd.date AS rebalance, list(close ORDER BY bars.date) AS c FROM (VALUES ('SPX', 'R2'), ('RUT', 'R3'), ('R4', 'R4'), ('market', 'MKT')) u(underlying, series)
+  JOIN bars ON bars.ticker = u.series JOIN rd ON bars.date > rd.date - INTERVAL 365 DAY AND bars.date <= rd.date GROUP BY ALL),
+us AS (SELECT u.rebalance, u.underlying, round(0.5 * ((u.c[-1] / u.c[-63] - 1) * 100 - (m.c[-1] / m.c[-63] - 1) * 100) + 0.5 * ((u.c[-1] / u.c[-least(252, len(u.c))] - 1) * 100 - (m.c[-1] / m.c[-least(252, len(u.c), len(m.c))] - 1) * 100), 2) AS underlying_rs
+  FROM px0 u JOIN px0 m ON m.underlying = 'market' AND u.underlying <> 'market' AND m.rebalance = u.rebalance WHERE len(u.c) >= 63 AND len(m.c) >= 63),
+sp AS (SELECT rd.date AS rebalance, ticker, bars.date, close, dividend FROM bars JOIN rd ON bars.date > rd.date - INTERVAL 365 DAY AND bars.date <= rd.date WHERE ticker IN (SELECT ticker FROM fd)),
+{_metrics('pm', 'sp', 'rebalance, ticker')}, px AS (SELECT pm.*, coalesce(us.underlying_rs, 0.0) AS underlying_rs FROM pm JOIN fd USING (ticker) LEFT JOIN us ON us.rebalance = pm.rebalance AND us.underlying = fd.underlying),
+{_score('ps', 'px', 'rebalance')}"""
+
 _POS = f"""{HOLDINGS}, pos AS MATERIALIZED (SELECT holding_id, CASE WHEN holding_id % 29 = 0 THEN 'NONE' ELSE ticker END AS ticker, CASE WHEN holding_id % 13 <> 0 THEN holding_id % 40 + 1 END AS shares, CASE WHEN holding_id % 17 <> 0 THEN entry_price END AS entry_price,
   CASE WHEN holding_id % 19 <> 0 THEN entry_date END AS entry_date, CASE WHEN holding_id % 23 <> 0 THEN quote_currency END AS quote_currency FROM holdings)"""
 _REVIEW = f"""{_SC}, {_Q}, {_POS}, {SECURITIES}, rb AS MATERIALIZED (SELECT ticker, date, close, dividend, CAST(substr(ticker, 2) AS INTEGER) % 5 = 0 AND month(date) = 3 AND year(date) = 1998 AS divided FROM bars
@@ -176,8 +204,8 @@ SELECT date, coalesce(last_value(CASE WHEN ratio >= 1.0 THEN 1 WHEN ratio <= 0.9
     "allocation": f"""WITH {_F}, a AS (SELECT ticker, price, CASE WHEN price > 0 THEN CAST(floor(100000.0 * 0.65 / 5 / price) AS BIGINT) END AS shares FROM fm WHERE ticker IN ({', '.join(f"'{b}'" for b in BUY)}))
 SELECT ticker, price, shares, round(shares * price, 6) AS cost, round(100000.0 * 0.65 - sum(round(shares * price, 6)) OVER (), 6) AS cash_left FROM a""",
     "rebalance_dates": f"WITH {ALL_BARS}, {_DATES} SELECT * FROM rd",
-    "point_in_time_scores": f"""WITH {ALL_BARS}, {_DATES}, sp AS (SELECT rd.date AS rebalance, ticker, bars.date, close, dividend FROM bars JOIN rd ON bars.date > rd.date - INTERVAL 365 DAY AND bars.date <= rd.date WHERE ticker LIKE 'I%'),
-{_metrics('pm', 'sp', 'rebalance, ticker')}, px AS (SELECT *, 0.0 AS underlying_rs FROM pm), {_score('ps', 'px', 'rebalance')} SELECT rebalance, ticker, price, chg_3m, score, qualified, rank FROM ps""",
+    "point_in_time_scores": f"WITH {_POINT_IN_TIME.format(keep='true')} SELECT rebalance, ticker, price, chg_3m, underlying_rs, score, qualified, rank FROM ps",
+    "point_in_time_weekly": f"WITH {_POINT_IN_TIME.format(keep='i % 3 = 0')} SELECT rebalance, ticker, price, chg_3m, underlying_rs, score, qualified, rank FROM ps",
     "cash_rate": f"""WITH {ALL_BARS}, b AS (SELECT date, close / 1000 - 1 AS value FROM bars WHERE ticker = 'R1' AND dayofmonth(date) = 15), c AS (SELECT date FROM bars WHERE ticker = 'MKT')
 SELECT date, coalesce(greatest((SELECT arg_max(value, b.date) FROM b WHERE b.date <= c.date), 0.0) / 100 / 252, 0.0) AS rate FROM c""",
 }
