@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, income
+from ..operators import income
 from ..sources.tables import RUN_DATE, bars, holdings, securities
 from .sql import ALL_BARS, HOLDINGS, RUN, SECURITIES
 
@@ -52,33 +52,6 @@ def point_in_time(spark, d, frequency="all"):
     return income.point_in_time_scores(funds(spark, d), dates(spark, d), details(spark, d), underlyings(spark, d), "MKT", frequency)
 
 
-def configs(spark, d):
-    """A grid of six configurations."""
-    grid = [(f"top{n}-{k}", n, 100000.0, hedge, draw, stop) for n in (1, 3, 5) for k, (hedge, draw, stop) in {"plain": (0.0, 0.0, 0.0), "all": (0.1, 110000.0, 0.2)}.items()]
-    return spark.createDataFrame(grid, backtest.CONFIG)
-
-
-def days(spark, d):
-    marks = dates(spark, d).select("date", F.lit(True).alias("rebalance"))
-    rate = QUERIES["cash_rate"](spark, d)
-    rows = rate.where(F.col("date") >= F.lit("2000-01-01")).join(QUERIES["hedge_signal"](spark, d), "date", "left").join(F.broadcast(marks), "date", "left")
-    return rows.select("date", "rate", F.coalesce(F.col("hedged") == 1, F.lit(False)).alias("signal"), F.coalesce("rebalance", F.lit(False)).alias("rebalance"))
-
-
-def ledger(spark, d):
-    c = configs(spark, d)
-    picks = backtest.top_picks(point_in_time(spark, d), c)
-    return backtest.backtest(c, picks, bars(spark, d), days(spark, d), "R0")
-
-
-def passive(spark, d):
-    """Every fund, and the market as reference, held alone under the cash rules of two configurations."""
-    settings = configs(spark, d).where("config_id in ('top1-plain', 'top1-all')")
-    held = securities(spark, d).where("quote_type = 'EQUITY' or ticker = 'MKT'").select("ticker")
-    c = settings.crossJoin(held).withColumn("config_id", F.concat_ws("/", "config_id", "ticker"))  # two rows of settings
-    return backtest.backtest(c.drop("ticker"), backtest.fixed_picks(dates(spark, d), c), bars(spark, d), days(spark, d), "R0")
-
-
 TODAY = "2001-07-02"
 
 
@@ -105,9 +78,6 @@ def priced_in(spark, d):
 QUERIES = {
     "holding_review": lambda s, d: income.holding_review(positions(s, d), scored(s, d), reviewed_bars(s, d), priced_in(s, d), TODAY, 5),
     "buy_candidates": lambda s, d: income.buy_candidates(positions(s, d).where("holding_id % 7 = 1 and ticker like '%2'"), scored(s, d), 5),
-    "backtest": ledger,
-    "passive_ledger": passive,
-    "backtest_summary": lambda s, d: backtest.backtest_summary(ledger(s, d), configs(s, d), _series(s, d, "MKT")),
     "fund_metrics": lambda s, d: income.fund_metrics(funds(s, d), RUN_DATE),
     "underlying_rs": strength,
     "fund_score": lambda s, d: scored(s, d).select("ticker", "score", "qualified", "rank"),
@@ -162,7 +132,7 @@ hr AS (SELECT *, round(raw, 6) AS total_return FROM (SELECT holding_id, h.ticker
 _DATES = f"rd AS (SELECT CAST(p AS DATE) AS period_start, (SELECT min(date) FROM bars WHERE ticker = 'MKT' AND date >= p) AS date FROM generate_series(DATE '2000-01-01', DATE '2001-06-30', INTERVAL 3 MONTH) x(p))"
 
 # Strength from lists: each series' closes of the year before a rebalance, in order, indexed from the end.
-_POINT_IN_TIME = f"""{ALL_BARS}, {_DATES}, fd AS (SELECT 'I' || i AS ticker, ['SPX', 'RUT', 'diversified', 'R4'][i % 4 + 1] AS underlying FROM (SELECT DISTINCT s_suppkey // 5 AS i FROM supplier) WHERE {{keep}}),
+POINT_IN_TIME = f"""{ALL_BARS}, {_DATES}, fd AS (SELECT 'I' || i AS ticker, ['SPX', 'RUT', 'diversified', 'R4'][i % 4 + 1] AS underlying FROM (SELECT DISTINCT s_suppkey // 5 AS i FROM supplier) WHERE {{keep}}),
 px0 AS (SELECT u.underlying, rd.date AS rebalance, list(close ORDER BY bars.date) AS c FROM (VALUES ('SPX', 'R2'), ('RUT', 'R3'), ('R4', 'R4'), ('market', 'MKT')) u(underlying, series)
   JOIN bars ON bars.ticker = u.series JOIN rd ON bars.date > rd.date - INTERVAL 365 DAY AND bars.date <= rd.date GROUP BY ALL),
 us AS (SELECT u.rebalance, u.underlying, round(0.5 * ((u.c[-1] / u.c[-63] - 1) * 100 - (m.c[-1] / m.c[-63] - 1) * 100) + 0.5 * ((u.c[-1] / u.c[-least(252, len(u.c))] - 1) * 100 - (m.c[-1] / m.c[-least(252, len(u.c), len(m.c))] - 1) * 100), 2) AS underlying_rs
@@ -204,8 +174,8 @@ SELECT date, coalesce(last_value(CASE WHEN ratio >= 1.0 THEN 1 WHEN ratio <= 0.9
     "allocation": f"""WITH {_F}, a AS (SELECT ticker, price, CASE WHEN price > 0 THEN CAST(floor(100000.0 * 0.65 / 5 / price) AS BIGINT) END AS shares FROM fm WHERE ticker IN ({', '.join(f"'{b}'" for b in BUY)}))
 SELECT ticker, price, shares, round(shares * price, 6) AS cost, round(100000.0 * 0.65 - sum(round(shares * price, 6)) OVER (), 6) AS cash_left FROM a""",
     "rebalance_dates": f"WITH {ALL_BARS}, {_DATES} SELECT * FROM rd",
-    "point_in_time_scores": f"WITH {_POINT_IN_TIME.format(keep='true')} SELECT rebalance, ticker, price, chg_3m, underlying_rs, score, qualified, rank FROM ps",
-    "point_in_time_weekly": f"WITH {_POINT_IN_TIME.format(keep='i % 3 = 0')} SELECT rebalance, ticker, price, chg_3m, underlying_rs, score, qualified, rank FROM ps",
+    "point_in_time_scores": f"WITH {POINT_IN_TIME.format(keep='true')} SELECT rebalance, ticker, price, chg_3m, underlying_rs, score, qualified, rank FROM ps",
+    "point_in_time_weekly": f"WITH {POINT_IN_TIME.format(keep='i % 3 = 0')} SELECT rebalance, ticker, price, chg_3m, underlying_rs, score, qualified, rank FROM ps",
     "cash_rate": f"""WITH {ALL_BARS}, b AS (SELECT date, close / 1000 - 1 AS value FROM bars WHERE ticker = 'R1' AND dayofmonth(date) = 15), c AS (SELECT date FROM bars WHERE ticker = 'MKT')
 SELECT date, coalesce(greatest((SELECT arg_max(value, b.date) FROM b WHERE b.date <= c.date), 0.0) / 100 / 252, 0.0) AS rate FROM c""",
 }

@@ -118,16 +118,44 @@ def test_wide_and_long_breadth_round_trip(spark):
     assert sorted(one(back)) == sorted(one(long))
 
 
-def test_ledger_by_hand():
+def ledger_of(spark, closes, paid, rebalances, **settings):
+    """A ledger of the one fund A over days from 2020-01-01, with 1 % interest a day and 100 to begin with."""
     from barline.operators import backtest
 
-    days = pd.date_range("2020-01-01", periods=5)
-    close, pay = [10.0, 11.0, 8.0, 7.0, 7.0], [0.0, 1.0, 0.0, 0.0, 0.0]
-    base = {"config_id": "c", "top_n": 1, "capital": 100.0, "hedge_pct": 0.0, "draw_level": 0.0, "stop_loss": 0.15, "place": None, "rate": None, "signal": None, "rebalance": None, "close": None, "dividend": None}
-    rows = [base | {"kind": "bar", "date": d, "ticker": "A", "close": c, "dividend": p} for d, c, p in zip(days, close, pay, strict=True)]
-    rows += [base | {"kind": "pick", "date": days[0], "ticker": "A", "place": 1}]
-    rows += [base | {"kind": "day", "date": d, "ticker": "H", "rate": 0.01, "signal": False, "rebalance": i == 0} for i, d in enumerate(days)]
-    got = backtest.ledger_kernel(pd.DataFrame(rows))
+    first = dt.date(2020, 1, 1)
+    dates = [first + dt.timedelta(i) for i in range(len(closes))]
+    bars = spark.createDataFrame([("A", d, c, p) for d, c, p in zip(dates, closes, paid, strict=True) if c is not None] + [("H", d, 2.0 + i, 0.0) for i, d in enumerate(dates)], "ticker string, date date, close double, dividend double")
+    signal = settings.pop("signal", [])
+    days = spark.createDataFrame([(d, 0.01, i in signal, i in rebalances) for i, d in enumerate(dates)], "date date, rate double, signal boolean, rebalance boolean")
+    base = {"config_id": "c", "top_n": 1, "capital": 100.0, "hedge_pct": 0.0, "draw_level": 0.0, "stop_loss": 0.0} | settings
+    configs = spark.createDataFrame([tuple(base[f.split()[0]] for f in backtest.CONFIG.split(", "))], backtest.CONFIG)
+    if "alone" in settings:
+        return backtest.passive(configs.withColumn("ticker", F.lit("A")), bars, days, "H")
+    return backtest.Backtest(configs, spark.createDataFrame([("c", dates[i], "A", 1) for i in rebalances], "config_id string, date date, ticker string, place int"), bars, days, "H")
+
+
+def test_ledger_by_hand(spark):
+    book = ledger_of(spark, [10.0, 11.0, 8.0, 7.0, 7.0], [0.0, 1.0, 0.0, 0.0, 0.0], [0], stop_loss=0.15)
+    got = book.days().orderBy("date").collect()
     # interest, all in at 10; a payout of 10.1; 8 + 1 is 10 % down, 7 + 1 is 20 % down: stopped, then cash earns interest
-    assert got["value"].tolist() == [101.0, 121.2, 91.0, 81.0, 81.81]
-    assert got["n_held"].tolist() == [1, 1, 1, 0, 0] and got["stops"].tolist()[-1] == 1 and got["income_cum"].tolist()[-1] == 10.1
+    assert [r["value"] for r in got] == [101.0, 121.2, 91.0, 81.0, 81.81]
+    assert [r["n_held"] for r in got] == [1, 1, 1, 0, 0] and got[-1]["stops"] == 1 and got[-1]["income_cum"] == 10.1
+    assert [(str(r["date"]), r["ticker"], r["total_return"]) for r in book.stops().collect()] == [("2020-01-04", "A", -20.0)]
+
+
+def test_ledger_draws_and_hedges(spark):
+    book = ledger_of(spark, [10.0, 20.0, 20.0, 20.0], [0.0] * 4, [0, 1], draw_level=120.0)
+    assert [r["withdrawn_cum"] for r in book.days().orderBy("date").collect()] == [0.0, 82.0, 82.0, 82.0]
+    assert [(r["holdings"], r["withdrawn"]) for r in book.quarters().orderBy("date").collect()] == [("A", 0.0), ("A", 82.0)]
+    hedged = ledger_of(spark, [10.0] * 4, [0.0] * 4, [0], hedge_pct=0.5, signal=[1, 2])
+    # half of 101 into H at 3, worth 4 the next day and sold at 5: 50.5 / 3 * 2 gained
+    assert [r["value"] for r in hedged.days().orderBy("date").collect()] == [101.0, 101.0, 117.83, 134.67]
+    total = hedged.totals().collect()[0]
+    assert total["hedge_days"] == 2 and abs(total["hedge_pnl"] - 50.5 / 3 * 2) < 1e-9
+
+
+def test_passive_ledger_keeps_its_cash_until_there_is_a_price(spark):
+    book = ledger_of(spark, [None, None, 10.0, 20.0], [0.0] * 4, [0, 3], alone=True, draw_level=50.0)
+    got = book.days().orderBy("date").collect()
+    # interest until the second rebalance; only there, with a price, is it drawn down
+    assert [r["value"] for r in got] == [101.0, 102.01, 103.03, 50.0] and [r["withdrawn_cum"] for r in got] == [0.0, 0.0, 0.0, 54.06]
