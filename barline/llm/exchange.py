@@ -11,7 +11,9 @@ Three Spark steps, all dealt by hash:
 
 The number of buckets follows the bytes of all texts, so a bucket's share stays a few MB. Blocks deal to at most 2**COARSE_BITS
 buckets, else their rows would hold an entry or two each. Beyond that (256 GB of text) a relay step gathers the entries of
-a coarse bucket from many blocks, some MB at a time, and deals them to its finer buckets; answers go back the same way.
+a coarse bucket from many blocks, some MB at a time, adds up equal ones, and deals them to its finer buckets; answers go back the
+same way. So an element that every block has costs its bucket at most an entry for each of 85,000 blocks without relays, and
+one for each relay (some 32 MB of entries) with them.
 """
 
 from __future__ import annotations
@@ -85,6 +87,14 @@ def _unpack_reply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(_unplanes(reply[:half], 4)).astype(np.int64), _unplanes(reply[half:], 4)
 
 
+def merged(low: np.ndarray, check: np.ndarray | None, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """Entries with equal hashes and checks as one that has their summed count; also each given entry's number among these."""
+    first, inverse, _ = _unique(low, check)
+    total = np.zeros(len(first), dtype=np.uint64)
+    np.add.at(total, inverse, counts.astype(np.uint64))
+    return low[first], None if check is None else check[first], np.minimum(total, 2**32 - 1), inverse
+
+
 def _deal(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places that are in it, ascending."""
     order = np.argsort(buckets, kind="stable")
@@ -164,8 +174,9 @@ def corpus_counts(
             places, low, checks, counts = zip(*(_unpack(p, keep, checked) for _, p in held), strict=True)
             number = _RELAY | (part << 32) | n
             n += 1
-            state = {"chunks": [c for c, _ in held], "sizes": [len(x) for x in places], "places": [x.astype(np.uint32) for x in places]}
-            low, check, counts = np.concatenate(low), np.concatenate(checks) if checked else None, np.concatenate(counts)
+            # what many blocks have goes on once, so a finer bucket gets it once a relay
+            low, check, counts, inverse = merged(np.concatenate(low), np.concatenate(checks) if checked else None, np.concatenate(counts))
+            state = {"chunks": [c for c, _ in held], "places": [x.astype(np.uint32) for x in places], "entries": np.split(inverse.astype(np.uint32), np.cumsum([len(x) for x in places])[:-1]), "n": len(low)}
             width = min(8 * keep, 64 - coarse)  # bits that low has
             used, payloads = zip(*((k, _pack(at, low[at], None if check is None else check[at], counts[at], keep)) for k, at in _deal(low >> np.uint64(width - fine))), strict=True)
             rows = _rows(
@@ -211,15 +222,14 @@ def corpus_counts(
             return table
         flags, payloads = table.column("state").to_pylist(), table.column("payload").to_pylist()
         state = pickle.loads(zlib.decompress(payloads[flags.index(True)]))
-        totals = np.zeros(sum(state["sizes"]), dtype=np.uint64)
+        totals = np.zeros(state["n"], dtype=np.uint64)
         for flag, payload in zip(flags, payloads, strict=True):
             if not flag:
                 at, mine = _unpack_reply(payload)
                 totals[at] = mine
-        out, at = [], 0
-        for chunk, place in zip(state["chunks"], state["places"], strict=True):
-            mine = totals[at : at + len(place)]
-            at += len(place)
+        out = []
+        for chunk, place, entry in zip(state["chunks"], state["places"], state["entries"], strict=True):
+            mine = totals[entry]
             many = np.flatnonzero(mine)
             if len(many):
                 out.append((chunk, _pack_reply(place[many].astype(np.int64), mine[many])))

@@ -273,7 +273,8 @@ def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spread_join(many: DataFrame, one: DataFrame, on: str, by: str) -> DataFrame:
-    """many joined with one, which has a row a value of on. The rows of a frequent value are dealt over SALTS tasks by the column by."""
+    """many joined with one, which has a row a value of on. The rows of a frequent value are dealt over SALTS tasks by the column by;
+    a part that is still large is split by Spark's adaptive skew join, as both sides are shuffled for this join alone."""
     salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
     every = F.explode(F.array(*map(F.lit, range(SALTS))))
     return many.withColumn("salt", salt).join(one.withColumn("salt", every), [on, "salt"]).drop("salt")

@@ -46,6 +46,20 @@ def test_substring_dedup_matches_brute_force(spark, odd_texts):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_equal_entries_of_many_blocks_are_one_in_a_relay():
+    """A window that every block has: with more blocks the merged entries grow by the others alone."""
+    rng = np.random.default_rng(4)
+    for n in (10, 1000):
+        own = rng.integers(0, 2**40, n * 5).astype(np.uint64)
+        low = np.concatenate([np.full(n, 7, np.uint64), own])
+        check, counts = np.concatenate([np.full(n, 3, np.uint64), own % 100]), np.ones(len(low), np.uint64)
+        values, checks, totals, inverse = exchange.merged(low, check, counts)
+        assert len(values) == len(set(own.tolist())) + 1 and totals.max() == n and (totals > 1).sum() == 1
+        assert np.array_equal(values[inverse], low) and np.array_equal(checks[inverse], check)
+    values, checks, totals, _ = exchange.merged(np.array([1, 1, 1], np.uint64), np.array([5, 6, 5], np.uint64), np.array([2, 3, 4], np.uint64))
+    assert sorted(zip(values.tolist(), checks.tolist(), totals.tolist())) == [(1, 5, 6), (1, 6, 3)]  # equal hashes, two checks
+
+
 def test_substring_dedup_with_relays_and_colliding_hashes(spark, monkeypatch):
     """Finer buckets through relays, as beyond 256 GB of text; and windows whose main hashes collide are told apart by their checks."""
     rng = random.Random(8)
