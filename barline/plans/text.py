@@ -16,10 +16,13 @@ SPLITS = [2.0, 0.5, 3.0, 1.2, 10.0, 0.1]  # 1.2 is too small to be looked for
 
 
 def _calm(spark, d):
-    """Stored bars on a calm scale around 50, with each ticker's number t and its bars' ordinals i."""
+    """Stored bars with each ticker's number t and its bars' ordinals i: of every five tickers one at its stored prices, one on a calm
+    scale at the least price that islands have, and three on a calm scale around 50."""
     b = bars(spark, d, references=False)
     i = F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1
-    return b.select("ticker", "date", (50 + (F.col("close") - 1500) / 49999).alias("price"), "volume", F.substring("ticker", 2, 20).cast("int").alias("t"), i.alias("i"))
+    t, calm = F.substring("ticker", 2, 20).cast("int"), 50 + (F.col("close") - 1500) / 49999
+    price = F.when(t % 5 == 1, F.col("close")).when(t % 5 == 2, calm / 500).otherwise(calm)
+    return b.select("ticker", "date", price.alias("price"), "volume", t.alias("t"), i.alias("i"))
 
 
 def _pick(values, k):
@@ -124,9 +127,9 @@ QUERIES = {
 }
 
 _L8, _L6 = (str(list(x)) for x in (BLOCKS, SPLITS))
-_CALM = "cb AS (SELECT ticker, date, 50 + (close - 1500) / 49999 AS price, volume, CAST(substr(ticker, 2) AS INTEGER) AS t, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM bars)"
+_CALM = "cb AS (SELECT ticker, date, CASE t % 5 WHEN 1 THEN close WHEN 2 THEN (50 + (close - 1500) / 49999) / 500 ELSE 50 + (close - 1500) / 49999 END AS price, volume, t, i FROM (SELECT *, CAST(substr(ticker, 2) AS INTEGER) AS t, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM bars))"
 _MOVES = "mv AS MATERIALIZED (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY i) AS mv, count(*) OVER (PARTITION BY ticker) AS n FROM {})"
-# islands: the opening jump at bar s, the closing one at e; one that begins inside an earlier island is none
+# islands: the opening jump at bar s, the closing one at e; behind one that is taken the next is sought
 _ISLANDS = f"""{BARS}, {_CALM},
 gb AS MATERIALIZED (SELECT ticker, date, i, price * l AS close, volume / l AS volume FROM (SELECT *, CASE WHEN t % 3 = 0 THEN 1 / f ELSE f END AS l FROM (
   SELECT *, CASE WHEN i BETWEEN 100 + t * 37 % 300 AND 100 + t * 37 % 300 + t % 12 THEN {_L8}[t % 8 + 1] WHEN i BETWEEN 500 + t * 37 % 300 AND 500 + t * 37 % 300 + t * 5 % 10 THEN {_L8}[(t + 3) % 8 + 1] ELSE 1.0 END AS f FROM cb))),
@@ -136,7 +139,8 @@ cand AS (SELECT a.ticker, a.i AS s, a.mv AS m, min(b.i) AS e FROM big a JOIN mv
 quiet AS (SELECT c.*, median(abs(x.mv)) AS md, count(*) AS k FROM cand c JOIN mv x ON x.ticker = c.ticker AND (x.i BETWEEN s - 30 AND s - 1 OR x.i BETWEEN e + 1 AND e + 30) WHERE abs(x.mv) > 0 GROUP BY ALL),
 okay AS (SELECT * FROM quiet q WHERE k >= 5 AND abs(m) >= 8 * md AND EXISTS (SELECT 1 FROM (VALUES (2), (3), (4), (5), (8), (10), (20), (25), (40), (50), (100)) r(x) WHERE abs(abs(m) - ln(x)) < ln(1.05))
   AND NOT EXISTS (SELECT 1 FROM big z WHERE z.ticker = q.ticker AND z.i > s AND z.i < e) AND (SELECT min(close) FROM mv z WHERE z.ticker = q.ticker AND z.i BETWEEN s - 2 AND e) >= 0.1),
-isl AS MATERIALIZED (SELECT * FROM okay a WHERE NOT EXISTS (SELECT 1 FROM okay b WHERE b.ticker = a.ticker AND b.s < a.s AND a.s <= b.e))"""
+pick AS (SELECT ticker, min(s) AS s FROM okay GROUP BY ticker UNION ALL SELECT p.ticker, (SELECT min(s) FROM okay x WHERE x.ticker = p.ticker AND x.s > o.e) FROM pick p JOIN okay o ON o.ticker = p.ticker AND o.s = p.s),
+isl AS MATERIALIZED (SELECT okay.* FROM okay JOIN pick USING (ticker, s))"""
 _SPLITS = f"""{BARS}, {_CALM},
 sb AS MATERIALIZED (SELECT ticker, date, i, volume, price * CASE WHEN CASE t % 4 WHEN 0 THEN i < d WHEN 1 THEN false WHEN 2 THEN i = d + 3 ELSE (i < d AND i <> d - 3) OR i = d + 2 OR i = d + 4 END THEN r ELSE 1.0 END AS close,
   CASE WHEN i = d + t % 5 - 2 OR (t % 7 = 3 AND i = d + t % 5 + 1) THEN r ELSE 0.0 END AS split FROM (SELECT *, 200 + t * 53 % 600 AS d, {_L6}[t % 6 + 1] AS r FROM cb)),
@@ -162,9 +166,9 @@ _MERGED = """n0 AS (SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS ann_id, CAST(o_
 mg AS (SELECT ann_id, date, ticker, action, holder FROM n0 WHERE k = 1)"""
 
 SQL = {
-    "price_islands": f"""WITH {_ISLANDS} SELECT isl.ticker, a.date AS start, z.date AS "end", CAST(e - s AS BIGINT) AS n, round(exp(-m), 2) AS mult
+    "price_islands": f"""WITH RECURSIVE {_ISLANDS} SELECT isl.ticker, a.date AS start, z.date AS "end", CAST(e - s AS BIGINT) AS n, round(exp(-m), 2) AS mult
 FROM isl JOIN gb a ON a.ticker = isl.ticker AND a.i = s JOIN gb z ON z.ticker = isl.ticker AND z.i = e - 1""",
-    "repair_islands": f"""WITH {_ISLANDS} SELECT gb.ticker, gb.date, round(gb.close * coalesce(exp(-m), 1.0), 8) AS close, round(gb.volume / coalesce(exp(-m), 1.0), 4) AS volume
+    "repair_islands": f"""WITH RECURSIVE {_ISLANDS} SELECT gb.ticker, gb.date, round(gb.close * coalesce(exp(-m), 1.0), 8) AS close, round(gb.volume / coalesce(exp(-m), 1.0), 4) AS volume
 FROM gb LEFT JOIN isl ON isl.ticker = gb.ticker AND gb.i >= s AND gb.i < e""",
     "unadjusted_splits": f"WITH {_SPLITS} SELECT ticker, split_date, 1 / split AS factor, jump_date FROM us",
     "dedupe_splits": f"WITH {_SPLITS}, {_ONCE} SELECT ticker, split_date, jump_date FROM du",

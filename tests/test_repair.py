@@ -62,6 +62,48 @@ def test_splits_match_a_plain_loop(spark):
     assert {t: sorted(x, key=repr) for t, x in got.items()} == {t: sorted(x, key=repr) for t, x in want.items()} and len(want) > 15
 
 
+def plain_islands(closes):
+    """What the island rule says of one series: first and last bar of each block, stated jump by jump."""
+    moves, found, free = [log(b / a) for a, b in zip(closes[:-1], closes[1:], strict=True)], [], 0
+    for i, move in enumerate(moves):
+        backs = [j for j in range(i + 1, min(len(moves), i + 1 + repair.ISLAND_BARS)) if abs(moves[j] + move) < log(1.05)]
+        if i < free or abs(move) < log(1.8) or not backs:
+            continue
+        j = backs[0]
+        usual = [abs(m) for k, m in enumerate(moves) if m and (i - 30 <= k < i or j < k <= j + 30)]
+        ratio = any(abs(abs(move) - log(r)) < log(1.05) for r in repair.CLEAN_RATIOS)
+        if ratio and len(usual) >= 5 and abs(move) >= 8 * statistics.median(usual) and min(closes[max(0, i - 1) : j + 2]) >= 0.1 and not any(abs(m) >= log(1.8) for m in moves[i + 1 : j]):
+            found.append((i + 1, j))
+            free = j + 1
+    return found
+
+
+def test_islands_match_a_plain_loop(spark):
+    """Blocks side by side, one inside the other's reach, at the ends, near the least price, and on noisy series."""
+    rng = random.Random(8)
+    every, rows = {}, []
+    for t in range(80):
+        level, series = rng.choice([50.0, 50.0, 0.11, 5000.0]), []
+        noise, lift = rng.choice([0.002, 0.01, 0.2]), 1.0
+        for _ in range(rng.choice([3, 60, 200])):
+            level *= 1 + rng.uniform(-noise, noise)
+            if rng.random() < 0.08:
+                lift = 1.0 if lift != 1.0 else rng.choice([2.0, 0.5, 10.0, 2.5, 1.7, 0.1])
+            series.append(level * lift)
+        every[f"T{t}"] = series
+        rows += [(f"T{t}", DAY + datetime.timedelta(i), c) for i, c in enumerate(series)]
+    got = {}
+    for r in repair.price_islands(spark.createDataFrame(rows, "ticker string, date date, close double")).collect():
+        a, z = (r["start"] - DAY).days, (r["end"] - DAY).days
+        assert r["n"] == z - a + 1 and abs(r["mult"] - every[r["ticker"]][a - 1] / every[r["ticker"]][a]) < 1e-9
+        got.setdefault(r["ticker"], []).append((a, z))
+    want = {t: found for t, series in every.items() if (found := plain_islands(series))}
+    assert {t: sorted(x) for t, x in got.items()} == want and sum(map(len, want.values())) > 60
+    # overlapping candidates: each opens where the one before closes, so every second one stands
+    chain = spark.createDataFrame([("A", k, k + 2, 0.7) for k in range(0, 20, 2)] + [("A", 40, 45, 0.7), ("B", 1, 3, 0.7)], "ticker string, opens int, closes int, move double")
+    assert sorted((r["ticker"], r["opens"]) for r in repair._apart(chain).collect()) == [("A", 0), ("A", 4), ("A", 8), ("A", 12), ("A", 16), ("A", 40), ("B", 1)]
+
+
 def test_chunks_obey_the_rule():
     rng = random.Random(4)
     for _ in range(300):

@@ -59,18 +59,14 @@ def test_countdown_kernel_and_stream_step_agree_with_a_plain_loop():
         assert [b for _, b in stepped] == batch
 
 
-def test_islands_need_a_clean_quiet_round_trip():
-    def bars(close):
-        return pd.DataFrame({"ticker": "A", "date": pd.date_range("2000-01-01", periods=len(close)), "close": close})
-
-    calm = [50 + 0.3 * (i % 5) for i in range(60)]
-    island = calm[:30] + [2 * x for x in calm[30:33]] + calm[33:]
-    found = repair.islands_kernel(bars(island))
-    assert len(found) == 1 and found["n"][0] == 3 and 0.45 < found["mult"][0] < 0.55
-    assert repair.islands_kernel(bars(calm)).empty
-    assert repair.islands_kernel(bars(calm[:30] + [1.9 * x for x in calm[30:45]] + calm[45:])).empty  # too long
-    assert repair.islands_kernel(bars(calm[:30] + [2.3 * x for x in calm[30:33]] + calm[33:])).empty  # no clean ratio
-    assert repair.islands_kernel(bars([0.001 * x for x in island])).empty  # price too low
+def test_islands_need_a_clean_quiet_round_trip(spark):
+    rng = np.random.default_rng(1)
+    calm = (50 * np.exp(np.cumsum(rng.normal(0, 0.005, 80)))).tolist()
+    block = lambda by, n: calm[:30] + [by * x for x in calm[30 : 30 + n]] + calm[30 + n :]
+    series = {"island": block(2, 3), "calm": calm, "too long": block(1.9, 15), "no clean ratio": block(2.3, 3), "low": [0.001 * x for x in block(2, 3)]}
+    rows = [(t, dt.date(2000, 1, 1) + dt.timedelta(i), float(c)) for t, closes in series.items() for i, c in enumerate(closes)]
+    found = repair.price_islands(spark.createDataFrame(rows, "ticker string, date date, close double")).collect()
+    assert [(r["ticker"], str(r["start"]), str(r["end"]), r["n"], round(r["mult"], 1)) for r in found] == [("island", "2000-01-31", "2000-02-02", 3, 0.5)]
 
 
 def test_risk_monitor_boundaries(spark):
