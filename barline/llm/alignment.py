@@ -32,6 +32,7 @@ from .store import materialize
 MARK = "▁"  # a space in a piece
 PROBE = "  a  b c "
 EMPTY = np.empty(0, np.int64)
+BLOCK_BYTES = 3 << 19  # text bytes of a block: its tables of tokens take some 60 times as much
 
 
 def default_pieces() -> str:
@@ -244,7 +245,7 @@ def align(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         a, b = byte_level(tokenizer), piece_level(pieces)
-        for block in blocks(batches):
+        for block in blocks(batches, size=BLOCK_BYTES):
             x = align_block([t or "" for t in block.column(1).to_pylist()], a, b)
             asked, counts = np.unique(x.pairs, return_counts=True)
             rows = block.num_rows
