@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chain, col
+from ..sources.stored import StoredTable
 
+# Metric names, the guard's days and ratio.
 LIVE_ROWS = 10  # a ticker leaves the counts this many calendar rows after its last bar
 ALL_METRICS = ["total", "leader", "contender", "laggard", "weak", "above_20", "above_50", "above_200", "high_vol", "acc_early", "acc_progress", "acc_shift"]
 LAYER_METRICS = ALL_METRICS[:-2]
@@ -137,6 +139,11 @@ def breadth_guard(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(bad, ["universe", "date"], "left_anti")
 
 
+def store_breadth(table: StoredTable, incoming: DataFrame) -> StoredTable:
+    """Write the days that pass the guard, each replacing what its universe has stored for it; others stay as they are stored."""
+    return table.replace(breadth_guard(incoming, table.read()), ["universe", "date"])
+
+
 def breadth_missing_days(calendar: DataFrame, stored_days: DataFrame, end: str, backfill_days: int = 400, redo: int = 2) -> DataFrame:
     """Days to write: those of calendar(date) in the backfill span that are not stored, and always the last stored ones again."""
     newest = stored_days.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date"))))  # one row a day

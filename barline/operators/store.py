@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import upsert
 from ..sources.tables import BAR_COLUMNS
 
 FIELDS = ["open", "high", "low", "close", "adj_close", "volume", "dividend", "split"]
@@ -45,17 +46,6 @@ def coverage(bars: DataFrame, tickers: DataFrame, start: str, end: str, least: f
     return out.withColumn("passes", F.when(F.col("requested") > 0, F.col("covered") / F.col("requested") >= least).otherwise(F.lit(False)))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """stored with incoming's rows replacing those of equal keys; only stored's columns, NaN as null.
-
-    Stored rows are only checked against the incoming keys, so nothing stored is sorted or ranked. Of incoming rows with equal keys one stays.
-    """
-    clean = incoming.select(*(F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in stored.dtypes if c in incoming.columns)).dropDuplicates(keys)
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    kept = stored.alias("s").join(clean.select(*keys).alias("n"), same, "left_anti")
-    return kept.unionByName(clean, allowMissingColumns=True)
-
-
 def upsert_bars(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(stored, incoming, ["ticker", "date"])
 

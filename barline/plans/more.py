@@ -72,7 +72,6 @@ QUERIES = {
     "commodity_benchmark": lambda s, d: groups(s, d).where("group_type = 'commodity'").select("ticker", "group_key", drawdown.commodity_benchmark(F.initcap("group_key")).alias("benchmark")),
     "table_csv_series": lambda s, d: macro.table_csv_series(csv_lines(s, d), "orders of"),
     "commodity_flags": lambda s, d: universe.commodity_flags(named(s, d), groups(s, d)),
-    "universe_snapshot": lambda s, d: universe.universe_snapshot(universes(s, d), "2001-06-30"),
     "sector_benchmark": lambda s, d: sectors(s, d).select("c_custkey", drawdown.sector_benchmark(F.col("sector"), F.col("region")).alias("benchmark")),
     "catalog": lambda s, d: ranking.catalog(results(s, d), documents(s, d), bars(s, d)),
     "read_period_rows": lambda s, d: ranking.read_period_rows(ranking.store_period_rows(study(s, d)), "ret_period double, score double, rs_trend string"),
@@ -111,7 +110,6 @@ FROM a FULL JOIN b ON a.ticker = b.ticker WHERE coalesce(a.ticker, b.ticker) NOT
     "commodity_flags": f"""WITH {SECURITIES}, {GROUPS}, nm AS (SELECT ticker, {_PICK(_NAMES, "CAST(substr(ticker, 2) AS BIGINT)")} AS name, {_PICK(_INDUSTRIES, "(CAST(substr(ticker, 2) AS BIGINT) // 2)")} AS industry FROM securities
   WHERE quote_type = 'EQUITY' AND active = 1), fl AS ({_FLAGS}) SELECT ticker, 'commodity' AS group_type, group_key, arg_min(attr, src) AS attr FROM fl
 WHERE NOT EXISTS (SELECT 1 FROM groups g WHERE g.ticker = fl.ticker AND g.group_type = 'commodity' AND g.group_key = fl.group_key) GROUP BY ticker, group_key""",
-    "universe_snapshot": f"WITH {SECURITIES} SELECT DATE '2001-06-30' AS snapshot_date, lower(region) || '_total_market' AS universe, ticker FROM securities WHERE active = 1 AND quote_type = 'EQUITY'",
     "sector_benchmark": f"""WITH s AS (SELECT c_custkey, {_PICK([*drawdown.AU_SECTOR_BENCHMARK, 'Health Care', 'nothing'], 'c_custkey')} AS sector, ['AU', 'US', NULL][c_custkey % 3 + 1] AS region FROM customer)
 SELECT c_custkey, CASE region WHEN 'AU' THEN {_AU} WHEN 'US' THEN {_US} ELSE coalesce({_AU}, {_US}) END AS benchmark FROM s""",
     "catalog": f"""WITH {RESULTS}, dc AS (SELECT o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS date FROM orders GROUP BY ALL) SELECT 'study' AS what, study || '/' || universe AS name, max(run_date) AS date, CAST(NULL AS BIGINT) AS n FROM res GROUP BY study, universe

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import store, universe
-from ..sources.tables import RUN_DATE, bars, fetch_log, groups, incoming, securities, table
+from ..sources.stored import LEAST_BUCKETS, BarStore, StoredTable, shared_folder
+from ..sources.tables import PREVIOUS_DATE, RUN_DATE, bars, fetch_log, groups, incoming, securities, table
 from .ranking import universes
-from .sql import BARS, CAP, GROUPS, RUN, SECURITIES
+from .sql import BARS, CAP, GROUPS, PREV, RUN, SECURITIES
 
 COMMODITY_SPEC = {"filter": {"region": ["AU", "US"], "quote_type": ["EQUITY"], "commodity_any": ["gold", "silver"], "min_market_cap": 1e9}, "benchmark": "per_commodity", "cap_scheme": "commodity"}
 
@@ -84,9 +85,11 @@ def known(spark, d):
 
 
 def refreshed(spark, d, outage_rows):
-    return universe.universe_refresh_apply(known(spark, d), found(spark, d), diff(spark, d), "2001-11-20", outage_rows)
+    stored = kept(spark, known(spark, d).drop("quote_type").withColumn("delisted_on", F.lit(None).cast("date")), ["ticker"])
+    return stored.rewrite(universe.universe_refresh_apply(stored.read().drop("delisted_on"), found(spark, d), diff(spark, d), "2001-11-20", outage_rows)).read().select(*REFRESHED)
 
 
+REFRESHED = ["ticker", "region", "name", "exchange", "market_cap", "currency", "sector", "industry", "cap_band", "benchmark", "active", "delisted_on"]
 STAMP = "2001-07-01 09:00:00"
 
 
@@ -114,13 +117,46 @@ def record(spark, d):
     return store.run_record({"bars": _all(spark, d), "orders": table(spark, d, "orders")}, settings, "income", "run-1", STAMP)
 
 
+def upserted(spark, d):
+    """Bars after two writes: the last dates pulled again, then another correction of the very last ones, with two new tickers' bars."""
+    bars_now = BarStore.create(_all(spark, d), LEAST_BUCKETS).upsert(incoming(spark, d))
+    last = incoming(spark, d).where(F.dayofmonth("date") % 2 == 1).withColumn("adj_close", F.col("adj_close") * 1.01)
+    new = last.where("ticker in ('I0', 'I1')").withColumn("ticker", F.concat(F.lit("NEW"), "ticker")).withColumn("volume", F.lit(float("nan")))
+    return bars_now.upsert(last.unionByName(new)).read().select("ticker", "date", "adj_close", "volume")
+
+
+def kept(spark, rows, keys):
+    """A stored table of rows by a hash of their keys."""
+    return StoredTable.keyed(spark, shared_folder(spark, "kept"), keys).create(rows)
+
+
+def logged(spark, d):
+    log = kept(spark, fetch_log(spark, d), ["ticker"])
+    return log.rewrite(store.fetch_log_update(log.read(), incoming(spark, d), _tickers(spark, d))).read()
+
+
+def indexed(spark, d):
+    flags = kept(spark, groups(spark, d), ["ticker", "group_type", "group_key"])
+    provider = spark.createDataFrame([("I1",), ("I2",), ("ZZ",)], "ticker string")
+    return flags.rewrite(universe.index_membership(flags.read(), provider, securities(spark, d), "BIG")).read()
+
+
+def snapshots(spark, d):
+    """Members by date: those of two dates, of which the first is written again with fewer."""
+    members = universes(spark, d)
+    fewer = members.where(F.col("ticker").endswith("1"))
+    table = StoredTable(spark, shared_folder(spark, "snapshots"), ["snapshot_date", "universe", "ticker"], "snapshot_date").create(universe.universe_snapshot(members, PREVIOUS_DATE))
+    return table.replace(universe.universe_snapshot(members, RUN_DATE)).replace(universe.universe_snapshot(fewer, PREVIOUS_DATE)).read()
+
+
 QUERIES = {
+    "universe_snapshot": snapshots,
     "bars_from_wide": from_vendor,
-    "bars_long": lambda s, d: store.bars_long(_all(s, d), _tickers(s, d), "2000-01-01", "2000-12-31", ["close", "volume"]),
+    "bars_long": lambda s, d: store.bars_long(bars(s, d, False, "2000-01-01", "2000-12-31"), _tickers(s, d), fields=["close", "volume"]),
     "price_matrix": lambda s, d: store.price_matrix(_all(s, d), EXPORT, "2001-01-01", "2001-06-30"),
     "last_bar_date": lambda s, d: store.last_bar_date(_all(s, d), _tickers(s, d)),
     "coverage": lambda s, d: store.coverage(_all(s, d), _tickers(s, d), "2001-06-20", RUN_DATE),
-    "upsert_bars": lambda s, d: store.upsert_bars(_all(s, d), incoming(s, d)).select("ticker", "date", "adj_close", "volume"),
+    "upsert_bars": upserted,
     "dated_document_store": lambda s, d: store.latest_document(documents(s, d)),
     "document_save": saved_documents,
     "document_load": lambda s, d: store.load_document(saved_documents(s, d), "monthly"),
@@ -133,9 +169,9 @@ QUERIES = {
     ).select("o_custkey", "o_orderstatus", "run_id"),
     "adjustment_drift": lambda s, d: store.adjustment_drift(_all(s, d), incoming(s, d)),
     "refresh_plan": lambda s, d: store.refresh_plan(fetch_log(s, d), "2001-11-05"),
-    "fetch_log_update": lambda s, d: store.fetch_log_update(fetch_log(s, d), incoming(s, d), _tickers(s, d)),
+    "fetch_log_update": logged,
     "stale_report": lambda s, d: store.stale_report(fetch_log(s, d), securities(s, d)),
-    "read_series": lambda s, d: store.read_series(_all(s, d).select("ticker", "date", "close"), "I1", "2001-01-01", offset=5, limit=10),
+    "read_series": lambda s, d: store.read_series(bars(s, d, False, "2001-01-01").select("ticker", "date", "close"), "I1", offset=5, limit=10),
     "region_of": lambda s, d: symbols(s, d).select("place", "ticker", universe.region_of("ticker").alias("region")),
     "odd_line": lambda s, d: symbols(s, d).select("place", "ticker", F.when(universe.odd_line("ticker"), 1).otherwise(0).alias("odd")),
     "export_symbol": lambda s, d: symbols(s, d).select("place", universe.export_symbol("ticker", "exchange").alias("symbol")),
@@ -159,7 +195,7 @@ QUERIES = {
         groups(s, d), s.createDataFrame([("I0", "index", "BIG")], "ticker string, group_type string, group_key string"),
         s.createDataFrame([("I2", "commodity", "gold", "midstream", 1), ("I5", "role", "macro", None, 3)], groups(s, d).schema),
     ),
-    "index_membership": lambda s, d: universe.index_membership(groups(s, d), s.createDataFrame([("I1",), ("I2",), ("ZZ",)], "ticker string"), securities(s, d), "BIG"),
+    "index_membership": indexed,
 }
 
 _SYM = """sym AS (SELECT p_partkey AS k, p_name AS name, (CASE WHEN p_partkey % 11 = 0 THEN '^' ELSE '' END) || substr(upper(p_brand), 1, 3) || (p_partkey % 100) || ['', '.AX', '-PA', '-WT', '.L', '=X', '-UN', '-B'][p_partkey % 8 + 1] AS ticker,
@@ -212,7 +248,11 @@ SELECT sha256(content) AS review_id, content, CASE WHEN old THEN TIMESTAMP '2001
     "price_matrix": f"WITH {BARS} SELECT date, {', '.join(f"CAST(first(adj_close) FILTER (ticker = '{t}') AS DOUBLE) AS {t}" for t in EXPORT)} FROM bars WHERE ticker IN ('I0', 'I1') AND date BETWEEN DATE '2001-01-01' AND DATE '2001-06-30' GROUP BY date",
     "last_bar_date": f"WITH {BARS} SELECT max(date) AS last_date FROM bars",
     "coverage": f"WITH {BARS}, r AS (SELECT count(DISTINCT s_suppkey // 5) + 1 AS k FROM supplier) SELECT any_value(k) AS requested, count(DISTINCT ticker) AS covered, count(DISTINCT ticker) / any_value(k) >= 0.8 AS passes FROM bars, r WHERE date BETWEEN DATE '2001-06-20' AND {RUN}",
-    "upsert_bars": f"WITH {BARS}, {_INC} SELECT b.ticker, b.date, coalesce(inc.adj_close, b.adj_close) AS adj_close, b.volume FROM bars b LEFT JOIN inc USING (ticker, date)",
+    "upsert_bars": f"""WITH {BARS}, {_INC}, ag AS (SELECT ticker, date, adj_close * 1.01 AS adj_close, volume FROM inc WHERE dayofmonth(date) % 2 = 1)
+SELECT b.ticker, b.date, coalesce(ag.adj_close, inc.adj_close, b.adj_close) AS adj_close, b.volume FROM bars b LEFT JOIN inc USING (ticker, date) LEFT JOIN ag ON ag.ticker = b.ticker AND ag.date = b.date
+UNION ALL SELECT 'NEW' || ticker, date, adj_close, NULL FROM ag WHERE ticker IN ('I0', 'I1')""",
+    "universe_snapshot": f"""WITH {SECURITIES}, m AS (SELECT lower(region) || '_total_market' AS universe, ticker FROM securities WHERE active = 1 AND quote_type = 'EQUITY')
+SELECT {RUN} AS snapshot_date, * FROM m UNION ALL SELECT {PREV}, * FROM m WHERE ticker LIKE '%1'""",
     "dated_document_store": "WITH d AS (SELECT o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS date, max('order ' || o_orderkey) AS text FROM orders GROUP BY ALL) SELECT kind, max(date) AS date, arg_max(text, date) AS text, count(*) AS versions FROM d GROUP BY kind",
     "immutable_runs": """SELECT DISTINCT o_custkey, o_orderstatus, sha256('{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS run_id FROM orders""",
     "adjustment_drift": f"WITH {BARS}, {_INC} SELECT DISTINCT ticker FROM bars JOIN inc USING (ticker, date) WHERE abs(inc.adj_close - bars.adj_close) / abs(bars.adj_close) > 0.001",

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import shared_folder
 from ..sources.tables import bars, table
 from ..streaming import twins
 from .studies import SQL as STUDIES
@@ -17,22 +15,12 @@ from .sql import ALL_BARS
 SLICES = 4  # batches that a source comes in
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share, under spark.checkpoint.dir. Where that is unset a local master (tests) gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="barline-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _source(rows: DataFrame, time: str, key: str, arrival: Column | None = None) -> DataFrame:
     """A stream of the rows in SLICES batches of equal time spans, landed one after another as two files each.
 
     A key's rows of a slice are in one file. arrival, a slice's number, overrides the slice of the rows where it isn't null.
     """
-    spark, path = rows.sparkSession, _folder(rows.sparkSession)
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
     day = F.unix_date(F.to_date(time))
     low, high = rows.agg(F.min(day), F.max(day)).first()
     due = F.least(F.floor((day - low) * SLICES / (high - low + 1)), F.lit(SLICES - 1)).cast("int")
@@ -44,7 +32,7 @@ def _source(rows: DataFrame, time: str, key: str, arrival: Column | None = None)
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """What the stream gives until its input ends, with the batch that gave it. A batch that is tried again replaces its own rows."""
-    spark, path = stream.sparkSession, _folder(stream.sparkSession)
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={i}")
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()

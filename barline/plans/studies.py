@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import breadth, drawdown, rotation, universe
+from ..sources.stored import StoredTable, shared_folder
 from ..sources.tables import RUN_DATE, bars, groups, securities
 from .sql import ALL_BARS, CAP, GROUPS, RUN, SECURITIES
 
@@ -69,12 +70,20 @@ def thinned(long):
     return long.withColumn("value", F.when(poor, F.floor(F.col("value") / 2).cast("double")).otherwise(F.col("value")))
 
 
+def guarded(spark, d):
+    """Stored counts after a write of days at doubled values, of which some were thinned and are not written."""
+    key = ["universe", "date", "layer", "group_type", "group_key", "metric"]
+    rows = counts(spark, d).where("group_type = 'all'")
+    table = StoredTable(spark, shared_folder(spark, "breadth"), key, "year", F.year("date")).create(rows)
+    return breadth.store_breadth(table, thinned(table.read().where(F.month("date") % 2 == 0)).where("metric <> 'laggard'")).read()
+
+
 QUERIES = {
     "breadth_panel": panel,
     "breadth_counts": counts,
     "breadth_layer_sets": layer_sets,
     "breadth_layers": lambda spark, d: breadth.breadth_layers(panel(spark, d), NAME, layer_sets(spark, d)),
-    "breadth_guard": lambda spark, d: breadth.breadth_guard(thinned(counts(spark, d)), counts(spark, d)).where("group_type = 'all'"),
+    "breadth_guard": guarded,
     "breadth_incremental": lambda spark, d: breadth.breadth_incremental(bars(spark, d, references=False), all_members(spark, d), NAME, stored_days(spark, d), RUN_DATE).where("group_type = 'all'"),
     "breadth_rebuild": lambda spark, d: breadth.breadth_rebuild(bars(spark, d, references=False), all_members(spark, d), NAME).where("group_type = 'sector'"),
     "read_breadth": lambda spark, d: breadth.read_breadth(counts(spark, d), NAME, group_type="sector", group_key="s0", start="2001-01-01", end=RUN_DATE, offset=7, limit=60),
@@ -224,8 +233,9 @@ SQL = {
     "breadth_layer_sets": f"WITH {_MEM}, {_SETS} SELECT layer, ticker FROM ls",
     "breadth_layers": f"WITH {_PANEL}, {_SETS}, lp AS (SELECT * FROM panel JOIN ls USING (ticker)) {_LAYERS}",
     "breadth_guard": f"""WITH {_LONG}, tot AS (SELECT date, value, median(value) OVER () AS unused FROM lo WHERE group_type = 'all' AND metric = 'total'), base AS (SELECT median(value) AS b FROM (SELECT value FROM tot ORDER BY date DESC LIMIT 60)),
-inc AS (SELECT date, universe, layer, group_type, group_key, metric, CASE WHEN dayofyear(date) % 97 = 0 AND metric = 'total' THEN floor(value / 2) ELSE value END AS value FROM lo WHERE group_type = 'all')
-SELECT {_C} FROM inc WHERE date NOT IN (SELECT date FROM inc, base WHERE metric = 'total' AND b > 0 AND value < b * 0.9)""",
+inc AS (SELECT date, universe, layer, group_type, group_key, metric, CASE WHEN dayofyear(date) % 97 = 0 AND metric = 'total' THEN floor(value / 2) ELSE value END AS value FROM lo WHERE group_type = 'all' AND month(date) % 2 = 0 AND metric <> 'laggard'),
+good AS (SELECT * FROM inc WHERE date NOT IN (SELECT date FROM inc, base WHERE metric = 'total' AND b > 0 AND value < b * 0.9))
+SELECT {_C} FROM good UNION ALL SELECT {_C} FROM lo WHERE group_type = 'all' AND date NOT IN (SELECT date FROM good)""",
     "breadth_incremental": f"""WITH {_LONG}, st AS (SELECT DISTINCT date FROM lo WHERE date <= {RUN} - INTERVAL 20 DAY), done AS (SELECT date FROM st ORDER BY date DESC OFFSET 2)
 SELECT {_C} FROM lo WHERE group_type = 'all' AND date >= {RUN} - INTERVAL 400 DAY AND date NOT IN (SELECT date FROM done)""",
     "breadth_rebuild": f"WITH {_LONG}, sk AS (SELECT date FROM cal WHERE pos > 200) SELECT {_C} FROM lo WHERE group_type = 'sector' AND date IN (SELECT date FROM sk)",

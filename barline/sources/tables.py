@@ -1,6 +1,7 @@
 """Logical tables (bars, securities, groups, ...) derived from the stored star-schema tables.
 
-Each reads only the columns it needs; bars are one shuffle by (ticker, date) with map-side partial aggregates.
+Each reads only the columns it needs. Bars are one shuffle by (ticker, date) with map-side partial aggregates, and are then stored by
+year in buckets by ticker.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import BarStore, buckets_for
+
 RUN_DATE, PREVIOUS_DATE = "2001-06-30", "2001-05-31"
 BAR_COLUMNS = ["ticker", "date", "open", "high", "low", "close", "adj_close", "volume", "dividend", "split"]
 
@@ -20,18 +23,15 @@ def _instrument(c: str):
     return F.floor(F.col(c) / 5).cast("long")
 
 
-def bars(spark: SparkSession, sf_dir: str, references: bool = True) -> DataFrame:
-    """Daily bars of instruments I*, and with references the market MKT and its five parts R0..R4."""
+def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of instruments I*, the market MKT and its five parts R0..R4, from the line items."""
     i = _instrument("l_suppkey")
     rows = table(spark, sf_dir, "lineitem").select(
         i.alias("i"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 20 == 0), F.round(F.col("l_tax") * 100).cast("long")).alias("cents"),
         F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("place"),
     )
-    names = [F.concat(F.lit("I"), F.col("i"))]
-    if references:
-        names += [F.lit("MKT"), F.concat(F.lit("R"), F.col("i") % 5)]
-    rows = rows.withColumn("ticker", F.explode(F.array(*names)))
+    rows = rows.withColumn("ticker", F.explode(F.array(F.concat(F.lit("I"), F.col("i")), F.lit("MKT"), F.concat(F.lit("R"), F.col("i") % 5))))
     out = rows.groupBy("ticker", "date").agg(
         F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "place").alias("close"),
         F.sum("quantity").alias("volume"), F.coalesce(F.sum("cents") / 100.0, F.lit(0.0)).alias("dividend"),
@@ -39,6 +39,23 @@ def bars(spark: SparkSession, sf_dir: str, references: bool = True) -> DataFrame
     return out.select("ticker", "date", "open", "high", "low", "close", F.col("close").alias("adj_close"), "volume", "dividend", F.lit(0.0).alias("split"))
 
 
+_stores: dict[tuple[str, str], BarStore] = {}
+
+
+def bar_store(spark: SparkSession, sf_dir: str) -> BarStore:
+    """The bars of sf_dir, laid out once in an application, when they are first asked for."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _stores:
+        _stores[at] = BarStore.create(derived_bars(spark, sf_dir), buckets_for(table(spark, sf_dir, "lineitem").count()))
+    return _stores[at]
+
+
+def bars(spark: SparkSession, sf_dir: str, references: bool = True, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Stored daily bars of instruments I*, and with references the market and its parts, in an inclusive date range."""
+    rows = bar_store(spark, sf_dir).read(start, end)
+    return rows if references else rows.where(F.col("ticker").startswith("I"))
+
+
 def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per instrument, and the index tickers MKT and R0..R4."""
     s = table(spark, sf_dir, "supplier").groupBy(_instrument("s_suppkey").alias("i")).agg(F.min("s_name").alias("name"), F.sum(F.round(F.col("s_acctbal") * 100).cast("long")).alias("cents"))
