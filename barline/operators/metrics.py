@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import chain, change, rnd
 
+# Look-backs in bars, settings of the divergence labels.
 LOOKBACKS = {"ret_6m": 126, "ret_5": 5, "ret_21": 21, "ret_63": 63}
 DIVERGENCE = {
     "rsi_period": 14, "pivot_left": 5, "pivot_right": 5, "pivot_min_gap": 5, "pivot_max_gap": 60, "max_age_bars": 20, "obv_window": 21,
@@ -123,22 +124,39 @@ def acc_watch(bars: DataFrame, caps: DataFrame, end: str) -> DataFrame:
     return moving_averages(bars, end).join(caps.select("ticker", "cap_band"), "ticker").select("ticker", acc_watch_of().alias("acc_watch"))
 
 
-def with_rsi(h: DataFrame, period: int = 14) -> DataFrame:
+RSI_BLOCK = 1024  # bars whose weights share a base
+
+
+def with_rsi(h: DataFrame, period: int = 14, whole: bool = False) -> DataFrame:
     """Wilder's RSI at every bar.
 
-    The recursion y = q * y + (1 - q) * x from the first step has the closed form
-    q^i * (x_1 q^-1 + sum of (1 - q) x_k q^-k), a running sum of terms that are never negative. It holds for
-    slices of up to some thousand bars.
+    The recursion y = q * y + (1 - q) * x from the first step has the closed form q^i * (x_1 q^-1 + sum of (1 - q) x_k q^-k),
+    a running sum of terms that are never negative; it holds for slices of some thousand bars. With whole a series of any length is
+    cut into blocks of RSI_BLOCK bars: in each the powers begin anew, and the block before carries its end over. What older blocks
+    would add to that is q^1024, less than the last bit.
     """
     w = Window.partitionBy("ticker").orderBy("date")
     q = (period - 1) / period
-    step = F.col("p") - F.lag("p").over(w)
-    weight = F.when(F.col("i") == 1, F.lit(1.0)).otherwise(F.lit(1 - q)) * F.pow(F.lit(q), -F.col("i"))
-    h = h.withColumn("d", step)
+    h = h.withColumn("d", F.col("p") - F.lag("p").over(w))
+    own, base = (w, F.lit(0)) if not whole else (Window.partitionBy("ticker", "block").orderBy("date"), F.col("block") * RSI_BLOCK)
+    if whole:
+        h = h.withColumn("block", F.floor(F.col("i") / RSI_BLOCK))
+    weight = F.when(F.col("i") == 1, F.lit(1.0)).otherwise(F.lit(1 - q)) * F.pow(F.lit(q), base - F.col("i"))
     for name, part in (("up", F.greatest(F.col("d"), F.lit(0.0))), ("dn", F.greatest(-F.col("d"), F.lit(0.0)))):
-        h = h.withColumn(name, F.when(F.col("i") >= period, F.sum(F.when(F.col("i") >= 1, part * weight)).over(w) * F.pow(F.lit(q), F.col("i"))))
+        h = h.withColumn(name, F.coalesce(F.sum(F.when(F.col("i") >= 1, part * weight)).over(own), F.lit(0.0)) * F.pow(F.lit(q), F.col("i") - base))
+        if whole:
+            h = h.withColumn("before", F.lag(name).over(w)).withColumn("before", F.coalesce(F.first("before").over(own), F.lit(0.0)))
+            h = h.withColumn(name, F.col(name) + F.col("before") * F.pow(F.lit(q), F.col("i") - base + 1)).drop("before")
+        h = h.withColumn(name, F.when(F.col("i") >= period, F.col(name)))
     line = F.when(F.col("dn") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col("up") / F.when(F.col("dn") != 0, F.col("dn"))))
-    return h.withColumn("rsi", F.when(F.col("up").isNotNull() & F.col("dn").isNotNull(), line)).drop("d", "up", "dn")
+    return h.withColumn("rsi", F.when(F.col("up").isNotNull() & F.col("dn").isNotNull(), line)).drop("d", "up", "dn", "block")
+
+
+def rsi_history(bars: DataFrame, end: str, period: int = 14) -> DataFrame:
+    """The RSI of every bar up to a day, over all of each ticker's history."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = bars.where((F.col("date") <= F.lit(end)) & F.col("adj_close").isNotNull()).select("ticker", "date", F.col("adj_close").alias("p"), (F.row_number().over(w) - 1).alias("i"))
+    return with_rsi(rows, period, whole=True).where("rsi is not null").select("ticker", "date", "rsi")
 
 
 def rsi_wilder(bars: DataFrame, end: str, period: int = 14) -> DataFrame:
@@ -234,11 +252,11 @@ def obv_divergence(bars: DataFrame, end: str, settings: dict | None = None) -> D
 def metric_block(bars: DataFrame, end: str, settings: dict | None = None) -> DataFrame:
     """All metrics of every ticker in one row, from one scan of 24 months of bars.
 
-    One shuffle by ticker; all windows are columns of one history, and one aggregation by ticker takes them together.
+    All windows are columns of one history by ticker, and one aggregation by ticker takes them together: one shuffle, and none
+    on bars that are stored in buckets by ticker.
     """
     s = DIVERGENCE | (settings or {})
     rows = bars.where((F.col("date") >= F.date_sub(F.to_date(F.lit(end)), 730)) & (F.col("date") <= F.lit(end))).select("ticker", "date", "adj_close", "volume")
-    rows = rows.repartition("ticker")  # every step below keeps this partitioning
     h = with_obv(with_pivots(with_rsi(with_steps(history(rows, end, 365)), s["rsi_period"]), s))
     h = h.withColumn("vb", F.when(F.col("volume").isNotNull(), F.col("m") - F.col("j") + 1))
     out = h.groupBy("ticker").agg(

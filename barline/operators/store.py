@@ -104,14 +104,20 @@ def adjustment_drift(stored: DataFrame, incoming: DataFrame, tolerance: float =
     return both.where((F.abs("old") > 0) & (F.abs(F.col("new") - F.col("old")) / F.abs("old") > tolerance)).select("ticker").distinct()
 
 
-def refresh_plan(log: DataFrame, end: str, overlap: int = 10, stale_after: int = 10, backfill_days: int = 1100) -> DataFrame:
-    """Action for each ticker of log(ticker, last_date, failures): skip_stale, backfill, current or incremental, with the start date."""
+def refresh_plan(log: DataFrame, end: str, deep: DataFrame | None = None, overlap: int = 10, stale_after: int = 10, backfill_days: int = 1100) -> DataFrame:
+    """Action for each ticker of log(ticker, first_date, last_date, failures): skip_stale, reload, backfill, current or incremental, with the start date.
+
+    A ticker of deep(ticker, deep_start) without bars, or whose first bar lies behind its deep start's year, is reloaded from
+    that start: what is stored of it is to be dropped.
+    """
     day = F.date_sub(F.to_date(F.lit(end)), 0)
     back = F.when(F.dayofweek(day) == 2, 3).when(F.dayofweek(day) == 1, 2).otherwise(1)
     previous = F.date_sub(day, back.cast("int"))
-    action = F.when(F.coalesce("failures", F.lit(0)) >= stale_after, "skip_stale").when(F.col("last_date").isNull(), "backfill").when(F.col("last_date") >= previous, "current").otherwise("incremental")
-    start = F.when(action == "backfill", F.date_sub(day, backfill_days)).when(action == "incremental", F.to_date(F.date_trunc("week", F.date_sub("last_date", overlap))))
-    return log.select("ticker", action.alias("action"), start.alias("start"))
+    rows = log.withColumn("deep_start", F.lit(None).cast("date")) if deep is None else log.join(deep.select("ticker", "deep_start"), "ticker", "left")
+    late = F.col("deep_start").isNotNull() & (F.col("last_date").isNull() | F.coalesce(F.year("first_date") > F.year("deep_start"), F.lit(False)))
+    action = F.when(F.coalesce("failures", F.lit(0)) >= stale_after, "skip_stale").when(late, "reload").when(F.col("last_date").isNull(), "backfill").when(F.col("last_date") >= previous, "current").otherwise("incremental")
+    start = F.when(action == "reload", F.col("deep_start")).when(action == "backfill", F.date_sub(day, backfill_days)).when(action == "incremental", F.to_date(F.date_trunc("week", F.date_sub("last_date", overlap))))
+    return rows.select("ticker", action.alias("action"), start.alias("start"))
 
 
 def fetch_log_update(log: DataFrame, batch: DataFrame, asked: DataFrame) -> DataFrame:

@@ -180,19 +180,26 @@ def metric_verdict(cells: DataFrame) -> DataFrame:
     return joined.withColumn("verdict", verdict).drop("_p", "_good", "_bad", "_way")
 
 
+# Phrases of a title by form, the first that it holds counts, so a ceasing one is no change; the site's address.
+NOTICE_PHRASES = {"603": "becoming a substantial holder", "605": "ceasing to be a substantial holder", "604": "change in substantial holding"}
+NOTICE_SITE = "https://www.asx.com.au"
+
+
 def notice_parse(pages: DataFrame) -> DataFrame:
-    """Announcement rows of pages(html): ann_id, date, time, ticker, title, pdf_url, form, action; titles of other kinds drop."""
-    row = r"(?s)<tr[^>]*>(.*?)</tr>"
-    cells = pages.select(F.explode(F.regexp_extract_all("html", F.lit(row), F.lit(1))).alias("r"))
-    get = lambda p: F.regexp_extract("r", p, 1)
-    title, t = get(r'(?s)<a[^>]*>\s*([^<]*?)\s*<'), F.lower(get(r'(?s)<a[^>]*>\s*([^<]*?)\s*<'))
-    form = chain([(t.contains("becoming a substantial holder"), "603"), (t.contains("change in substantial holding"), "604"), (t.contains("ceasing to be a substantial holder"), "605")])
+    """Announcement rows of pages(html): ann_id, date, time, ticker, title, pdf_url, form, action; titles of other kinds drop.
+
+    date is ISO text, or the text as it stands if it is no date; pdf_url is absolute. A row that lacks a cell drops.
+    """
+    cells = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("r"))
+    get = lambda pattern: F.regexp_extract("r", "(?s)" + pattern, 1)
+    href, shown = get(r'href="([^"]*idsId=\d+)"'), get(r"(\d{2}/\d{2}/\d{4})")
     rows = cells.select(
-        get(r"idsId=(\d+)").alias("ann_id"), F.try_to_date(get(r"(\d{2}/\d{2}/\d{4})"), "dd/MM/yyyy").alias("date"), get(r"(\d{1,2}:\d{2} [ap]m)").alias("time"), get(r"(?s)<td[^>]*>\s*([A-Z0-9]{3,6})\s*</td>").alias("ticker"),
-        title.alias("title"), get(r'href="([^"]*)"').alias("pdf_url"), form.alias("form"),
+        get(r"idsId=(\d+)").alias("ann_id"), F.coalesce(F.date_format(F.try_to_date(shown, "dd/MM/yyyy"), "yyyy-MM-dd"), shown).alias("date"), F.trim(get(r'class="dates-time">([^<]*)<')).alias("time"),
+        get(r"<td[^>]*>\s*([A-Z0-9]{2,6})\s*</td>").alias("ticker"), F.trim(get(r"<a[^>]*>\s*([^<]*?)\s*<")).alias("title"), F.concat(F.lit(NOTICE_SITE), F.replace(href, F.lit("&amp;"), F.lit("&"))).alias("pdf_url"),
     )
-    action = chain([(F.col("form") == k, v) for k, v in NOTICE_KINDS.items()])
-    return rows.where("ann_id <> '' and date is not null and form is not null").withColumn("action", action)
+    form = chain([(F.lower("title").contains(phrase), form) for form, phrase in NOTICE_PHRASES.items()])
+    rows = rows.withColumn("form", form).withColumn("action", chain([(F.col("form") == k, v) for k, v in NOTICE_KINDS.items()]))
+    return rows.where("ann_id <> '' and date <> '' and ticker <> '' and form is not null")
 
 
 def notice_merge(notices: DataFrame, core: list[str]) -> DataFrame:

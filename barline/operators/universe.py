@@ -109,6 +109,12 @@ def theme_members(groups: DataFrame, securities: DataFrame, theme: str) -> DataF
     return g.join(securities.select("ticker", "name"), "ticker", "left").select("ticker", F.coalesce("attr", "name").alias("name"))
 
 
+def theme_groups(groups: DataFrame, securities: DataFrame, theme: str) -> DataFrame:
+    """theme_members with grp, what follows the colon in a flag <theme>:<grp>; '' without one."""
+    of = groups.where((F.col("group_type") == "theme") & F.col("group_key").startswith(theme + ":")).groupBy("ticker").agg(F.max(F.split_part("group_key", F.lit(":"), F.lit(2))).alias("grp"))
+    return theme_members(groups, securities, theme).join(of, "ticker", "left").withColumn("grp", F.coalesce("grp", F.lit("")))
+
+
 def fetch_ticker_set(universes: DataFrame, groups: DataFrame, extra: DataFrame) -> DataFrame:
     """Every ticker to keep current: members, benchmarks, roles and themes, and extra."""
     roles = groups.where(F.col("group_type").isin("role", "theme")).select("ticker")

@@ -24,7 +24,8 @@ GROUPS = """grp0 AS (SELECT DISTINCT s_suppkey // 5 AS i FROM supplier),
 groups AS MATERIALIZED (SELECT 'I' || i AS ticker, 'index' AS group_type, 'BIG' AS group_key, CAST(NULL AS VARCHAR) AS attr, 9 AS priority FROM grp0 WHERE i % 3 = 0
   UNION ALL SELECT 'I' || i, 'index', 'TECH', NULL, 9 FROM grp0 WHERE i % 4 = 0 UNION ALL SELECT 'I' || i, 'commodity', 'gold', 'producer', 9 FROM grp0 WHERE i % 2 = 0
   UNION ALL SELECT 'I' || i, 'commodity', 'silver', 'explorer', 0 FROM grp0 WHERE i % 6 = 0
-  UNION ALL SELECT t, 'theme', 'rot', NULL, 9 FROM (VALUES ('R0'), ('R1'), ('R2'), ('R3'), ('R4')) x(t))"""
+  UNION ALL SELECT DISTINCT 'R' || (i % 5), 'theme', 'rot', NULL, 9 FROM grp0
+  UNION ALL SELECT DISTINCT 'R' || (i % 5), 'theme', CASE WHEN i % 5 < 2 THEN 'rot:cyclical' ELSE 'rot:defensive' END, NULL, 9 FROM grp0 WHERE i % 5 < 4)"""
 
 HOLDINGS = """holdings AS MATERIALIZED (SELECT o_custkey % 10 AS portfolio, 'I' || (o_orderkey % (SELECT count(DISTINCT s_suppkey // 5) FROM supplier)) AS ticker, CAST(o_orderdate AS DATE) AS entry_date,
   o_totalprice / 100 AS entry_price, 'USD' AS quote_currency, o_orderkey AS holding_id FROM orders)"""

@@ -135,6 +135,20 @@ def logged(spark, d):
     return log.rewrite(store.fetch_log_update(log.read(), incoming(spark, d), _tickers(spark, d))).read()
 
 
+def asked_log(spark, d):
+    """The log with two tickers that were never pulled."""
+    log = fetch_log(spark, d)
+    return log.unionByName(log.where("ticker in ('I0', 'I1')").select(F.concat(F.lit("NEW"), "ticker").alias("ticker"), F.lit(0).cast("long").alias("failures")), allowMissingColumns=True)
+
+
+def deep_history(spark, d):
+    """Every third ticker's long start: some before its stored bars, some in their first year; and one of a ticker without bars."""
+    i = F.substring("ticker", 2, 20).try_cast("long")
+    start = F.when(i % 2 == 0, "1985-01-01").otherwise("1992-01-01")
+    old = securities(spark, d).where((F.col("quote_type") == "EQUITY") & (i % 3 == 0)).select("ticker", F.to_date(start).alias("deep_start"))
+    return old.unionByName(spark.createDataFrame([("NEWI0",)], "ticker string").select("ticker", F.to_date(F.lit("1980-06-01")).alias("deep_start")))
+
+
 def indexed(spark, d):
     flags = kept(spark, groups(spark, d), ["ticker", "group_type", "group_key"])
     provider = spark.createDataFrame([("I1",), ("I2",), ("ZZ",)], "ticker string")
@@ -168,7 +182,7 @@ QUERIES = {
         table(s, d, "orders").select("o_custkey", "o_orderstatus").distinct(), s.createDataFrame([("none",)], "run_id string")
     ).select("o_custkey", "o_orderstatus", "run_id"),
     "adjustment_drift": lambda s, d: store.adjustment_drift(_all(s, d), incoming(s, d)),
-    "refresh_plan": lambda s, d: store.refresh_plan(fetch_log(s, d), "2001-11-05"),
+    "refresh_plan": lambda s, d: store.refresh_plan(asked_log(s, d), "2001-11-05", deep_history(s, d)),
     "fetch_log_update": logged,
     "stale_report": lambda s, d: store.stale_report(fetch_log(s, d), securities(s, d)),
     "read_series": lambda s, d: store.read_series(bars(s, d, False, "2001-01-01").select("ticker", "date", "close"), "I1", offset=5, limit=10),
@@ -256,8 +270,11 @@ SELECT {RUN} AS snapshot_date, * FROM m UNION ALL SELECT {PREV}, * FROM m WHERE
     "dated_document_store": "WITH d AS (SELECT o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS date, max('order ' || o_orderkey) AS text FROM orders GROUP BY ALL) SELECT kind, max(date) AS date, arg_max(text, date) AS text, count(*) AS versions FROM d GROUP BY kind",
     "immutable_runs": """SELECT DISTINCT o_custkey, o_orderstatus, sha256('{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS run_id FROM orders""",
     "adjustment_drift": f"WITH {BARS}, {_INC} SELECT DISTINCT ticker FROM bars JOIN inc USING (ticker, date) WHERE abs(inc.adj_close - bars.adj_close) / abs(bars.adj_close) > 0.001",
-    "refresh_plan": f"""WITH {BARS}, {_LOG}, a AS (SELECT *, CASE WHEN failures >= 10 THEN 'skip_stale' WHEN last_date IS NULL THEN 'backfill' WHEN last_date >= DATE '2001-11-02' THEN 'current' ELSE 'incremental' END AS action FROM lg)
-SELECT ticker, action, CASE WHEN action = 'incremental' THEN CAST(date_trunc('week', last_date - 10) AS DATE) END AS start FROM a""",
+    "refresh_plan": f"""WITH {BARS}, {_LOG}, al AS (SELECT ticker, first_date, last_date, failures FROM lg UNION ALL SELECT 'NEW' || ticker, NULL, NULL, 0 FROM lg WHERE ticker IN ('I0', 'I1')),
+dp AS (SELECT DISTINCT 'I' || (s_suppkey // 5) AS ticker, CASE WHEN s_suppkey // 5 % 2 = 0 THEN DATE '1985-01-01' ELSE DATE '1992-01-01' END AS deep FROM supplier WHERE s_suppkey // 5 % 3 = 0 UNION ALL SELECT 'NEWI0', DATE '1980-06-01'),
+a AS (SELECT *, CASE WHEN failures >= 10 THEN 'skip_stale' WHEN deep IS NOT NULL AND (last_date IS NULL OR first_date > make_date(year(deep), 12, 31)) THEN 'reload' WHEN last_date IS NULL THEN 'backfill' WHEN last_date >= DATE '2001-11-02' THEN 'current' ELSE 'incremental' END AS action
+  FROM al LEFT JOIN dp USING (ticker))
+SELECT ticker, action, CASE action WHEN 'reload' THEN deep WHEN 'backfill' THEN DATE '2001-11-05' - 1100 WHEN 'incremental' THEN CAST(date_trunc('week', last_date - 10) AS DATE) END AS start FROM a""",
     "fetch_log_update": f"""WITH {BARS}, {_LOG}, {_INC}, ask AS (SELECT DISTINCT 'I' || (s_suppkey // 5) AS ticker FROM supplier UNION SELECT 'NONE'), nw AS (SELECT ticker, min(date) AS a, max(date) AS z, count(*) AS k FROM inc GROUP BY ticker)
 SELECT coalesce(lg.ticker, ask.ticker) AS ticker, least(first_date, a) AS first_date, greatest(last_date, z) AS last_date, CASE WHEN coalesce(n_rows, k) IS NOT NULL THEN coalesce(n_rows, 0) + coalesce(k, 0) END AS n_rows,
   CASE WHEN ask.ticker IS NULL THEN failures WHEN k > 0 THEN 0 ELSE coalesce(failures, 0) + 1 END AS failures FROM lg FULL JOIN ask ON lg.ticker = ask.ticker LEFT JOIN nw ON nw.ticker = ask.ticker""",
@@ -272,7 +289,7 @@ SELECT coalesce(lg.ticker, ask.ticker) AS ticker, least(first_date, a) AS first_
   CASE commodity WHEN 'gold' THEN 'GDX' ELSE 'SIL' END AS benchmark FROM securities JOIN pri USING (ticker) WHERE active = 1 AND quote_type = 'EQUITY' AND market_cap >= 1e9""",
     "primary_exposure": f"WITH {GROUPS}, {_PRI} SELECT * FROM pri",
     "benchmark_map": f"WITH {GROUPS}, {_PRI} SELECT ticker, CASE commodity WHEN 'gold' THEN 'GDX' ELSE 'SIL' END AS benchmark FROM pri",
-    "theme_members": "SELECT t AS ticker, t AS name FROM (VALUES ('R0'), ('R1'), ('R2'), ('R3'), ('R4')) x(t) WHERE EXISTS (SELECT 1 FROM supplier)",
+    "theme_members": "SELECT DISTINCT 'R' || (s_suppkey // 5 % 5) AS ticker, 'R' || (s_suppkey // 5 % 5) AS name FROM supplier",
     "fetch_ticker_set": f"WITH {SECURITIES}, {GROUPS}, {_UNI} SELECT ticker FROM uni UNION SELECT benchmark FROM uni UNION SELECT ticker FROM groups WHERE group_type = 'theme' UNION SELECT 'X1'",
     "universe_summary": f"WITH {SECURITIES}, {_UNI} SELECT universe, count(*) AS members, count(*) FILTER (cap_band = 'large') AS large, count(*) FILTER (cap_band = 'mid') AS mid, count(*) FILTER (cap_band = 'small') AS small FROM uni GROUP BY universe",
     "security_search": f"WITH {SECURITIES} SELECT ticker, name, active, market_cap FROM securities WHERE quote_type = 'EQUITY' AND (contains(lower(ticker), 'i1') OR contains(lower(name), 'i1')) ORDER BY active DESC, market_cap DESC NULLS LAST, ticker LIMIT 25",

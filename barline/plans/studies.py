@@ -38,9 +38,7 @@ def series(spark, d):
 
 
 def themes(spark, d):
-    g = groups(spark, d).where("group_type = 'theme' and group_key = 'rot'")
-    names = g.join(securities(spark, d).select("ticker", "name"), "ticker", "left")
-    return names.select("ticker", F.coalesce("attr", "name").alias("name"), F.lit("").alias("grp"))
+    return universe.theme_groups(groups(spark, d), securities(spark, d), "rot")
 
 
 def scan(spark, d, end=RUN_DATE):
@@ -225,7 +223,7 @@ _RRG = f"""WITH {ALL_BARS}, w AS (SELECT * FROM bars WHERE date BETWEEN {RUN} -
 j AS (SELECT a.ticker, a.date, a.adj_close AS p, b.adj_close AS b FROM w a JOIN w b ON b.date = a.date AND b.ticker = 'MKT' WHERE a.ticker LIKE 'R%'),
 r AS (SELECT *, (p / lag(p, 62) OVER x) / (b / lag(b, 62) OVER x) * 100 AS ratio FROM j WINDOW x AS (PARTITION BY ticker ORDER BY date)),
 m AS (SELECT *, ratio / lag(ratio, 21) OVER (PARTITION BY ticker ORDER BY date) * 100 AS mom FROM r)
-SELECT date, ticker, ticker AS name, '' AS grp, round(ratio, 4) AS rs_ratio, round(mom, 4) AS rs_momentum, round(p, 4) AS close FROM m WHERE mom IS NOT NULL"""
+SELECT date, ticker, ticker AS name, CASE WHEN ticker IN ('R0', 'R1') THEN 'cyclical' WHEN ticker IN ('R2', 'R3') THEN 'defensive' ELSE '' END AS grp, round(ratio, 4) AS rs_ratio, round(mom, 4) AS rs_momentum, round(p, 4) AS close FROM m WHERE mom IS NOT NULL"""
 
 SQL = {
     "breadth_panel": f"WITH {_PANEL} SELECT date, ticker, close, ret_12m, sector, industry, cap_band, commodity, type, above_20, above_50, pass_trend, vol_label, acc_watch, peer_rs_score, regime_label FROM panel",

@@ -106,6 +106,20 @@ def metric_cells(spark, d):
     )
 
 
+TITLES = ["Becoming a substantial holder", "Change in substantial holding from X", "Ceasing to be a substantial holder - change in substantial holding", "Quarterly report", "CHANGE IN SUBSTANTIAL HOLDING"]
+
+
+def noticed(spark, d):
+    """Pages with an announcement table before their text: two rows a page, some with a date that is none, some of other kinds."""
+    p, k = table(spark, d, "pages"), F.col("page_id")
+    day = lambda n: F.when(n % 9 == 0, "31/02/2001").otherwise(F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (n % 300).cast("int")), "dd/MM/yyyy"))
+    row = lambda n: F.concat(
+        F.lit('<tr class="x">\n <td>T'), n % 97, F.lit("</td>\n <td> "), day(n), F.lit('<br>\n <span class="dates-time"> 9:05 am </span></td><td></td><td>\n<a href="/asx/v2/statistics/displayAnnouncement.do?display=pdf&amp;idsId='),
+        n, F.lit('">\n '), _pick(TITLES, n % 5), F.lit("<br>\n<span>2 pages</span></a></td></tr>\n"),
+    )
+    return p.select(F.concat(F.lit("<table>"), row(k * 2), row(k * 2 + 1), F.lit("</table>"), F.coalesce("html", F.lit(""))).alias("html"))
+
+
 QUERIES = {
     "price_islands": islands_summary,
     "repair_islands": lambda s, d: repair.repair_islands(glitched(s, d), repair.price_islands(glitched(s, d))).select("ticker", "date", F.round("close", 8).alias("close"), F.round("volume", 4).alias("volume")),
@@ -123,7 +137,7 @@ QUERIES = {
     "notice_merge": merged,
     "notice_read": lambda s, d: text.notice_read(merged(s, d), ["holder"], "2000-06-30", 90),
     "notice_groups": lambda s, d: text.notice_groups(merged(s, d)),
-    "notice_parse": lambda s, d: text.notice_parse(table(s, d, "pages")),
+    "notice_parse": lambda s, d: text.notice_parse(noticed(s, d)),
 }
 
 _L8, _L6 = (str(list(x)) for x in (BLOCKS, SPLITS))
@@ -165,7 +179,12 @@ _GUIDES = ", ".join(
 _MERGED = """n0 AS (SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS ann_id, CAST(o_orderdate AS DATE) AS date, 'I' || (o_custkey % 40) AS ticker, ['initial', 'change', 'cease'][o_custkey % 3 + 1] AS action, o_orderpriority AS holder, row_number() OVER (PARTITION BY o_orderkey % 5000 ORDER BY o_orderkey) AS k FROM orders),
 mg AS (SELECT ann_id, date, ticker, action, holder FROM n0 WHERE k = 1)"""
 
+_TITLES = ", ".join(f"'{t}'" for t in TITLES)
+
 SQL = {
+    "notice_parse": f"""WITH n AS (SELECT unnest([page_id * 2, page_id * 2 + 1]) AS n FROM pages), t AS (SELECT *, [{_TITLES}][n % 5 + 1] AS title FROM n)
+SELECT CAST(n AS VARCHAR) AS ann_id, CASE WHEN n % 9 = 0 THEN '31/02/2001' ELSE strftime(DATE '2001-01-01' + CAST(n % 300 AS INTEGER), '%Y-%m-%d') END AS date, '9:05 am' AS time, 'T' || (n % 97) AS ticker, title,
+  'https://www.asx.com.au/asx/v2/statistics/displayAnnouncement.do?display=pdf&idsId=' || n AS pdf_url, ['603', '604', '605', NULL, '604'][n % 5 + 1] AS form, ['initial', 'change', 'cease', NULL, 'change'][n % 5 + 1] AS action FROM t WHERE n % 5 <> 3""",
     "price_islands": f"""WITH RECURSIVE {_ISLANDS} SELECT isl.ticker, a.date AS start, z.date AS "end", CAST(e - s AS BIGINT) AS n, round(exp(-m), 2) AS mult
 FROM isl JOIN gb a ON a.ticker = isl.ticker AND a.i = s JOIN gb z ON z.ticker = isl.ticker AND z.i = e - 1""",
     "repair_islands": f"""WITH RECURSIVE {_ISLANDS} SELECT gb.ticker, gb.date, round(gb.close * coalesce(exp(-m), 1.0), 8) AS close, round(gb.volume / coalesce(exp(-m), 1.0), 4) AS volume

@@ -74,7 +74,7 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags (ticker, group_type, group_key, attr, priority) of instruments, and the theme rot of R*."""
+    """Flags (ticker, group_type, group_key, attr, priority) of instruments, and the theme rot of the R* that they form, most of them with a side."""
     i = table(spark, sf_dir, "supplier").select(_instrument("s_suppkey").alias("i")).distinct()
     kinds = [(3, "index", "BIG", None, 9), (4, "index", "TECH", None, 9), (2, "commodity", "gold", "producer", 9), (6, "commodity", "silver", "explorer", 0)]
     out = None
@@ -83,9 +83,10 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("I"), F.col("i")).alias("ticker"), F.lit(kind).alias("group_type"), F.lit(key).alias("group_key"), F.lit(attr).cast("string").alias("attr"), F.lit(priority).alias("priority")
         )
         out = part if out is None else out.unionByName(part)
-    theme = i.sparkSession.range(5).select(
-        F.concat(F.lit("R"), F.col("id")).alias("ticker"), F.lit("theme").alias("group_type"), F.lit("rot").alias("group_key"), F.lit(None).cast("string").alias("attr"), F.lit(9).alias("priority")
-    )
+    part = F.col("i") % 5
+    flag = lambda key: F.struct(F.concat(F.lit("R"), part).alias("ticker"), F.lit("theme").alias("group_type"), key.alias("group_key"), F.lit(None).cast("string").alias("attr"), F.lit(9).alias("priority"))
+    side = F.when(part < 2, "rot:cyclical").when(part < 4, "rot:defensive")
+    theme = i.select(F.explode(F.array(flag(F.lit("rot")), flag(side))).alias("x")).select("x.*").where("group_key is not null").distinct()
     return out.unionByName(theme)
 
 

@@ -155,3 +155,28 @@ def test_passive_ledger_keeps_its_cash_until_there_is_a_price(spark):
     got = book.days().orderBy("date").collect()
     # interest until the second rebalance; only there, with a price, is it drawn down
     assert [r["value"] for r in got] == [101.0, 102.01, 103.03, 50.0] and [r["withdrawn_cum"] for r in got] == [0.0, 0.0, 0.0, 54.06]
+
+
+def test_rsi_of_a_long_history_equals_the_recursion(spark):
+    from barline.operators import metrics
+
+    rng = np.random.default_rng(12)
+    price = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 20_000)))
+    price[5000:7500] = price[5000] * 1.0001 ** np.arange(2500)  # rises alone for more than two blocks
+    frame = spark.range(20_000).select(F.lit("A").alias("ticker"), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.element_at(F.lit(price.tolist()), (F.col("id") + 1).cast("int")).alias("adj_close"))
+    got = {r["date"]: r["rsi"] for r in metrics.rsi_history(frame, "2010-01-01").collect()}
+    move, up, down = np.diff(price), 0.0, 0.0
+    for i, d in enumerate(move, 1):
+        gain, loss = max(d, 0.0), max(-d, 0.0)
+        up, down = (gain, loss) if i == 1 else (up * 13 / 14 + gain / 14, down * 13 / 14 + loss / 14)
+        if i >= 14:
+            want = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
+            assert abs(got[dt.date(1950, 1, 1) + dt.timedelta(i)] - want) < 1e-9
+
+
+def test_notices_keep_odd_dates_and_tell_ceasing_from_change(spark):
+    row = '<tr><td>ABC</td><td>{d}<br><span class="dates-time">7:30 pm</span></td><td></td><td><a href="/asx/v2/statistics/displayAnnouncement.do?display=pdf&amp;idsId={n}">\n{t}<br></a></td></tr>'
+    pages = [row.format(d="31/02/2001", n=1, t="Ceasing to be a substantial holder - change in substantial holding") + row.format(d="01/03/2001", n=2, t="Change in substantial holding"), row.format(d="01/03/2001", n=3, t="Appendix"), None]
+    got = sorted(one(text.notice_parse(spark.createDataFrame([(p,) for p in pages], "html string")).select("ann_id", "date", "form", "action", "pdf_url")))
+    url = "https://www.asx.com.au/asx/v2/statistics/displayAnnouncement.do?display=pdf&idsId="
+    assert got == [("1", "31/02/2001", "605", "cease", url + "1"), ("2", "2001-03-01", "604", "change", url + "2")]
