@@ -194,7 +194,7 @@ def notice_parse(pages: DataFrame) -> DataFrame:
     get = lambda pattern: F.regexp_extract("r", "(?s)" + pattern, 1)
     href, shown = get(r'href="([^"]*idsId=\d+)"'), get(r"(\d{2}/\d{2}/\d{4})")
     rows = cells.select(
-        get(r"idsId=(\d+)").alias("ann_id"), F.coalesce(F.date_format(F.try_to_date(shown, "dd/MM/yyyy"), "yyyy-MM-dd"), shown).alias("date"), F.trim(get(r'class="dates-time">([^<]*)<')).alias("time"),
+        get(r"idsId=(\d+)").alias("ann_id"), F.coalesce(F.date_format(F.try_to_date(shown, "dd/MM/yyyy"), "yyyy-MM-dd"), shown).alias("date"), get(r"(\d{1,2}:\d{2} [ap]m)").alias("time"),
         get(r"<td[^>]*>\s*([A-Z0-9]{2,6})\s*</td>").alias("ticker"), F.trim(get(r"<a[^>]*>\s*([^<]*?)\s*<")).alias("title"), F.concat(F.lit(NOTICE_SITE), F.replace(href, F.lit("&amp;"), F.lit("&"))).alias("pdf_url"),
     )
     form = chain([(F.lower("title").contains(phrase), form) for form, phrase in NOTICE_PHRASES.items()])

@@ -102,7 +102,7 @@ def test_chunks_carry_whole_words():
 def test_notices_are_read_from_rows_of_html(spark):
     html = '<table><tr><td>ABC</td><td>01/02/2026 <br>9:30 am</td><td><a href="/x?idsId=0123">\n Change in substantial holding <br></a></td></tr><tr><td>DEF</td><td>02/02/2026</td><td><a href="/y?idsId=9">Other</a></td></tr></table>'
     rows = one(text.notice_parse(spark.createDataFrame([(html,), (None,)], "html string")).select("ann_id", "date", "time", "ticker", "form", "action"))
-    assert rows == [("0123", dt.date(2026, 2, 1), "9:30 am", "ABC", "604", "change")]
+    assert rows == [("0123", "2026-02-01", "9:30 am", "ABC", "604", "change")]
 
 
 def test_wide_and_long_breadth_round_trip(spark):
