@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
+from ..sources.stored import cut
 
 CONFIG = "config_id string, top_n int, capital double, hedge_pct double, draw_level double, stop_loss double"
 MONEY = ("value", "positions", "cash", "hedge")
@@ -192,16 +193,16 @@ class Backtest:
     """Ledgers of configurations: their days, quarters and stop events.
 
     picks has config_id, date (of the rebalance), ticker and place; days has date, rate, signal and rebalance. bars gives closes and payouts;
-    hedger is the hedge's ticker. With draw_unpriced False a rebalance at which no pick has a price draws nothing.
+    hedger is the hedge's ticker. Calendar, picks and unit segments are stored once, as all results read them. With draw_unpriced False a rebalance at which no pick has a price draws nothing.
     """
 
     def __init__(self, configs: DataFrame, picks: DataFrame, bars: DataFrame, days: DataFrame, hedger: str, draw_unpriced: bool = True):
         self.configs = configs
-        self.calendar = segment_days(days, bars.where(F.col("ticker") == hedger).select("date", "close"))
+        self.calendar = cut(segment_days(days, bars.where(F.col("ticker") == hedger).select("date", "close")), "calendar")
         opens = self.calendar.where("opens").select("segment", "date")
-        self.picks = picks.join(F.broadcast(opens), "date").select("config_id", "segment", "ticker", "place")  # a row a rebalance
+        self.picks = cut(picks.join(F.broadcast(opens), "date").select("config_id", "segment", "ticker", "place"), "picks")  # a row a rebalance
         self.held = positions(configs, self.picks, price_paths(self.picks, bars, self.calendar))
-        self.units = unit_segments(configs, self.calendar, daily_positions(self.held))
+        self.units = cut(unit_segments(configs, self.calendar, daily_positions(self.held)), "units")
         self.segments = scaled_segments(configs, self.units, None if draw_unpriced else self.held.select("config_id", "segment").distinct())
 
     def days(self) -> DataFrame:

@@ -20,40 +20,48 @@ DEFAULTS = {
 BENCHMARK_SETTINGS = {"AU": {"trend_bonus": 0.5, "lead_bonus": 0.5}}
 
 
+RS_COLUMNS = ("ret_5", "ret_21", "ret_63")
+
+
+def with_peer_score(rows: DataFrame, group: list[str]) -> DataFrame:
+    """rows(ticker, ret_12m, group...) with peer_rs_score, null without a return. A rank in the group gives the number beaten, so no pairs are formed."""
+    peers = Window.partitionBy(*group)
+    n, beaten = F.count("ret_12m").over(peers), F.rank().over(peers.orderBy(F.col("ret_12m").asc_nulls_last())) - 1
+    return rows.withColumn("peer_rs_score", F.when(F.col("ret_12m").isNotNull(), F.when(n > 1, rnd(beaten / (n - 1) * 100, 2)).otherwise(50.0)))
+
+
+def with_peer_medians(rows: DataFrame, group: list[str], columns: tuple[str, ...] = RS_COLUMNS) -> DataFrame:
+    """rows(ticker, columns, group...) with rs_<bars> of each column: its value less the median of the others' in the group.
+
+    Without a value at sorted place k the median of the n - 1 others needs at most four middle values of the whole group. All
+    of it is windows by group, so there is one shuffle and no join, whatever the columns.
+    """
+    peers = Window.partitionBy(*group)
+    for c in columns:
+        rows = rows.withColumn("_k", F.row_number().over(peers.orderBy(F.col(c).asc_nulls_last(), "ticker"))).withColumn("_n", F.count(c).over(peers))
+        low, high = F.floor(F.col("_n") / 2), F.floor((F.col("_n") + 1) / 2)  # of n - 1 values these places are in the middle, before and after the own place
+        value = lambda place: F.max(F.when(F.col("_k") == place, F.col(c))).over(peers)
+        middle = {"_a": value(low), "_b": value(low + 1), "_c": value(high), "_d": value(high + 1)}
+        rows = rows.withColumns(middle)
+        at = lambda place, own, after: F.when(place >= F.col("_k"), F.col(after)).otherwise(F.col(own))
+        median = F.when(F.col("_n") == 1, 0.0).otherwise((at(low, "_a", "_b") + at(high, "_c", "_d")) / 2)
+        rows = rows.withColumn("rs_" + c.split("_")[1], rnd(F.col(c) - median, 4)).drop("_k", "_n", *middle)
+    return rows
+
+
 def peer_rs_score(metrics: DataFrame, peers: DataFrame, key: str = "sector") -> DataFrame:
     """Share of other tickers of the group that a ticker's 12-month return strictly beats, 50 if there are none.
 
-    metrics has ticker and ret_12m, peers ticker and the group key; a null group counts as Unknown. Rank in the group gives
-    the number beaten, so no pairs are formed.
+    metrics has ticker and ret_12m, peers ticker and the group key; a null group counts as Unknown.
     """
     rows = metrics.join(peers.select("ticker", F.coalesce(key, F.lit("Unknown")).alias("peer_group")), "ticker")
-    group = Window.partitionBy("peer_group")
-    n, beaten = F.count("ret_12m").over(group), F.rank().over(group.orderBy("ret_12m")) - 1
-    rows = rows.where("ret_12m is not null").withColumn("peer_rs_score", F.when(n > 1, rnd(beaten / (n - 1) * 100, 2)).otherwise(50.0))
-    return rows.select("ticker", "peer_rs_score")
+    return with_peer_score(rows, ["peer_group"]).where("ret_12m is not null").select("ticker", "peer_rs_score")
 
 
-def peer_rs_median(metrics: DataFrame, peers: DataFrame, key: str = "sector", columns: tuple[str, ...] = ("ret_5", "ret_21", "ret_63")) -> DataFrame:
-    """Own return less the median of the other peers', one column rs_<bars> each.
-
-    Without a value at sorted place i the median of the n - 1 others needs at most the middle values of the whole group, so
-    each group gives up to four order statistics, which are joined back: linear in the group.
-    """
+def peer_rs_median(metrics: DataFrame, peers: DataFrame, key: str = "sector", columns: tuple[str, ...] = RS_COLUMNS) -> DataFrame:
+    """Own return less the median of the other peers', one column rs_<bars> each."""
     rows = metrics.join(peers.select("ticker", F.coalesce(key, F.lit("Unknown")).alias("peer_group")), "ticker")
-    out = rows.select("ticker")
-    for c in columns:
-        name = "rs_" + c.split("_")[1]
-        w = Window.partitionBy("peer_group")
-        some = rows.where(F.col(c).isNotNull()).select("ticker", "peer_group", F.col(c).alias("v"))
-        some = some.withColumn("k", F.row_number().over(w.orderBy("v", "ticker"))).withColumn("n", F.count("*").over(w))
-        low = F.floor(F.col("n") / 2)  # of n - 1 values the places low and high are in the middle, before and after the own place
-        high = F.floor((F.col("n") + 1) / 2)
-        middle = some.where(F.col("k").between(low, high + 1)).groupBy("peer_group").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("mid"))
-        some = some.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).join(middle, "peer_group", "left")
-        at = lambda place: F.try_element_at("mid", (F.col(place) + F.when(F.col(place) >= F.col("k"), 1).otherwise(0)).cast("int"))
-        median = F.when(F.col("n") == 1, 0.0).otherwise((at("low") + at("high")) / 2)
-        out = out.join(some.select("ticker", rnd(F.col("v") - median, 4).alias(name)), "ticker", "left")
-    return out
+    return with_peer_medians(rows, ["peer_group"], columns).select("ticker", *("rs_" + c.split("_")[1] for c in columns))
 
 
 def benchmark_rs(metrics: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -141,12 +149,9 @@ def screener(metrics: DataFrame, universe: DataFrame, overrides: dict | None = N
     rows = _of_universe(metrics, universe)
     if peer_key == "commodity":
         rows = rows.where(F.col("commodity").isNotNull() & F.col("ret_12m").isNotNull())
-    # one key for universe, group and ticker lets peer operators see each universe apart
-    keyed = rows.withColumn("ticker", F.concat_ws("\u0001", "universe", "ticker"))
-    peers = keyed.select("ticker", F.concat_ws("\u0001", "universe", F.coalesce(peer_key, F.lit("Unknown"))).alias("g"))
-    strength = peer_rs_score(keyed, peers, "g").join(peer_rs_median(keyed, peers, "g"), "ticker")
-    strength = strength.select(F.split_part("ticker", F.lit("\u0001"), F.lit(1)).alias("universe"), F.split_part("ticker", F.lit("\u0001"), F.lit(2)).alias("ticker"), "peer_rs_score", "rs_5", "rs_21", "rs_63")
-    rows = rows.join(strength, ["universe", "ticker"]).withColumn("rs_ratio", F.lit(None).cast("double"))
+    group = ["universe", "_peers"]
+    rows = rows.withColumn("_peers", F.coalesce(peer_key, F.lit("Unknown")))
+    rows = with_peer_medians(with_peer_score(rows, group), group).where("ret_12m is not null").withColumn("rs_ratio", F.lit(None).cast("double"))
     p, t = F.col("peer_rs_score"), F.col("pass_trend")
     rows = rows.withColumn("regime_label", chain([((p >= 75) & (t == 1), "LEADER"), ((p >= 50) & (t == 1), "CONTENDER"), ((p < 50) & (t == 0), "WEAK")], "LAGGARD"))
     return _finish(rows, "screener", overrides)

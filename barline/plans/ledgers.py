@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import backtest
+from ..sources.stored import cut
 from ..sources.tables import bars, securities
 from . import income
 from .income import POINT_IN_TIME
@@ -40,9 +41,11 @@ def passive(spark, d):
 
 
 def summary(spark, d):
-    alone = backtest.passive(configs(spark, d).withColumn("ticker", F.lit(BENCHMARK)), bars(spark, d), days(spark, d), HEDGER)
+    calendar, c = cut(days(spark, d), "days"), configs(spark, d)
+    alone = backtest.passive(c.withColumn("ticker", F.lit(BENCHMARK)), bars(spark, d), calendar, HEDGER)
+    book = backtest.Backtest(c, backtest.top_picks(income.point_in_time(spark, d), c), bars(spark, d), calendar, HEDGER)
     market = bars(spark, d).where("ticker = 'MKT'").select("date", "close", "dividend")
-    return backtest.backtest_summary(ledger(spark, d), alone, days(spark, d), market)
+    return backtest.backtest_summary(book, alone, calendar, market)
 
 
 QUERIES = {

@@ -26,6 +26,14 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def cut(rows: DataFrame, tag: str) -> DataFrame:
+    """rows written as Parquet to a shared folder and read from there: what uses them several times plans and computes them once, and a
+    lost executor costs a read."""
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
