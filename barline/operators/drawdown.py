@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chain, rnd
+from ..sources.stored import cut
 from .metrics import acc_watch_of, vol_label
 from .ranking import rs_trend
+from .universe import COMMODITY_BENCHMARKS
 
 WEIGHTS = {"rs_vs_bench": 1.0, "peer_rs_score": 0.5, "dd_vs_bench": 0.5}
 
@@ -34,7 +36,7 @@ def multi_period_study(bars: DataFrame, members: DataFrame, periods: DataFrame,
     p = bars.where(F.col("adj_close").isNotNull()).select("ticker", "date", F.col("adj_close").alias("p"), "volume").join(wanted, "ticker", "left_semi")
     in_period = p.join(F.broadcast(periods), F.col("date") >= F.col("period_start"))
     days = in_period.groupBy("period_label").agg(F.countDistinct("date").alias("trading_days"))
-    stats = _period_stats(in_period).where("n >= 2")
+    stats = cut(_period_stats(in_period).where("n >= 2"), "period-stats")  # a row a period and ticker; benchmark and members both read it
     bench = stats.where(F.col("ticker") == benchmark).select(
         "period_label", rnd((F.col("last") / F.col("first") - 1) * 100, 2).alias("bench_ret"), F.col("dd").alias("bench_dd"),
         F.coalesce((F.col("last") / F.col("b5") - 1) * 100, F.lit(0.0)).alias("m5"), F.coalesce((F.col("last") / F.col("b21") - 1) * 100, F.lit(0.0)).alias("m21"),
@@ -45,13 +47,12 @@ def multi_period_study(bars: DataFrame, members: DataFrame, periods: DataFrame,
     rows = stats.where((F.col("ticker") != benchmark) & (F.col("first") != 0)).join(info, "ticker").join(F.broadcast(bench), "period_label")
     rows = rows.join(F.broadcast(days), "period_label").where("trading_days >= 5")
     rows = rows.withColumn("raw", (F.col("last") / F.col("first") - 1) * 100).withColumn("ret_period", rnd("raw", 2))
-    # own rounded return against the peers' unrounded: merge both in one order and count the unrounded before
+    # own rounded return against the peers' unrounded: each row stands twice in one order, and counts the unrounded before its rounded one
     g = ["period_label", "peer"]
-    mixed = rows.select(*g, "ticker", F.col("raw").alias("v"), F.lit(1).alias("is_raw")).unionByName(rows.select(*g, "ticker", F.col("ret_period").alias("v"), F.lit(0).alias("is_raw")))
-    before = F.sum("is_raw").over(Window.partitionBy(*g).orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    equal = F.sum("is_raw").over(Window.partitionBy(*g, "v"))
-    beaten = mixed.withColumn("below", before - equal).where("is_raw = 0").select(*g, "ticker", "below")
-    rows = rows.join(beaten, [*g, "ticker"]).withColumn("peers", F.count("*").over(Window.partitionBy(*g)) - 1)
+    twice = rows.withColumn("x", F.explode(F.array(F.struct(F.col("raw").alias("v"), F.lit(1).alias("is_raw")), F.struct(F.col("ret_period").alias("v"), F.lit(0).alias("is_raw")))))
+    before = F.sum("x.is_raw").over(Window.partitionBy(*g).orderBy("x.v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("x.is_raw").over(Window.partitionBy(*g, "x.v"))
+    rows = twice.withColumn("below", before - equal).where("x.is_raw = 0").drop("x").withColumn("peers", F.count("*").over(Window.partitionBy(*g)) - 1)
     below = F.col("below") - F.when(F.col("raw") < F.col("ret_period"), 1).otherwise(0)
     rows = rows.withColumn("peer_rs_score", F.when(F.col("peers") > 0, rnd(below / F.col("peers") * 100, 2)).otherwise(50.0))
     own = Window.partitionBy("period_label", "ticker").orderBy(F.desc("date"))
@@ -113,13 +114,9 @@ US_SECTOR_BENCHMARK = {
 }
 
 
-# Benchmark of a commodity.
-COMMODITY_BENCHMARK = {"gold": "GDX", "silver": "SIL", "copper": "COPX", "uranium": "URA", "lithium": "LIT", "platinum": "ETPMPT.AX", "palladium": "ETPMPD.AX", "oil_gas": "XLE"}
-
-
 def commodity_benchmark(commodity: Column) -> Column:
     """Benchmark of a commodity in any case."""
-    return chain([(F.lower(commodity) == k, v) for k, v in COMMODITY_BENCHMARK.items()], F.lit(None).cast("string"))
+    return chain([(F.lower(commodity) == k, v) for k, v in COMMODITY_BENCHMARKS.items()], F.lit(None).cast("string"))
 
 
 def sector_benchmark(sector: Column, region: Column) -> Column:

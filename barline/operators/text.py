@@ -6,10 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import chain
+from ..sources.stored import cut
 
 CHUNK_CHARS, OVERLAP_CHARS = 1500, 200
 NOTICE_KINDS = {"603": "initial", "604": "change", "605": "cease"}
@@ -72,42 +75,89 @@ def chunk_text(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_idx long, chunk string")
 
 
-QUERY_BYTES = 32 << 20  # query vectors that are compared at a time
+TILE_BYTES = 4 << 20  # vectors of a tile
+MARGIN = 1e-6  # relative error that distances by matrix products may have
+
+
+def _tiles(rows: DataFrame, tag: str, by: str) -> tuple[DataFrame, int]:
+    """rows(id, v, ...) as tiles of about TILE_BYTES: tile, ids, vectors (one binary), low and high norm. Rows of similar norms share a tile."""
+    rows = rows.where("v is not null").withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))))
+    size, width = rows.agg(F.sum(F.size("v") * 8), F.max(F.size("v"))).first()
+    n = max(1, -(-int(size or 0) // TILE_BYTES))
+    dealt = rows.repartitionByRange(n, "norm", by) if n > 1 else rows.repartition(1)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, 2 * TILE_BYTES // max(1, 8 * int(width or 1)))  # equal norms may crowd a range, so a partition may be several tiles
+        got = list(batches)  # a tile's rows, or a few tiles'
+        table = pa.Table.from_batches(got) if got else pa.table({})
+        for at in range(0, table.num_rows, most):
+            part = table.slice(at, most)
+            v = np.stack([np.asarray(x, dtype=np.float64) for x in part["v"].to_pylist()])
+            norms = part["norm"].to_numpy()
+            lists = [pa.array([part[c].to_pylist()], pa.list_(part.schema.field(c).type)) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{at}"]), *lists, pa.array([v.tobytes()], pa.binary()), pa.array([float(norms.min())]), pa.array([float(norms.max())])], names=["tile", *names, "vectors", "low", "high"])
+
+    names = [c for c in rows.columns if c not in ("v", "norm")]
+    kinds = ", ".join(f"`{c}` array<{rows.schema[c].dataType.simpleString()}>" for c in names)
+    return cut(dealt.select(*names, "v", "norm").mapInArrow(pack, f"tile string, {kinds}, vectors binary, low double, high double"), tag), n
 
 
 def chunk_topk(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The n nearest of corpus(vec_id, v) to each of queries(query_id, q) by squared distance, ties by id; a row is not its own neighbour.
+    """The n nearest of corpus(vec_id, v, source) to each of queries(query_id, q) by squared distance, ties by id; a row is not its own
+    neighbour: query_id, vec_id, source, distance, place. Rows without a vector are left out.
 
-    Queries are taken in blocks of QUERY_BYTES, broadcast one after another, each against all of the corpus. A task keeps the n best
-    of its rows for every query of the block, so at most n rows a query and task are shuffled. Rows without a vector are left out.
+    Exact, as a join of blocks: vectors of similar norms form tiles, each pair of a query tile and a corpus tile meets in one task, which
+    takes one matrix product and keeps the n best of each query. Two norms differ by no more than the distance of their vectors: a first
+    round over the corpus tiles whose norms are a query tile's own gives bounds, and tiles further off than the widest of these are
+    never joined. Products only choose candidates; distances that decide are summed term by term.
     """
-    spark, queries = corpus.sparkSession, queries.where("q is not null")
-    size, count = queries.agg(F.sum(F.size("q") * 8), F.count("*")).first()
-    n_blocks = max(1, -(-int(size or 0) // QUERY_BYTES))
-    part, out = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)), None
-    for block in range(n_blocks):
-        rows = queries.where(part == block).collect() if count else []
-        own = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64)))
-
-        def nearest(batches: Iterable[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
-            ids, q = own.value
-            best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                vec, v = batch["vec_id"].to_numpy(), np.stack(batch["v"].to_list()).astype(np.float64)
-                for k, (key, one) in enumerate(zip(ids, q, strict=True)):
-                    d = np.square(v - one).cumsum(axis=1)[:, -1]  # summed in order, as the rows of two engines must agree
-                    near, far = np.concatenate([best[k][0], vec[vec != key]]), np.concatenate([best[k][1], d[vec != key]])
-                    kept = np.lexsort((near, far))[:n]
-                    best[k] = near[kept], far[kept]
-            rows = [(key, int(i), float(x)) for key, (near, far) in zip(ids, best, strict=True) for i, x in zip(near, far, strict=True)]
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "distance"])
-
-        one = corpus.where("v is not null").select("vec_id", "v").mapInPandas(nearest, "query_id long, vec_id long, distance double")
-        out = one if out is None else out.unionByName(one)
+    corpus_tiles, n_corpus = _tiles(corpus.select("vec_id", "source", "v"), "corpus-tiles", "vec_id")
+    query_tiles, _ = _tiles(queries.select("query_id", F.col("q").alias("v")), "query-tiles", "query_id")
+
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qid, qv, vid, source, cv, tile in zip(*(batch.column(c).to_pylist() for c in ("query_id", "q_vectors", "vec_id", "source", "vectors", "q_tile")), strict=True):
+                q, c = np.frombuffer(qv).reshape(len(qid), -1), np.frombuffer(cv).reshape(len(vid), -1)
+                ids, own = np.array(vid), np.array(qid)
+                square, squares = (c * c).sum(axis=1), (q * q).sum(axis=1)
+                rows = []
+                step = max(1, (32 << 20) // (8 * len(ids)))  # rows of the product at a time
+                for at in range(0, len(own), step):
+                    block = squares[at : at + step, None] + square - 2 * (q[at : at + step] @ c.T)
+                    block[own[at : at + step, None] == ids] = np.inf
+                    some = min(n, len(ids))
+                    worst = np.partition(block, some - 1, axis=1)[:, some - 1]
+                    for k in range(len(block)):
+                        # all that may be among the n best whatever the product's error
+                        near = np.flatnonzero(block[k] <= worst[k] + MARGIN * (squares[at + k] + square.max()) + 1e-12) if np.isfinite(worst[k]) else np.flatnonzero(np.isfinite(block[k]))
+                        d = np.square(c[near] - q[at + k]).cumsum(axis=1)[:, -1]  # summed in order, as the rows of two engines must agree
+                        best = np.lexsort((ids[near], d))[:n]
+                        rows += [(tile, int(own[at + k]), int(ids[i]), source[i], float(x)) for i, x in zip(near[best].tolist(), d[best], strict=True)]
+                columns = zip(*rows, strict=True) if rows else [()] * 5
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], names=["q_tile", "query_id", "vec_id", "source", "distance"])
+
+    found = "q_tile string, query_id long, vec_id long, source string, distance double"
+    bounds = query_tiles.select(F.col("tile").alias("q_tile"), F.col("low").alias("q_low"), F.col("high").alias("q_high"))
+    ranges = corpus_tiles.select("tile", "low", "high")
+    gap = F.greatest(F.lit(0.0), F.col("low") - F.col("q_high"), F.col("q_low") - F.col("high"))
+    pairs = bounds.crossJoin(ranges).withColumn("gap", gap)  # names and norms of tiles only
+    meet = lambda chosen: (
+        chosen.select("q_tile", "tile").join(query_tiles.select(F.col("tile").alias("q_tile"), "query_id", F.col("vectors").alias("q_vectors")), "q_tile")
+        .join(corpus_tiles.select("tile", "vec_id", "source", "vectors"), "tile").repartition(max(1, n_corpus), "q_tile", "tile").mapInArrow(nearest, found)
+    )
+    closest = F.row_number().over(Window.partitionBy("q_tile").orderBy("gap", F.abs(F.col("low") + F.col("high") - F.col("q_low") - F.col("q_high")), "tile"))
+    ranked = cut(pairs.withColumn("k", closest), "tile-pairs")
+    first = cut(meet(ranked.where("k <= 2")), "nearest")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return out.withColumn("place", place).where(F.col("place") <= n)
+    held = first.withColumn("place", place).where(F.col("place") <= n).groupBy("q_tile", "query_id").agg(F.max("distance").alias("worst"), F.count("*").alias("have"))
+    # a tile with a query that has fewer than n neighbours yet has no bound
+    widest = held.groupBy("q_tile").agg(F.when(F.min("have") >= n, F.sqrt(F.max("worst"))).alias("reach"), F.count("*").alias("known"))
+    sizes = query_tiles.select(F.col("tile").alias("q_tile"), F.size("query_id").alias("size"))
+    reach = sizes.join(widest, "q_tile", "left").select("q_tile", F.when(F.col("known") == F.col("size"), F.col("reach")).alias("reach"))
+    rest = ranked.where("k > 2").join(reach, "q_tile").where(F.col("reach").isNull() | (F.col("gap") <= F.col("reach") * (1 + MARGIN)))
+    every = first.unionByName(meet(rest))
+    return every.withColumn("place", place).where(F.col("place") <= n).drop("q_tile")
 
 
 # Company-form words that a name's stem leaves out.

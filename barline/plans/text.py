@@ -62,7 +62,7 @@ def paragraphs(spark, d):
 def vectors(spark, d):
     e = table(spark, d, "embeddings")
     v = [c for c, t in e.dtypes if t.startswith("array")][0]
-    return e.select("vec_id", F.col(v).alias("v"))
+    return e.select("vec_id", F.concat(F.lit("s"), "label").alias("source"), F.col(v).alias("v"))
 
 
 def notices(spark, d):
@@ -131,7 +131,7 @@ QUERIES = {
         "ticker", text.explorer_profile(F.when(F.col("sector") == "S1", "Basic Materials").otherwise(F.col("sector")), F.when(F.col("industry") == "N2", "Gold Explorers").otherwise(F.col("industry")), F.col("market_cap"), F.concat("ticker", F.when(F.col("region") == "AU", ".AX").otherwise(""))).alias("profile")
     ),
     "chunk_text": lambda s, d: text.chunk_text(paragraphs(s, d)),
-    "chunk_topk": lambda s, d: text.chunk_topk(vectors(s, d), vectors(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 5).select("query_id", "vec_id", "place"),
+    "chunk_topk": lambda s, d: text.chunk_topk(vectors(s, d), vectors(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 5).select("query_id", "vec_id", "source", "place"),
     "summary_scan": lambda s, d: text.summary_scan(*descriptions(s, d), TOPICS),
     "metric_verdict": lambda s, d: text.metric_verdict(metric_cells(s, d)),
     "notice_merge": merged,
@@ -197,8 +197,8 @@ fx AS (SELECT du.ticker, sb.date, 1 / du.split AS f FROM du JOIN sb ON sb.ticker
   UNION ALL SELECT du.ticker, st.date, mult FROM du JOIN st ON st.ticker = du.ticker AND st.split_date = du.split_date WHERE du.cut IS NULL),
 pf AS (SELECT ticker, date, product(f) AS f FROM fx GROUP BY ALL)
 SELECT ticker, date, round(close * coalesce(f, 1.0), 8) AS close, round(volume / coalesce(f, 1.0), 4) AS volume FROM sb LEFT JOIN pf USING (ticker, date)""",
-    "chunk_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) AS d
-  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS place FROM p) SELECT query_id, vec_id, place FROM r WHERE place <= 5""",
+    "chunk_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, 's' || e.label AS source, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) AS d
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS place FROM p) SELECT query_id, vec_id, source, place FROM r WHERE place <= 5""",
     "metric_verdict": f"""WITH g AS (SELECT * FROM (VALUES {_GUIDES}) x(p, metric, good, bad, way)),
 c AS (SELECT c_custkey, {[*text.GUIDES, 'beta']}[c_custkey % {len(text.GUIDES) + 1} + 1] AS metric, ['generic', 'small_cap_explorers', 'aus_small_cap_explorers', 'other'][c_custkey % 4 + 1] AS profile, CAST(floor(c_acctbal / 60) AS BIGINT) AS w FROM customer),
 v AS (SELECT *, CASE WHEN c_custkey % 11 = 0 THEN 'N/A' WHEN c_custkey % 3 = 0 THEN (w % 9) || '.5%' ELSE '$' || (w - 30) END AS text FROM c), n AS (SELECT *, TRY_CAST(replace(replace(text, '$', ''), '%', '') AS DOUBLE) AS value FROM v)
