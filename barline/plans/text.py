@@ -86,14 +86,17 @@ def caps(spark, d):
     return c.select("c_custkey", F.when(F.col("c_custkey") % 11 == 0, "N/A").otherwise(F.concat(F.lit("$"), F.col("c_custkey") % 900, F.lit(".5"), tail)).alias("text"))
 
 
-TOPICS = {"the": ["the", "thea"], "licence": ["licensed", "license"], "data": ["data", "model"]}
+PLANTED = ["", " Mines copper and Nickel; copper, cobalt.", " A refiner of platinum group metals (PGMs).", "\nOil and gas, petroleum; CRUDE OIL only.", " Goldfields and un-gold gold.", " Iron ore\nand iron ores.", " Uranium/lithium (spodumene)."]
 
 
 def descriptions(spark, d):
-    """Texts with a name that some hold, their flags, and rejected ones."""
-    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("ticker"), F.coalesce(F.regexp_extract("text", "([A-Za-z]{4,}) ", 1), F.lit("")).alias("name"), "text", "doc_id")
-    flags = t.where("doc_id % 3 <> 0").select("ticker", F.lit("commodity").alias("group_type"), F.when(F.col("doc_id") % 3 == 1, "the").otherwise("gold").alias("group_key"))
-    return t.drop("doc_id"), flags, t.where("doc_id % 5 = 0").select("ticker", F.lit("licence").alias("group_key"))
+    """Texts with a name that some hold and with planted phrases, flags of some commodities, and rejected ones."""
+    k, named = F.col("doc_id"), F.coalesce(F.regexp_extract("text", "([A-Za-z]{4,}) ", 1), F.lit(""))
+    t = table(spark, d, "documents").select(k.cast("string").alias("ticker"), F.when(k % 10 == 4, "Iron Ore Ltd").otherwise(named).alias("name"), F.when(k % 4 == 0, "large").otherwise("small").alias("cap_band"), F.concat("text", _pick(PLANTED, k % 7)).alias("text"), k)
+    flag = lambda key, attr, priority: F.struct(F.lit(key).alias("group_key"), F.lit(attr).cast("string").alias("attr"), F.lit(priority).alias("priority"))
+    kinds = F.array_compact(F.array(F.when(k % 3 == 1, flag("gold", None, 9)), F.when(k % 3 == 2, flag("silver", "explorer", 9)), F.when(k % 4 == 0, flag("copper", "royalty", 0)), F.when(k % 6 == 0, flag("nickel", None, 9))))
+    flags = t.select("ticker", F.lit("commodity").alias("group_type"), F.inline(kinds))
+    return t.drop("doc_id"), flags, t.where("doc_id % 5 = 0").select("ticker", F.lit("oil_gas").alias("group_key"))
 
 
 def metric_cells(spark, d):
@@ -132,7 +135,7 @@ QUERIES = {
     ),
     "chunk_text": lambda s, d: text.chunk_text(paragraphs(s, d)),
     "chunk_topk": lambda s, d: text.chunk_topk(vectors(s, d), vectors(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 5).select("query_id", "vec_id", "source", "place"),
-    "summary_scan": lambda s, d: text.summary_scan(*descriptions(s, d), TOPICS),
+    "summary_scan": lambda s, d: text.summary_scan(*descriptions(s, d), text.keyword_table(s)),
     "metric_verdict": lambda s, d: text.metric_verdict(metric_cells(s, d)),
     "notice_merge": merged,
     "notice_read": lambda s, d: text.notice_read(merged(s, d), ["holder"], "2000-06-30", 90),
@@ -171,7 +174,7 @@ us AS MATERIALIZED (SELECT jd.ticker, split_date, split, cut, mv.date AS jump_da
   UNION ALL SELECT ticker, split_date, split, NULL, min(date) FROM st WHERE k <= 2 GROUP BY ticker, split_date, split)"""
 _ONCE = "du AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, jump_date ORDER BY split_date) AS r FROM us) WHERE r = 1)"
 _FORMS = text.NAME_FORMS.replace("(?i)", "")
-_WORDS = ", ".join(f"('{c}', {k}, '{w}')" for c, words in TOPICS.items() for k, w in enumerate(words))
+_WORDS = ", ".join(f"('{c}', {k}, '{w}')" for c, words in text.KEYWORDS.items() for k, w in enumerate(words))
 _GUIDES = ", ".join(
     f"('{p}', '{m}', {'NULL' if g is None else g}, {'NULL' if b is None else b}, {'NULL' if w is None else chr(39) + w + chr(39)})"
     for p in ("generic", *text.PROFILE_GUIDES) for m, guide in text.GUIDES.items() for g, b, w in [text.PROFILE_GUIDES.get(p, {}).get(m, guide)]
@@ -211,15 +214,18 @@ FROM n LEFT JOIN g ON g.metric = n.metric AND g.p = CASE WHEN profile = 'other'
     "notice_merge": f"WITH {_MERGED} SELECT ann_id, date, ticker, action, '{{\"holder\":\"' || holder || '\"}}' AS payload FROM mg",
     "notice_read": f"WITH {_MERGED} SELECT * FROM mg WHERE date > DATE '2000-06-30' - 90 AND date <= DATE '2000-06-30'",
     "notice_groups": f"WITH {_MERGED} SELECT action, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS tickers FROM mg GROUP BY action",
-    "summary_scan": f"""WITH t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS ticker, text, coalesce(regexp_extract(text, '([A-Za-z]{{4,}}) ', 1), '') AS name FROM documents WHERE text <> '' AND doc_id % 3 <> 0),
+    "summary_scan": f"""WITH t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS ticker, text || replace({[p.replace(chr(10), '~') for p in PLANTED]}[doc_id % 7 + 1], '~', chr(10)) AS text, CASE WHEN doc_id % 10 = 4 THEN 'Iron Ore Ltd' ELSE coalesce(regexp_extract(text, '([A-Za-z]{{4,}}) ', 1), '') END AS name,
+  CASE WHEN doc_id % 4 = 0 THEN 'large' ELSE 'small' END AS cap_band FROM documents WHERE text || 'x' <> 'x' AND doc_id % 3 <> 0),
 n AS (SELECT *, trim(regexp_replace(trim(regexp_replace(name, '{_FORMS}', ' ', 'gi')), '\\s+', ' ', 'g')) AS stem FROM t),
-c AS (SELECT doc_id, ticker, CASE WHEN name = '' THEN text ELSE regexp_replace(text, regexp_escape(name), ' ', 'gi') END AS x, stem FROM n),
-d AS MATERIALIZED (SELECT doc_id, ticker, CASE WHEN length(stem) < 4 THEN x ELSE regexp_replace(x, regexp_escape(stem) || '(?:''s)?', ' ', 'gi') END AS clean FROM c),
+c AS (SELECT *, CASE WHEN name = '' THEN text ELSE regexp_replace(text, regexp_escape(name), ' ', 'gi') END AS x FROM n),
+d AS MATERIALIZED (SELECT *, CASE WHEN length(stem) < 4 THEN x ELSE regexp_replace(x, regexp_escape(stem) || '(?:''s)?', ' ', 'gi') END AS clean FROM c),
+d2 AS MATERIALIZED (SELECT doc_id, ticker, name, cap_band, clean, translate(clean, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM d),
 w AS (SELECT * FROM (VALUES {_WORDS}) x(commodity, k, word)),
-h AS (SELECT ticker, doc_id, clean, commodity, k, word, len(list_filter(regexp_split_to_array(clean, '[^A-Za-z]+'), lambda y: lower(y) = word)) AS hits FROM d, w),
-s AS (SELECT *, length(regexp_extract(clean, '(?is)^(.*?(?:^|[^a-z]))' || word || '(?:[^a-z]|$)', 1)) AS a FROM h WHERE hits > 0),
-f AS (SELECT ticker, doc_id, commodity, sum(hits) AS hits, first(clean ORDER BY k) AS clean, first(a ORDER BY k) AS a, first(length(word) ORDER BY k) AS m FROM s GROUP BY ALL)
-SELECT ticker, commodity, CAST(hits AS BIGINT) AS hits, CAST(1 AS BIGINT) AS n_existing,
+g AS (SELECT d2.*, commodity, k, word, length(word) AS m, string_split(low, word) AS parts FROM d2, w WHERE contains(low, word)),
+h AS (SELECT *, list_filter(range(1, len(parts)), lambda j: ((j = 1 AND parts[j] = '') OR regexp_matches(right(parts[j], 1), '[^a-z]')) AND ((j + 1 = len(parts) AND parts[j + 1] = '') OR regexp_matches(left(parts[j + 1], 1), '[^a-z]'))) AS hits FROM g),
+f AS (SELECT ticker, doc_id, name, cap_band, commodity, sum(len(hits)) AS hits, first(clean ORDER BY k) AS clean, first(CAST(list_sum(list_transform(parts[1:hits[1]], lambda y: length(y))) AS BIGINT) + (hits[1] - 1) * m ORDER BY k) AS a, first(m ORDER BY k) AS m FROM h WHERE len(hits) > 0 GROUP BY ALL)
+SELECT ticker, name, cap_band, CASE WHEN doc_id % 4 = 0 THEN 'copper' WHEN doc_id % 3 = 1 THEN 'gold' ELSE 'silver' END AS primary, CASE WHEN doc_id % 4 = 0 THEN 'royalty' WHEN doc_id % 3 = 1 THEN 'producer' ELSE 'explorer' END AS primary_type,
+  (CASE WHEN doc_id % 4 = 0 THEN 'copper, ' ELSE '' END) || (CASE WHEN doc_id % 3 = 1 THEN 'gold' ELSE 'silver' END) AS existing, commodity, CAST(hits AS BIGINT) AS hits,
   (CASE WHEN a > 70 THEN '…' ELSE '' END) || replace(substr(clean, greatest(0, a - 70) + 1, least(length(clean), a + m + 70) - greatest(0, a - 70)), chr(10), ' ') || (CASE WHEN a + m + 70 < length(clean) THEN '…' ELSE '' END) AS snippet
-FROM f WHERE NOT (commodity = 'the' AND doc_id % 3 = 1) AND NOT (commodity = 'licence' AND doc_id % 5 = 0)""",
+FROM f WHERE NOT (commodity = 'gold' AND doc_id % 3 = 1) AND NOT (commodity = 'silver' AND doc_id % 3 = 2) AND NOT (commodity = 'copper' AND doc_id % 4 = 0) AND NOT (commodity = 'oil_gas' AND doc_id % 5 = 0)""",
 }
