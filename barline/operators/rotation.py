@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rnd
@@ -24,38 +23,34 @@ def rrg(bars: DataFrame, members: DataFrame, benchmark: str, end: str, lookback:
     return rows.where("momentum is not null").select("date", "ticker", "name", "grp", rnd("ratio", 4).alias("rs_ratio"), rnd("momentum", 4).alias("rs_momentum"), rnd("adj_close", 4).alias("close"))
 
 
+def _side(before: Column, now: Column) -> Column:
+    """1 if now is below before, -1 if above, 0 if equal or if either is null or NaN."""
+    known = ~(F.isnan(before) | F.isnan(now))
+    return F.when(known & (now < before), 1).when(known & (now > before), -1).otherwise(0)
+
+
 def td_setup(series: DataFrame) -> DataFrame:
     """Run length of close below (positive) or above (negative) the close four rows before; equal resets. series: ticker, date, c."""
     w = Window.partitionBy("ticker").orderBy("date")
-    rows = series.withColumn("s", F.coalesce(F.signum(F.lag("c", 4).over(w) - F.col("c")), F.lit(0.0)).cast("int"))
+    rows = series.withColumn("s", _side(F.lag("c", 4).over(w), F.col("c")))
     rows = rows.withColumn("run", F.sum(F.when(F.col("s") != F.coalesce(F.lag("s").over(w), F.lit(9)), 1).otherwise(0)).over(w))
     k = F.row_number().over(Window.partitionBy("ticker", "run").orderBy("date"))
     return rows.withColumn("setup", F.when(F.col("s") == 0, 0).otherwise(F.col("s") * k)).drop("s", "run")
 
 
-def countdown_kernel(rows: pd.DataFrame) -> pd.DataFrame:
-    """Countdown of one series in date order, armed by a setup of 9 and cancelled by the opposite one."""
-    rows = rows.sort_values("date")
-    c, s = rows["c"].to_numpy(), rows["setup"].to_numpy()
-    armed, count, out = {1: False, -1: False}, {1: 0, -1: 0}, [0] * len(c)
-    for i in range(2, len(c)):
-        if abs(s[i]) == 9:
-            side = 1 if s[i] > 0 else -1
-            armed[side], count[side] = True, 0
-            armed[-side], count[-side] = False, 0
-        for side in (1, -1):
-            if armed[side] and (c[i - 2] - c[i]) * side > 0:
-                count[side] += 1
-                out[i] = side * count[side]
-                if count[side] == 13:
-                    armed[side], count[side] = False, 0
-    return rows.assign(countdown=out)[["ticker", "date", "c", "setup", "countdown"]]
-
-
 def td_countdown(series: DataFrame) -> DataFrame:
-    """Setup and 13-count at every row. The count is a state machine, so each ticker's series is one group."""
-    kind = series.schema["ticker"].dataType.simpleString()
-    return td_setup(series).groupBy("ticker").applyInPandas(countdown_kernel, f"ticker {kind}, date date, c double, setup int, countdown int")
+    """Setup and 13-count at every row of series(ticker, date, c), one row a ticker and date.
+
+    Each setup of 9 arms its side from zero and disarms the other, so the last such setup says which side counts: its rows up to the
+    thirteenth whose close lies beyond that of two rows before. A null or NaN close is neither below nor above another.
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = td_setup(series).withColumn("move", _side(F.lag("c", 2).over(w), F.col("c"))).withColumn("armed", F.when(F.abs("setup") == 9, F.signum("setup").cast("int")))
+    rows = rows.withColumn("epoch", F.count("armed").over(w)).withColumn("armed", F.last("armed", True).over(w))
+    since = Window.partitionBy("ticker", "epoch").orderBy("date")
+    hit = F.col("move") == F.col("armed")  # null before the first setup of 9
+    k = F.sum(F.when(hit, 1).otherwise(0)).over(since)
+    return rows.withColumn("k", k).select("ticker", "date", "c", "setup", F.when(hit & (F.col("k") <= 13), F.col("armed") * F.col("k")).otherwise(0).cast("int").alias("countdown"))
 
 
 def weekly_close(series: DataFrame) -> DataFrame:

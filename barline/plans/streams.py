@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.stored import shared_folder
+from ..sources.stored import setting, shared_folder
 from ..sources.tables import bars, table
 from ..streaming import twins
 from .studies import SQL as STUDIES
@@ -15,18 +15,23 @@ from .sql import ALL_BARS
 SLICES = 4  # batches that a source comes in
 
 
-def _source(rows: DataFrame, time: str, key: str, arrival: Column | None = None) -> DataFrame:
+def _source(rows: DataFrame, time: str, key: str, arrival: Column | None = None, end: DataFrame | None = None) -> DataFrame:
     """A stream of the rows in SLICES batches of equal time spans, landed one after another as two files each.
 
-    A key's rows of a slice are in one file. arrival, a slice's number, overrides the slice of the rows where it isn't null.
+    A key's rows of a slice are in one file. arrival, a slice's number, overrides the slice of the rows where it isn't null; it may use due, the
+    slice of a row's time, and left, the days left in it. end, if given, is one more batch.
     """
     spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
     day = F.unix_date(F.to_date(time))
     low, high = rows.agg(F.min(day), F.max(day)).first()
-    due = F.least(F.floor((day - low) * SLICES / (high - low + 1)), F.lit(SLICES - 1)).cast("int")
-    sliced = rows.withColumn("slice", F.coalesce(arrival, due) if arrival is not None else due)
+    span = high - low + 1
+    sliced = rows.withColumn("due", F.least(F.floor((day - low) * SLICES / span), F.lit(SLICES - 1)).cast("int"))
+    sliced = sliced.withColumn("left", F.ceil((F.col("due") + 1) * span / SLICES) + low - day)
+    sliced = sliced.withColumn("slice", F.coalesce(arrival, "due") if arrival is not None else F.col("due"))
     for k in range(SLICES):
-        sliced.where(F.col("slice") == k).drop("slice").repartition(2, key).write.mode("append").parquet(path)
+        sliced.where(F.col("slice") == k).drop("slice", "due", "left").repartition(2, key).write.mode("append").parquet(path)
+    if end is not None:
+        end.select(rows.columns).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -34,8 +39,9 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     """What the stream gives until its input ends, with the batch that gave it. A batch that is tried again replaces its own rows."""
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={i}")
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{path}/rows")
 
 
@@ -50,8 +56,11 @@ def stream_bars(spark, d):
 
 
 def stream_countdown(spark, d):
+    """A third of the rows of a slice's last week come with the next slice. A row of a later date closes the stream, which gives no row itself."""
     series = bars(spark, d).select("ticker", "date", F.col("adj_close").alias("c"))
-    return drain(twins.stream_countdown(_source(series, "date", "ticker")), "append").drop("batch")
+    late = F.when((F.col("left") <= 7) & (F.col("due") < SLICES - 1) & (F.pmod(F.xxhash64("ticker", "date"), F.lit(3)) == 0), F.col("due") + 1)
+    end = series.agg(F.date_add(F.max("date"), 40).alias("date")).select(F.lit("").alias("ticker"), "date", F.lit(None).cast("double").alias("c"))
+    return drain(twins.stream_countdown(_source(series, "date", "ticker", late, end)), "append").drop("batch")
 
 
 def stream_hedge(spark, d):

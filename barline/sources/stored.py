@@ -35,7 +35,7 @@ def cut(rows: DataFrame, tag: str) -> DataFrame:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -155,7 +155,7 @@ class BarStore:
         years = [r[0] for r in placed.select("year").distinct().collect()]  # a few
         stored = self.spark.table(self.name)
         merged = upsert(stored.where(F.col("year").isin(years)), placed, ["ticker", "date"]).select(*stored.columns)
-        with _setting(self.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+        with setting(self.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
             merged.write.insertInto(self.name, overwrite=True)
         return self
 

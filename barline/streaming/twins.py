@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 LATE = "10 days"
 
@@ -24,7 +25,7 @@ def stream_bars(events: DataFrame) -> DataFrame:
 def countdown_step(state: dict, c: float) -> tuple[int, int]:
     """Setup and countdown after one more close; state keeps the last four closes, the run and both counters."""
     last = state["last"]
-    side = 0 if len(last) < 4 or c == last[0] else (1 if c < last[0] else -1)
+    side = 0 if len(last) < 4 else int(c < last[0]) - int(c > last[0])  # a NaN is neither
     state["run"] = 0 if side == 0 else (state["run"] + side if state["run"] * side > 0 else side)
     if abs(state["run"]) == 9:
         mine = "buy" if state["run"] > 0 else "sell"
@@ -41,22 +42,61 @@ def countdown_step(state: dict, c: float) -> tuple[int, int]:
     return state["run"], out
 
 
-def stream_countdown(series: DataFrame) -> DataFrame:
-    """Setup and countdown of a stream (ticker, date, c) that brings each ticker's rows in date order across batches."""
-
-    def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class _Countdown(StatefulProcessor):
+    """Holds a ticker's rows until the watermark has passed them, then counts them in date order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._counted = handle.getValueState("counted", "last array<double>, run int, buy int, sell int, upto long")
+        self._held = handle.getMapState("held", "ms long", "date date, c double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        upto = self._counted.get()[4] if self._counted.exists() else None
+        for frame in rows:
+            # from the frame's own dates, as timestamps come in the session's time zone
+            times = pd.to_datetime(frame["date"]).astype("datetime64[ms]").astype("int64")
+            for ms, date, c in zip(times.tolist(), frame["date"], frame["c"].tolist(), strict=True):
+                if upto is None or ms > upto:
+                    self._held.updateValue((ms,), (date, c))
+        return self._count(key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._count(key, timerValues)
+
+    def _count(self, key: tuple, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        """Rows up to the watermark, and a timer for the first row beyond it."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = sorted((ms, *value) for (ms,), value in self._held.iterator())
+        due, rest = [r for r in held if r[0] <= watermark], [r for r in held if r[0] > watermark]
+        for ms in list(self._handle.listTimers()):
+            self._handle.deleteTimer(ms)
+        if rest:
+            self._handle.registerTimer(rest[0][0])
+        if not due:
+            return iter(())
         now = {"last": [], "run": 0, "buy": -1, "sell": -1}
-        if state.exists:
-            last, now["run"], now["buy"], now["sell"] = state.get
+        if self._counted.exists():
+            last, now["run"], now["buy"], now["sell"], _ = self._counted.get()
             now["last"] = list(last)
-        rows = pd.concat(list(frames)).sort_values("date")
-        counted = [countdown_step(now, c) for c in rows["c"]]
-        state.update((now["last"], now["run"], now["buy"], now["sell"]))
-        yield pd.DataFrame({"ticker": key[0], "date": rows["date"], "c": rows["c"], "setup": [a for a, _ in counted], "countdown": [b for _, b in counted]})
+        counted = [countdown_step(now, c) for _, _, c in due]
+        self._counted.update((now["last"], now["run"], now["buy"], now["sell"], due[-1][0]))
+        for ms, *_ in due:
+            self._held.removeKey((ms,))
+        rows = {"ticker": key[0], "date": [d for _, d, _ in due], "c": [c for *_, c in due], "setup": [a for a, _ in counted], "countdown": [b for _, b in counted]}
+        return iter([pd.DataFrame(rows)])
 
-    return series.groupBy("ticker").applyInPandasWithState(
-        run, "ticker string, date date, c double, setup int, countdown int", "last array<double>, run int, buy int, sell int", "append", GroupStateTimeout.NoTimeout
-    )
+    def close(self) -> None:
+        pass
+
+
+def stream_countdown(series: DataFrame, late: str = LATE) -> DataFrame:
+    """Setup and countdown of a stream (ticker, date, c) whose rows may come in any order within the watermark.
+
+    A row is given once the watermark has passed its date; rows behind it drop, and a date that comes again while it is held replaces the earlier
+    row. State holds a ticker's rows of the last days and its counters. It wants the RocksDB state store.
+    """
+    timed = series.withColumn("ts", F.to_timestamp("date")).withWatermark("ts", late)
+    return timed.groupBy("ticker").transformWithStateInPandas(_Countdown(), "ticker string, date date, c double, setup int, countdown int", "Append", "EventTime")
 
 
 def stream_hedge(ratios: DataFrame, on: float = 1.0, off: float = 0.95) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from barline.operators import breadth, income, macro, ranking, repair, rotation, text, universe
+from barline.plans import streams
 from barline.streaming import twins
 
 
@@ -42,21 +43,77 @@ def test_peer_median_leaves_oneself_out(spark):
         assert got[t] == want or abs(got[t] - want) < 1e-3
 
 
-def test_countdown_kernel_and_stream_step_agree_with_a_plain_loop():
+def _plain_countdown(c: list[float]) -> list[tuple[int, int]]:
+    """Setup and countdown with both sides' switches written out."""
+    setup, run, armed, count, out = [], 0, {1: False, -1: False}, {1: 0, -1: 0}, []
+    for i in range(len(c)):
+        s = 0 if i < 4 else (1 if c[i] < c[i - 4] else -1 if c[i] > c[i - 4] else 0)
+        run = 0 if s == 0 else (run + s if run * s > 0 else s)
+        setup.append(run)
+        if abs(run) == 9:
+            side = run // 9
+            armed[side], count[side], armed[-side] = True, 0, False
+        found = 0
+        for side in (1, -1):
+            if armed[side] and i >= 2 and ((c[i] < c[i - 2]) if side == 1 else (c[i] > c[i - 2])):
+                count[side] += 1
+                found, armed[side] = side * count[side], count[side] < 13
+        out.append(found)
+    return list(zip(setup, out, strict=True))
+
+
+def _series(nan_at: int | None = None) -> dict[str, list[float]]:
     rng = np.random.default_rng(3)
-    for n in (3, 60, 400):
-        c = np.round(np.cumsum(rng.normal(0.1, 1, n)) + 50, 1)
-        setup, run = [], 0
-        for i in range(n):
-            s = 0 if i < 4 or c[i] == c[i - 4] else (1 if c[i] < c[i - 4] else -1)
-            run = 0 if s == 0 else (run + s if run * s > 0 else s)
-            setup.append(run)
-        frame = pd.DataFrame({"ticker": "A", "date": pd.date_range("2000-01-01", periods=n), "c": c, "setup": setup})
-        batch = rotation.countdown_kernel(frame)["countdown"].tolist()
+    made = {f"S{n}": np.round(np.cumsum(rng.normal(0.1, 1, n)) + 50, 1).tolist() for n in (1, 3, 60, 400)}
+    made |= {"UP": [float(i) for i in range(60)], "FLAT": [7.0] * 40, "TURN": [*map(float, range(30, 8, -1)), *map(float, range(9, 60))]}
+    if nan_at is not None:
+        made["GAP"] = [math.nan if i == nan_at else x for i, x in enumerate(made["S60"])]
+    return made
+
+
+def _frame(spark, series):
+    return spark.createDataFrame([(t, dt.date(2000, 1, 1) + dt.timedelta(i), x) for t, c in series.items() for i, x in enumerate(c)], "ticker string, date date, c double")
+
+
+def test_countdown_and_stream_step_agree_with_a_plain_loop(spark):
+    series = _series(nan_at=20)
+    got = {}
+    for r in rotation.td_countdown(_frame(spark, series)).orderBy("ticker", "date").collect():
+        got.setdefault(r["ticker"], []).append((r["setup"], r["countdown"]))
+    for ticker, c in series.items():
         state = {"last": [], "run": 0, "buy": -1, "sell": -1}
-        stepped = [twins.countdown_step(state, x) for x in c]
-        assert [a for a, _ in stepped] == setup
-        assert [b for _, b in stepped] == batch
+        want = _plain_countdown(c)
+        assert got[ticker] == want and [twins.countdown_step(state, x) for x in c] == want
+    assert {13, -13} & {k for rows in got.values() for _, k in rows}
+    plan = rotation.td_countdown(_frame(spark, series))._jdf.queryExecution().toString()
+    assert "InPandas" not in plan
+    nulls = spark.createDataFrame([("A", dt.date(2000, 1, d), None) for d in range(1, 7)], "ticker string, date date, c double")
+    assert {(r["setup"], r["countdown"]) for r in rotation.td_countdown(nulls).collect()} == {(0, 0)}
+
+
+def test_stream_countdown_takes_rows_out_of_order_and_drops_those_behind_the_watermark(spark, tmp_path):
+    series = _series()
+    day = lambda i: dt.date(2000, 1, 1) + dt.timedelta(i)
+    rows = [(t, day(i), x) for t, c in series.items() for i, x in enumerate(c)]
+    slot = lambda r: min(3, (r[1] - day(0)).days // 100)
+    # a row in three of a slice's last week comes a slice later
+    batches = [[] for _ in range(4)]
+    for k, r in enumerate(rows):
+        left = 100 - (r[1] - day(0)).days % 100
+        batches[min(3, slot(r) + (left <= 7 and k % 3 == 0))].append(r)
+    behind = [("S400", day(2), -1.0), ("NEW", day(3), 5.0)]  # behind the watermark when it comes
+    batches[3] += behind
+    batches.append([("", day(460), None)])
+    np.random.default_rng(5).shuffle(batches[1])
+    schema = "ticker string, date date, c double"
+    for b in batches:
+        spark.createDataFrame([tuple(r) for r in map(tuple, b)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = twins.stream_countdown(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    got = streams.drain(stream, "append")
+    assert got.select("batch").distinct().count() >= 4
+    want = rotation.td_countdown(_frame(spark, series))
+    key = lambda df: sorted(tuple(r) for r in df.select("ticker", "date", "c", "setup", "countdown").collect())
+    assert key(got) == key(want)
 
 
 def test_islands_need_a_clean_quiet_round_trip(spark):
