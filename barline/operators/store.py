@@ -28,9 +28,11 @@ def bars_long(bars: DataFrame, tickers: DataFrame, start: str | None = None, end
     return rows.select("ticker", "date", *(fields or FIELDS))
 
 
-def price_matrix(bars: DataFrame, tickers: list[str], start: str, end: str, field: str = "adj_close") -> DataFrame:
-    """One field as a date by ticker matrix (export only); tickers without bars are null columns."""
-    rows = bars.where(F.col("ticker").isin(tickers) & F.col("date").between(F.lit(start), F.lit(end)))
+def price_matrix(bars: DataFrame, tickers: list[str], start: str | None = None, end: str | None = None, field: str = "adj_close") -> DataFrame:
+    """One field as a date by ticker matrix (export only), on all dates or from start to end; tickers without bars are null columns."""
+    rows = bars.where(F.col("ticker").isin(tickers))
+    for bound, keep in ((start, F.col("date") >= F.lit(start)), (end, F.col("date") <= F.lit(end))):
+        rows = rows.where(keep) if bound else rows
     return rows.groupBy("date").pivot("ticker", tickers).agg(F.first(field))
 
 

@@ -64,6 +64,11 @@ def positions(spark, d):
     return h.select("holding_id", F.when(k % 29 == 0, "NONE").otherwise(F.col("ticker")).alias("ticker"), "shares", "entry_price", "entry_date", "quote_currency")
 
 
+def still_held(spark, d):
+    """Funds whose newest holding has an odd id; the others count as sold."""
+    return positions(spark, d).groupBy("ticker").agg(F.max("holding_id").alias("newest")).where("newest % 2 = 1").select("ticker")
+
+
 def reviewed_bars(spark, d):
     """The funds' bars, every fifth fund with a split on file, every eleventh without recent bars."""
     i = F.substring("ticker", 2, 20).cast("int")
@@ -77,7 +82,7 @@ def priced_in(spark, d):
 
 QUERIES = {
     "holding_review": lambda s, d: income.holding_review(positions(s, d), scored(s, d), reviewed_bars(s, d), priced_in(s, d), TODAY, 5),
-    "buy_candidates": lambda s, d: income.buy_candidates(positions(s, d).where("holding_id % 7 = 1 and ticker like '%2'"), scored(s, d), 5),
+    "buy_candidates": lambda s, d: income.buy_candidates(still_held(s, d), scored(s, d), 5),
     "fund_metrics": lambda s, d: income.fund_metrics(funds(s, d), RUN_DATE),
     "underlying_rs": strength,
     "fund_score": lambda s, d: scored(s, d).select("ticker", "score", "qualified", "rank"),
@@ -156,7 +161,7 @@ SQL = {
     "holding_review": f"""WITH {_REVIEW} SELECT holding_id, w.ticker, CASE WHEN sc.score IS NULL THEN 'NOT IN UNIVERSE' WHEN qualified = 0 THEN 'SELL' WHEN qualified_rank <= 5 THEN 'HOLD' ELSE 'REVIEW' END AS signal, qualified_rank, round(value, 6) AS total_return,
   CASE WHEN warnings <> '' THEN 'not_assessed' WHEN value <= -2e-1 THEN 'HIT' WHEN value <= -2e-1 * 75e-2 THEN 'NEAR' ELSE 'OK' END AS stop_status, a AS first_price_date, z AS last_price_date, paid AS payouts_after_entry, CASE WHEN shares > 0 THEN 'provided' ELSE 'missing' END AS quantity_status, warnings
 FROM w LEFT JOIN sc ON sc.ticker = w.ticker LEFT JOIN qr ON qr.ticker = w.ticker""",
-    "buy_candidates": f"WITH {_SC}, {_Q}, {_POS} SELECT * FROM qr WHERE qualified_rank <= 5 AND ticker NOT IN (SELECT ticker FROM pos WHERE holding_id % 7 = 1 AND ticker LIKE '%2')",
+    "buy_candidates": f"WITH {_SC}, {_Q}, {_POS} SELECT * FROM qr WHERE qualified_rank <= 5 AND ticker NOT IN (SELECT ticker FROM pos GROUP BY ticker HAVING max(holding_id) % 2 = 1)",
     "fund_metrics": f"WITH {_F} SELECT * FROM fm",
     "underlying_rs": f"WITH {ALL_BARS}, {_STRENGTH} SELECT * FROM und",
     "fund_score": f"WITH {_SC} SELECT ticker, score, qualified, rank FROM sc",

@@ -8,7 +8,7 @@ from ..operators import store, universe
 from ..sources.stored import LEAST_BUCKETS, BarStore, StoredTable, shared_folder
 from ..sources.tables import PREVIOUS_DATE, RUN_DATE, bars, fetch_log, groups, incoming, securities, table
 from .ranking import universes
-from .sql import BARS, CAP, GROUPS, PREV, RUN, SECURITIES
+from .sql import ALL_BARS, BARS, CAP, GROUPS, PREV, RUN, SECURITIES
 
 COMMODITY_SPEC = {"filter": {"region": ["AU", "US"], "quote_type": ["EQUITY"], "commodity_any": ["gold", "silver"], "min_market_cap": 1e9}, "benchmark": "per_commodity", "cap_scheme": "commodity"}
 
@@ -38,7 +38,7 @@ def vendor_frames(spark, d):
         yield cells.where(F.col("ticker").isin(tickers[at : at + VENDOR_BLOCK])).groupBy("date").pivot("name", names).agg(F.first("value"))
 
 
-EXPORT = ["I0", "I1", "NONE"]  # columns of an exported matrix; a matrix is an export of named columns
+EXPORT = ["MKT", "R0", "R1", "R2", "R3", "R4", "I0", "I1", "NONE"]  # columns of an exported matrix; a matrix is an export of named columns
 
 
 def from_vendor(spark, d):
@@ -167,7 +167,7 @@ QUERIES = {
     "universe_snapshot": snapshots,
     "bars_from_wide": from_vendor,
     "bars_long": lambda s, d: store.bars_long(bars(s, d, False, "2000-01-01", "2000-12-31"), _tickers(s, d), fields=["close", "volume"]),
-    "price_matrix": lambda s, d: store.price_matrix(_all(s, d), EXPORT, "2001-01-01", "2001-06-30"),
+    "price_matrix": lambda s, d: store.price_matrix(bars(s, d), EXPORT),
     "last_bar_date": lambda s, d: store.last_bar_date(_all(s, d), _tickers(s, d)),
     "coverage": lambda s, d: store.coverage(_all(s, d), _tickers(s, d), "2001-06-20", RUN_DATE),
     "upsert_bars": upserted,
@@ -259,7 +259,7 @@ SELECT sha256(content) AS review_id, content, CASE WHEN old THEN TIMESTAMP '2001
     "security_page": f"WITH {SECURITIES} SELECT ticker, name, quote_type FROM securities WHERE contains(lower(ticker), '#0') OR contains(lower(name), '#0') ORDER BY ticker LIMIT 40 OFFSET 5",
     "bars_from_wide": f"WITH {BARS} SELECT ticker, date, open, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS DOUBLE) AS low, close, adj_close, volume, CAST(NULL AS DOUBLE) AS dividend, CAST(NULL AS DOUBLE) AS split FROM bars",
     "bars_long": f"WITH {BARS} SELECT ticker, date, close, volume FROM bars WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'",
-    "price_matrix": f"WITH {BARS} SELECT date, {', '.join(f"CAST(first(adj_close) FILTER (ticker = '{t}') AS DOUBLE) AS {t}" for t in EXPORT)} FROM bars WHERE ticker IN ('I0', 'I1') AND date BETWEEN DATE '2001-01-01' AND DATE '2001-06-30' GROUP BY date",
+    "price_matrix": f"WITH {ALL_BARS} SELECT date, {', '.join(f"CAST(first(adj_close) FILTER (ticker = '{t}') AS DOUBLE) AS {t}" for t in EXPORT)} FROM bars GROUP BY date",
     "last_bar_date": f"WITH {BARS} SELECT max(date) AS last_date FROM bars",
     "coverage": f"WITH {BARS}, r AS (SELECT count(DISTINCT s_suppkey // 5) + 1 AS k FROM supplier) SELECT any_value(k) AS requested, count(DISTINCT ticker) AS covered, count(DISTINCT ticker) / any_value(k) >= 0.8 AS passes FROM bars, r WHERE date BETWEEN DATE '2001-06-20' AND {RUN}",
     "upsert_bars": f"""WITH {BARS}, {_INC}, ag AS (SELECT ticker, date, adj_close * 1.01 AS adj_close, volume FROM inc WHERE dayofmonth(date) % 2 = 1)

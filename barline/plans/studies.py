@@ -51,9 +51,13 @@ def stored_days(spark, d):
     return bars(spark, d, references=False).where(F.col("date") <= F.date_sub(F.to_date(F.lit(RUN_DATE)), 20)).select("date")
 
 
-def dated_scans(spark, d):
+SIGNAL_DATE = "2001-07-01"  # a run with completed signals
+
+
+def dated_scans(spark, d, newest=RUN_DATE):
     """Scans of two run dates, as they would be stored."""
-    return scan(spark, d).withColumn("run_date", F.to_date(F.lit(RUN_DATE))).unionByName(scan(spark, d, "2001-05-31").withColumn("run_date", F.to_date(F.lit("2001-05-31"))))
+    first, last = (scan(spark, d, day).withColumn("run_date", F.to_date(F.lit(day))) for day in ("2001-05-31", newest))
+    return last.unionByName(first)
 
 
 def study(spark, d):
@@ -96,7 +100,7 @@ QUERIES = {
     "weekly_close": lambda spark, d: rotation.weekly_close(series(spark, d)),
     "demark_scan": scan,
     "demark_report_lists": lambda spark, d: rotation.demark_report_lists(scan(spark, d)),
-    "read_signals": lambda spark, d: rotation.read_signals(dated_scans(spark, d)).drop("run_date"),
+    "read_signals": lambda spark, d: rotation.read_signals(dated_scans(spark, d, SIGNAL_DATE)).drop("run_date"),
     "multi_period_study": study,
     "period_performance": lambda spark, d: drawdown.period_performance(
         bars(spark, d), universe.members({"filter": {"quote_type": "EQUITY"}, "benchmark": "MKT"}, securities(spark, d), groups(spark, d)).withColumn("commodity", F.lit(None).cast("string")), "2000-01-01", "p2000", "MKT"
@@ -185,13 +189,18 @@ def _flags(p: str) -> str:
   CASE WHEN {p}.cd = 13 THEN 1 ELSE 0 END AS {p}_cd13_buy, CASE WHEN {p}.cd = -13 THEN 1 ELSE 0 END AS {p}_cd13_sell"""
 
 
-_SCAN = f"""{ALL_BARS}, {_MEM}, big AS (SELECT * FROM mem WHERE active = 1 AND market_cap >= 1e9),
-sd AS (SELECT ticker, date, adj_close AS c FROM bars JOIN big USING (ticker) WHERE date BETWEEN {RUN} - INTERVAL 200 DAY AND {RUN}),
-sw AS (SELECT ticker, {_WEEK} AS date, arg_max(adj_close, date) AS c FROM bars JOIN big USING (ticker) WHERE date BETWEEN {RUN} - INTERVAL 500 DAY AND {RUN} GROUP BY ALL),
+def _scan(run: str) -> str:
+    """The scan of a run date, table scan."""
+    return f"""{ALL_BARS}, {_MEM}, big AS (SELECT * FROM mem WHERE active = 1 AND market_cap >= 1e9),
+sd AS (SELECT ticker, date, adj_close AS c FROM bars JOIN big USING (ticker) WHERE date BETWEEN {run} - INTERVAL 200 DAY AND {run}),
+sw AS (SELECT ticker, {_WEEK} AS date, arg_max(adj_close, date) AS c FROM bars JOIN big USING (ticker) WHERE date BETWEEN {run} - INTERVAL 500 DAY AND {run} GROUP BY ALL),
 {_td('td', 'sd')}, {_td('tw', 'sw')},
 d AS (SELECT ticker, arg_max(setup, i) AS setup, arg_max(cd, i) AS cd FROM td_r GROUP BY ticker HAVING count(*) >= 50), w AS (SELECT ticker, arg_max(setup, i) AS setup, arg_max(cd, i) AS cd FROM tw_r GROUP BY ticker HAVING count(*) >= 50),
 scan AS MATERIALIZED (SELECT big.ticker, name, sector, cap_band, market_cap, round(market_cap / 1e9, 2) AS market_cap_b, {_flags('d')}, {_flags('w')}, round(cl.c, 4) AS close
   FROM big LEFT JOIN d USING (ticker) LEFT JOIN w USING (ticker) LEFT JOIN (SELECT ticker, arg_max(c, date) AS c FROM sd GROUP BY ticker) cl USING (ticker) WHERE d.ticker IS NOT NULL OR w.ticker IS NOT NULL)"""
+
+
+_SCAN = _scan(RUN)
 _SIG = [f"{p}_{s}" for p in "dw" for s in rotation.SIGNALS]
 
 def _study(peer: str) -> str:
@@ -251,7 +260,7 @@ SELECT universe, layer, group_type, group_key, metric, nw.value, {', '.join(f"nw
     "weekly_close": f"WITH {_SERIES} SELECT ticker, {_WEEK} AS date, arg_max(c, date) AS c FROM se GROUP BY ticker, {_WEEK}",
     "demark_scan": f"WITH RECURSIVE {_SCAN} SELECT * FROM scan",
     "demark_report_lists": f"WITH RECURSIVE {_SCAN} " + " UNION ALL ".join(f"SELECT '{s}' AS signal, coalesce(string_agg(ticker, ',' ORDER BY ticker) FILTER ({s} = 1), '') AS tickers FROM scan" for s in _SIG),
-    "read_signals": f"WITH RECURSIVE {_SCAN} SELECT * FROM scan WHERE {' OR '.join(f'{s} = 1' for s in _SIG)}",
+    "read_signals": f"WITH RECURSIVE {_scan(f"DATE '{SIGNAL_DATE}'")} SELECT * FROM scan WHERE {' OR '.join(f'{s} = 1' for s in _SIG)}",
     "multi_period_study": f"WITH {_STUDY} SELECT * FROM study",
     "period_performance": f"WITH {_BY_SECTOR} SELECT * FROM study WHERE period_label = 'p2000'",
     "cross_period_ranks": f"""WITH {_STUDY}, x AS (SELECT ticker, {', '.join(f"max(rank) FILTER (period_label = '{p}') AS rank_{p}" for p, _ in PERIODS)} FROM study GROUP BY ticker)
