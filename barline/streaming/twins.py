@@ -48,29 +48,32 @@ class _Countdown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._counted = handle.getValueState("counted", "last array<double>, run int, buy int, sell int, upto long")
-        self._held = handle.getMapState("held", "ms long", "date date, c double")
+        self._held = handle.getListState("held", "ms long, date date, c double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         upto = self._counted.get()[4] if self._counted.exists() else None
+        held = {ms: (date, c) for ms, date, c in self._held.get()}
         for frame in rows:
             # from the frame's own dates, as timestamps come in the session's time zone
             times = pd.to_datetime(frame["date"]).astype("datetime64[ms]").astype("int64")
             for ms, date, c in zip(times.tolist(), frame["date"], frame["c"].tolist(), strict=True):
                 if upto is None or ms > upto:
-                    self._held.updateValue((ms,), (date, c))
-        return self._count(key, timerValues)
+                    held[ms] = (date, c)
+        return self._count(key, held, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._count(key, timerValues)
+        return self._count(key, {ms: (date, c) for ms, date, c in self._held.get()}, timerValues)
 
-    def _count(self, key: tuple, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        """Rows up to the watermark, and a timer for the first row beyond it."""
+    def _count(self, key: tuple, held: dict, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        """Rows up to the watermark; the others are held, with a timer for the first of them."""
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = sorted((ms, *value) for (ms,), value in self._held.iterator())
-        due, rest = [r for r in held if r[0] <= watermark], [r for r in held if r[0] > watermark]
+        rows = sorted((ms, *value) for ms, value in held.items())
+        due, rest = [r for r in rows if r[0] <= watermark], [r for r in rows if r[0] > watermark]
         for ms in list(self._handle.listTimers()):
             self._handle.deleteTimer(ms)
+        self._held.clear()
         if rest:
+            self._held.put(rest)
             self._handle.registerTimer(rest[0][0])
         if not due:
             return iter(())
@@ -80,8 +83,6 @@ class _Countdown(StatefulProcessor):
             now["last"] = list(last)
         counted = [countdown_step(now, c) for _, _, c in due]
         self._counted.update((now["last"], now["run"], now["buy"], now["sell"], due[-1][0]))
-        for ms, *_ in due:
-            self._held.removeKey((ms,))
         rows = {"ticker": key[0], "date": [d for _, d, _ in due], "c": [c for *_, c in due], "setup": [a for a, _ in counted], "countdown": [b for _, b in counted]}
         return iter([pd.DataFrame(rows)])
 
