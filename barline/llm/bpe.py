@@ -7,6 +7,7 @@ are merged exactly, by the ranks of the tokenizer file.
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,14 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks, hash_ranges, ragged
 from .pretokens import Ranks, load_ranks, merge, split
-from .store import materialize, shared_dir
+from .store import materialize, save_bytes, shared_dir
 
 LEXICON_WORDS = 1 << 16
 PARTIAL_WORDS = 1 << 19  # distinct words that a task counts before it passes them on
@@ -245,10 +245,9 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", tokenizer: str | None
     lexicon = Lexicon.build([bytes(r[0]) for r in chosen], load_ranks(tokenizer))
     spark, name = docs.sparkSession, f"lexicon-{uuid.uuid4().hex}.npy"
     base = shared_dir(spark, "lexicon")
-    store, folder = pafs.FileSystem.from_uri(base)
-    store.create_dir(folder, recursive=True)
-    with store.open_output_stream(f"{folder}/{name}") as out:
-        lexicon.save(out)
+    out = io.BytesIO()
+    lexicon.save(out)
+    save_bytes(spark, f"{base}/{name}", out.getvalue())
     spark.sparkContext.addFile(f"{base}/{name}")
     return name
 

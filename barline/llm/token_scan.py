@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, shared_dir
+from .store import arrow_opens, materialize, shared_dir, spark_read_files, spark_write_files
 
 BLOCK_TOKENS = 2 << 20
 MAX_TASKS = 1 << 15
@@ -79,7 +79,21 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), ids, pa.array([size], pa.int64())], names=["path", "at", "ids", "size"])
                 at += batch.num_rows
 
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, codec, at, size = f"part-{TaskContext.get().partitionId():06d}", encoding(ranks), 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                data = np.concatenate([np.array([*codec.encode_ordinary(text or ""), end_id], dtype=f"<u{width}") for text in batch.column(1).to_pylist()]).tobytes()
+                ids, size = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)), size + len(data)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), ids, pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["path", "at", "ids", "size", "data"])
+            at += batch.num_rows
+
     kind = docs.schema[id_col].dataType.simpleString()
+    if not arrow_opens(base):  # a table of the parts, from which Spark writes the files
+        parts = materialize(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encoded, f"path string, at long, ids array<{kind}>, size long, data binary"), "token-parts")
+        placed = parts.select(F.col("path").alias("name"), "at", "data").repartition("name").sortWithinPartitions("name", "at")
+        spark_write_files(placed, base, end_id.to_bytes(width, "little"))
+        return parts.drop("data").withColumn("base", F.lit(base)).withColumn("width", F.lit(width))
     written = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(write, f"path string, at long, ids array<{kind}>, size long")
     return materialize(written, "token-manifest").withColumn("base", F.lit(base)).withColumn("width", F.lit(width))
 
@@ -90,17 +104,22 @@ def scan_token_files(files: DataFrame, end_id: int = END_OF_DOCUMENT, block_toke
     Tokens after a file's last separator are one more document, not ended. Two separators in a row hold an empty document. The
     prefix scan over a file's blocks takes three numbers a block; the separators' places stay with their blocks.
     """
+    unread = [r[0] for r in files.select("base").distinct().collect() if not arrow_opens(r[0])]  # a folder a write
+    if unread:  # Spark hands a file over as a whole
+        block_tokens = 1 << 31
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block_tokens).cast("long"))
     ranges = files.withColumn("tokens", F.floor(F.col("size") / F.col("width"))).where("tokens > 0")
     ranges = ranges.select("base", "path", "width", F.explode(starts).alias("begin"), "tokens").withColumn("end", F.least("tokens", F.col("begin") + block_tokens))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, path, width, begin, end in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                store, folder = pafs.FileSystem.from_uri(base)
-                with store.open_input_file(f"{folder}/{path}") as f:
-                    f.seek(width * begin)
-                    tokens = np.frombuffer(f.read(width * (end - begin)), dtype=f"<u{width}")
+            for base, path, width, begin, end, content in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if content is None:
+                    store, folder = pafs.FileSystem.from_uri(base)
+                    with store.open_input_file(f"{folder}/{path}") as f:
+                        f.seek(width * begin)
+                        content = f.read(width * (end - begin))
+                tokens = np.frombuffer(content[: width * (end - begin)], dtype=f"<u{width}")
                 ends = np.flatnonzero(tokens == end_id) + begin
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path]), pa.array([begin], pa.int64()), pa.array([end], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["path", "begin", "end", "ends"]
@@ -108,7 +127,11 @@ def scan_token_files(files: DataFrame, end_id: int = END_OF_DOCUMENT, block_toke
 
     total = files.agg(F.sum(F.ceil(F.col("size") / F.col("width") / block_tokens))).first()[0] or 0
     tasks = max(1, min(MAX_TASKS, int(total)))  # stated, as the few bytes of a block's row say nothing of the work behind it
-    found = ranges.repartition(tasks, "path", "begin").select("base", "path", "width", "begin", "end").mapInArrow(scan, "path string, begin long, end long, ends array<long>")
+    found = ranges.repartition(tasks, "path", "begin").withColumn("content", F.lit(None).cast("binary"))
+    if unread:
+        whole = reduce(DataFrame.unionByName, [spark_read_files(files.sparkSession, b).select(F.lit(b).alias("base"), F.col("name").alias("path"), "content") for b in unread])
+        found = ranges.join(whole, ["base", "path"], "left")
+    found = found.select("base", "path", "width", "begin", "end", "content").mapInArrow(scan, "path string, begin long, end long, ends array<long>")
     found = materialize(found, "separators")
     last_end = F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1)
     blocks = found.select("path", "begin", "end", F.size("ends").alias("n"), last_end.alias("last_end"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialize, shared_dir
+from .store import arrow_opens, materialize, shared_dir, spark_read_files, spark_write_files
 
 RANGE_BYTES = 8 << 20
 MAX_TASKS = 1 << 15
@@ -52,7 +52,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages(page_id, url, html) to archives in the shared folder; returns the manifest (path, size, records).
+    """Write pages(page_id, url, html) to archives in the shared folder; returns the manifest (path, size, records). On a folder that only
+    Spark opens its text writer writes them, and records is null.
 
     Of pages with equal payloads of at least min_bytes the one with the least page_id is the response, the others
     revisits of it. Rows that share that least page_id are all responses. A null page_id is always a response
@@ -85,13 +86,27 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
                     size, records = size + len(data), records + 1
         yield pa.RecordBatch.from_pydict({"path": [name.rsplit("/", 1)[1]], "size": [size], "records": [records]})
 
-    manifest = joined.select("page_id", "url", "html", "refers_to").mapInArrow(write, "path string, size long, records long")
+    def records_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():06d}"
+        for batch in batches:
+            data = [record(page_id, url, html.encode(), refers_to) for page_id, url, html, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(data), pa.string()), pa.array(data, pa.binary())], names=["name", "data"])
+
+    joined = joined.select("page_id", "url", "html", "refers_to")
+    if not arrow_opens(base):
+        spark_write_files(joined.mapInArrow(records_of, "name string, data binary"), base, b"\r\n\r\n")
+        listed = spark_read_files(spark, base).select(F.col("name").alias("path"), "size", F.lit(None).cast("long").alias("records"))
+        return materialize(listed, "manifest").withColumn("base", F.lit(base))
+    manifest = joined.mapInArrow(write, "path string, size long, records long")
     return materialize(manifest.where("size > 0"), "manifest").withColumn("base", F.lit(base))
 
 
-def _open(base: str, cache: dict, path: str):
+def _open(base: str, cache: dict, path: str, content: bytes | None = None):
     if path not in cache:
         cache.clear()
+        if content is not None:
+            cache[path] = pa.BufferReader(content)
+            return cache[path]
         store, folder = pafs.FileSystem.from_uri(base)
         cache[path] = store.open_input_file(f"{folder}/{path}")
     return cache[path]
@@ -178,21 +193,28 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
     if base is None:
         return spark.createDataFrame([], schema)
     base = base[0]
+    whole = None if arrow_opens(base) else spark_read_files(spark, base).select(F.col("name").alias("path"), "content")
+    if whole is not None:  # Spark hands a file over as a whole
+        range_bytes = 1 << 31
     ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
     ranges = ranges.withColumn("end", F.least("size", F.col("begin") + range_bytes))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict = {}
         for batch in batches:
-            for path, size, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                offsets, successors, _ = candidates(_open(base, files, path), begin, end, size)
+            for path, size, begin, end, content in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                offsets, successors, _ = candidates(_open(base, files, path, content), begin, end, size)
                 out = exits(offsets, successors, end)
                 columns = [pa.array([path] * len(out), pa.string()), *(pa.array(x, pa.int64()) for x in ([begin] * len(out), offsets, out))]
                 yield pa.RecordBatch.from_arrays(columns, names=["path", "begin", "offset", "exit"])
 
     longest, total = manifest.agg(F.max(F.ceil(F.col("size") / range_bytes)), F.sum(F.ceil(F.col("size") / range_bytes))).first()
     tasks = min(MAX_TASKS, int(total))  # stated, as the few bytes of a range's row say nothing of the work behind it
-    found = materialize(ranges.repartition(tasks, "path", "begin").select("path", "size", "begin", "end").mapInArrow(find, "path string, begin long, offset long, exit long"), "candidates")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "path", "begin").withColumn("content", F.lit(None).cast("binary")) if whole is None else rows.join(whole, "path")
+
+    found = materialize(dealt(ranges).select("path", "size", "begin", "end", "content").mapInArrow(find, "path string, begin long, offset long, exit long"), "candidates")
     # only a file's start or another range's exit can be an entry; every entry jumps to a later range
     targets = found.where("exit > 0").select("path", F.col("exit").alias("offset")).distinct()
     entries = found.join(targets.unionByName(manifest.select("path", F.lit(0).cast("long").alias("offset"))).distinct(), ["path", "offset"], "left_semi")
@@ -208,8 +230,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict = {}
         for batch in batches:
-            for path, size, begin, end, entry in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                file, rows = _open(base, files, path), []
+            for path, size, begin, end, entry, content in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                file, rows = _open(base, files, path, content), []
                 offsets, successors, heads = candidates(file, begin, end, size)
                 for i in reachable(offsets, successors, entry):
                     fields = dict(line.split(b": ", 1) for line in heads[i].split(b"\r\n")[1:] if b": " in line)
@@ -230,7 +252,7 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 10, kinds, strict=True)], names=names)
 
     at = reached.withColumn("begin", F.col("offset") - F.pmod("offset", F.lit(range_bytes).cast("long"))).withColumnRenamed("offset", "entry")
-    return ranges.join(at, ["path", "begin"]).repartition(tasks, "path", "begin").select("path", "size", "begin", "end", "entry").mapInArrow(read, schema)
+    return dealt(ranges.join(at, ["path", "begin"])).select("path", "size", "begin", "end", "entry", "content").mapInArrow(read, schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
