@@ -43,7 +43,9 @@ FEW_PAIRS = 2000  # more pairs of a unit are verified by matrix products
 BINS, SKETCH_ROWS = 16, 4  # sketch that tells which texts have an earlier near copy
 GRID = 16  # weights are exp(level / GRID)
 POOL_BITS = 16
-TABLES = 24  # weights whose draws are tabled, half a MB each
+TABLES = 192  # weights whose draws are tabled by rank, 64 KB each
+RANKS, LEAST = 16, -15  # ranks a unit of ln a, from LEAST on
+CHUNK = 1 << 16  # shingles drawn at a time, so that the arrays stay in a core's cache
 SALTS = 16  # tasks that the rows of one frequent key are dealt over
 HOT = 1024  # rows of a bucket for each task that it is dealt over
 AGREE = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SAMPLES)
@@ -108,35 +110,60 @@ def _draw(level: np.ndarray | int, r: np.ndarray, log_c: np.ndarray, beta: np.nd
     return (ordered << np.uint64(32)) | (mix(t.astype(np.int64).astype(np.uint64)) & np.uint64(0xFFFFFFFF))
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Draws by ln a in steps of 1 / RANKS, one byte each: ascending with the draws, ends clipped."""
+    ordered = (keys >> np.uint64(32)).astype(np.uint32)
+    log_a = np.where(ordered >> 31, ordered ^ np.uint32(1 << 31), ~ordered).view(np.float32).astype(np.float64)
+    return np.clip(np.floor((log_a - LEAST) * RANKS), 0, 255).astype(np.uint8)
+
+
 @lru_cache(maxsize=TABLES)
-def _keys(level: int) -> np.ndarray:
-    """The draws of all numbers of the pool at one weight."""
-    return _draw(level, *_pool())
+def _rank_table(level: int) -> np.ndarray:
+    """Ranks of the draws of all numbers of the pool at one weight."""
+    return _ranks(_draw(level, *_pool()))
 
 
 def signatures(values: np.ndarray, level: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """SAMPLES draws of every text that has shingles, as 32-bit hashes of (shingle, t)."""
-    begin = (np.cumsum(per) - per)[per > 0]
+    """SAMPLES draws of every text that has shingles, as 32-bit hashes of (shingle, t).
+
+    The least draw of a text is among those of its least rank, about one shingle a text, so whole draws are made of these alone.
+    """
+    size = per[per > 0]
+    begin = np.cumsum(size) - size
     out = np.empty((len(begin), SAMPLES), dtype=np.uint32)
     if not len(begin):
         return out
-    # weights that many shingles have are looked up in tables, the others computed
-    used, which, counts = np.unique(level, return_inverse=True, return_counts=True)
-    common = np.argsort(-counts, kind="stable")[:TABLES]
-    row = np.zeros(len(used), dtype=np.int64)
+    # ranks are looked up in tables, those of weights beyond TABLES (the rarest here) computed
+    least = level.min()
+    counts = np.bincount(level - least)
+    common = np.argsort(-counts, kind="stable")[: min(TABLES, np.count_nonzero(counts))]
+    row = np.full(len(counts), -1)
     row[common] = np.arange(len(common))
-    table = np.concatenate([_keys(int(x)) for x in used[common]])
-    rest = np.flatnonzero(~np.isin(which, common)) if len(used) > TABLES else np.empty(0, np.int64)
-    pool = _pool()
-    offset, low = row[which].astype(np.uint64) << np.uint64(POOL_BITS), values & np.uint64(0xFFFFFFFF)
-    for k in range(SAMPLES):
-        odd = mix(np.array([k + 1], dtype=np.uint64) * np.uint64(BASE))[0] | np.uint64(1)
-        place = (values * odd) >> np.uint64(64 - POOL_BITS)
-        keys = table[place | offset]
-        if len(rest):
-            at = place[rest]
-            keys[rest] = _draw(level[rest], *(x[at] for x in pool))
-        out[:, k] = np.minimum.reduceat(keys ^ low, begin) & np.uint64(0xFFFFFFFF)
+    table = np.concatenate([_rank_table(int(x)) for x in common + least])
+    row = row[level - least]
+    pool, odd = _pool(), mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    cuts = np.unique([*np.searchsorted(begin, np.arange(0, len(values), CHUNK)), len(begin)]).tolist()
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        a, n = begin[first], size[first:last]
+        b = a + n.sum()
+        own, at, rows = values[a:b], begin[first:last] - a, row[a:b]
+        rest, offset = np.flatnonzero(rows < 0), np.maximum(rows, 0).astype(np.uint64) << np.uint64(POOL_BITS)
+        place, rank = np.empty_like(own), np.empty(len(own), np.uint8)
+        some, drawn_at, cut = [], [], []
+        for k in range(SAMPLES):
+            np.multiply(own, odd[k], out=place)
+            np.right_shift(place, np.uint64(64 - POOL_BITS), out=place)
+            np.bitwise_or(place, offset, out=place)
+            np.take(table, place.view(np.int64), out=rank, mode="clip")
+            if len(rest):
+                rank[rest] = _ranks(_draw(level[a:b][rest], *(x[place[rest]] for x in pool)))
+            some.append(np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, at), n)))
+            drawn_at.append(place[some[-1]])
+            cut.append(np.searchsorted(some[-1], at))
+        before = np.cumsum([0, *map(len, some[:-1])])
+        some, drawn_at = np.concatenate(some), np.concatenate(drawn_at) & np.uint64((1 << POOL_BITS) - 1)
+        draws = _draw(level[a:b][some], *(x[drawn_at] for x in pool)) ^ (own[some] & np.uint64(0xFFFFFFFF))
+        out[first:last] = np.minimum.reduceat(draws, np.concatenate(cut) + np.repeat(before, len(n))).reshape(SAMPLES, -1).T & np.uint64(0xFFFFFFFF)
     return out
 
 
