@@ -41,7 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": oracles.OP1,
     "op3_warc": oracles.OP3,
     "op5_substring_dedup": oracles.OP5,
-    "op11_secrets": op11_secrets,
-    "op12_alignment": op12_alignment,
     "op13_fill_middle": oracles.OP13,
 }
