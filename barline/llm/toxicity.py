@@ -31,6 +31,7 @@ LEXICON = 300  # most words of the lexicon
 MIN_TEXTS, MIN_LOG_ODDS = 8, 2.5  # support and least log odds of a lexicon word
 REACH = 8  # words between a lexicon word and a second person
 TREES, DEPTH = 20, 3
+PIECE = 3 << 18  # text bytes whose features are taken at a time; their arrays take some 50 times as much
 # Second-person words of the corpus languages that mean little else in the other ones, and signs that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu toi vous votre vos dich dir dein deine euch tú usted ustedes".split())
 LOOK_ALIKES = str.maketrans("01345789@$!|+", "oieastbgasiit")
@@ -65,13 +66,15 @@ def word_kind(word: str, lexicon: dict[str, tuple[float, int]]) -> tuple[float,
 
 
 class WordKinds(dict):
-    """word_kind of the words met, by their UTF-8 bytes."""
+    """word_kind of the words met, by their UTF-8 bytes; equal kinds, of which there are few, are kept once."""
 
     def __init__(self, lexicon: dict[str, tuple[float, int]]):
         self.lexicon = lexicon
+        self.kinds: dict[tuple[float, ...], tuple[float, ...]] = {}
 
     def __missing__(self, word: bytes) -> tuple[float, ...]:
         kind = word_kind(word.decode(), self.lexicon)
+        kind = self.kinds.setdefault(kind, kind)
         if len(self) < 1 << 18:
             self[word] = kind
         return kind
@@ -149,7 +152,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = WordKinds(shared.value)
-        for block in blocks(batches):
+        for block in blocks(batches, size=PIECE):
             values = block_features([t or "" for t in block.column(len(others)).to_pylist()], kinds)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * len(FEATURES), pa.int32()), pa.array(values.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*block.columns[: len(others)], lists], names=[*others, "features"])
