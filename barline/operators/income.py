@@ -18,16 +18,41 @@ def fund_metrics(bars: DataFrame, end: str, keys: tuple[str, ...] = ("ticker",),
     return _fund_metrics(rows.select(*keys, "date", "close", "dividend"), keys)
 
 
+def payout_moments(pays: Column) -> Column:
+    """Sum, mean, slope over the places from 1, and population deviation of an array of payouts in order, null if there are none.
+
+    Payouts are in cents, so slope over mean often lies just on a rounding border, and the last bit of the running sums decides. They are
+    added up in the payouts' order, the covariance by fused multiply-add as in the SQL, so that equal payouts give equal digits.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(0).alias("k"), *(zero.alias(c) for c in ("sum", "mean", "co", "sq")))
+
+    def step(s: Column, pay: Column) -> Column:
+        k = s["k"] + 1
+        mean = s["mean"] + (pay - s["mean"]) / k
+        co = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), k / 2, pay - mean, s["co"]).cast("double")  # k / 2: a place less the mean of those before
+        return F.struct(k.alias("k"), (s["sum"] + pay).alias("sum"), mean.alias("mean"), co.alias("co"), (s["sq"] + (pay - mean) * (pay - s["mean"])).alias("sq"))
+
+    def end(s: Column) -> Column:
+        n = s["k"].cast("double")
+        places = n * (n * n - 1) / 12  # squares of the places' distances from their mean
+        slope = F.when(n > 1, (s["co"] / n) / (places / n))
+        return F.when(n > 0, F.struct(s["sum"].alias("paid"), (s["sum"] / n).alias("mean"), slope.alias("slope"), F.sqrt(s["sq"] / n).alias("sp")))
+
+    return F.aggregate(pays, start, step, end)
+
+
 def _fund_metrics(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     w, whole = Window.partitionBy(*keys).orderBy("date"), Window.partitionBy(*keys)
     rows = rows.withColumn("n", F.count("*").over(whole)).where("n >= 63").withColumn("i", F.row_number().over(w)).withColumn("back", F.col("n") - F.col("i") + 1)
     rows = rows.withColumn("r", F.when(F.col("back") <= 62, F.col("close") / F.lag("close").over(w) - 1))
-    rows = rows.withColumn("pay", F.when(F.col("dividend") > 0, F.col("dividend"))).withColumn("k", F.count("pay").over(w))
+    rows = rows.withColumn("pay", F.when(F.col("dividend") > 0, F.struct("i", F.col("dividend").alias("value"))))
     out = rows.groupBy(*keys).agg(
         F.max_by("close", "i").alias("last"), F.min_by("close", "i").alias("first"), F.max(F.when(F.col("back") == 63, F.col("close"))).alias("b63"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"),
-        F.count("pay").alias("n_dists"), F.sum("pay").alias("paid"), F.avg("pay").alias("mean"), F.regr_slope("pay", F.when(F.col("pay").isNotNull(), F.col("k"))).alias("slope"), F.stddev_pop("pay").alias("sp"),
+        F.count("pay").alias("n_dists"), payout_moments(F.transform(F.sort_array(F.collect_list("pay")), lambda x: x["value"])).alias("pays"),
         F.greatest(F.datediff(F.max("date"), F.min("date")), F.lit(1)).alias("span"),
     )
+    out = out.select("*", "pays.*")
     enough = F.col("n_dists") >= 4
     zero = F.lit(0.0)
     return out.select(

@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -237,3 +238,18 @@ def test_notices_keep_odd_dates_and_tell_ceasing_from_change(spark):
     got = sorted(one(text.notice_parse(spark.createDataFrame([(p,) for p in pages], "html string")).select("ann_id", "date", "form", "action", "pdf_url")))
     url = "https://www.asx.com.au/asx/v2/statistics/displayAnnouncement.do?display=pdf&idsId="
     assert got == [("1", "31/02/2001", "605", "cease", url + "1"), ("2", "2001-03-01", "604", "change", url + "2")]
+
+
+def test_payout_slope_on_a_rounding_border_has_the_digits_of_sql(spark):
+    series = {
+        "A": [3, 4, 1, 6, 2, 2, 7, 7, 8], "B": [3, 4, 6, 6, 1, 1, 8, 4, 7], "C": [3, 2, 4, 3, 6, 5, 4, 7, 6], "D": [5, 4, 2, 2, 5, 6, 5, 7, 4], "E": [8, 6, 8, 7, 4, 2, 2, 2, 1], "F": [6, 6, 8, 6, 6], "G": [5], "H": [],
+    }
+    start = dt.date(2001, 1, 1)
+    rows = [(t, start + dt.timedelta(days=i), 10.0 + i % 7, p[i // 5] / 100.0 if i % 5 == 0 and i // 5 < len(p) else 0.0) for t, p in series.items() for i in range(63)]
+    got = income.fund_metrics(spark.createDataFrame(rows, "ticker string, date date, close double, dividend double").repartition(3), "2001-06-30")
+    got = {r.ticker: (r.dist_slope, r.dist_consist, r.n_dists) for r in got.collect()}
+    con = duckdb.connect()
+    for t, p in series.items():
+        con.execute("CREATE OR REPLACE TABLE pays AS SELECT unnest(?::DOUBLE[]) AS pay, unnest(range(1, ?)) AS k", [[x / 100.0 for x in p], len(p) + 1])
+        want = con.execute("SELECT round(regr_slope(pay, k) / avg(pay) * 100, 2), round(greatest(0.0, least(1.0, 1.0 - stddev_pop(pay) / avg(pay))), 2) FROM pays").fetchone()
+        assert got[t] == ((*want, len(p)) if len(p) >= 4 else (0.0, 0.0, len(p)))
